@@ -5,12 +5,25 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skylattice.llm import bpe_codec, token_counts
+from skylattice.llm import bpe_codec, line_dedup, mixing, token_counts, toxicity
 from skylattice.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
 
 
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(spark, table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(spark, table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(spark, table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), limit=512)
 
@@ -20,8 +33,11 @@ def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_mix_sources": op2_mix_sources,
+    "op3_toxicity": op3_toxicity,
+    "op5_line_dedup": op5_line_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_bpe_codec": op7_bpe_codec,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_line_dedup": line_dedup.SQL}

@@ -59,23 +59,35 @@ def _step(p: list[float], units: list[int], u: tuple[float, ...], draw: float) -
 def fly(p: list[float], x: list[float], draws: list[float], land: bool) -> list[float]:
     """The flight over documents with probabilities p, words x and a uniform number each, largest first.
 
-    Three undecided documents and two constraints leave one direction. With `land` the last ones are decided too: first
-    without the constraint on documents, the very last by its own draw.
+    Three undecided documents and two constraints leave one direction. A large document moves only as far as the others
+    outweigh it, so two of the three come from the large end and one from the small end, and large ones are decided
+    while many others are left. With `land` the last ones are decided too: first without the constraint on documents,
+    the very last by its own draw.
     """
-    p, held = list(p), []
-    for k in range(len(p)):
-        if not EPS < p[k] < 1 - EPS:
-            continue
-        held.append(k)
-        if len(held) == 3:
-            a, b, c = (x[i] for i in held)
-            u = (b - c, c - a, a - b)
-            _step(p, held, u if any(u) else (1.0, -1.0, 0.0), draws[k])
-            held = [i for i in held if EPS < p[i] < 1 - EPS]
+    p = list(p)
+    left = [k for k in range(len(p)) if EPS < p[k] < 1 - EPS]
+    i, j = 0, len(left) - 1
+    large: list[int] = []
+    small: list[int] = []
+    while True:
+        while i <= j and len(large) + len(small) < 3:
+            if len(large) < 2:
+                large.append(left[i])
+                i += 1
+            else:
+                small.append(left[j])
+                j -= 1
+        held = large + small
+        if len(held) < 3:
+            break
+        a, b, c = (x[k] for k in held)
+        u = (b - c, c - a, a - b)
+        _step(p, held, u if any(u) else (1.0, -1.0, 0.0), draws[held[-1]])
+        large, small = ([k for k in g if EPS < p[k] < 1 - EPS] for g in (large, small))
     if land and len(held) == 2:
-        i, j = held
-        _step(p, held, (x[j], -x[i]) if x[i] or x[j] else (1.0, -1.0), draws[j])
-        held = [i for i in held if EPS < p[i] < 1 - EPS]
+        a, b = (x[k] for k in held)
+        _step(p, held, (b, -a) if a or b else (1.0, -1.0), draws[held[0]])
+        held = [k for k in held if EPS < p[k] < 1 - EPS]
     if land:
         for k in held:
             p[k] = float(draws[k] < p[k])

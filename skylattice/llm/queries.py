@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skylattice.llm import bpe_codec, language_id, line_dedup, mixing, token_counts, toxicity
+from skylattice.llm import block_search, bpe_codec, language_id, line_dedup, mixing, pivot_search, token_counts, toxicity
 from skylattice.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -37,6 +37,14 @@ def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(spark, table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_search.exact_top_k(spark, table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_search.nearest(spark, table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_mix_sources": op2_mix_sources,
@@ -44,6 +52,8 @@ QUERIES = {
     "op5_line_dedup": op5_line_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_bpe_codec": op7_bpe_codec,
+    "op8_exact_top_k": op8_exact_top_k,
+    "op9_nearest_neighbours": op9_nearest_neighbours,
 }
 
-ORACLES: dict[str, str] = {"op5_line_dedup": line_dedup.SQL}
+ORACLES: dict[str, str] = {"op5_line_dedup": line_dedup.SQL, "op8_exact_top_k": pivot_search.SQL, "op9_nearest_neighbours": block_search.SQL}

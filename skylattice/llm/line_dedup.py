@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skylattice.llm.common import BLANKS, LOWER, UPPER
+from skylattice.llm.common import BLANKS, LOWER, UPPER, checkpoint
 
 #: Names that can't clash with columns of the input, which are carried along as they are.
 ID, TEXT, DIGEST, WORDS = "__ld_id", "__ld_text", "__ld_digest", "__ld_words"
@@ -26,7 +26,7 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_bitmaps(spark: SparkSession, docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each (document, text) that loses lines: id, digest of the text, words (array of (word, bits, n)).
 
     Bit i of word w is 1 where line 64 * w + i stays; words that are not listed stay whole. A line is dropped if its key
@@ -34,19 +34,21 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col
     largest id that holds it. Documents are told apart by id, so repeated rows count once; a null id takes no part.
     Null and empty texts are one empty line. An empty table gives an empty result.
     """
-    keyed = (
+    keyed = checkpoint(  # the texts are split once; sampling for the ranges and both uses below read 40 bytes a line
+        spark,
         docs.select(docs[id_col].alias(ID), docs[text_col].alias(TEXT))
         .where(F.col(ID).isNotNull())
         .select(ID, F.xxhash64(TEXT).alias(DIGEST), F.posexplode(lines_of(F.col(TEXT))).alias("pos", "line"))
         .select(ID, DIGEST, "pos", line_key(F.col("line")).alias("key"))
         .where(F.char_length("key") >= min_chars)
-        .select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), F.col("key")).alias("h2"), ID, DIGEST, "pos")
+        .select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), F.col("key")).alias("h2"), ID, DIGEST, "pos"),
     )
     ranged = keyed.repartitionByRange("h1", "h2", ID)
     in_document = Window.partitionBy("h1", "h2", ID).orderBy("pos")
     first = ranged.withColumn("nth", F.row_number().over(in_document)).where("nth = 1")
-    common = first.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max(ID).alias("keeper")).where(F.col("n") >= min_docs).drop("n")
-    lost = ranged.join(common, ["h1", "h2"]).where(F.col(ID) < F.col("keeper"))
+    # written, so that the join below sees two plain inputs and a hot line's rows can be split over tasks
+    common = checkpoint(spark, first.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max(ID).alias("keeper")).where(F.col("n") >= min_docs).drop("n"))
+    lost = keyed.join(common, ["h1", "h2"]).where(F.col(ID) < F.col("keeper"))
     word = F.floor(F.col("pos") / 64).cast("int")
     words = lost.groupBy(ID, DIGEST, word.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("drop"))
     return words.groupBy(ID, DIGEST).agg(
@@ -54,12 +56,12 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col
     )
 
 
-def drop_repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs with the kept lines joined by \\n in the text column, and __n_lines and __n_dropped beside.
 
     The bitmaps are the small side of the join: they are hashed, and the texts are dealt out but not sorted.
     """
-    maps = keep_bitmaps(docs, min_chars, min_docs, id_col, text_col)
+    maps = keep_bitmaps(spark, docs, min_chars, min_docs, id_col, text_col)
     left = docs.withColumn(DIGEST, F.xxhash64(docs[text_col]))
     joined = left.join(maps.hint("shuffle_hash"), (left[id_col] == maps[ID]) & (left[DIGEST] == maps[DIGEST]), "left").drop(maps[DIGEST])
     lines, text = lines_of(F.col(f"`{text_col}`")), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
@@ -80,7 +82,7 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3,
 
 def line_dedup(spark: SparkSession, docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256 of every document."""
-    out = drop_repeated_lines(docs.select("doc_id", "text"), min_chars, min_docs)
+    out = drop_repeated_lines(spark, docs.select("doc_id", "text"), min_chars, min_docs)
     return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 

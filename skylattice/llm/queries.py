@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skylattice.llm import block_search, bpe_codec, language_id, line_dedup, mixing, near_dedup, pivot_search, token_counts, toxicity
+from skylattice.llm import block_search, bpe_codec, html_extract, language_id, line_dedup, mixing, near_dedup, pivot_search, token_counts, toxicity
 from skylattice.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -49,6 +49,10 @@ def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_search.nearest(spark, table(spark, sf_dir, "embeddings"), k=10, every=100)
 
 
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(spark, table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_mix_sources": op2_mix_sources,
@@ -59,6 +63,7 @@ QUERIES = {
     "op7_bpe_codec": op7_bpe_codec,
     "op8_exact_top_k": op8_exact_top_k,
     "op9_nearest_neighbours": op9_nearest_neighbours,
+    "op10_main_text": op10_main_text,
 }
 
 ORACLES: dict[str, str] = {"op5_line_dedup": line_dedup.SQL, "op8_exact_top_k": pivot_search.SQL, "op9_nearest_neighbours": block_search.SQL}

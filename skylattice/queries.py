@@ -1,6 +1,583 @@
-"""Queries over the driver's tables, one or more for each operator family, with SQL that DuckDB can run."""
+"""Queries over the driver's tables, one or more for each operator family, with SQL that DuckDB can run.
+
+Events stand in for triggers: `us` is the time in microseconds, the event types are detectors, `value` is the score.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from skylattice.functions import columns as C
+from skylattice.operators import arrays, graph, search, stats
+from skylattice.plans import intervals, joins, selection
+
+HOUR, DAY, MICRO = 3600, 86400, 1_000_000
+
+
+def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _events(spark: SparkSession, sf: str) -> DataFrame:
+    us = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
+    return _t(spark, sf, "events").select("event_id", "user_id", "event_type", "value", us.alias("us"))
+
+
+EV = "ev AS (SELECT event_id, user_id, event_type, value, epoch_us(ts) AS us FROM events)"
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _hours(spark: SparkSession, sf: str) -> DataFrame:
+    """Hourly windows with the best score and its time of two detectors, purchase and view."""
+    e = _events(spark, sf).where(F.col("event_type").isin("purchase", "view")).withColumn("w", F.floor(F.col("us") / (HOUR * MICRO)) * HOUR)
+    best = e.groupBy("w", "event_type").agg(F.max("value").alias("score"), F.max_by("us", F.struct("value", -F.col("event_id"))).alias("peak"))
+    pick = lambda k, c: F.max(F.when(F.col("event_type") == k, F.col(c)))
+    return best.groupBy("w").agg(pick("purchase", "score").alias("score_a"), pick("view", "score").alias("score_b"), pick("purchase", "peak").alias("peak_a"), pick("view", "peak").alias("peak_b"))
+
+
+HOURS = """b AS (
+  SELECT us // 3600000000 * 3600 AS w, event_type, max(value) AS score, arg_max(us, (value, -event_id)) AS peak
+  FROM ev WHERE event_type IN ('purchase', 'view') GROUP BY 1, 2),
+h AS (
+  SELECT w, max(score) FILTER (WHERE event_type = 'purchase') AS score_a, max(score) FILTER (WHERE event_type = 'view') AS score_b,
+         max(peak) FILTER (WHERE event_type = 'purchase') AS peak_a, max(peak) FILTER (WHERE event_type = 'view') AS peak_b
+  FROM b GROUP BY w)"""
+
+
+def _slides(spark: SparkSession, sf: str, count: int = 12) -> DataFrame:
+    h = _hours(spark, sf)
+    ready = h.where("score_a is not null and score_b is not null").withColumn("key", F.col("w") * 1_000_000_000)
+    slides = search.slide_table(spark, 1, count, HOUR).withColumn("offset", F.col("offset") * 1_000_000_000)
+    pairs = joins.shifted_pairs(ready, slides, "key", ["w", "score_a", "peak_a"], ["w", "score_b", "peak_b"])
+    return pairs.withColumn("rank", C.network_rank(F.array("a_score_a", "b_score_b")))
+
+
+PAIRS = """p AS (
+  SELECT k AS slide, a.w AS w, b.w AS w_b, a.score_a, b.score_b, a.peak_a, b.peak_b,
+         list_sort([a.score_a, b.score_b], 'DESC')[2] AS rank
+  FROM h a CROSS JOIN (SELECT unnest(range(1, 13)) AS k) s JOIN h b ON b.w = a.w + k * 3600
+  WHERE a.score_a IS NOT NULL AND a.score_b IS NOT NULL AND b.score_a IS NOT NULL AND b.score_b IS NOT NULL)"""
+
+
+@query(f"""WITH {EV}, {HOURS}, {PAIRS},
+d AS (SELECT rank AS threshold, count(*) AS n FROM p GROUP BY 1),
+c AS (SELECT threshold, sum(n) OVER (ORDER BY threshold DESC) AS survivors FROM d),
+x AS (SELECT count(*) * 3600 AS exposure FROM p)
+SELECT round(min(threshold), 6) AS threshold, max(survivors)::BIGINT AS survivors, any_value(exposure)::BIGINT AS exposure,
+       round(max(survivors) / any_value(exposure) * 86400, 6) AS far_per_day
+FROM c, x WHERE survivors / (exposure / 86400.0) <= 0.5""")
+def time_slide_threshold(spark, sf):
+    """Flagship: windows, shifted self-join, rank by the second-highest score, exposure, threshold at a target rate."""
+    pairs = _slides(spark, sf)
+    total = pairs.agg((F.count("*") * HOUR).alias("exposure"))
+    counted = stats.survivors(pairs.withColumn("k", F.lit(0)), ["k"], "rank").join(F.broadcast(total))
+    ok = counted.where(F.col("survivors") / (F.col("exposure") / float(DAY)) <= 0.5)
+    return ok.agg(F.round(F.min("threshold"), 6).alias("threshold"), F.max("survivors").alias("survivors"), F.first("exposure").alias("exposure"), F.round(F.max("survivors") / F.first("exposure") * DAY, 6).alias("far_per_day"))
+
+
+@query(f"""WITH {EV}, {HOURS}, {PAIRS}
+SELECT slide, count(*) AS pairs, count(*) * 3600 AS exposure, round(max(rank), 6) AS best_rank,
+       count(*) FILTER (WHERE abs(peak_a - (peak_b - slide * 3600000000)) <= 600000000) AS in_band
+FROM p GROUP BY slide""")
+def time_slide_pairs(spark, sf):
+    inside = F.abs(F.col("a_peak_a") - (F.col("b_peak_b") - F.col("slide") * (HOUR * MICRO))) <= 600 * MICRO
+    return _slides(spark, sf).groupBy("slide").agg(F.count("*").alias("pairs"), (F.count("*") * HOUR).alias("exposure"), F.round(F.max("rank"), 6).alias("best_rank"), F.count_if(inside).alias("in_band"))
+
+
+def _slide_events(spark, sf):
+    e = _events(spark, sf).withColumn("w", F.floor(F.col("us") / (HOUR * MICRO)) * HOUR)
+    win = e.select("w").distinct()
+    slides = search.slide_table(spark, 1, 6, HOUR)
+    pairs = win.join(F.broadcast(slides)).select("slide", "offset", F.col("w").alias("a_window"), (F.col("w") + F.col("offset")).alias("b_window"))
+    pairs = pairs.join(win.withColumnRenamed("w", "b_window"), "b_window").withColumn("offset", F.col("offset") * MICRO)
+    cand = e.where(F.col("event_type").isin("purchase", "view")).select(F.col("w").alias("window_id"), F.col("event_id").alias("candidate_id"), F.col("us").alias("gps_peak"), F.col("value").alias("score"), F.col("event_type").alias("ifo"))
+    return pairs, search.slide_coincidences(pairs, cand, "purchase", "view", 120 * MICRO, 300 * MICRO)
+
+
+@query(f"""WITH {EV}, w AS (SELECT DISTINCT us // 3600000000 * 3600 AS w FROM ev),
+wp AS (SELECT k AS slide, a.w AS wa, b.w AS wb FROM w a CROSS JOIN (SELECT unnest(range(1, 7)) AS k) s JOIN w b ON b.w = a.w + k * 3600),
+m AS (
+  SELECT slide, a.us AS t, least(a.value, b.value) AS score, slide || ':' || a.event_id || ':' || b.event_id AS id
+  FROM wp JOIN ev a ON a.us // 3600000000 * 3600 = wa AND a.event_type = 'purchase'
+  JOIN ev b ON b.us // 3600000000 * 3600 = wb AND b.event_type = 'view' AND abs(a.us - (b.us - slide * 3600000000)) <= 120000000),
+g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY slide ORDER BY t, id) <= 300000000 THEN 0 ELSE 1 END AS new FROM m),
+c AS (SELECT *, sum(new) OVER (PARTITION BY slide ORDER BY t, id ROWS UNBOUNDED PRECEDING) AS cluster FROM g),
+r AS (SELECT *, row_number() OVER (PARTITION BY slide, cluster ORDER BY score DESC, t, id) AS nth FROM c),
+x AS (SELECT slide, count(*) AS windows FROM wp GROUP BY 1)
+SELECT x.slide, x.windows, count(r.t) AS pairs, count(r.t) FILTER (WHERE nth = 1) AS clusters,
+       round(coalesce(sum(score) FILTER (WHERE nth = 1), 0), 4) AS best_total
+FROM x LEFT JOIN r ON x.slide = r.slide GROUP BY 1, 2""")
+def slide_coincidence_clusters(spark, sf):
+    """Candidate pairs of shifted windows, chained; windows count as exposure before candidates are looked at."""
+    pairs, chained = _slide_events(spark, sf)
+    found = chained.groupBy("slide").agg(F.count("*").alias("pairs"), F.count_if("best").alias("clusters"), F.sum(F.when(F.col("best"), F.col("ranking_score"))).alias("total"))
+    out = pairs.groupBy("slide").agg(F.count("*").alias("windows")).join(found, "slide", "left")
+    return out.select("slide", "windows", F.coalesce("pairs", F.lit(0)).alias("pairs"), F.coalesce("clusters", F.lit(0)).alias("clusters"), F.round(F.coalesce("total", F.lit(0.0)), 4).alias("best_total"))
+
+
+def _blocks(spark, sf):
+    w = _events(spark, sf).groupBy((F.floor(F.col("us") / (HOUR * MICRO)) * HOUR).alias("gps_start")).agg(F.array_sort(F.collect_set("event_type")).alias("ifos"))
+    w = w.withColumn("window_id", F.col("gps_start")).withColumn("gps_end", F.col("gps_start") + HOUR)
+    shifts = spark.range(1, 8).select(F.col("id").cast("int").alias("shift"))
+    return search.block_permutation_pairs(w, shifts, "purchase", "view", C.block_of(F.col("gps_start"), DAY))
+
+
+BLOCKS = f"""WITH {EV}, w AS (SELECT us // 3600000000 * 3600 AS s, bool_or(event_type = 'purchase') AS a, bool_or(event_type = 'view') AS b FROM ev GROUP BY 1),
+i AS (SELECT *, dense_rank() OVER (ORDER BY s // 86400) - 1 AS i, s % 86400 AS slot FROM w),
+n AS (SELECT max(i) + 1 AS n FROM i),
+x AS (SELECT k AS shift, count(*) AS pairs, count(*) * 3600 AS exposure FROM i x CROSS JOIN (SELECT unnest(range(1, 8)) AS k) CROSS JOIN n
+  JOIN i y ON y.i = (x.i + k) % n AND y.slot = x.slot WHERE x.a AND y.b GROUP BY 1)"""
+
+
+@query(f"{BLOCKS} SELECT * FROM x")
+def block_permutation_pairs(spark, sf):
+    return _blocks(spark, sf).groupBy("shift").agg(F.count("*").alias("pairs"), F.sum("duration").alias("exposure"))
+
+
+@query(f"""{BLOCKS}, c AS (SELECT shift, exposure, coalesce(sum(exposure) OVER (ORDER BY shift ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sum_before FROM x WHERE exposure > 0)
+SELECT shift, exposure, sum_before::BIGINT AS sum_before FROM c WHERE sum_before < (SELECT sum(exposure) / 2 FROM x)""")
+def prefix_to_target(spark, sf):
+    """The shortest list of shifts that gives half of all exposure."""
+    e = _blocks(spark, sf).groupBy("shift").agg(F.sum("duration").alias("exposure"))
+    target = e.agg(F.sum("exposure")).first()[0] / 2
+    return search.exposure_schedule(e, "shift", target).select("shift", "exposure", F.col("sum_before").cast("bigint"))
+
+
+@query(f"""WITH {EV}, w AS (SELECT us // 3600000000 AS h, us // 86400000000 AS d, bool_or(event_type = 'purchase') AS a, bool_or(event_type = 'view') AS b FROM ev GROUP BY 1, 2)
+SELECT d AS day, count(*) AS windows, sum(CASE WHEN b THEN prior ELSE 0 END)::BIGINT AS pairs
+FROM (SELECT *, coalesce(sum(a::INT) OVER (PARTITION BY d ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior FROM w) GROUP BY 1""")
+def prefix_pair_count(spark, sf):
+    w = _events(spark, sf).groupBy(F.floor(F.col("us") / (HOUR * MICRO)).alias("h"), F.floor(F.col("us") / (DAY * MICRO)).alias("day")).agg(F.bool_or(F.col("event_type") == "purchase").alias("a"), F.bool_or(F.col("event_type") == "view").alias("b"))
+    return search.prefix_pair_count(w, ["day"], "h", "a", "b").join(w.groupBy("day").agg(F.count("*").alias("windows")), "day")
+
+
+@query(f"""WITH {EV}, g AS (SELECT *, unnest([us // 1800000000 * 1800, us // 1800000000 * 1800 - 1800]) AS w FROM ev)
+SELECT w AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM g
+WHERE w // 86400 = (w + 3599) // 86400 GROUP BY 1, 2""")
+def window_grid_counts(spark, sf):
+    """Sliding windows of an hour every half hour; those that cross a day are rejected."""
+    k = F.floor(F.col("us") / (1800 * MICRO)) * 1800
+    e = _events(spark, sf).withColumn("window_start", F.explode(F.array(k, k - 1800)))
+    e = e.where(C.block_of(F.col("window_start"), DAY) == C.block_of(F.col("window_start") + 3599, DAY))
+    return e.groupBy("window_start", "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("""WITH u AS (SELECT *, ('0x' || substr(sha256('7:' || source), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM documents),
+s AS (SELECT *, CASE WHEN u < 0.2 THEN 'val' WHEN u < 0.4 THEN 'test' ELSE 'train' END AS split FROM u)
+SELECT split, count(*) AS documents, count(DISTINCT source) AS sources, count(DISTINCT lang) AS languages, round(min(u), 9) AS least FROM s GROUP BY 1""")
+def hash_split_audit(spark, sf):
+    u = C.hash_uniform(C.seeded_hash(7, F.col("source")))
+    d = _t(spark, sf, "documents").select("source", "lang", u.alias("u")).withColumn("split", selection.hash_split(F.col("u"), ("val", 0.2), ("test", 0.2)))
+    return d.groupBy("split").agg(F.count("*").alias("documents"), F.count_distinct("source").alias("sources"), F.count_distinct("lang").alias("languages"), F.round(F.min("u"), 9).alias("least"))
+
+
+@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY sha256('3:' || c_custkey)) AS i, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM customer),
+s AS (SELECT *, CASE WHEN i <= round_even(n * 0.25, 0) THEN 'val' WHEN i <= round_even(n * 0.25, 0) + round_even(n * 0.25, 0) THEN 'test' ELSE 'train' END AS split FROM r)
+SELECT c_mktsegment AS segment, split, count(*) AS n, min(c_custkey) AS least, sum(c_custkey)::BIGINT AS total FROM s GROUP BY 1, 2""")
+def balanced_rank_split(spark, sf):
+    c = selection.rank_split(_t(spark, sf, "customer"), C.seeded_hash(3, F.col("c_custkey").cast("string")), ["c_mktsegment"], 0.25, 0.25)
+    return c.groupBy(F.col("c_mktsegment").alias("segment"), "split").agg(F.count("*").alias("n"), F.min("c_custkey").alias("least"), F.sum("c_custkey").alias("total"))
+
+
+UNION_SQL = f"""WITH {EV}, i AS (SELECT user_id, us - 1800000000 AS s, us + 1800000000 AS e FROM ev),
+m AS (SELECT *, max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM i)
+SELECT user_id, count(*) AS intervals, sum(greatest(0, e - greatest(s, coalesce(r, s))))::BIGINT AS union_length,
+       count(*) FILTER (WHERE r IS NULL OR s > r) AS islands FROM m GROUP BY 1"""
+
+
+@query(UNION_SQL)
+def interval_union_exposure(spark, sf):
+    e = _events(spark, sf).select("user_id", (F.col("us") - 1800 * MICRO).alias("s"), (F.col("us") + 1800 * MICRO).alias("e"))
+    return intervals.interval_union(e, ["user_id"], "s", "e").select("user_id", "intervals", "union_length", "islands")
+
+
+@query(UNION_SQL)
+def interval_union_bucketed(spark, sf):
+    """The same by merging within days first, for keys with very many intervals. Islands of days that meet are joined."""
+    e = _events(spark, sf).select("user_id", (F.col("us") - 1800 * MICRO).alias("s"), (F.col("us") + 1800 * MICRO).alias("e"))
+    return intervals.bucketed_union(e, ["user_id"], "s", "e", DAY * MICRO).select("user_id", "intervals", "union_length", "islands")
+
+
+@query(f"""WITH {EV} SELECT event_type, count(*) AS n, sum(event_id)::BIGINT AS ids FROM ev e WHERE event_type <> 'error'
+AND NOT EXISTS (SELECT 1 FROM ev v WHERE v.event_type = 'error' AND v.user_id = e.user_id AND e.us < v.us + 3600000000 AND e.us + 60000000 > v.us - 3600000000) GROUP BY 1""")
+def veto_anti_join(spark, sf):
+    """Events of a minute that overlap no padded error of their user."""
+    e = _events(spark, sf)
+    v = e.where("event_type = 'error'").select("user_id", (F.col("us") - HOUR * MICRO).alias("vs"), (F.col("us") + HOUR * MICRO).alias("ve"))
+    rows = e.where("event_type <> 'error'").withColumn("end", F.col("us") + 60 * MICRO).withColumn("__row", F.col("event_id"))
+    free = joins.without_overlap(rows, "us", "end", v, "vs", "ve", 3 * HOUR * MICRO, ["user_id"])
+    return free.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
+@query(f"""WITH {EV}, p AS (SELECT * FROM ev WHERE event_type = 'purchase'), v AS (SELECT user_id, us, max(event_id) AS view_id FROM ev WHERE event_type = 'view' GROUP BY 1, 2)
+SELECT p.event_id, CASE WHEN p.us - v.us <= 86400000000 THEN v.view_id END AS view_id, CASE WHEN p.us - v.us <= 86400000000 THEN p.us - v.us END AS age
+FROM p ASOF LEFT JOIN v ON p.user_id = v.user_id AND p.us >= v.us""")
+def asof_last_event(spark, sf):
+    """The view before each purchase of a user; checked to be within a day, without falling back to an earlier one."""
+    e = _events(spark, sf)
+    p, v = e.where("event_type = 'purchase'"), e.where("event_type = 'view'").select("user_id", "us", F.col("event_id").alias("view"))
+    j = joins.asof_join(p, v, ["user_id"], "us", "us", ["view"], "view")
+    near = F.col("us") - F.col("matched_time") <= DAY * MICRO
+    return j.select("event_id", F.when(near, F.col("view")).alias("view_id"), F.when(near, F.col("us") - F.col("matched_time")).alias("age"))
+
+
+@query(f"""WITH {EV}, n AS (SELECT c.event_id, e.event_id AS other, abs(c.us - e.us) AS distance,
+  row_number() OVER (PARTITION BY c.event_id ORDER BY abs(c.us - e.us), e.event_id) AS nth
+  FROM ev c JOIN ev e ON c.user_id = e.user_id AND c.event_type = 'click' AND e.event_type = 'view' AND abs(c.us - e.us) <= 7200000000)
+SELECT event_id, other, distance FROM n WHERE nth = 1""")
+def nearest_within_tolerance(spark, sf):
+    e = _events(spark, sf)
+    a = e.where("event_type = 'click'").select("event_id", "user_id", "us")
+    b = e.where("event_type = 'view'").select("user_id", F.col("event_id").alias("other"), F.col("us").alias("t"))
+    return joins.nearest_within(a, b, ["user_id"], "event_id", "us", "t", "other", 2 * HOUR * MICRO).select("event_id", "other", F.abs(F.col("us") - F.col("t")).alias("distance"))
+
+
+def _threshold_sql(table: str, key: str, score: str, ok: str) -> str:
+    return f"""WITH d AS (SELECT {key} AS key, {score} AS threshold, count(*) AS n FROM {table} GROUP BY 1, 2),
+c AS (SELECT *, sum(n) OVER (PARTITION BY key ORDER BY threshold DESC) AS survivors, sum(n) OVER (PARTITION BY key) AS total FROM d)
+SELECT key, round(min(threshold), 6) AS threshold, max(survivors)::BIGINT AS survivors FROM c WHERE {ok} GROUP BY 1"""
+
+
+def _threshold(df: DataFrame) -> DataFrame:
+    return df.select("key", F.round("threshold", 6).alias("threshold"), F.col("survivors").cast("bigint"))
+
+
+@query(_threshold_sql("events", "event_type", "value", "survivors / 30.0 <= 2"))
+def threshold_at_rate(spark, sf):
+    e = _t(spark, sf, "events").withColumn("key", F.col("event_type"))
+    return _threshold(stats.threshold_at_rate(e, ["key"], "value", F.lit(30.0), 2.0))
+
+
+@query(_threshold_sql("lineitem", "l_returnflag", "l_extendedprice", "survivors <= 25"))
+def threshold_at_count(spark, sf):
+    return _threshold(stats.threshold_at_count(_t(spark, sf, "lineitem").withColumn("key", F.col("l_returnflag")), ["key"], "l_extendedprice", 25))
+
+
+@query(_threshold_sql("lineitem", "l_linestatus", "l_discount", "survivors <= floor(total * 0.3)"))
+def threshold_at_fraction(spark, sf):
+    return _threshold(stats.threshold_at_fraction(_t(spark, sf, "lineitem").withColumn("key", F.col("l_linestatus")), ["key"], "l_discount", 0.3))
+
+
+WILSON = """(({s} / {n} + 1.959963984540054 * 1.959963984540054 / (2 * {n})) {sign} 1.959963984540054 * sqrt({s} / {n} * (1 - {s} / {n}) / {n} + 1.959963984540054 * 1.959963984540054 / (4 * {n} * {n}))) / (1 + 1.959963984540054 * 1.959963984540054 / {n})"""
+_w = lambda s, n, sign: WILSON.format(s=f"({s})::DOUBLE", n=f"({n})::DOUBLE", sign=sign)
+
+
+@query(f"""WITH j AS (SELECT CASE WHEN p_size < 4 THEN '<4' WHEN p_size < 8 THEN '[4,8)' WHEN p_size < 15 THEN '[8,15)' WHEN p_size < 30 THEN '[15,30)' ELSE '>=30' END AS stratum,
+  l_quantity AS w, coalesce(l_discount >= 0.05, false) AS found FROM lineitem JOIN part ON l_partkey = p_partkey),
+g AS (SELECT stratum, count(*) AS n, count(*) FILTER (WHERE found) AS found, sum(w) AS weight, sum(CASE WHEN found THEN w ELSE 0 END) AS weight_found FROM j GROUP BY 1)
+SELECT stratum, n, found, round(weight, 2) AS weight, round(weight_found / weight, 9) AS efficiency, round({_w('found', 'n', '-')}, 9) AS low, round({_w('found', 'n', '+')}, 9) AS high FROM g""")
+def weighted_efficiency_by_stratum(spark, sf):
+    p = _t(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), C.stratum(F.col("p_size"), [4, 8, 15, 30]).alias("stratum"))
+    j = _t(spark, sf, "lineitem").select("l_partkey", "l_quantity", "l_discount").join(p, "l_partkey")
+    out = stats.weighted_efficiency(j, ["stratum"], "l_discount", F.col("l_quantity"), 0.05)
+    return out.select("stratum", "n", "found", F.round("weight", 2).alias("weight"), *[F.round(c, 9).alias(c) for c in ("efficiency", "low", "high")])
+
+
+@query("""WITH j AS (SELECT o_orderstatus, o_orderpriority, l_orderkey IS NOT NULL AS hit FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_discount >= 0.09 AND l_quantity >= 40) ON o_orderkey = l_orderkey)
+SELECT CASE WHEN grouping(o_orderstatus) = 0 THEN 'o_orderstatus' WHEN grouping(o_orderpriority) = 0 THEN 'o_orderpriority' ELSE 'overall' END AS grouping,
+  coalesce(o_orderstatus, o_orderpriority, 'all') AS value, count(*) AS n, count(*) FILTER (WHERE hit) AS hits FROM j GROUP BY GROUPING SETS ((), (o_orderstatus), (o_orderpriority))""")
+def grouping_sets_coverage(spark, sf):
+    """Orders with and without a large discounted line: misses stay in the denominators."""
+    hit = _t(spark, sf, "lineitem").where("l_discount >= 0.09 and l_quantity >= 40").select(F.col("l_orderkey").alias("o_orderkey")).distinct().withColumn("hit", F.lit(True))
+    j = _t(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority").join(hit, "o_orderkey", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    return stats.grouped_summary(j, [[], ["o_orderstatus"], ["o_orderpriority"]], [F.count("*").alias("n"), F.count_if("hit").alias("hits")])
+
+
+BINS = [(0, -1000.0, 0.0), (1, 0.0, 1000.0), (2, 1000.0, 2500.0), (3, 2500.0, 5000.0), (4, 5000.0, 9000.0), (5, 9000.0, 1e9), (6, 1e9, 2e9)]
+
+
+@query(f"""WITH b(bin, lo, hi) AS (VALUES {', '.join(map(str, BINS))}),
+g AS (SELECT bin, count(c_custkey) AS n, count(c_custkey) FILTER (WHERE c_mktsegment = 'BUILDING') AS hits FROM b LEFT JOIN customer ON c_acctbal >= lo AND c_acctbal < hi GROUP BY 1)
+SELECT bin::INTEGER AS bin, n, hits, CASE WHEN n > 0 THEN round(hits / n, 9) END AS rate, CASE WHEN n > 0 THEN round({_w('hits', 'n', '-')}, 9) ELSE -1 END AS low FROM g""")
+def half_open_bins_wilson(spark, sf):
+    bins = spark.createDataFrame(BINS, "bin int, lo double, hi double")
+    out = stats.binned_rates(_t(spark, sf, "customer"), bins, "c_acctbal", F.col("c_mktsegment") == "BUILDING")
+    return out.select("bin", "n", "hits", F.round("rate", 9).alias("rate"), F.when(F.isnan("low"), -1.0).otherwise(F.round("low", 9)).alias("low"))
+
+
+@query("""WITH g AS (SELECT year(l_shipdate) AS scale, l_linenumber AS seed, avg(l_discount) AS value FROM lineitem GROUP BY 1, 2),
+d AS (SELECT *, value - lag(value) OVER (PARTITION BY seed ORDER BY scale) AS delta FROM g)
+SELECT scale::INTEGER AS scale, count(*) AS n, round(avg(value), 9) AS mean, round(stddev_samp(value), 9) AS deviation, round(avg(delta), 9) AS delta, count(*) FILTER (WHERE delta < 0) AS regressions FROM d GROUP BY 1""")
+def paired_delta(spark, sf):
+    """Scales (years) paired on the seed (line number): means, deviations, and changes from the scale before."""
+    g = _t(spark, sf, "lineitem").groupBy(F.year("l_shipdate").alias("scale"), F.col("l_linenumber").alias("seed")).agg(F.avg("l_discount").alias("value"))
+    d = g.withColumn("delta", F.col("value") - F.lag("value").over(Window.partitionBy("seed").orderBy("scale")))
+    return d.groupBy("scale").agg(F.count("*").alias("n"), F.round(F.avg("value"), 9).alias("mean"), F.round(F.stddev_samp("value"), 9).alias("deviation"), F.round(F.avg("delta"), 9).alias("delta"), F.count_if(F.col("delta") < 0).alias("regressions"))
+
+
+@query("""WITH a AS (SELECT doc_id, quality FROM labels WHERE toxic = 0), b AS (SELECT doc_id, n_chars FROM documents WHERE lang = 'en'),
+j AS (SELECT coalesce(a.doc_id, b.doc_id) AS id, a.doc_id IS NOT NULL AS l, b.doc_id IS NOT NULL AS r, n_chars FROM a FULL OUTER JOIN b ON a.doc_id = b.doc_id)
+SELECT l AS has_label, r AS has_document, count(*) AS n, coalesce(sum(n_chars), 0)::BIGINT AS chars FROM j GROUP BY 1, 2""")
+def paired_full_outer(spark, sf):
+    a = _t(spark, sf, "labels").where("toxic = 0").select("doc_id", "quality")
+    b = _t(spark, sf, "documents").where("lang = 'en'").select("doc_id", "n_chars")
+    j = joins.paired(a, b, ["doc_id"], ("label", "document"))
+    return j.groupBy("has_label", "has_document").agg(F.count("*").alias("n"), F.coalesce(F.sum("document.n_chars"), F.lit(0)).alias("chars"))
+
+
+@query("""WITH j AS (SELECT lang, n_chars AS s, quality AS y FROM labels JOIN documents USING (doc_id)),
+g AS (SELECT lang, s, sum(y) AS p, sum(1 - y) AS q FROM j GROUP BY 1, 2),
+w AS (SELECT *, p * (coalesce(sum(q) OVER (PARTITION BY lang ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + q / 2) AS w FROM g)
+SELECT lang, sum(p)::BIGINT AS positives, sum(q)::BIGINT AS negatives, CASE WHEN sum(p) > 0 AND sum(q) > 0 THEN round(sum(w) / (sum(p) * sum(q)), 9) END AS auroc FROM w GROUP BY 1""")
+def auroc(spark, sf):
+    j = _t(spark, sf, "labels").join(_t(spark, sf, "documents").select("doc_id", "lang", "n_chars"), "doc_id")
+    return stats.auroc(j, ["lang"], "n_chars", "quality").withColumn("auroc", F.round("auroc", 9))
+
+
+@query("""WITH j AS (SELECT lang, doc_id, n_chars AS s, toxic AS y FROM labels JOIN documents USING (doc_id)),
+r AS (SELECT *, sum(y) OVER (PARTITION BY lang ORDER BY s DESC, doc_id ROWS UNBOUNDED PRECEDING) AS h, row_number() OVER (PARTITION BY lang ORDER BY s DESC, doc_id) AS i FROM j)
+SELECT lang, sum(y)::BIGINT AS positives, round(avg(h / i) FILTER (WHERE y = 1), 9) AS average_precision FROM r GROUP BY 1""")
+def average_precision(spark, sf):
+    j = _t(spark, sf, "labels").join(_t(spark, sf, "documents").select("doc_id", "lang", "n_chars"), "doc_id")
+    return stats.average_precision(j, ["lang"], "n_chars", "toxic", "doc_id").withColumn("average_precision", F.round("average_precision", 9))
+
+
+@query("""SELECT lang, doc_id, nth FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY sha256('11:' || doc_id)) AS nth FROM documents) WHERE nth <= 5""")
+def topk_per_label_hash(spark, sf):
+    d = selection.top_k(_t(spark, sf, "documents").select("lang", "doc_id"), ["lang"], [C.seeded_hash(11, F.col("doc_id").cast("string"))], 5)
+    return d.select("lang", "doc_id", F.col("nth").cast("bigint"))
+
+
+@query("""SELECT max(doc_id) AS doc_id, sha256(text) AS digest, count(*) AS copies FROM documents GROUP BY 2""")
+def dedup_keep_last(spark, sf):
+    """One row for each text, the last by ordinal; counted beside, so that the digest is the only thing shuffled."""
+    d = _t(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
+    n = d.groupBy("digest").agg(F.count("*").alias("copies"))
+    return selection.keep_last(d, ["digest"], "doc_id").join(n, "digest")
+
+
+@query("""WITH w AS (SELECT n_regionkey AS region, n_nationkey AS nation, count(c_custkey) AS w FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2),
+e AS (SELECT *, 100 * w / sum(w) OVER (PARTITION BY region) AS x FROM w),
+r AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY round(x - floor(x), 9) DESC, nation) AS i, 100 - sum(floor(x)) OVER (PARTITION BY region) AS rest FROM e)
+SELECT region, nation, (floor(x) + CASE WHEN i <= rest THEN 1 ELSE 0 END)::BIGINT AS allocated FROM r""")
+def largest_remainder(spark, sf):
+    n = _t(spark, sf, "nation").select(F.col("n_regionkey").alias("region"), F.col("n_nationkey").alias("nation"))
+    c = _t(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count("*").alias("w"))
+    w = n.join(c, "nation", "left").withColumn("w", F.coalesce("w", F.lit(0)))
+    return selection.largest_remainder(w, 100, "w", F.col("nation"), ["region"]).select("region", "nation", "allocated")
+
+
+@query("""WITH n AS (SELECT event_type, count(*) AS n FROM events GROUP BY 1), w AS (SELECT *, least(pow(n, -0.5), min(pow(n, -0.5)) OVER () * 3) AS w FROM n)
+SELECT event_type, n, round(w / (SELECT sum(w * n) / sum(n) FROM w), 9) AS sample_weight FROM w""")
+def inverse_frequency_weights(spark, sf):
+    w = selection.inverse_frequency_weights(_t(spark, sf, "events").select("event_type"), "event_type", 0.5, 3.0)
+    return w.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.max("sample_weight"), 9).alias("sample_weight"))
+
+
+RUNS = f"""WITH {EV}, c AS (SELECT event_type, us // 3600000000 AS h, count(*) AS n FROM ev GROUP BY 1, 2)"""
+
+
+@query(f"""{RUNS}, a AS (SELECT *, h - row_number() OVER (PARTITION BY event_type ORDER BY h) AS g FROM c WHERE n >= 2)
+SELECT event_type, min(h) AS first, max(h) AS last, count(*) AS length, arg_max(h, (n, -h)) AS peak, max(n) AS peak_value FROM a GROUP BY event_type, g HAVING count(*) >= 2""")
+def islands_runs(spark, sf):
+    c = _events(spark, sf).groupBy("event_type", F.floor(F.col("us") / (HOUR * MICRO)).alias("h")).agg(F.count("*").alias("n"))
+    return intervals.threshold_runs(c, ["event_type"], "h", "n", 2, 2)
+
+
+@query(f"""{RUNS}, l AS (SELECT *, lag(h) OVER w AS b, lead(h) OVER w AS a, lag(n) OVER w AS nb, lead(n) OVER w AS na FROM c WINDOW w AS (PARTITION BY event_type ORDER BY h))
+SELECT event_type, h, round(CASE WHEN b <> h - 1 OR a <> h + 1 OR b IS NULL OR a IS NULL OR nb - 2 * n + na >= 0 THEN 0 ELSE greatest(-0.5, least(0.5, 0.5 * (nb - na) / (nb - 2 * n + na))) END, 9) AS offset_bins
+FROM l WHERE n >= 3""")
+def parabolic_peaks(spark, sf):
+    c = _events(spark, sf).groupBy("event_type", F.floor(F.col("us") / (HOUR * MICRO)).alias("h")).agg(F.count("*").alias("n"))
+    w = Window.partitionBy("event_type").orderBy("h")
+    near = lambda f, d: F.when(f("h").over(w) == F.col("h") + d, f("n").over(w))
+    c = c.withColumn("b", near(F.lag, -1)).withColumn("a", near(F.lead, 1))
+    return c.where("n >= 3").select("event_type", "h", F.round(C.parabolic_offset(F.col("b"), F.col("n"), F.col("a")), 9).alias("offset_bins"))
+
+
+@query(f"""WITH {EV}, h AS (SELECT DISTINCT user_id, us // 3600000000 AS h FROM ev),
+g AS (SELECT *, h - row_number() OVER (PARTITION BY user_id ORDER BY h) AS g FROM h)
+SELECT user_id, min(h) AS s, max(h) + 1 AS e, count(*) AS members FROM g GROUP BY user_id, g HAVING count(*) > 1""")
+def contiguous_runs(spark, sf):
+    h = _events(spark, sf).select("user_id", F.floor(F.col("us") / (HOUR * MICRO)).alias("s")).distinct().withColumn("e", F.col("s") + 1)
+    return intervals.contiguous_runs(h, ["user_id"], "s", "e").where("members > 1").select("user_id", "s", "e", "members")
+
+
+@query("""WITH g AS (SELECT l_suppkey % 20 AS g, l_extendedprice AS v, avg(l_extendedprice) OVER () AS truth FROM lineitem)
+SELECT g::BIGINT AS g, round(avg(v), 4) AS mean, round(quantile_cont(v, 0.5), 4) AS median, round(stddev_pop(v), 4) AS deviation, round(quantile_cont(v, 0.05), 4) AS low, round(quantile_cont(v, 0.95), 4) AS high,
+  any_value(truth) BETWEEN quantile_cont(v, 0.05) AND quantile_cont(v, 0.95) AS covered FROM g GROUP BY 1""")
+def posterior_metrics(spark, sf):
+    li = _t(spark, sf, "lineitem").select((F.col("l_suppkey") % 20).alias("g"), F.col("l_extendedprice").alias("v"))
+    li = li.join(F.broadcast(li.agg(F.avg("v").alias("truth"))))
+    out = stats.posterior_metrics(li, ["g"], "v", "truth", 0.9)
+    return out.select("g", *[F.round(c, 4).alias(c) for c in ("mean", "median", "deviation", "low", "high")], "covered")
+
+
+@query("""WITH p AS (SELECT c_nationkey AS g, c_mktsegment AS m, count(*) AS n FROM customer GROUP BY 1, 2), s AS (SELECT m, row_number() OVER (PARTITION BY m ORDER BY g) AS x, sum(n) OVER (PARTITION BY m ORDER BY g ROWS UNBOUNDED PRECEDING) / sum(n) OVER (PARTITION BY m) AS y FROM p),
+f AS (SELECT m, k / 20.0 AS alpha, count(*) AS n, sum(pow(x, -k / 20.0)) AS st, sum(y) AS sy, sum(pow(x, -k / 20.0) * pow(x, -k / 20.0)) AS stt, sum(pow(x, -k / 20.0) * y) AS sty, sum(y * y) AS syy FROM s CROSS JOIN (SELECT unnest(range(1, 41)) AS k) GROUP BY 1, 2),
+b AS (SELECT *, (sty - st * sy / n) / (stt - st * st / n) AS slope FROM f), e AS (SELECT *, syy - sy * sy / n - slope * (sty - st * sy / n) AS sse FROM b WHERE slope < 0)
+SELECT m, round(alpha, 4)::DOUBLE AS alpha, round((sy - slope * st) / n, 6) AS asymptote, round(-slope, 6) AS scale FROM (SELECT *, row_number() OVER (PARTITION BY m ORDER BY round(sse, 9), alpha) AS i FROM e) WHERE i = 1""")
+def power_law_fit(spark, sf):
+    p = _t(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("g"), F.col("c_mktsegment").alias("m")).agg(F.count("*").alias("n"))
+    w = Window.partitionBy("m").orderBy("g")
+    s = p.select("m", F.row_number().over(w).alias("x"), (F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("n").over(Window.partitionBy("m"))).alias("y"))
+    grid = spark.range(1, 41).select((F.col("id") / 20.0).alias("alpha"))
+    out = stats.power_law_fit(s, ["m"], "x", "y", grid)
+    return out.select("m", F.round("alpha", 4).alias("alpha"), F.round("asymptote", 6).alias("asymptote"), F.round("scale", 6).alias("scale"))
+
+
+@query("""WITH y AS (SELECT year(l_shipdate) AS g, l_linenumber AS seed, avg(l_quantity) AS v FROM lineitem GROUP BY 1, 2), s AS (SELECT g, count(*) AS n, avg(v) AS m, stddev_samp(v) AS d, min(v) AS a, max(v) AS b FROM y GROUP BY 1),
+t(n, t) AS (VALUES (2, 12.706205), (3, 4.302653), (4, 3.182446), (5, 2.776445), (6, 2.570582), (7, 2.446912))
+SELECT g::INTEGER AS g, s.n, round(m, 6) AS mean, round(d, 6) AS deviation, round(m - t * d / sqrt(s.n), 6) AS low, round(m + t * d / sqrt(s.n), 6) AS high, round(a, 6) AS least, round(b, 6) AS largest FROM s LEFT JOIN t ON s.n = t.n""")
+def seed_summary(spark, sf):
+    y = _t(spark, sf, "lineitem").groupBy(F.year("l_shipdate").alias("g"), "l_linenumber").agg(F.avg("l_quantity").alias("v"))
+    out = stats.seed_summary(y, ["g"], "v")
+    return out.select("g", "n", *[F.round(c, 6).alias(c) for c in ("mean", "deviation", "low", "high", "least", "largest")])
+
+
+@query("""SELECT page_id, lower(coalesce(regexp_extract(url, '//([^/?#]+)', 1), '')) AS host, coalesce(try_cast(regexp_extract(url, '/([0-9]+)', 1) AS BIGINT), -1) AS article FROM pages""")
+def regex_group_id(spark, sf):
+    number = F.regexp_extract("url", "/([0-9]+)", 1)
+    return _t(spark, sf, "pages").select("page_id", F.lower(F.regexp_extract("url", "//([^/?#]+)", 1)).alias("host"), F.coalesce(F.when(number != "", number.cast("bigint")), F.lit(-1)).alias("article"))
+
+
+@query("""WITH w AS (SELECT l_partkey, avg(l_quantity) AS v, count(*) AS n, bit_and(l_suppkey::BIGINT) AS common_bits, bit_or(l_linenumber::BIGINT) AS any_bits, sum(l_quantity * l_quantity) AS sq, min(l_quantity) AS a, max(l_quantity) AS b, count(*) FILTER (WHERE l_suppkey & 4 > 0) AS third_bit FROM lineitem GROUP BY 1)
+SELECT l_partkey % 50 AS g, count(*) AS parts, sum(n)::BIGINT AS lines, bit_and(common_bits) AS common_bits, bit_or(any_bits) AS any_bits, round(sum(sq), 2) AS squares, min(a) AS least, max(b) AS largest, sum(third_bit)::BIGINT AS third_bit FROM w GROUP BY 1""")
+def moments_and_bits(spark, sf):
+    """Streaming moments and bit masks: partial sums, bitwise and/or, bit counts."""
+    li = _t(spark, sf, "lineitem").select("l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
+    return li.groupBy((F.col("l_partkey") % 50).alias("g")).agg(
+        F.count_distinct("l_partkey").alias("parts"), F.count("*").alias("lines"), F.bit_and(F.col("l_suppkey").cast("bigint")).alias("common_bits"), F.bit_or(F.col("l_linenumber").cast("bigint")).alias("any_bits"),
+        F.round(F.sum(F.col("l_quantity") * F.col("l_quantity")), 2).alias("squares"), F.min("l_quantity").alias("least"), F.max("l_quantity").alias("largest"), F.sum(F.shiftright(F.col("l_suppkey"), 2).bitwiseAND(F.lit(1))).cast("bigint").alias("third_bit"),
+    )
+
+
+@query("""WITH s AS (SELECT *, CASE WHEN doc_id % 10 < 7 THEN 'train' ELSE 'val' END AS split FROM documents), l AS (SELECT split, unnest([{'axis': 'source', 'value': source}, {'axis': 'lang', 'value': lang}, {'axis': 'digest', 'value': sha256(text)}]) AS x FROM s)
+SELECT x.axis AS axis, x.value AS value, list_sort(list(DISTINCT split)) AS splits FROM l WHERE x.value IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT split) > 1""")
+def split_overlap_audit(spark, sf):
+    d = _t(spark, sf, "documents").select("source", "lang", F.sha2("text", 256).alias("digest"), F.when(F.col("doc_id") % 10 < 7, "train").otherwise("val").alias("split"))
+    return selection.split_overlaps(d, "split", ["source", "lang", "digest"])
+
+
+@query("""WITH d AS (SELECT doc_id, source AS block, lang FROM documents), h AS (SELECT DISTINCT (doc_id // 5) AS b FROM d WHERE lang = 'es')
+SELECT lang, count(*) AS n FROM d WHERE doc_id // 5 NOT IN (SELECT b FROM h) GROUP BY 1""")
+def leave_one_family_out(spark, sf):
+    """Blocks of five documents that hold a document of the held-out family go as a whole."""
+    d = _t(spark, sf, "documents").select("lang", F.expr("doc_id div 5").alias("block"))
+    return selection.without_held_blocks(d, "block", F.col("lang") == "es").groupBy("lang").agg(F.count("*").alias("n"))
+
+
+@query("""WITH a AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_returnflag = 'R'), b AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_linestatus = 'F')
+SELECT 'left' AS side, count(*) AS n, coalesce(sum(k), 0)::BIGINT AS total FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'right', count(*), coalesce(sum(k), 0)::BIGINT FROM (SELECT * FROM b EXCEPT SELECT * FROM a)
+UNION ALL SELECT 'both', count(*), coalesce(sum(k), 0)::BIGINT FROM (SELECT * FROM a INTERSECT SELECT * FROM b)""")
+def set_equality_audit(spark, sf):
+    li = _t(spark, sf, "lineitem")
+    a = li.where("l_returnflag = 'R'").select(F.col("l_partkey").alias("k")).distinct()
+    b = li.where("l_linestatus = 'F'").select(F.col("l_partkey").alias("k")).distinct()
+    one = lambda d, s: d.agg(F.lit(s).alias("side"), F.count("*").alias("n"), F.coalesce(F.sum("k"), F.lit(0)).alias("total"))
+    return one(a.subtract(b), "left").unionByName(one(b.subtract(a), "right")).unionByName(one(a.intersect(b), "both"))
+
+
+@query()
+def connected_components(spark, sf):
+    """Suppliers that share a part, directly or through others, over all lines. Recursive SQL takes too long on whole
+    tables; tests hold it against union-find."""
+    return graph.connected_components(spark, _t(spark, sf, "lineitem").select("l_suppkey", "l_partkey"), "l_suppkey", "l_partkey")
+
+
+@query("""WITH t AS (SELECT doc_id, lang, list_distinct(string_split_regex(lower(text), '[^a-z]+')) AS w FROM documents)
+SELECT a.doc_id AS a, b.doc_id AS b, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 9) AS jaccard FROM t a JOIN t b ON a.lang = b.lang AND b.doc_id = a.doc_id + 1""")
+def jaccard_neighbours(spark, sf):
+    """Jaccard index of the word sets of neighbouring documents of one language."""
+    t = _t(spark, sf, "documents").select("doc_id", "lang", F.array_distinct(F.split(F.lower("text"), "[^a-z]+")).alias("w"))
+    b = t.select((F.col("doc_id") - 1).alias("doc_id"), "lang", F.col("w").alias("v"))
+    return t.join(b, ["doc_id", "lang"]).select(F.col("doc_id").alias("a"), (F.col("doc_id") + 1).alias("b"), F.round(C.set_jaccard(F.col("w"), F.col("v")), 9).alias("jaccard"))
+
+
+@query("""WITH x AS (SELECT l_orderkey, unnest(list_filter([10, 20, 30, 40], lambda t: l_quantity >= t)) AS threshold, l_extendedprice AS s, l_discount AS e FROM lineitem),
+r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, threshold ORDER BY s DESC, e) AS i FROM x)
+SELECT threshold::DOUBLE AS threshold, count(*) AS parents, count(*) FILTER (WHERE e <= 0.05) AS within FROM r WHERE i = 1 GROUP BY 1""")
+def retained_at_thresholds(spark, sf):
+    """A row is in every group whose threshold it reaches; the best of each order and threshold counts."""
+    li = _t(spark, sf, "lineitem").select("l_orderkey", "l_quantity", "l_extendedprice", "l_discount")
+    x = li.withColumn("threshold", F.explode(F.filter(F.array(*[F.lit(float(t)) for t in (10, 20, 30, 40)]), lambda t: F.col("l_quantity") >= t)))
+    top = selection.top_k(x, ["l_orderkey", "threshold"], [F.desc("l_extendedprice"), "l_discount"], 1)
+    return top.groupBy("threshold").agg(F.count("*").alias("parents"), F.count_if(F.col("l_discount") <= 0.05).alias("within"))
+
+
+@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS i, count(*) OVER (PARTITION BY n_regionkey) AS n FROM nation),
+b AS (SELECT *, floor(((i + 1) * 3 - 1) / n)::BIGINT AS bucket FROM r), k AS (SELECT *, row_number() OVER (PARTITION BY n_regionkey, bucket ORDER BY sha256('5:' || n_nationkey)) AS j FROM b)
+SELECT n_regionkey, bucket, n_nationkey FROM k WHERE j = 1""")
+def stratified_buckets(spark, sf):
+    n = selection.stratified_buckets(_t(spark, sf, "nation"), ["n_nationkey"], 3, C.seeded_hash(5, F.col("n_nationkey").cast("string")), ["n_regionkey"])
+    return n.select("n_regionkey", "bucket", "n_nationkey")
+
+
+@query("""WITH r AS (SELECT c_mktsegment AS m, c_custkey AS k, row_number() OVER (PARTITION BY c_mktsegment ORDER BY sha256('9:' || c_custkey)) AS i, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM customer)
+SELECT m, s::DOUBLE AS scale, count(*) AS n, sum(k)::BIGINT AS total FROM r CROSS JOIN (SELECT unnest([0.1, 0.25, 0.5]) AS s) WHERE i <= ceil(n * s) GROUP BY 1, 2""")
+def nested_samples(spark, sf):
+    c = _t(spark, sf, "customer").select(F.col("c_mktsegment").alias("m"), F.col("c_custkey").alias("k"))
+    out = selection.nested_samples(c, ["m"], C.seeded_hash(9, F.col("k").cast("string")), [0.1, 0.25, 0.5])
+    return out.groupBy("m", "scale").agg(F.count("*").alias("n"), F.sum("k").alias("total"))
+
+
+@query("""WITH s AS (SELECT s_suppkey, row_number() OVER (ORDER BY sha256('2:' || s_suppkey)) - 1 AS i FROM supplier), b AS (SELECT n_nationkey, row_number() OVER (ORDER BY n_nationkey) - 1 AS j, count(*) OVER () AS n FROM nation)
+SELECT s_suppkey, n_nationkey, (i // n)::BIGINT AS turn FROM s JOIN b ON i % n = j""")
+def round_robin_assignment(spark, sf):
+    s = _t(spark, sf, "supplier").select("s_suppkey")
+    b = _t(spark, sf, "nation").select("n_nationkey")
+    return joins.round_robin(s, b, [C.seeded_hash(2, F.col("s_suppkey").cast("string"))], ["n_nationkey"]).select("s_suppkey", "n_nationkey", "turn")
+
+
+@query("""WITH l AS (SELECT o_custkey, o_orderpriority AS d, max(o_totalprice) AS p FROM orders GROUP BY 1, 2)
+SELECT o_custkey, round(max(p) FILTER (WHERE d = '1-URGENT'), 2) AS first, round(max(p) FILTER (WHERE d = '2-HIGH'), 2) AS second FROM l GROUP BY 1 HAVING count(*) FILTER (WHERE d IN ('1-URGENT', '2-HIGH')) = 2""")
+def aligned_pivot(spark, sf):
+    """Keys that have all wanted detectors, side by side."""
+    p = _t(spark, sf, "orders").where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).groupBy("o_custkey").pivot("o_orderpriority", ["1-URGENT", "2-HIGH"]).agg(F.round(F.max("o_totalprice"), 2))
+    return p.select("o_custkey", F.col("`1-URGENT`").alias("first"), F.col("`2-HIGH`").alias("second")).where("first is not null and second is not null")
+
+
+@query("""SELECT doc_id, sha256('"' || source || '"') AS quoted, substr(sha256('{"lang":"' || lang || '","source":"' || source || '"}'), 1, 16) AS canonical,
+  round(('0x' || substr(sha256(source || chr(0) || doc_id), 1, 13))::BIGINT / 4503599627370496.0, 12) AS uniform FROM documents""")
+def identity_hashes(spark, sf):
+    """Canonical JSON, quoted and NUL-separated hashes, and hash to uniform."""
+    d = _t(spark, sf, "documents")
+    return d.select("doc_id", C.quoted_hash(F.col("source")).alias("quoted"), C.canonical_hash(16, lang=F.col("lang"), source=F.col("source")).alias("canonical"), F.round(C.hash_uniform(C.nul_separated_hash(F.col("source"), F.col("doc_id").cast("string"))), 12).alias("uniform"))
+
+
+@query()
+def mahalanobis_min(spark, sf):
+    """Class-conditional distances of all embeddings, from a fit of sums."""
+    e = _t(spark, sf, "embeddings")
+    fit = stats.mahalanobis_fit(e, "embedding", "label")
+    return stats.mahalanobis_scores(e.where("embedding is not null"), "embedding", fit).select("vec_id", "label", F.round("score", 6).alias("score"))
+
+
+@query()
+def lag_correlation(spark, sf):
+    """Lag of the largest correlation of daily profiles of purchases and views."""
+    e = _events(spark, sf).where(F.col("event_type").isin("purchase", "view")).withColumn("day", F.floor(F.col("us") / (DAY * MICRO))).withColumn("hour", (F.floor(F.col("us") / (HOUR * MICRO)) % 24).cast("int"))
+    c = e.groupBy("day", "event_type", "hour").agg(F.count("*").cast("double").alias("n")).groupBy("day", "event_type").agg(F.map_from_entries(F.collect_list(F.struct("hour", "n"))).alias("m"))
+    c = c.withColumn("v", F.transform(F.sequence(F.lit(0), F.lit(23)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))))
+    p = c.groupBy("day").pivot("event_type", ["purchase", "view"]).agg(F.first("v")).where("purchase is not null and view is not null")
+    return p.withColumn("x", arrays.lag_coherence(F.col("purchase"), F.col("view"), 6)).select("day", "x.lag", F.round("x.coherence", 9).alias("coherence"))
+
+
+@query()
+def bootstrap_ci(spark, sf):
+    """Percentile bootstrap of the monthly mean discounts of each ship year."""
+    m = _t(spark, sf, "lineitem").groupBy(F.year("l_shipdate").alias("g"), F.month("l_shipdate").alias("month")).agg(F.avg("l_discount").alias("v"))
+    out = stats.bootstrap_mean(m, ["g"], "month", "v", replicates=500, seed=4)
+    return out.select("g", "n", *[F.round(c, 9).alias(c) for c in ("mean", "low", "high")])
+
+
+@query()
+def greedy_cover(spark, sf):
+    """Suppliers chosen one by one until each part size has ten; the counts are aggregated before the driver sees them."""
+    j = _t(spark, sf, "lineitem").select("l_suppkey", "l_partkey").join(_t(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
+    rows = [(str(r[0]), r[1]) for r in j.select("l_suppkey", "p_brand").distinct().orderBy("l_suppkey", "p_brand").collect()]
+    chosen = graph.greedy_cover(rows, dict.fromkeys({b for _, b in rows}, 3))
+    return spark.createDataFrame([(i, f, g) for i, (f, g) in enumerate(chosen)], "step int, supplier string, gain int")

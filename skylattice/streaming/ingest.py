@@ -14,8 +14,9 @@ def windowed_counts(stream: DataFrame, time: str, duration: str, slide: str, lat
     return stream.withWatermark(time, late).groupBy(F.window(time, duration, slide).alias("w"), *keys).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *keys, "n", "total")
 
 
-def sessions(stream: DataFrame, time: str, gap: str, late: str, *keys: str) -> DataFrame:
-    """Chains of events at most a gap apart (equality joins), with their highest value."""
+def sessions(stream: DataFrame, time: str, gap: str, late: str, key: str, *keys: str) -> DataFrame:
+    """Chains of events of one key at most a gap apart (equality joins), with their highest value."""
+    keys = (key, *keys)
     return stream.withWatermark(time, late).groupBy(F.session_window(time, gap).alias("s"), *keys).agg(F.count("*").alias("n"), F.max("value").alias("best")).select(F.col("s.start").alias("first"), F.col("s.end").alias("end"), *keys, "n", "best")
 
 

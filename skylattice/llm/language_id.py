@@ -233,7 +233,7 @@ def train(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(some, pa.string())], ["id", "lang", "words"])
 
     id_type = chosen.schema["id"].dataType.simpleString()
-    rows = sorted(chosen.mapInArrow(words, f"id {id_type}, lang string, words string").collect())
+    rows = sorted(chosen.mapInArrow(words, f"id {id_type}, lang string, words string").collect(), key=lambda r: (str(r["id"]), r["words"]))
     all_words, language = [], []
     for r in rows:
         own = r["words"].split()

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skylattice.functions import columns as C
-from skylattice.operators import arrays, graph, search, stats
+from skylattice.operators import arrays, calibration, graph, search, stats
 from skylattice.plans import intervals, joins, selection
 
 HOUR, DAY, MICRO = 3600, 86400, 1_000_000
@@ -581,3 +581,52 @@ def greedy_cover(spark, sf):
     rows = [(str(r[0]), r[1]) for r in j.select("l_suppkey", "p_brand").distinct().orderBy("l_suppkey", "p_brand").collect()]
     chosen = graph.greedy_cover(rows, dict.fromkeys({b for _, b in rows}, 3))
     return spark.createDataFrame([(i, f, g) for i, (f, g) in enumerate(chosen)], "step int, supplier string, gain int")
+
+
+@query(f"""WITH {EV}, n AS (SELECT c.event_id, (e.us - c.us) / 1e6 AS error, c.user_id % 2 AS method, row_number() OVER (PARTITION BY c.event_id ORDER BY abs(c.us - e.us), e.event_id) AS nth
+  FROM ev c JOIN ev e ON c.user_id = e.user_id AND c.event_type = 'click' AND e.event_type = 'view' AND abs(c.us - e.us) <= 14400000000),
+b AS (SELECT method, quantile_cont(error, 0.5) AS bias, count(*) AS matches FROM n WHERE nth = 1 GROUP BY 1)
+SELECT b.method::BIGINT AS timing_method, matches, round(bias, 6) AS bias, round(quantile_cont(abs(error - bias), 0.9), 6) AS uncertainty FROM n JOIN b ON n.method = b.method WHERE nth = 1 GROUP BY 1, 2, 3""")
+def timing_calibration(spark, sf):
+    """Errors of the nearest views of clicks, their median and the 90 % quantile about it, for two methods."""
+    e = _events(spark, sf).withColumn("timing_method", F.col("user_id") % 2).withColumn("ifo", F.lit("H1")).withColumn("t", F.col("us") / 1e6)
+    arrivals = e.where("event_type = 'click'").select("timing_method", F.col("user_id").alias("injection_id"), "ifo", "event_id", F.col("us").alias("arrival"))
+    views = e.where("event_type = 'view'").select("timing_method", F.col("user_id").alias("injection_id"), "ifo", F.col("event_id").alias("candidate_id"), F.col("us").alias("gps_peak"))
+    near = joins.nearest_within(arrivals, views, ["timing_method", "injection_id", "ifo"], "event_id", "arrival", "gps_peak", "candidate_id", 4 * HOUR * MICRO)
+    errors = near.withColumn("error", (F.col("gps_peak") - F.col("arrival")) / 1e6)
+    out = calibration.timing_calibration(errors, 0.9, 1)
+    return out.select("timing_method", "matches", F.round("bias", 6).alias("bias"), F.round("uncertainty", 6).alias("uncertainty"))
+
+
+@query("""WITH r(rule, a, b) AS (VALUES (0, 1.0, 0.0), (1, 0.0, 1.0), (2, 1.0, 50.0)),
+s AS (SELECT rule, l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_returnflag = 'R' AS y, l_quantity * a + l_discount * b AS s FROM lineitem CROSS JOIN r),
+t AS (SELECT *, row_number() OVER (PARTITION BY rule, l_orderkey ORDER BY round(s, 6) DESC, l_linenumber, l_partkey, l_extendedprice) AS i FROM s)
+SELECT rule::INTEGER AS rule, count(*) AS parents, round(avg(y::INT), 9) AS top_1 FROM t WHERE i = 1 GROUP BY 1""")
+def rule_grid_top_1(spark, sf):
+    """The best line of each order under each rule of a grid, and how often it is right."""
+    rules = spark.createDataFrame([(0, 1.0, 0.0), (1, 0.0, 1.0), (2, 1.0, 50.0)], "rule int, a double, b double")
+    li = _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_discount", "l_returnflag")
+    s = li.join(F.broadcast(rules)).withColumn("s", F.round(F.col("l_quantity") * F.col("a") + F.col("l_discount") * F.col("b"), 6))
+    top = selection.top_k(s, ["rule", "l_orderkey"], [F.desc("s"), "l_linenumber", "l_partkey", "l_extendedprice"], 1)
+    return top.groupBy("rule").agg(F.count("*").alias("parents"), F.round(F.avg((F.col("l_returnflag") == "R").cast("int")), 9).alias("top_1"))
+
+
+@query("""SELECT p_partkey, round(pow(p_size * p_retailprice, 0.6) / pow(p_size + p_retailprice, 0.2), 6) AS chirp_mass, round(least(p_size, p_retailprice) / greatest(p_size, p_retailprice), 9) AS mass_ratio,
+  CASE WHEN p_size > 25 AND p_retailprice > 1400 THEN 'chirp+noise' WHEN p_size > 25 THEN 'chirp_only' WHEN p_retailprice > 1400 THEN 'noise_only' ELSE 'empty' END AS composition,
+  round(greatest(10 - p_size, 0, p_size - 20)::DOUBLE, 6) AS distance, abs(p_size - 30) <= 5 + 2 * 1 + 1e-12 AS gate FROM part""")
+def scalar_functions(spark, sf):
+    p = _t(spark, sf, "part")
+    size, price = F.col("p_size").cast("double"), F.col("p_retailprice")
+    return p.select("p_partkey", F.round(C.chirp_mass(size, price), 6).alias("chirp_mass"), F.round(C.mass_ratio(size, price), 9).alias("mass_ratio"), C.composition((size > 25).cast("int"), (price > 1400).cast("int")).alias("composition"), F.round(C.interval_distance(size, F.lit(10.0), F.lit(20.0)), 6).alias("distance"), C.arrival_gate(size - 30, F.lit(5.0), F.lit(1.0)).alias("gate"))
+
+
+@query("""WITH a AS (SELECT o_custkey, avg(o_totalprice) AS v FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1), b AS (SELECT o_custkey, avg(o_totalprice) AS v FROM orders WHERE o_orderpriority = '5-LOW' GROUP BY 1)
+SELECT c_mktsegment AS stratum, count(*) AS pairs, round(sum(a.v - b.v), 2) AS total, count(*) FILTER (WHERE a.v >= 200000) AS found_a, count(*) FILTER (WHERE b.v >= 200000) AS found_b
+FROM a JOIN b USING (o_custkey) JOIN customer ON c_custkey = o_custkey GROUP BY 1""")
+def paired_efficiency_by_stratum(spark, sf):
+    """Two arms paired on a key; sums of differences and counts found by each, by stratum."""
+    o = _t(spark, sf, "orders")
+    arm = lambda p, n: o.where(F.col("o_orderpriority") == p).groupBy("o_custkey").agg(F.avg("o_totalprice").alias(n))
+    c = _t(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("stratum"))
+    j = arm("1-URGENT", "a").join(arm("5-LOW", "b"), "o_custkey").join(c, "o_custkey")
+    return j.groupBy("stratum").agg(F.count("*").alias("pairs"), F.round(F.sum(F.col("a") - F.col("b")), 2).alias("total"), F.count_if(F.col("a") >= 200000).alias("found_a"), F.count_if(F.col("b") >= 200000).alias("found_b"))

@@ -16,9 +16,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skylattice.llm.common import checkpoint
+from skylattice.llm.common import BLANKS, checkpoint
 
-WORD = r"[^\x20\x09-\x0D]+"
+#: A word with the white space before it; replaced by one letter, so that counting makes no list of words.
+WORD = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
 #: Documents in a block, blocks whose leftovers fly together, and sources up to which the plan is broadcast.
 BLOCK, FAN, BROADCAST_SOURCES = 1000, 250, 50_000
 EPS = 1e-9
@@ -113,7 +114,7 @@ def mix(spark: SparkSession, docs: DataFrame, most: float = 3.0, id_col: str = "
         docs.select(
             docs[id_col].alias("doc_id"),
             docs[source_col].cast("string").alias("source"),
-            F.regexp_count(F.coalesce(docs[text_col], F.lit("")), F.lit(WORD)).cast("long").alias("size"),
+            F.char_length(F.regexp_replace(F.rtrim(F.coalesce(docs[text_col], F.lit("")), F.lit(BLANKS)), WORD, "x")).cast("long").alias("size"),
         ),
     )
     # one row for each source, not for each document

@@ -7,12 +7,13 @@
    - Classes with a fair share of values in such long lists get lists for their whole sketch (a pair then shares values
      in short lists too, unless what it shares is long throughout).
    - Classes whose sketch is mostly in long lists (large groups of near copies, texts that are little but a common
-     passage) are compared with one pivot of each of their long lists.
+     passage) are compared with a few pivots of their long lists.
 3. The union of two sketches estimates similarity; pairs far below the threshold go.
-4. The exact Jaccard similarity on the full sets confirms links: first the two most promising partners of each class,
+4. The exact Jaccard similarity on the full sets confirms links: first the most promising partners of each class,
    then all pairs that still lie in different components.
-5. What long lists then still hold in more than one component is compared block by block, everything outside a list's
-   largest component with everything in the list; a block reports one confirmed link for each class and component.
+5. What long lists then still hold in more than one component is compared block by block, every class outside a list's
+   largest component that can have a link through long lists alone with everything in the list; a block reports one
+   confirmed link for each class and component.
 """
 
 from __future__ import annotations
@@ -34,7 +35,13 @@ KEPT, FIRST, SHORT, COMMON = 48, 16, 32, 3
 #: How far below the threshold an estimate may lie (over four standard deviations of KEPT draws).
 SLACK = 0.25
 #: Long lists that a class is compared in, rows of the two sides of a block, ids up to which a filter is broadcast.
-LONG, ASKERS, ROWS, BROADCAST_IDS = 8, 128, 512, 1_000_000
+LONG, ASKERS, ROWS, BROADCAST_IDS = 6, 256, 512, 1_000_000
+#: Shares of a sketch in long lists. A link that no short list shows rests on long lists alone; the smaller of its two
+#: sets then has 0.889 of its shingles there and the larger 0.8 (similarity 0.8), so these are over two standard
+#: deviations of KEPT draws below what the two sides have.
+SMALLER, LARGER = 0.75, 0.65
+#: Pivots of a long list from the middle of its group (one more is drawn by hash), and partners confirmed first.
+MIDDLE, PARTNERS = 3, 3
 #: Distinct words whose hashes a worker keeps.
 WORDS_KEPT = 1_000_000
 
@@ -77,6 +84,23 @@ def estimate(a: np.ndarray, b: np.ndarray, kept: int = KEPT) -> float:
     return common / max(1, len(a) + len(b) - common)
 
 
+def common_values(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many retained values each pair of sketches shares, from a product of 0/1 matrices over values of both sides."""
+    values = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    if not len(values):
+        return np.zeros((len(left), len(right)), np.float32)
+
+    def marks(sketches: list[np.ndarray]) -> np.ndarray:
+        flat, owner = np.concatenate(sketches), np.repeat(np.arange(len(sketches)), [len(x) for x in sketches])
+        at = np.minimum(np.searchsorted(values, flat), len(values) - 1)
+        m = np.zeros((len(sketches), len(values)), np.float32)
+        hit = values[at] == flat
+        m[owner[hit], at[hit]] = 1
+        return m
+
+    return marks(left) @ marks(right).T
+
+
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Exactly: 100 * intersection >= percent * union."""
     if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
@@ -179,32 +203,40 @@ def _label(rows: DataFrame, comp: DataFrame, key: str, name: str) -> DataFrame:
 
 def _across_long_lists(spark: SparkSession, long_lists: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links that long lists still hold between components."""
-    rows = _label(long_lists.select("v", "rep"), comp, "rep", "comp")
+    own_lists = long_lists.groupBy("rep").agg(F.sort_array(F.collect_list("v")).alias("vs"))  # LONG at most
+    rows = _label(long_lists.select("v", "rep", "share").join(own_lists, "rep"), comp, "rep", "comp")
     sizes = rows.groupBy("v", "comp").agg(F.count("*").alias("k"))
-    main = sizes.groupBy("v").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.sum("k").alias("c"), F.max("k").alias("k")).where("c > k")
-    rows = checkpoint(spark, rows.join(main, "v"))
-    ab, db = F.ceil((F.col("c") - F.col("k")) / ASKERS), F.ceil(F.col("c") / ROWS)
+    main = sizes.groupBy("v").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.sum("k").alias("c"))
+    asks = (F.col("comp") != F.col("main")) & (F.col("share") >= SMALLER)
+    rows = rows.join(main, "v")
+    rows = checkpoint(spark, rows.join(rows.where(asks).groupBy("v").agg(F.count("*").alias("asking")), "v"))
+    ab, db = F.ceil(F.col("asking") / ASKERS), F.ceil(F.col("c") / ROWS)
     place = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), F.col("rep")), n).cast("int")
-    askers = rows.where("comp <> main").withColumn("ab", place(41, ab)).withColumn("db", F.explode(F.sequence(F.lit(0), db.cast("int") - 1)))
+    askers = rows.where(asks).withColumn("ab", place(41, ab)).withColumn("db", F.explode(F.sequence(F.lit(0), db.cast("int") - 1)))
     others = rows.withColumn("db", place(43, db)).withColumn("ab", F.explode(F.sequence(F.lit(0), ab.cast("int") - 1)))
     own = sets.withColumnRenamed("id", "rep")
-    askers = askers.join(own, "rep").select(*[F.col(c).alias(f"q_{c}") for c in ("v", "ab", "db", "rep", "comp", "set")])
-    others = others.join(own, "rep").select("v", "ab", "db", "rep", "comp", "set")
+    askers = askers.join(own, "rep").select(*[F.col(c).alias(f"q_{c}") for c in ("v", "ab", "db", "rep", "comp", "vs", "set")])
+    others = others.join(own, "rep").select("v", "ab", "db", "rep", "comp", "vs", "set")
 
     def compare(asking: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
-        full = [np.frombuffer(s, np.uint64) for s in there["set"]]
-        low = [s[:KEPT] for s in full]
-        ids, comps = there["rep"].tolist(), there["comp"].tolist()
-        for rep, c, s in zip(asking["q_rep"], asking["q_comp"], asking["q_set"], strict=True):
-            x = np.frombuffer(s, np.uint64)
-            met: set = {c}
-            for i in range(len(ids)):
-                if comps[i] in met or 100 * min(len(x), len(full[i])) < percent * max(len(x), len(full[i])):
-                    continue
-                if estimate(x[:KEPT], low[i]) >= percent / 100 - SLACK and similar(x, full[i], percent):
-                    met.add(comps[i])
-                    out.append((rep, ids[i]))
+        left, right = ([np.frombuffer(x, np.uint64) for x in side] for side in (asking["q_set"], there["set"]))
+        low_left, low_right = [x[:KEPT] for x in left], [x[:KEPT] for x in right]
+        shared = common_values(low_left, low_right)
+        comps, ids = there["comp"].to_numpy(), there["rep"].to_numpy()
+        here = asking["q_v"].iloc[0] if len(asking) else None
+        lists = [set(x) for x in there["vs"]]
+        n = np.array([len(x) for x in right])
+        least = np.array([len(x) for x in low_right])
+        for i, (rep, c, vs) in enumerate(zip(asking["q_rep"], asking["q_comp"], asking["q_vs"], strict=True)):
+            x, met, mine = left[i], {c}, set(vs)
+            sized = (100 * np.minimum(n, len(x)) >= percent * np.maximum(n, len(x))) & (comps != c)
+            near = np.flatnonzero(sized & (shared[i] >= (percent / 100 - SLACK) * np.minimum(least, len(low_left[i])) * 0.9))
+            for j in near[np.argsort(-shared[i][near], kind="stable")].tolist():
+                # two classes that share several long lists meet in the first of them only
+                if comps[j] not in met and min(mine & lists[j]) == here and estimate(low_left[i], low_right[j]) >= percent / 100 - SLACK and similar(x, right[j], percent):
+                    met.add(comps[j])
+                    out.append((rep, ids[j]))
         return pd.DataFrame(out, columns=["a", "b"])
 
     kind = long_lists.schema["rep"].dataType.simpleString()
@@ -226,10 +258,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percen
     first = checkpoint(spark, _lists(classes.select("rep", "n", F.explode(F.slice("sketch", 1, FIRST)).alias("v"))))
     in_long = first.where(F.col("c") > SHORT).groupBy("rep", "n").agg(F.count("*").alias("k")).where(F.col("k") * 5 >= F.least(F.lit(FIRST), F.col("n"))).select("rep")
     second = checkpoint(spark, _lists(classes.join(in_long, "rep", "left_semi").select("rep", "n", F.explode("sketch").alias("v"))))
-    mostly = second.where(F.col("c") > SHORT).groupBy("rep", "n").agg(F.count("*").alias("k")).where(F.col("k") * 10 >= 6 * F.least(F.lit(KEPT), F.col("n"))).select("rep")
+    mostly = second.where(F.col("c") > SHORT).groupBy("rep", "n").agg(F.count("*").alias("k")).select("rep", (F.col("k") / F.least(F.lit(KEPT), F.col("n"))).alias("share")).where(F.col("share") >= LARGER)
     nth = Window.partitionBy("rep").orderBy("v")
-    long_lists = checkpoint(spark, second.where(F.col("c") > SHORT).join(mostly, "rep", "left_semi").withColumn("nth", F.row_number().over(nth)).where(F.col("nth") <= LONG).select("v", "rep", "n"))
-    pivots = long_lists.groupBy("v").agg(F.min(F.struct(F.xxhash64("rep", "v").alias("h"), F.col("rep"))).alias("p")).select("v", F.col("p.rep").alias("pivot"))
+    long_lists = second.where(F.col("c") > SHORT).join(mostly, "rep").withColumn("nth", F.row_number().over(nth)).where(F.col("nth") <= LONG)
+    long_lists = checkpoint(spark, long_lists.select("v", "rep", "share"))
+    # a text whose whole sketch is in long lists has no part of its own: the middle of a group of copies
+    middle = Window.partitionBy("v").orderBy(F.desc("share"), F.xxhash64("rep", "v"), "rep")
+    chance = Window.partitionBy("v").orderBy(F.xxhash64("rep", "v"), "rep")
+    pivots = long_lists.withColumn("nth", F.row_number().over(middle)).where(F.col("nth") <= MIDDLE).select("v", F.col("rep").alias("pivot"))
+    pivots = pivots.unionByName(long_lists.withColumn("nth", F.row_number().over(chance)).where("nth = 1").select("v", F.col("rep").alias("pivot")))
     star = long_lists.join(pivots, "v").where("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
 
     cand = _pairs_of(first, percent).unionByName(_pairs_of(second, percent)).unionByName(star).distinct()
@@ -238,9 +275,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percen
     ends = est.select(F.col("a").alias("rep")).unionByName(est.select(F.col("b").alias("rep"))).unionByName(long_lists.select("rep")).distinct()
     sets = checkpoint(spark, _full_sets(spark, docs, checkpoint(spark, classes.join(ends, "rep", "left_semi").select("rep", "digest")), words, id_col, text_col))
 
-    links = checkpoint(spark, _confirmed(est.where("nth <= 2"), sets, percent))
+    links = checkpoint(spark, _confirmed(est.where(F.col("nth") <= PARTNERS), sets, percent))
     comp = components(spark, links)
-    crossing = _label(_label(est.where("nth > 2"), comp, "a", "ca"), comp, "b", "cb").where("ca <> cb")
+    crossing = _label(_label(est.where(F.col("nth") > PARTNERS), comp, "a", "ca"), comp, "b", "cb").where("ca <> cb")
     more = _confirmed(crossing, sets, percent).unionByName(_across_long_lists(spark, long_lists, comp, sets, percent))
     comp = components(spark, links.unionByName(more))
 

@@ -44,10 +44,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it (none to three times)."""
+    """Each document as often as the mix takes it (none to three times). Rows of one id are taken alike, as often as the
+    one that is taken most; documents without an id are rows of one id here."""
     docs = docs.select(*COLUMNS)
-    copies = mixing.mix(spark, docs).where("copies > 0 and doc_id is not null").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    repeated = docs.join(copies, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    copies = mixing.mix(spark, docs).where("copies > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies"))
+    repeated = docs.join(copies, docs["doc_id"].eqNullSafe(copies["__id"])).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
     return repeated.select(*COLUMNS)
 
 

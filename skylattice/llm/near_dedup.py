@@ -11,9 +11,8 @@
 3. The union of two sketches estimates similarity; pairs far below the threshold go.
 4. The exact Jaccard similarity on the full sets confirms links: first the most promising partners of each class,
    then all pairs that still lie in different components.
-5. What long lists then still hold in more than one component is compared block by block, every class outside a list's
-   largest component that can have a link through long lists alone with everything in the list; a block reports one
-   confirmed link for each class and component.
+5. What long lists then still hold in more than one component is compared block by block on full sets, every class
+   outside a list's largest component with everything in the list; a block reports one link for each class and component.
 """
 
 from __future__ import annotations
@@ -34,12 +33,11 @@ from skylattice.llm.components import components
 KEPT, FIRST, SHORT, COMMON = 48, 16, 32, 3
 #: How far below the threshold an estimate may lie (over four standard deviations of KEPT draws).
 SLACK = 0.25
-#: Long lists that a class is compared in, rows of the two sides of a block, ids up to which a filter is broadcast.
-LONG, ASKERS, ROWS, BROADCAST_IDS = 6, 256, 512, 1_000_000
-#: Shares of a sketch in long lists. A link that no short list shows rests on long lists alone; the smaller of its two
-#: sets then has 0.889 of its shingles there and the larger 0.8 (similarity 0.8), so these are over two standard
-#: deviations of KEPT draws below what the two sides have.
-SMALLER, LARGER = 0.75, 0.65
+#: Long lists that a class is compared in, rows of the two sides of a block and values compared at once, ids up to which
+#: a filter is broadcast.
+LONG, ASKERS, ROWS, COLUMNS, BROADCAST_IDS = 6, 256, 512, 4096, 1_000_000
+#: Share of a sketch in long lists from which a class is compared there.
+LARGER = 0.65
 #: Pivots of a long list from the middle of its group (one more is drawn by hash), and partners confirmed first.
 MIDDLE, PARTNERS = 3, 3
 #: Distinct words whose hashes a worker keeps.
@@ -85,20 +83,30 @@ def estimate(a: np.ndarray, b: np.ndarray, kept: int = KEPT) -> float:
 
 
 def common_values(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """How many retained values each pair of sketches shares, from a product of 0/1 matrices over values of both sides."""
-    values = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    """How many values each pair of sets shares, from products of 0/1 matrices over COLUMNS values of both sides."""
+    values = np.intersect1d(np.unique(np.concatenate(left)), np.unique(np.concatenate(right)), assume_unique=True)
+    out = np.zeros((len(left), len(right)), np.float32)
     if not len(values):
-        return np.zeros((len(left), len(right)), np.float32)
+        return out
 
-    def marks(sketches: list[np.ndarray]) -> np.ndarray:
-        flat, owner = np.concatenate(sketches), np.repeat(np.arange(len(sketches)), [len(x) for x in sketches])
+    def hits(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
         at = np.minimum(np.searchsorted(values, flat), len(values) - 1)
-        m = np.zeros((len(sketches), len(values)), np.float32)
         hit = values[at] == flat
-        m[owner[hit], at[hit]] = 1
+        order = np.argsort(at[hit], kind="stable")
+        return owner[hit][order], at[hit][order]
+
+    def marks(side: tuple[np.ndarray, np.ndarray], rows: int, first: int) -> np.ndarray:
+        owner, at = side
+        a, b = np.searchsorted(at, [first, first + COLUMNS])
+        m = np.zeros((rows, min(COLUMNS, len(values) - first)), np.float32)
+        m[owner[a:b], at[a:b] - first] = 1
         return m
 
-    return marks(left) @ marks(right).T
+    x, y = hits(left), hits(right)
+    for first in range(0, len(values), COLUMNS):
+        out += marks(x, len(left), first) @ marks(y, len(right), first).T
+    return out
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -202,45 +210,40 @@ def _label(rows: DataFrame, comp: DataFrame, key: str, name: str) -> DataFrame:
 
 
 def _across_long_lists(spark: SparkSession, long_lists: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links that long lists still hold between components."""
-    own_lists = long_lists.groupBy("rep").agg(F.sort_array(F.collect_list("v")).alias("vs"))  # LONG at most
-    rows = _label(long_lists.select("v", "rep", "share").join(own_lists, "rep"), comp, "rep", "comp")
+    """Links that long lists still hold between components: lists with the same largest component are one bucket, and
+    every class of a bucket outside that component is compared with all of the bucket, on full sets."""
+    rows = _label(long_lists.select("v", "rep"), comp, "rep", "comp")
     sizes = rows.groupBy("v", "comp").agg(F.count("*").alias("k"))
-    main = sizes.groupBy("v").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.sum("k").alias("c"))
-    asks = (F.col("comp") != F.col("main")) & (F.col("share") >= SMALLER)
-    rows = rows.join(main, "v")
-    rows = checkpoint(spark, rows.join(rows.where(asks).groupBy("v").agg(F.count("*").alias("asking")), "v"))
+    main = sizes.groupBy("v").agg(F.max_by("comp", F.struct("k", "comp")).alias("bucket"))
+    rows = checkpoint(spark, rows.join(main, "v").select("bucket", "rep", "comp").distinct())
+    asks = F.col("comp") != F.col("bucket")
+    counts = rows.groupBy("bucket").agg(F.count("*").alias("c"), F.sum(asks.cast("int")).alias("asking")).where("asking > 0")
+    rows = rows.join(counts, "bucket").join(sets.withColumnRenamed("id", "rep"), "rep")
     ab, db = F.ceil(F.col("asking") / ASKERS), F.ceil(F.col("c") / ROWS)
     place = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), F.col("rep")), n).cast("int")
     askers = rows.where(asks).withColumn("ab", place(41, ab)).withColumn("db", F.explode(F.sequence(F.lit(0), db.cast("int") - 1)))
     others = rows.withColumn("db", place(43, db)).withColumn("ab", F.explode(F.sequence(F.lit(0), ab.cast("int") - 1)))
-    own = sets.withColumnRenamed("id", "rep")
-    askers = askers.join(own, "rep").select(*[F.col(c).alias(f"q_{c}") for c in ("v", "ab", "db", "rep", "comp", "vs", "set")])
-    others = others.join(own, "rep").select("v", "ab", "db", "rep", "comp", "vs", "set")
+    askers = askers.select(*[F.col(c).alias(f"q_{c}") for c in ("bucket", "ab", "db", "rep", "comp", "set")])
+    others = others.select("bucket", "ab", "db", "rep", "comp", "set")
 
     def compare(asking: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
-        left, right = ([np.frombuffer(x, np.uint64) for x in side] for side in (asking["q_set"], there["set"]))
-        low_left, low_right = [x[:KEPT] for x in left], [x[:KEPT] for x in right]
-        shared = common_values(low_left, low_right)
-        comps, ids = there["comp"].to_numpy(), there["rep"].to_numpy()
-        here = asking["q_v"].iloc[0] if len(asking) else None
-        lists = [set(x) for x in there["vs"]]
-        n = np.array([len(x) for x in right])
-        least = np.array([len(x) for x in low_right])
-        for i, (rep, c, vs) in enumerate(zip(asking["q_rep"], asking["q_comp"], asking["q_vs"], strict=True)):
-            x, met, mine = left[i], {c}, set(vs)
-            sized = (100 * np.minimum(n, len(x)) >= percent * np.maximum(n, len(x))) & (comps != c)
-            near = np.flatnonzero(sized & (shared[i] >= (percent / 100 - SLACK) * np.minimum(least, len(low_left[i])) * 0.9))
-            for j in near[np.argsort(-shared[i][near], kind="stable")].tolist():
-                # two classes that share several long lists meet in the first of them only
-                if comps[j] not in met and min(mine & lists[j]) == here and estimate(low_left[i], low_right[j]) >= percent / 100 - SLACK and similar(x, right[j], percent):
-                    met.add(comps[j])
-                    out.append((rep, ids[j]))
+        if len(asking) and len(there):
+            left, right = ([np.frombuffer(x, np.uint64) for x in side] for side in (asking["q_set"], there["set"]))
+            both = np.array([len(x) for x in left])[:, None] + np.array([len(x) for x in right])[None, :]
+            common = common_values(left, right).astype(np.int64)
+            comps, ids = there["comp"].to_numpy(), there["rep"].to_numpy()
+            good = 100 * common >= percent * (both - common)
+            for i, (rep, c) in enumerate(zip(asking["q_rep"], asking["q_comp"], strict=True)):
+                met = {c}
+                for j in np.flatnonzero(good[i]).tolist():
+                    if comps[j] not in met:
+                        met.add(comps[j])
+                        out.append((rep, ids[j]))
         return pd.DataFrame(out, columns=["a", "b"])
 
     kind = long_lists.schema["rep"].dataType.simpleString()
-    return askers.groupBy("q_v", "q_ab", "q_db").cogroup(others.groupBy("v", "ab", "db")).applyInPandas(compare, f"a {kind}, b {kind}")
+    return askers.groupBy("q_bucket", "q_ab", "q_db").cogroup(others.groupBy("bucket", "ab", "db")).applyInPandas(compare, f"a {kind}, b {kind}")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -139,6 +139,20 @@ def test_near_duplicates_against_all_pairs(spark, words):
     assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got.collect()} == want
 
 
+def test_texts_that_hold_a_member_of_a_large_group_whole(spark):
+    """The larger set of a pair, outside the main component of its long lists, has only 0.8 of its shingles there."""
+    r = random.Random(3)
+    own = iter(f"o{i}" for i in range(100_000))
+    base = [f"h{i}" for i in range(103)]
+    rows = [(i, " ".join([*base[:-1], f"end{i}"])) for i in range(40)]
+    for i in range(40):
+        rows.append((100 + i, " ".join([*base[:-1], f"end{r.randrange(40)}", *(next(own) for _ in range(24))])))
+    got = near_dedup.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), 4, 80)
+    want = naive_groups(rows, 4, 80)
+    assert set(want.values()) == {(100, 0), (124, 0)}
+    assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got.collect()} == want
+
+
 def test_mixing_meets_its_targets(spark):
     r = random.Random(2)
     rows = [(i, " ".join("x" * r.randint(1, 9) for _ in range(r.choice([3, 30, 300]))), r.choice(["a", "b", "c", "d", None])) for i in range(600)]

@@ -1,23 +1,21 @@
-"""MinHash near-duplicates from bottom-k sketches of one hash function.
-
-1. Every text becomes its set of distinct word shingles (64-bit hashes), and its KEPT smallest hashes are its sketch.
-   Texts with equal sets are one class, which the smallest id stands for; from here on there are only classes.
-2. Inverted lists of retained values. Two sets that are similar enough share most of their smallest hashes, so pairs
-   that share at least COMMON values are candidates. A list with more than SHORT classes isn't expanded into pairs.
-   - Classes with a fair share of values in such long lists get lists for their whole sketch (a pair then shares values
-     in short lists too, unless what it shares is long throughout).
-   - Classes whose sketch is mostly in long lists (large groups of near copies, texts that are little but a common
-     passage) are compared with a few pivots of their long lists.
-3. The union of two sketches estimates similarity; pairs far below the threshold go.
-4. The exact Jaccard similarity on the full sets confirms links: first the most promising partners of each class,
-   then all pairs that still lie in different components.
-5. What long lists then still hold in more than one component is compared block by block on full sets, every class
+"""Near-duplicates by an exact similarity join with prefix filtering.
+
+1. Every text becomes its set of distinct word shingles (64-bit hashes). Texts with equal sets are one class, which the
+   smallest id stands for; from here on there are only classes.
+2. All shingles have one global order: values that came back in a sample of the texts last (the more often, the later),
+   the rest by hash. Two sets that are similar enough share a value of their prefixes, the first n - ceil(t n) + 1 values
+   each. The order only decides how long lists are; the result doesn't depend on it, nor on the sample.
+3. Inverted lists of prefix values. A list with at most SHORT classes is expanded into pairs; sizes and the count of
+   shared values bound the similarity from above, and pairs that can't reach the threshold go.
+4. The exact Jaccard similarity on the full sets confirms links: first the most promising partners of each class and of
+   a few pivots of each longer list, then all pairs that still lie in different components.
+5. What longer lists then still hold in more than one component is compared block by block on full sets, every class
    outside a list's largest component with everything in the list; a block reports one link for each class and component.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,15 +27,13 @@ from pyspark.sql import functions as F
 from skylattice.llm.common import checkpoint, small_batches
 from skylattice.llm.components import components
 
-#: Hashes in a sketch, of which FIRST make the first lists; classes in a list that is expanded; values to share.
-KEPT, FIRST, SHORT, COMMON = 48, 16, 32, 3
-#: How far below the threshold an estimate may lie (over four standard deviations of KEPT draws).
-SLACK = 0.25
-#: Long lists that a class is compared in, rows of the two sides of a block and values compared at once, ids up to which
+#: Classes in a list that is expanded.
+SHORT = 32
+#: One text in SAMPLE is read for values that come back; at SEEN texts a value is frequent, FREQUENT of them are kept.
+SAMPLE, SEEN, FREQUENT = 8, 3, 200_000
+#: Long lists whose pivots a class is compared with, rows of the two sides of a block and values compared at once, ids up to which
 #: a filter is broadcast.
 LONG, ASKERS, ROWS, COLUMNS, BROADCAST_IDS = 6, 256, 512, 4096, 1_000_000
-#: Share of a sketch in long lists from which a class is compared there.
-LARGER = 0.65
 #: Pivots of a long list from the middle of its group (one more is drawn by hash), and partners confirmed first.
 MIDDLE, PARTNERS = 3, 3
 #: Distinct words whose hashes a worker keeps.
@@ -74,12 +70,15 @@ def digest(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes())
 
 
-def estimate(a: np.ndarray, b: np.ndarray, kept: int = KEPT) -> float:
-    """Similarity by the union sketch: shares of the smallest hashes that both sketches cover."""
-    limit = min(x[-1] for x in (a, b) if len(x) >= kept) if len(a) >= kept or len(b) >= kept else max(a[-1], b[-1])
-    a, b = a[: np.searchsorted(a, limit, "right")], b[: np.searchsorted(b, limit, "right")]
-    common = len(np.intersect1d(a, b, assume_unique=True))
-    return common / max(1, len(a) + len(b) - common)
+def prefix_of(s: np.ndarray, percent: int, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first n - ceil(percent * n / 100) + 1 values of a set in the global order."""
+    p = min(len(s), len(s) - -(-percent * len(s) // 100) + 1)
+    if not len(frequent):
+        return s[:p]
+    at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
+    hit = frequent[at] == s
+    rare = s[~hit][:p]
+    return np.concatenate([rare, s[hit][np.argsort(rank[at[hit]])][: p - len(rare)]])
 
 
 def common_values(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -117,9 +116,28 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def sketches(spark: SparkSession, docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """id, n, digest, sketch of every row."""
+def frequent_values(spark: SparkSession, docs: DataFrame, words: int, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """Values that come back in a sample of the texts, sorted, and the place of each among them, the rarest first."""
+    small_batches(spark)
+    held: dict = {}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = held.setdefault("s", Shingler(words))
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(s.set_of(t).view(np.int64))], ["v"])
+
+    some = docs.where(F.pmod(F.xxhash64(F.lit(29), docs[id_col]), SAMPLE) == 0).select(docs[text_col].alias("text"))
+    counts = some.mapInArrow(run, "v long").groupBy("v").agg(F.count("*").alias("c")).where(F.col("c") >= SEEN)
+    found = counts.orderBy(F.desc("c"), "v").limit(FREQUENT).select("v").toArrow()["v"].to_numpy().view(np.uint64)
+    order = np.argsort(found)
+    return found[order], (len(found) - 1 - order).astype(np.int64)
+
+
+def prefixes(spark: SparkSession, docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """id, n, digest, prefix of every row."""
     small_batches(spark)
+    shared = spark.sparkContext.broadcast(frequent_values(spark, docs, words, id_col, text_col))  # FREQUENT at most
     held: dict = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,12 +145,12 @@ def sketches(spark: SparkSession, docs: DataFrame, words: int, id_col: str, text
         for batch in batches:
             sets = [s.set_of(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([digest(x) for x in sets], pa.binary()), pa.array([x[:KEPT].view(np.int64) for x in sets], pa.list_(pa.int64()))],
-                ["id", "n", "digest", "sketch"],
+                [batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([digest(x) for x in sets], pa.binary()), pa.array([prefix_of(x, percent, *shared.value).view(np.int64) for x in sets], pa.list_(pa.int64()))],
+                ["id", "n", "digest", "prefix"],
             )
 
     kept = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    return kept.mapInArrow(run, f"id {kept.schema['id'].dataType.simpleString()}, n long, digest binary, sketch array<long>")
+    return kept.mapInArrow(run, f"id {kept.schema['id'].dataType.simpleString()}, n long, digest binary, prefix array<long>")
 
 
 def _lists(values: DataFrame) -> DataFrame:
@@ -141,13 +159,17 @@ def _lists(values: DataFrame) -> DataFrame:
     return values.join(sizes, "v")
 
 
-def _pairs_of(lists: DataFrame, percent: int) -> DataFrame:
-    """Pairs of the classes in short lists that share COMMON values and whose sizes allow the similarity."""
-    short = lists.where(F.col("c") <= SHORT)
-    a = short.select("v", F.col("rep").alias("a"), F.col("n").alias("na"))
-    b = short.select("v", F.col("rep").alias("b"), F.col("n").alias("nb"))
+def _pairs_of(lists: DataFrame, in_long: DataFrame, percent: int) -> DataFrame:
+    """Pairs of the classes in short lists that can reach the similarity, with the number of values they share there, and
+    whether both have values in long lists too."""
+    short = lists.where(F.col("c") <= SHORT).join(in_long, "rep", "left").select("v", "rep", "n", F.coalesce("k", F.lit(0)).alias("k"))
+    a, b = (short.select("v", *[F.col(c).alias(e if c == "rep" else f"{c}{e}") for c in ("rep", "n", "k")]) for e in ("a", "b"))
     met = a.join(b, "v").where((F.col("a") < F.col("b")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
-    return met.groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= COMMON).select("a", "b")
+    met = met.groupBy("a", "b").agg(F.count("*").alias("shared"), *[F.max(c).alias(c) for c in ("na", "nb", "ka", "kb")])
+    # what both sets share of the prefix that ends first is in lists, and the rest of that set lies behind its prefix
+    behind = [F.expr(f"least({n}, ({percent} * {n} + 99) div 100 - 1)") for n in ("na", "nb")]
+    most = F.col("shared") + F.least("ka", "kb") + F.greatest(*behind)
+    return met.where((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))).select("a", "b", "shared", (F.least("ka", "kb") > 0).alias("long"))
 
 
 def _with(pairs: DataFrame, table: DataFrame, key: str, column: str) -> DataFrame:
@@ -157,21 +179,22 @@ def _with(pairs: DataFrame, table: DataFrame, key: str, column: str) -> DataFram
     return pairs
 
 
-def _estimated(spark: SparkSession, pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    both = _with(pairs, classes, "rep", "sketch").select("a", "b", "sketch_a", "sketch_b")
-    least = percent / 100 - SLACK
+def _bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose whole prefixes share enough values that the sets can reach the similarity."""
+    both = _with(_with(pairs.select("a", "b"), classes, "rep", "n"), classes, "rep", "prefix").select("a", "b", "n_a", "n_b", "prefix_a", "prefix_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            est = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                est.append(estimate(x.values.to_numpy().view(np.uint64), y.values.to_numpy().view(np.uint64)))
-            e = np.array(est)
-            good = pa.array(e >= least)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(e)], ["a", "b", "est"]).filter(good)
+            shared, good = [], []
+            for n, m, x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), batch.column(5), strict=True):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
+                shared.append(len(np.intersect1d(x, y, assume_unique=True)))
+                most = shared[-1] + max(n - len(x), m - len(y))
+                good.append(100 * min(n, m) >= percent * max(n, m) and (100 + percent) * most >= percent * (n + m))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared, pa.int64())], ["a", "b", "shared"]).filter(pa.array(good, pa.bool_()))
 
     kind = pairs.schema["a"].dataType.simpleString()
-    return both.mapInArrow(run, f"a {kind}, b {kind}, est double")
+    return both.mapInArrow(run, f"a {kind}, b {kind}, shared long")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -209,7 +232,7 @@ def _label(rows: DataFrame, comp: DataFrame, key: str, name: str) -> DataFrame:
     return rows.join(comp.select(F.col("node").alias(key), F.col("component").alias("__c")), key, "left").withColumn(name, F.coalesce("__c", key)).drop("__c")
 
 
-def _across_long_lists(spark: SparkSession, long_lists: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _across_long_lists(spark: SparkSession, long_lists: DataFrame, comp: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """Links that long lists still hold between components: lists with the same largest component are one bucket, and
     every class of a bucket outside that component is compared with all of the bucket, on full sets."""
     rows = _label(long_lists.select("v", "rep"), comp, "rep", "comp")
@@ -218,7 +241,8 @@ def _across_long_lists(spark: SparkSession, long_lists: DataFrame, comp: DataFra
     rows = checkpoint(spark, rows.join(main, "v").select("bucket", "rep", "comp").distinct())
     asks = F.col("comp") != F.col("bucket")
     counts = rows.groupBy("bucket").agg(F.count("*").alias("c"), F.sum(asks.cast("int")).alias("asking")).where("asking > 0")
-    rows = rows.join(counts, "bucket").join(sets.withColumnRenamed("id", "rep"), "rep")
+    rows = checkpoint(spark, rows.join(counts, "bucket"))
+    rows = rows.join(sets_of(rows.select("rep").distinct()).withColumnRenamed("id", "rep"), "rep")
     ab, db = F.ceil(F.col("asking") / ASKERS), F.ceil(F.col("c") / ROWS)
     place = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), F.col("rep")), n).cast("int")
     askers = rows.where(asks).withColumn("ab", place(41, ab)).withColumn("db", F.explode(F.sequence(F.lit(0), db.cast("int") - 1)))
@@ -253,36 +277,39 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percen
     one shingle. Rows with equal sets are linked whatever their number. A null id gets a null component and isn't kept.
     Rows are kept one for one (repeated rows of one id are alike); an empty table gives an empty result.
     """
-    made = checkpoint(spark, sketches(spark, docs, words, id_col, text_col))
+    made = checkpoint(spark, prefixes(spark, docs, words, percent, id_col, text_col))
     usable = made.where("n > 0 and id is not null")
-    classes = usable.groupBy("digest").agg(F.min(F.struct("id", "n", "sketch")).alias("x")).select("digest", F.col("x.id").alias("rep"), F.col("x.n").alias("n"), F.col("x.sketch").alias("sketch"))
+    classes = usable.groupBy("digest").agg(F.min(F.struct("id", "n", "prefix")).alias("x")).select("digest", F.col("x.id").alias("rep"), F.col("x.n").alias("n"), F.col("x.prefix").alias("prefix"))
     classes = checkpoint(spark, classes)
 
-    first = checkpoint(spark, _lists(classes.select("rep", "n", F.explode(F.slice("sketch", 1, FIRST)).alias("v"))))
-    in_long = first.where(F.col("c") > SHORT).groupBy("rep", "n").agg(F.count("*").alias("k")).where(F.col("k") * 5 >= F.least(F.lit(FIRST), F.col("n"))).select("rep")
-    second = checkpoint(spark, _lists(classes.join(in_long, "rep", "left_semi").select("rep", "n", F.explode("sketch").alias("v"))))
-    mostly = second.where(F.col("c") > SHORT).groupBy("rep", "n").agg(F.count("*").alias("k")).select("rep", (F.col("k") / F.least(F.lit(KEPT), F.col("n"))).alias("share")).where(F.col("share") >= LARGER)
+    lists = checkpoint(spark, _lists(classes.select("rep", "n", F.explode("prefix").alias("v"))))
+    long_lists = checkpoint(spark, lists.where(F.col("c") > SHORT).select("v", "rep"))
+    in_long = long_lists.groupBy("rep").agg(F.count("*").alias("k"))
     nth = Window.partitionBy("rep").orderBy("v")
-    long_lists = second.where(F.col("c") > SHORT).join(mostly, "rep").withColumn("nth", F.row_number().over(nth)).where(F.col("nth") <= LONG)
-    long_lists = checkpoint(spark, long_lists.select("v", "rep", "share"))
-    # a text whose whole sketch is in long lists has no part of its own: the middle of a group of copies
-    middle = Window.partitionBy("v").orderBy(F.desc("share"), F.xxhash64("rep", "v"), "rep")
+    some = long_lists.withColumn("nth", F.row_number().over(nth)).where(F.col("nth") <= LONG).join(in_long, "rep").select("v", "rep", "k")
+    # a text whose whole prefix is in long lists has no part of its own: the middle of a group of copies
+    middle = Window.partitionBy("v").orderBy(F.desc("k"), F.xxhash64("rep", "v"), "rep")
     chance = Window.partitionBy("v").orderBy(F.xxhash64("rep", "v"), "rep")
-    pivots = long_lists.withColumn("nth", F.row_number().over(middle)).where(F.col("nth") <= MIDDLE).select("v", F.col("rep").alias("pivot"))
-    pivots = pivots.unionByName(long_lists.withColumn("nth", F.row_number().over(chance)).where("nth = 1").select("v", F.col("rep").alias("pivot")))
-    star = long_lists.join(pivots, "v").where("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
+    pivots = some.withColumn("nth", F.row_number().over(middle)).where(F.col("nth") <= MIDDLE).select("v", F.col("rep").alias("pivot"))
+    pivots = pivots.unionByName(some.withColumn("nth", F.row_number().over(chance)).where("nth = 1").select("v", F.col("rep").alias("pivot")))
+    star = some.join(pivots, "v").where("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"), F.lit(1).alias("shared"), F.lit(True).alias("long"))
+
+    def sets_of(reps: DataFrame) -> DataFrame:
+        return checkpoint(spark, _full_sets(spark, docs, checkpoint(spark, classes.join(reps, "rep", "left_semi").select("rep", "digest")), words, id_col, text_col))
 
-    cand = _pairs_of(first, percent).unionByName(_pairs_of(second, percent)).unionByName(star).distinct()
-    best = Window.partitionBy("b").orderBy(F.desc("est"), "a")
-    est = checkpoint(spark, _estimated(spark, cand, classes, percent).withColumn("nth", F.row_number().over(best)))
-    ends = est.select(F.col("a").alias("rep")).unionByName(est.select(F.col("b").alias("rep"))).unionByName(long_lists.select("rep")).distinct()
-    sets = checkpoint(spark, _full_sets(spark, docs, checkpoint(spark, classes.join(ends, "rep", "left_semi").select("rep", "digest")), words, id_col, text_col))
+    cand = _pairs_of(lists, in_long, percent).unionByName(star).groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("long").alias("long"))
+    cand = checkpoint(spark, cand)
+    bounded = _bounded(cand.where("long"), classes.join(in_long, "rep", "left_semi"), percent)
+    best = Window.partitionBy("b").orderBy(F.desc("shared"), "a")
+    cand = checkpoint(spark, cand.where("not long").select("a", "b", "shared").unionByName(bounded).withColumn("nth", F.row_number().over(best)))
+    sets = sets_of(cand.select(F.col("a").alias("rep")).unionByName(cand.select(F.col("b").alias("rep"))).distinct())
 
-    links = checkpoint(spark, _confirmed(est.where(F.col("nth") <= PARTNERS), sets, percent))
+    links = checkpoint(spark, _confirmed(cand.where(F.col("nth") <= PARTNERS), sets, percent))
+    comp = components(spark, links)
+    crossing = _label(_label(cand.where(F.col("nth") > PARTNERS), comp, "a", "ca"), comp, "b", "cb").where("ca <> cb")
+    links = checkpoint(spark, links.unionByName(_confirmed(crossing, sets, percent)))
     comp = components(spark, links)
-    crossing = _label(_label(est.where(F.col("nth") > PARTNERS), comp, "a", "ca"), comp, "b", "cb").where("ca <> cb")
-    more = _confirmed(crossing, sets, percent).unionByName(_across_long_lists(spark, long_lists, comp, sets, percent))
-    comp = components(spark, links.unionByName(more))
+    comp = components(spark, links.unionByName(_across_long_lists(spark, long_lists, comp, sets_of, percent)))
 
     labelled = _label(classes.select("digest", "rep"), comp, "rep", "component").select("digest", "component")
     out = made.join(labelled, "digest", "left")

@@ -153,6 +153,17 @@ def test_texts_that_hold_a_member_of_a_large_group_whole(spark):
     assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got.collect()} == want
 
 
+def test_short_texts_with_a_frequent_phrase(spark):
+    """Sets of a few shingles, half of them in long lists, share few values with their copies."""
+    rows = [(i, f"this phrase is quite common x{i} y{i}") for i in range(60)]
+    rows += [(100 + i, f"this phrase is quite common x{i} y{i} z{i}") for i in range(0, 60, 7)]
+    rows += [(200 + i, " ".join([*(f"p{k}" for k in range(9)), *(f"{i}q{k}" for k in range(4))])) for i in range(60)]
+    rows += [(300 + i, " ".join([*(f"p{k}" for k in range(9)), *(f"{i}q{k}" for k in range(6))])) for i in range(0, 60, 7)]
+    for words, percent in ((4, 80), (5, 60)):
+        got = near_dedup.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), words, percent)
+        assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got.collect()} == naive_groups(rows, words, percent)
+
+
 def test_mixing_meets_its_targets(spark):
     r = random.Random(2)
     rows = [(i, " ".join("x" * r.randint(1, 9) for _ in range(r.choice([3, 30, 300]))), r.choice(["a", "b", "c", "d", None])) for i in range(600)]

@@ -17,20 +17,27 @@ def _checkpoint(spark: SparkSession, df: DataFrame) -> DataFrame:
 
 def connected_components(spark: SparkSession, edges: DataFrame, left: str, right: str, most: int = 60) -> DataFrame:
     """(left, component) of a bipartite graph: rows that share a resource, directly or through others, have the smallest
-    left value of them all. Labels go left -> right -> left with combining minima, and each label is then replaced by its
-    own label, so distances halve; the lineage is cut in every step."""
+    left value of them all. Rows are linked with the smallest row of each resource; large-star and small-star steps, with
+    combining minima, then halve distances until the links stay the same. The lineage is cut in every step; links that
+    haven't settled after `most` steps are an error."""
     edges = _checkpoint(spark, edges.select(F.col(left).alias("l"), F.col(right).alias("r")).where("l is not null and r is not null").distinct())
-    labels = _checkpoint(spark, edges.select("l").distinct().withColumn("c", F.col("l")))
+    hubs = edges.groupBy("r").agg(F.min("l").alias("v"))
+    links = _checkpoint(spark, edges.join(hubs, "r").select(F.col("l").alias("u"), "v").where("u <> v").distinct())
+    low = lambda df: df.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     for _ in range(most):
-        by_right = edges.join(labels, "l").groupBy("r").agg(F.min("c").alias("c"))
-        by_left = edges.join(by_right, "r").groupBy("l").agg(F.min("c").alias("c"))
-        jumped = by_left.join(by_left.select(F.col("l").alias("c"), F.col("c").alias("__c")), "c").select("l", F.least("c", "__c").alias("c"))
-        new = _checkpoint(spark, jumped)
-        changed = new.join(labels.withColumnRenamed("c", "old"), "l").where("c <> old").limit(1).count()
-        labels = new
+        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = both.join(low(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        small = large.join(low(large), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low(large).select("u", F.col("m").alias("v")))
+        new = _checkpoint(spark, small.where("u <> v").distinct())
+        # of two equal sets neither has a link that the other lacks
+        changed = new.join(links, ["u", "v"], "left_anti").limit(1).count() or links.join(new, ["u", "v"], "left_anti").limit(1).count()
+        links = new
         if not changed:
             break
-    return labels.select(F.col("l").alias(left), F.col("c").alias("component"))
+    else:
+        raise RuntimeError(f"components did not settle in {most} steps")
+    found = links.groupBy(F.col("u").alias("l")).agg(F.min("v").alias("c"))
+    return edges.select("l").distinct().join(found, "l", "left").select(F.col("l").alias(left), F.coalesce("c", "l").alias("component"))
 
 
 def greedy_cover(rows: Sequence[tuple[str, str]], want: dict[str, int], most: int | None = None) -> list[tuple[str, int]]:

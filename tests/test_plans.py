@@ -180,6 +180,15 @@ def test_components_against_union_find(spark):
     assert dict(rows(got)) == want
 
 
+def test_components_of_a_long_chain(spark):
+    chain = [1, *range(200, 100, -1)]
+    edges = [(x, i + k) for i, x in enumerate(chain) for k in (0, 1)] + [(500, 900)]
+    got = dict(rows(graph.connected_components(spark, spark.createDataFrame(edges, "row long, url long"), "row", "url")))
+    assert got == {**dict.fromkeys(chain, 1), 500: 500}
+    with pytest.raises(RuntimeError):
+        graph.connected_components(spark, spark.createDataFrame(edges, "row long, url long"), "row", "url", most=1)
+
+
 def test_greedy_helpers():
     assert graph.greedy_cover([("a", "x"), ("a", "y"), ("b", "x"), ("c", "z")], {"x": 1, "y": 1, "z": 1}) == [("a", 2), ("c", 1)]
     assert graph.next_fit([("a", 2), ("b", 2), ("c", 1)], 3) == [("a", 0), ("b", 1), ("c", 1)]

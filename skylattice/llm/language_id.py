@@ -13,13 +13,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skylattice.llm.common import doc_crc, small_batches
 
 HIDDEN, SEGMENT, STEPS, BATCH, RATE = 24, 24, 500, 256, 0.012
-#: The documented bound of what is learned from: documents of all languages together, at most PER_LANG of each, and
+#: The documented bound of what is learned from: documents of all languages together, at most PER_LANG of each (one at least), and
 #: words of each document, taken at even distances over its whole text.
 SAMPLE_DOCS, PER_LANG, SAMPLE_WORDS = 2400, 400, 200
 #: Distinct segments that a worker remembers, and segments that go through the network at once.
@@ -207,22 +207,14 @@ class Labeller:
 def train(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network:
     """Learn from a bounded sample of the documents with a language that aren't held out; ids only choose the sample."""
     small_batches(spark)
-    usable = docs.where(docs[lang_col].isNotNull() & docs[text_col].isNotNull() & ~held_out(docs[id_col]))
-    sizes = {r[0]: r[1] for r in usable.groupBy(docs[lang_col].cast("string").alias("lang")).count().collect()}  # a row for each language
-    languages = sorted(sizes)
-    each = min(PER_LANG, max(1, SAMPLE_DOCS // max(1, len(languages))))
-    shares = [(k, min(1.0, each / n)) for k, n in sizes.items()]
-    net = Network(languages, np.random.default_rng(11))
-    if not languages:
-        return net
-    share = spark.createDataFrame(shares, "lang string, share double")
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit(23), F.col("id")), 11).cast("double") / float(1 << 53)
-    chosen = (
-        usable.select(docs[id_col].alias("id"), docs[lang_col].cast("string").alias("lang"), docs[text_col].alias("text"))
-        .join(F.broadcast(share), "lang")  # a row for each language
-        .where(draw < F.col("share"))
-        .select("id", "lang", "text")
-    )
+    usable = docs.where(docs[lang_col].isNotNull() & docs[text_col].rlike(r"(?U)\S") & ~held_out(docs[id_col]))
+    count = usable.select(docs[lang_col].cast("string").alias("lang")).distinct().count()
+    if not count:
+        return Network([], np.random.default_rng(11))
+    each = min(PER_LANG, max(1, SAMPLE_DOCS // count))
+    first = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(23), F.col("id")), "id", F.xxhash64("text"))
+    keyed = usable.select(docs[id_col].alias("id"), docs[lang_col].cast("string").alias("lang"), docs[text_col].alias("text"))
+    chosen = keyed.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= each).select("id", "lang", "text")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,14 +226,16 @@ def train(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
 
     id_type = chosen.schema["id"].dataType.simpleString()
     rows = sorted(chosen.mapInArrow(words, f"id {id_type}, lang string, words string").collect(), key=lambda r: (str(r["id"]), r["words"]))
+    languages = sorted({r["lang"] for r in rows if r["words"]})  # those with a word to learn from
+    net = Network(languages, np.random.default_rng(11))
+    place = {k: i for i, k in enumerate(languages)}
     all_words, language = [], []
     for r in rows:
         own = r["words"].split()
         all_words += own
-        language += [languages.index(r["lang"])] * len(own)
-    language = np.array(language, np.int64)
-    if len(set(language.tolist())) == len(languages):
-        net.learn(all_words, language)
+        language += [place[r["lang"]]] * len(own)
+    if all_words:
+        net.learn(all_words, np.array(language, np.int64))
     return net
 
 

@@ -228,6 +228,17 @@ def test_language_id_on_held_out_rows(spark):
     assert np.mean(out) > 0.95 and got[900]["lang_pred"] == got[901]["lang_pred"] == "und"
 
 
+def test_a_language_of_blank_texts_does_not_stop_learning(spark):
+    r = random.Random(1)
+    words = {"en": "the and of to was with from this thing", "de": "der und die nicht ein über für schön auch"}
+    rows = [(i, " ".join(r.choice(words[k].split()) for _ in range(30)), k) for i, k in enumerate(r.choice(list(words)) for _ in range(120))]
+    rows += [(1000 + i, " \u3000\n" if i % 2 else "", "zxx") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    net = language_id.train(spark, df)
+    got = {x["doc_id"]: x["lang_pred"] for x in language_id.language_id(spark, df, net=net).collect()}
+    assert net.languages == ["de", "en"] and np.mean([got[i] == k for i, _, k in rows[:120]]) > 0.95
+
+
 def test_toxicity_on_held_out_rows(spark):
     r = random.Random(1)
     plain = [f"word{i}" for i in range(200)]

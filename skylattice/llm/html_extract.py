@@ -35,6 +35,8 @@ RAW = frozenset("script style textarea title noscript template iframe svg math o
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 #: Elements and names without importance.
 NO_TAG = frozenset("nav aside footer header form head dialog menu fieldset".split())
+#: Elements of the text itself, whose classes and ids are its own (anchors, sections) and say nothing of importance.
+NAMED_FREELY = frozenset("html body article main section p h1 h2 h3 h4 h5 h6".split())
 NO_ROLE = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert toolbar".split())
 NO_NAME = re.compile(
     r"(?:^|[-_\s])(?:ads?|advert\w*|adsense|adslot|banner|promo\w*|sponsor\w*|nav\w*|menu\w*|breadcrumbs?|sidebar|side|footer|header|masthead|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|"
@@ -71,7 +73,7 @@ def _sign(tag: str, attributes: str) -> tuple[str, bool]:
     role = found.get("role", "").lower()
     style = found.get("style", "").replace(" ", "").lower()
     hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style
-    none = tag in NO_TAG or hidden or role in NO_ROLE or (tag not in ("html", "body", "article", "main") and bool(NO_NAME.search(name)))
+    none = tag in NO_TAG or hidden or role in NO_ROLE or (tag not in NAMED_FREELY and bool(NO_NAME.search(name)))
     if tag == "article" and re.search(r"(?:^|[-_\s])(?:comments?|reply|related|teaser|promo|ad)(?:$|[-_\s])", name):
         none = True
     out = (f"{tag}.{'.'.join(sorted(name.split()))}" + (f"[{role}]" if role else ""), none)

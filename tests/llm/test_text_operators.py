@@ -268,6 +268,12 @@ def test_main_text(spark):
     assert [got[i]["text"] for i in (100, 101, 102, 103)] == ["", "", "Alone\n\nHere", ""]
 
 
+def test_names_of_headings_paragraphs_and_sections_are_free(spark):
+    page = '<article><h2 id="related-work">Work</h2><p class="notice">Note</p><section id="search-algorithms"><h3 id="legal_status">Law</h3><p>Text</p></section></article>'
+    got = html_extract.main_text(spark, spark.createDataFrame([(1, "http://d/", page)], "page_id long, url string, html string")).collect()
+    assert got[0]["text"] == "Work\n\nNote\n\nLaw\n\nText"
+
+
 def test_style_tree_finds_what_comes_back(spark):
     page = "<body><div class=q>Subscribe now</div><div class=main{n}><p>Text {n} of its own</p><p>More {n} here</p></div></body>"
     rows = [(n, "http://c.example/", page.format(n=n)) for n in range(40)]

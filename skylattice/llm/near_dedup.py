@@ -1,15 +1,17 @@
-"""Near-duplicates by an exact similarity join with prefix filtering.
-
-1. Every text becomes its set of distinct word shingles (64-bit hashes). Texts with equal sets are one class, which the
-   smallest id stands for; from here on there are only classes.
-2. All shingles have one global order: values that came back in a sample of the texts last (the more often, the later),
-   the rest by hash. Two sets that are similar enough share a value of their prefixes, the first n - ceil(t n) + 1 values
-   each. The order only decides how long lists are; the result doesn't depend on it, nor on the sample.
-3. Inverted lists of prefix values. A list with at most SHORT classes is expanded into pairs; sizes and the count of
-   shared values bound the similarity from above, and pairs that can't reach the threshold go.
-4. The exact Jaccard similarity on the full sets confirms links: first the most promising partners of each class and of
+"""Near-duplicates by bottom-k sketches, inverted lists, a filter on union sketches, and exact verification.
+
+1. Every text becomes its set of distinct word shingles, each one 64-bit hash. Texts with equal sets are one class, which
+   the smallest id stands for; from here on there are only classes.
+2. The sketch of a set is its k smallest values, by one hash function for all sets; values that came back in a sample of
+   the texts count as larger than all others (the more often, the larger). k isn't fixed: it is n - ceil(t n) + 1 for n
+   values and threshold t, the least with which two sets that are similar enough share a value of their sketches for
+   certain. So nothing rests on chance: order and sample only decide how long lists are.
+3. Inverted lists of sketch values generate overlaps. A list with at most SHORT classes is expanded into pairs.
+4. Two sketches are a sketch of the union, up to the smaller of their last values. What is shared of it, and what both
+   sets may share behind it, bounds the similarity from above; pairs that can't reach the threshold go.
+5. The exact Jaccard similarity on the full sets verifies links: first the most promising partners of each class and of
    a few pivots of each longer list, then all pairs that still lie in different components.
-5. What longer lists then still hold in more than one component is compared block by block on full sets, every class
+6. What longer lists then still hold in more than one component is compared block by block on full sets, every class
    outside a list's largest component with everything in the list; a block reports one link for each class and component.
 """
 
@@ -21,6 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +39,8 @@ SAMPLE, SEEN, FREQUENT = 8, 3, 200_000
 LONG, ASKERS, ROWS, COLUMNS, BROADCAST_IDS = 6, 256, 512, 4096, 1_000_000
 #: Pivots of a long list from the middle of its group (one more is drawn by hash), and partners confirmed first.
 MIDDLE, PARTNERS = 3, 3
+#: Pairs of one class that are joined with its set in one task.
+SLICE = 128
 #: Distinct words whose hashes a worker keeps.
 WORDS_KEPT = 1_000_000
 
@@ -70,15 +75,41 @@ def digest(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes())
 
 
-def prefix_of(s: np.ndarray, percent: int, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The first n - ceil(percent * n / 100) + 1 values of a set in the global order."""
-    p = min(len(s), len(s) - -(-percent * len(s) // 100) + 1)
+def sketch_of(s: np.ndarray, percent: int, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The k = n - ceil(percent * n / 100) + 1 smallest values of a set, by hash with frequent values behind."""
+    k = min(len(s), len(s) - -(-percent * len(s) // 100) + 1)
     if not len(frequent):
-        return s[:p]
+        return s[:k]
     at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
     hit = frequent[at] == s
-    rare = s[~hit][:p]
-    return np.concatenate([rare, s[hit][np.argsort(rank[at[hit]])][: p - len(rare)]])
+    rare = s[~hit][:k]
+    return np.concatenate([rare, s[hit][np.argsort(rank[at[hit]])][: k - len(rare)]])
+
+
+def places(sketch: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The global order of a sketch's values: 0 and the hash of rare ones, 1 and the rank of frequent ones."""
+    if not len(frequent):
+        return np.zeros(len(sketch), np.int64), sketch
+    at = np.minimum(np.searchsorted(frequent, sketch), len(frequent) - 1)
+    hit = frequent[at] == sketch
+    return hit.astype(np.int64), np.where(hit, rank[at].astype(np.uint64), sketch)
+
+
+def most_shared(x: np.ndarray, n: int, y: np.ndarray, m: int, frequent: np.ndarray, rank: np.ndarray) -> tuple[int, int]:
+    """Values that two sketches (of sets of n and m values) share, and what the sets share at most.
+
+    Up to the smaller of the two last values both sets are known, and so is their union; behind it the sets share no
+    more than what the smaller rest holds. A sketch that is its whole set has no rest.
+    """
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    (kx, vx), (ky, vy) = places(x, frequent, rank), places(y, frequent, rank)
+    last_x, last_y = (int(kx[-1]), int(vx[-1])), (int(ky[-1]), int(vy[-1]))
+    known_x, known_y = len(x), len(y)
+    if last_x < last_y:
+        known_y = int(((ky < last_x[0]) | (ky == last_x[0]) & (vy <= np.uint64(last_x[1]))).sum())
+    elif last_y < last_x:
+        known_x = int(((kx < last_y[0]) | (kx == last_y[0]) & (vx <= np.uint64(last_y[1]))).sum())
+    return shared, shared + min(n - known_x, m - known_y)
 
 
 def common_values(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -134,10 +165,9 @@ def frequent_values(spark: SparkSession, docs: DataFrame, words: int, id_col: st
     return found[order], (len(found) - 1 - order).astype(np.int64)
 
 
-def prefixes(spark: SparkSession, docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """id, n, digest, prefix of every row."""
+def sketches(spark: SparkSession, docs: DataFrame, words: int, percent: int, id_col: str, text_col: str, shared: Broadcast) -> DataFrame:
+    """id, n, digest, sketch of every row."""
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(frequent_values(spark, docs, words, id_col, text_col))  # FREQUENT at most
     held: dict = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,12 +175,12 @@ def prefixes(spark: SparkSession, docs: DataFrame, words: int, percent: int, id_
         for batch in batches:
             sets = [s.set_of(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([digest(x) for x in sets], pa.binary()), pa.array([prefix_of(x, percent, *shared.value).view(np.int64) for x in sets], pa.list_(pa.int64()))],
-                ["id", "n", "digest", "prefix"],
+                [batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([digest(x) for x in sets], pa.binary()), pa.array([sketch_of(x, percent, *shared.value).view(np.int64) for x in sets], pa.list_(pa.int64()))],
+                ["id", "n", "digest", "sketch"],
             )
 
     kept = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    return kept.mapInArrow(run, f"id {kept.schema['id'].dataType.simpleString()}, n long, digest binary, prefix array<long>")
+    return kept.mapInArrow(run, f"id {kept.schema['id'].dataType.simpleString()}, n long, digest binary, sketch array<long>")
 
 
 def _lists(values: DataFrame) -> DataFrame:
@@ -166,30 +196,39 @@ def _pairs_of(lists: DataFrame, in_long: DataFrame, percent: int) -> DataFrame:
     a, b = (short.select("v", *[F.col(c).alias(e if c == "rep" else f"{c}{e}") for c in ("rep", "n", "k")]) for e in ("a", "b"))
     met = a.join(b, "v").where((F.col("a") < F.col("b")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
     met = met.groupBy("a", "b").agg(F.count("*").alias("shared"), *[F.max(c).alias(c) for c in ("na", "nb", "ka", "kb")])
-    # what both sets share of the prefix that ends first is in lists, and the rest of that set lies behind its prefix
+    # what both sets share of the sketch that ends first is in lists, and the rest of that set lies behind its sketch
     behind = [F.expr(f"least({n}, ({percent} * {n} + 99) div 100 - 1)") for n in ("na", "nb")]
     most = F.col("shared") + F.least("ka", "kb") + F.greatest(*behind)
     return met.where((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))).select("a", "b", "shared", (F.least("ka", "kb") > 0).alias("long"))
 
 
-def _with(pairs: DataFrame, table: DataFrame, key: str, column: str) -> DataFrame:
-    """The pairs with a column of each end, as <column>_a and <column>_b."""
-    for end in ("a", "b"):
-        pairs = pairs.join(table.select(F.col(key).alias(end), F.col(column).alias(f"{column}_{end}")), end)
+def _hot(pairs: DataFrame) -> DataFrame:
+    """Classes that are in more than SLICE pairs on one side, and in how many slices they are joined."""
+    ends = pairs.groupBy(F.col("a").alias("end")).agg(F.count("*").alias("c")).unionByName(pairs.groupBy(F.col("b").alias("end")).agg(F.count("*").alias("c")))
+    return ends.groupBy("end").agg(F.max("c").alias("c")).where(F.col("c") > SLICE).select("end", F.ceil(F.col("c") / SLICE).cast("int").alias("slices"))
+
+
+def _with(pairs: DataFrame, table: DataFrame, key: str, columns: list[str], hot: DataFrame) -> DataFrame:
+    """The pairs with columns of each end, as <column>_a and <column>_b. Classes in many pairs, as pivots are, come in
+    slices that their partners are dealt over."""
+    sliced = table.withColumnRenamed(key, "end").join(hot, "end", "left").withColumn("slice", F.explode(F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1)))
+    for end, other in (("a", "b"), ("b", "a")):
+        side = pairs.join(hot.withColumnRenamed("end", end), end, "left")
+        side = side.withColumn("slice", F.pmod(F.xxhash64(F.lit(47), F.col(other)), F.coalesce("slices", F.lit(1))).cast("int")).drop("slices")
+        pairs = side.join(sliced.select(F.col("end").alias(end), "slice", *[F.col(c).alias(f"{c}_{end}") for c in columns]), [end, "slice"]).drop("slice")
     return pairs
 
 
-def _bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose whole prefixes share enough values that the sets can reach the similarity."""
-    both = _with(_with(pairs.select("a", "b"), classes, "rep", "n"), classes, "rep", "prefix").select("a", "b", "n_a", "n_b", "prefix_a", "prefix_b")
+def _bounded(spark: SparkSession, pairs: DataFrame, classes: DataFrame, percent: int, hot: DataFrame, frequent: Broadcast) -> DataFrame:
+    """Pairs whose union sketch allows a similarity that is high enough."""
+    both = _with(pairs.select("a", "b"), classes, "rep", ["n", "sketch"], hot).select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             shared, good = [], []
             for n, m, x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), batch.column(5), strict=True):
-                x, y = x.values.to_numpy(), y.values.to_numpy()
-                shared.append(len(np.intersect1d(x, y, assume_unique=True)))
-                most = shared[-1] + max(n - len(x), m - len(y))
+                some, most = most_shared(x.values.to_numpy().view(np.uint64), n, y.values.to_numpy().view(np.uint64), m, *frequent.value)
+                shared.append(some)
                 good.append(100 * min(n, m) >= percent * max(n, m) and (100 + percent) * most >= percent * (n + m))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared, pa.int64())], ["a", "b", "shared"]).filter(pa.array(good, pa.bool_()))
 
@@ -197,9 +236,9 @@ def _bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, f"a {kind}, b {kind}, shared long")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, hot: DataFrame) -> DataFrame:
     """Pairs whose full sets are similar enough."""
-    both = _with(pairs.select("a", "b"), sets, "id", "set").select("a", "b", "set_a", "set_b")
+    both = _with(pairs.select("a", "b"), sets, "id", ["set"], hot).select("a", "b", "set_a", "set_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -275,19 +314,27 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percen
 
     Null, empty and blank texts have no shingle and are linked with nothing; a text of fewer words than a shingle has is
     one shingle. Rows with equal sets are linked whatever their number. A null id gets a null component and isn't kept.
-    Rows are kept one for one (repeated rows of one id are alike); an empty table gives an empty result.
+    Rows are kept one for one (repeated rows of one id are alike); an empty table gives an empty result. If rows of one
+    id have different texts, the one with the smallest digest of its set decides which component all of them are in.
     """
-    made = checkpoint(spark, prefixes(spark, docs, words, percent, id_col, text_col))
+    frequent = spark.sparkContext.broadcast(frequent_values(spark, docs, words, id_col, text_col))  # FREQUENT at most
+    made = checkpoint(spark, sketches(spark, docs, words, percent, id_col, text_col, frequent))
+    several = made.where("n > 0 and id is not null").groupBy("id").agg(F.min("digest").alias("one"), F.max("digest").alias("other")).where("one <> other")
+    several = checkpoint(spark, several.drop("other"))
     usable = made.where("n > 0 and id is not null")
-    classes = usable.groupBy("digest").agg(F.min(F.struct("id", "n", "prefix")).alias("x")).select("digest", F.col("x.id").alias("rep"), F.col("x.n").alias("n"), F.col("x.prefix").alias("prefix"))
+    if several.take(1):
+        made = made.join(several, "id", "left")
+        usable = made.where("n > 0 and id is not null and (one is null or one = digest)").drop("one")
+        made = made.withColumn("digest", F.when(F.col("n") > 0, F.coalesce("one", "digest")).otherwise(F.col("digest"))).drop("one")
+    classes = usable.groupBy("digest").agg(F.min(F.struct("id", "n", "sketch")).alias("x")).select("digest", F.col("x.id").alias("rep"), F.col("x.n").alias("n"), F.col("x.sketch").alias("sketch"))
     classes = checkpoint(spark, classes)
 
-    lists = checkpoint(spark, _lists(classes.select("rep", "n", F.explode("prefix").alias("v"))))
+    lists = checkpoint(spark, _lists(classes.select("rep", "n", F.explode("sketch").alias("v"))))
     long_lists = checkpoint(spark, lists.where(F.col("c") > SHORT).select("v", "rep"))
     in_long = long_lists.groupBy("rep").agg(F.count("*").alias("k"))
     nth = Window.partitionBy("rep").orderBy("v")
     some = long_lists.withColumn("nth", F.row_number().over(nth)).where(F.col("nth") <= LONG).join(in_long, "rep").select("v", "rep", "k")
-    # a text whose whole prefix is in long lists has no part of its own: the middle of a group of copies
+    # a text whose whole sketch is in long lists has no part of its own: the middle of a group of copies
     middle = Window.partitionBy("v").orderBy(F.desc("k"), F.xxhash64("rep", "v"), "rep")
     chance = Window.partitionBy("v").orderBy(F.xxhash64("rep", "v"), "rep")
     pivots = some.withColumn("nth", F.row_number().over(middle)).where(F.col("nth") <= MIDDLE).select("v", F.col("rep").alias("pivot"))
@@ -299,15 +346,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percen
 
     cand = _pairs_of(lists, in_long, percent).unionByName(star).groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("long").alias("long"))
     cand = checkpoint(spark, cand)
-    bounded = _bounded(cand.where("long"), classes.join(in_long, "rep", "left_semi"), percent)
+    hot = checkpoint(spark, _hot(cand))
+    if hot.count() <= BROADCAST_IDS:
+        hot = F.broadcast(hot)
+    bounded = _bounded(spark, cand.where("long"), classes.join(in_long, "rep", "left_semi"), percent, hot, frequent)
     best = Window.partitionBy("b").orderBy(F.desc("shared"), "a")
     cand = checkpoint(spark, cand.where("not long").select("a", "b", "shared").unionByName(bounded).withColumn("nth", F.row_number().over(best)))
     sets = sets_of(cand.select(F.col("a").alias("rep")).unionByName(cand.select(F.col("b").alias("rep"))).distinct())
 
-    links = checkpoint(spark, _confirmed(cand.where(F.col("nth") <= PARTNERS), sets, percent))
+    links = checkpoint(spark, _confirmed(cand.where(F.col("nth") <= PARTNERS), sets, percent, hot))
     comp = components(spark, links)
     crossing = _label(_label(cand.where(F.col("nth") > PARTNERS), comp, "a", "ca"), comp, "b", "cb").where("ca <> cb")
-    links = checkpoint(spark, links.unionByName(_confirmed(crossing, sets, percent)))
+    links = checkpoint(spark, links.unionByName(_confirmed(crossing, sets, percent, hot)))
     comp = components(spark, links)
     comp = components(spark, links.unionByName(_across_long_lists(spark, long_lists, comp, sets_of, percent)))
 

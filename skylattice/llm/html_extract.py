@@ -1,14 +1,15 @@
 """Main text of web pages by a site style tree.
 
 The pages of a host are merged into one style tree: a node is a path of elements (tag, classes, id and role, digits
-dropped), wherever it occurs. Two entropies over the pages of a host make up a node's importance: of its presentation
-(the sequence of child elements) and of its content (how many pages each of its blocks is spread over). A menu whose
-blocks come back on page after page has little of both, an article much. What an element's tag, class or role says of it
-is a prior: forms, menus, adverts and the like have no importance at all, whatever the entropies say. A page then loses
-every branch whose importance is small beside that of its most important one.
-
-The tree's counts are two aggregates that combine before their shuffle, so one host may hold a third of all pages; a
-page gets only those nodes of its host's tree that come back often.
+dropped), wherever it occurs; copies of a page count once. Two entropies over the pages of a host make up a node's
+importance: of its presentation (the sequence of child elements) and of its content (how many pages each of its blocks
+is spread over). A menu whose blocks come back on page after page has little of both, an article much. With few pages
+the entropies say little, and the importance is drawn towards 1 by as much as EVIDENCE pages weigh.
+
+What an element's tag, class or role says of it is a prior: menus, adverts, forms and the like weigh far less, and
+`article` and `main` more if they carry the page. A page then loses every branch whose importance is small beside the
+mean of its text. So a page without `article` depends on the tree, and a branch that is named like a form or a notice
+but outweighs all other text is kept.
 """
 
 from __future__ import annotations
@@ -17,80 +18,110 @@ import re
 from collections.abc import Iterator
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skylattice.llm.common import small_batches
+from skylattice.llm.common import checkpoint, small_batches
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+#: A tag with its attributes; quotes count only behind `=`, and nothing is tried twice, so the time is linear.
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>")
+#: The same where a quote was never closed before: the tag ends at the next `>`.
+LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+ATTRIBUTE = re.compile(r"([^\s=/>\"']++)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s>]++))?+")
 DIGITS = re.compile(r"\d+")
 #: Elements that hold text of their own block; the rest is inline. Fixed values of HTML.
-BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
+BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object canvas select button noframes audio video".split())
+#: Elements whose content is no markup and no text of the page, and those whose content is markup without shown text.
+RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
+MUTE = frozenset("noscript template svg select button datalist".split())
 #: What an opening tag closes, up to the element named by its scope.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-#: Elements and names without importance.
-NO_TAG = frozenset("nav aside footer header form head dialog menu fieldset".split())
-#: Elements of the text itself, whose classes and ids are its own (anchors, sections) and say nothing of importance.
+ENDS_PARAGRAPH = BLOCKS - frozenset("body caption head html legend optgroup option tbody td tfoot th thead tr".split())
+#: Elements and roles that are no main text, those of the text itself (their classes and ids are anchors and sections),
+#: and containers, which are the branches that the entropies can remove.
+SIDE_TAGS = frozenset("nav aside footer header form head dialog menu fieldset search".split())
 NAMED_FREELY = frozenset("html body article main section p h1 h2 h3 h4 h5 h6".split())
-NO_ROLE = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert toolbar".split())
-NO_NAME = re.compile(
+SIDE_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert toolbar".split())
+CONTAINERS = frozenset("div section ul ol dl table center aside form header footer nav details figure fieldset".split())
+SIDE_NAMES = re.compile(
     r"(?:^|[-_\s])(?:ads?|advert\w*|adsense|adslot|banner|promo\w*|sponsor\w*|nav\w*|menu\w*|breadcrumbs?|sidebar|side|footer|header|masthead|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|"
-    r"newsletter|subscribe|subscription|signup|share|sharing|social|comments?|commentlist|disqus|replies|reply|related|recommend\w*|widget\w*|toolbar|pagination|pager|login|search|skip\w*|copyright|legal)(?:$|[-_\s])",
+    r"newsletter|subscribe|subscription|signup|share|sharing|social|related|recommend\w*|widget\w*|toolbar|pagination|pager|login|search|skip\w*|copyright|legal|teasers?|cards?)(?:$|[-_\s])",
     re.I,
 )
-#: Pages of a host before its entropies count, importance beside the best branch's below which a branch goes, weight of
-#: presentation, tree rows up to which the tree is broadcast.
-PAGES, LOW, PRESENTATION, BROADCAST_ROWS = 10, 0.3, 0.3, 100_000
+READERS = re.compile(r"(?:^|[-_\s])(?:comments?|commentlist|disqus|replies|reply|respond)(?:$|[-_\s])", re.I)
+#: Priors: of elements that are named as no main text, of navigation and readers' comments (never main text), and of
+#: what lies outside of the articles if they carry the page, or of articles if they don't.
+NAMED, NEVER, BESIDE = 0.15, 0.01, 0.3
+#: Importance beside the page's mean below which a branch goes; weight of presentation; pages that the first guess of 1
+#: weighs as much as; what remains if all is alike.
+LOW, PRESENTATION, EVIDENCE, FLOOR = 0.5, 0.25, 2.0, 0.05
+#: A block that is running text has this many words; a branch that outvotes its name has blocks and words of them.
+RUNNING, RUNNING_BLOCKS, RUNNING_WORDS = 10, 2, 40
+#: Rows of the tree that are broadcast: those of the nodes with most pages; the rest is joined to the pages that need it.
+BROADCAST_ROWS = 100_000
 
 
 class Node:
-    __slots__ = ("children", "importance", "key", "kind", "none", "parent", "sign")
+    __slots__ = ("children", "key", "kind", "parent", "prior", "sign")
 
-    def __init__(self, sign: str, key: int, parent: Node | None, none: bool, kind: str):
-        self.sign, self.key, self.parent, self.none, self.kind, self.children = sign, key, parent, none, kind, []
+    def __init__(self, sign: str, key: int, parent: Node | None, prior: float, kind: str):
+        self.sign, self.key, self.parent, self.prior, self.kind, self.children = sign, key, parent, prior, kind, []
 
 
-def _value(raw: str | None) -> str:
-    return (raw or "").strip("\"'")
+_signs: dict[tuple[str, str], tuple[str, float]] = {}
 
 
-_signs: dict[tuple[str, str], tuple[str, bool]] = {}
-
-
-def _sign(tag: str, attributes: str) -> tuple[str, bool]:
-    """The element as the style tree names it, and whether its tag, name or role says that it has no importance."""
-    if not attributes or attributes.isspace() or "=" not in attributes and "hidden" not in attributes:
-        return tag, tag in NO_TAG
+def _sign(tag: str, attributes: str) -> tuple[str, float]:
+    """The element as the style tree names it, and the prior that its tag, name and role give it."""
+    by_tag = NEVER if tag in ("nav", "head", "menu") else NAMED if tag in SIDE_TAGS else 1.0
+    if not attributes or attributes.isspace():
+        return tag, by_tag
     if (known := _signs.get((tag, attributes))) is not None:
         return known
-    found = {k.lower(): _value(v) for k, v in ATTRIBUTE.findall(attributes)}
+    found: dict[str, str] = {}
+    for k, v in ATTRIBUTE.findall(attributes):
+        found.setdefault(k.lower(), v.strip("\"'") if v[:1] in "\"'" else v)
     name = DIGITS.sub("", " ".join(found[k] for k in ("class", "id") if k in found)).lower()
     role = found.get("role", "").lower()
     style = found.get("style", "").replace(" ", "").lower()
-    hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style
-    none = tag in NO_TAG or hidden or role in NO_ROLE or (tag not in NAMED_FREELY and bool(NO_NAME.search(name)))
-    if tag == "article" and re.search(r"(?:^|[-_\s])(?:comments?|reply|related|teaser|promo|ad)(?:$|[-_\s])", name):
-        none = True
-    out = (f"{tag}.{'.'.join(sorted(name.split()))}" + (f"[{role}]" if role else ""), none)
+    prior = by_tag
+    if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style:
+        prior = 0.0
+    elif READERS.search(name) and tag not in ("html", "body", "h1", "h2", "h3", "h4", "h5", "h6", "p"):
+        prior = NEVER
+    elif role in ("navigation", "menu", "menubar"):
+        prior = NEVER
+    elif role in SIDE_ROLES or (SIDE_NAMES.search(name) and (tag not in NAMED_FREELY or tag == "article" and re.search(r"\b(?:related|teasers?|promo|ad|cards?)\b", name))):
+        prior = min(prior, NAMED)
+    out = (f"{tag}.{'.'.join(sorted(name.split()))}" + (f"[{role}]" if role else ""), prior)
     if len(_signs) > 50_000:
         _signs.clear()
-    _signs[(tag, attributes)] = out
+    if len(attributes) < 2000:
+        _signs[(tag, attributes)] = out
     return out
 
 
 def parse(html: str) -> tuple[list[Node], list[tuple[Node, str]]]:
-    """Nodes of the page's style tree (equal paths are one), and its blocks in page order with the node of each."""
-    root = Node("", 0, None, False, "")
+    """Nodes of the page's style tree (equal paths are one), and its blocks in page order with the node of each.
+
+    As browsers do, a tag ends at the first `>` outside of a quoted value. A page with a quote that never closes is read
+    on with tags that end at the next `>`. The time is linear in the page's length.
+    """
+    root = Node("", 0, None, 1.0, "")
     nodes: dict[tuple[int, str], Node] = {}
     order: list[Node] = []
     stack: list[tuple[str, Node]] = [("", root)]
     blocks: list[tuple[Node, str]] = []
     held: list[str] = []
+    last_end: dict[str, int] = {}
+    open_tags: dict[str, int] = {}
+    muted = 0
+    tag_at = TAG
+    lower = None
 
     def flush() -> None:
         if held:
@@ -99,44 +130,91 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str]]]:
                 blocks.append((stack[-1][1], text))
             held.clear()
 
+    def pop_to(i: int) -> None:
+        nonlocal muted
+        for t, _ in stack[i:]:
+            open_tags[t] -= 1
+            muted -= t in MUTE
+        del stack[i:]
+
     at, n = 0, len(html)
-    while True:
-        m = TOKEN.search(html, at)
-        if m is None:
-            held.append(html[at:])
+    while at < n:
+        lt = html.find("<", at)
+        if lt < 0:
+            lt = n
+        if lt > at and not muted:
+            held.append(html[at:lt])
+        at = lt
+        if at >= n:
             break
-        if m.start() > at:
-            held.append(html[at : m.start()])
-        at = m.end()
-        tag = m.group(2)
-        if tag is None:
+        following = html[at + 1 : at + 2]
+        if following in ("!", "?"):
+            if html.startswith("<!--", at):
+                end = html.find("-->", at + 4)
+                at = n if end < 0 else end + 3
+            else:
+                end = html.find(">", at)
+                at = n if end < 0 else end + 1
+            continue
+        if not (following.isascii() and following.isalpha()) and following != "/":
+            held.append("" if muted else "<")
+            at += 1
             continue
-        tag = tag.lower()
+        m = tag_at.match(html, at)
+        if m is None and following == "/" and not html[at + 2 : at + 3].isalpha():
+            end = html.find(">", at)  # </ and no name is a comment
+            at = n if end < 0 else end + 1
+            continue
+        if m is None and tag_at is TAG:
+            tag_at = LOOSE_TAG  # no tag ends from here on with quotes as they stand
+            m = tag_at.match(html, at)
+        if m is None:
+            break  # a tag that never ends
+        at = m.end()
+        closing, tag, attributes = m.group(1), m.group(2).lower(), m.group(3)
         if tag in RAW:
-            if not m.group(1) and not m.group(3).endswith("/"):
-                end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
-                at = end.end() if end else n
-            held.append(" ")
+            if not closing:
+                if lower is None:
+                    lower = html.lower()
+                    if len(lower) != n:  # letters whose lower case is longer
+                        lower = re.sub("[A-Z]", lambda x: x.group().lower(), html)
+                end = lower.find(f"</{tag}", at)
+                end = n if end < 0 else lower.find(">", end)
+                at = n if end < 0 or end == n else end + 1
+            if not muted:
+                held.append(" ")
+            continue
+        if tag in MUTE:
+            if closing:
+                if open_tags.get(tag):
+                    pop_to(next(i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag))
+            elif not attributes.endswith("/"):
+                if tag not in last_end:
+                    if lower is None:
+                        lower = html.lower()
+                        if len(lower) != n:
+                            lower = re.sub("[A-Z]", lambda x: x.group().lower(), html)
+                    last_end[tag] = lower.rfind(f"</{tag}")
+                if last_end[tag] >= at:  # one that is never closed hides nothing
+                    stack.append((tag, stack[-1][1]))
+                    open_tags[tag] = open_tags.get(tag, 0) + 1
+                    muted += 1
             continue
-        if tag not in BLOCKS and tag != "head":
-            if tag in ("br", "img"):
+        if tag not in BLOCKS:
+            if tag in ("br", "img", "input") and not muted:
                 held.append(" ")
             continue
         flush()
         if tag in VOID:
             continue
-        if m.group(1):
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+        if closing:
+            if open_tags.get(tag):
+                pop_to(next(i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag))
             continue
-        if stack[-1][0] == "p" or (tag in ("article", "div", "section", "p", "body") and any(t in ("p", "head") for t, _ in stack)):
-            for i in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph
-                if stack[i][0] in ("p", "head"):
-                    del stack[i:]
-                    break
-        if tag in CLOSES:
+        for t in ("p", "head"):  # a block ends an open paragraph
+            if open_tags.get(t) and (tag in ENDS_PARAGRAPH or tag == "body"):
+                pop_to(next(i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == t))
+        if tag in CLOSES and any(open_tags.get(t) for t in CLOSES[tag][0]):
             closed, scope = CLOSES[tag]
             cut = None
             for i in range(len(stack) - 1, 0, -1):
@@ -145,17 +223,21 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str]]]:
                 if stack[i][0] in closed:
                     cut = i
             if cut is not None:
-                del stack[cut:]
+                pop_to(cut)
         parent = stack[-1][1]
-        sign, none = _sign(tag, m.group(3))
-        if tag == "header" and any(t == "article" for t, _ in stack):
-            none = False  # the head of the article itself
-        parent.children.append(sign)
-        node = nodes.get((parent.key, sign))
-        if node is None:
-            node = nodes[(parent.key, sign)] = Node(sign, xxhash.xxh64_intdigest(f"{parent.key}>{sign}") - (1 << 63), parent, none or parent.none, tag)
-            order.append(node)
+        sign, prior = _sign(tag, attributes)
+        if tag == "header" and prior == NAMED and (open_tags.get("article") or open_tags.get("main")):
+            prior = 1.0  # the head of the article itself
+        if len(stack) > 400:  # deeper elements are read as part of the one they are in
+            node = parent
+        else:
+            parent.children.append(sign)
+            node = nodes.get((parent.key, sign))
+            if node is None:
+                node = nodes[(parent.key, sign)] = Node(sign, xxhash.xxh64_intdigest(f"{parent.key}>{sign}") - (1 << 63), parent, prior, tag)
+                order.append(node)
         stack.append((tag, node))
+        open_tags[tag] = open_tags.get(tag, 0) + 1
     flush()
     return order, blocks
 
@@ -165,112 +247,171 @@ def host_of(url: str | None) -> str:
     return m.group(1).lower() if m else ""
 
 
-def features(html: str) -> set[tuple[int, int, int]]:
-    """(node, kind, hash): 0 for a block of the node, 1 for its sequence of child elements."""
+def _key(text: str) -> int:
+    return xxhash.xxh64_intdigest(text) - (1 << 63)
+
+
+def features(html: str) -> tuple[int, set[tuple[int, int, int]]]:
+    """Digest of what follows, and (node, kind, hash): 0 for a block of the node, 1 for its sequence of child elements."""
     order, blocks = parse(html)
-    out = {(b.key, 0, xxhash.xxh64_intdigest(t) - (1 << 63)) for b, t in blocks}
-    return out | {(x.key, 1, xxhash.xxh64_intdigest(" ".join(x.children)) - (1 << 63)) for x in order}
+    out = {(b.key, 0, _key(t)) for b, t in blocks} | {(x.key, 1, _key(" ".join(x.children))) for x in order}
+    return xxhash.xxh64_intdigest(np.array(sorted(out), np.int64).tobytes()) - (1 << 63), out
+
+
+def _least_own(chains: dict[int, list[Node]], words: dict[int, int], tree: dict[int, tuple[float | None, float | None]]) -> dict[int, float]:
+    """Least importance of the containers that each text node is in. A container's importance is made of the content of
+    all text in it, by words, and of its presentation."""
+    total: dict[int, list[float]] = {}
+    for key, chain in chains.items():
+        content = tree.get(key, (None, None))[0]
+        for y in chain:
+            s = total.setdefault(y.key, [0.0, 0.0])
+            s[0] += words[key] * (1.0 if content is None else content)
+            s[1] += words[key]
+    own = {}
+    for key, (s, k) in total.items():
+        style = tree.get(key, (None, None))[1]
+        own[key] = FLOOR + (1 - FLOOR) * ((1 - PRESENTATION) * s / k + PRESENTATION * (1.0 if style is None else style))
+    return {key: min([own[y.key] for y in chain if y.kind in CONTAINERS], default=1.0) for key, chain in chains.items()}
 
 
 def extract(html: str, tree: dict[int, tuple[float | None, float | None]]) -> str:
     """Main text of a page. tree: node -> importance of content and of presentation; what isn't listed has 1."""
-    _, blocks = parse(html)
-    blocks = [(x, t) for x, t in blocks if not x.none]
-    chains = {}
-    for x, _ in blocks:
+    order, blocks = parse(html)
+    chains: dict[int, list[Node]] = {}
+    words: dict[int, int] = {}
+    running: dict[int, tuple[int, int]] = {}
+    for x, t in blocks:
         if x.key not in chains:
             chain, at = [], x
-            while at is not None and at.key:
+            while at is not None:
                 chain.append(at)
                 at = at.parent
             chains[x.key] = chain[::-1]
-    for kind in ("article", "main"):
-        inside = [(x, t) for x, t in blocks if any(y.kind == kind for y in chains[x.key])]
-        if inside:
-            blocks = inside
+        k = t.count(" ") + 1
+        words[x.key] = words.get(x.key, 0) + k
+        if k >= RUNNING:
+            a, b = running.get(x.key, (0, 0))
+            running[x.key] = (a + 1, b + k)
+    own = _least_own(chains, words, tree)
+
+    # names are believed unless a branch outweighs all text outside of named branches, and no article is elsewhere
+    lifted: set[int] = set()
+    while True:
+        named: dict[int, list[float]] = {}
+        score, free = {}, 0.0
+        for key, chain in chains.items():
+            first = next((y.key for y in chain if y.prior < 1 and y.key not in lifted), None)
+            score[key] = own[key] if first is None else 0.0
+            free += words[key] * score[key]
+            if first is not None and all(y.prior >= NAMED for y in chain):
+                a, b = running.get(key, (0, 0))
+                s = named.setdefault(first, [0.0, 0, 0])
+                s[0] += NAMED * words[key] * own[key]
+                s[1] += a
+                s[2] += b
+        best = max((k for k, s in named.items() if s[0] > free and s[1] >= RUNNING_BLOCKS and s[2] >= RUNNING_WORDS), key=lambda k: (named[k][0], k), default=None)
+        if best is None or any(x.kind in ("article", "main") and x.prior == 1 and not _within(x, best) for x in order):
             break
-    if tree and blocks:
-        total: dict[int, list[float]] = {}
-        for x, _ in blocks:
-            content = tree.get(x.key, (None, None))[0]
-            for y in chains[x.key]:
-                s = total.setdefault(y.key, [0.0, 0.0])
-                s[0] += 1.0 if content is None else content
-                s[1] += 1
-        own = {}
-        for key, (s, k) in total.items():
-            style = tree.get(key, (None, None))[1]
-            own[key] = (1 - PRESENTATION) * s / k + PRESENTATION * (1.0 if style is None else style)
-        best = max(own.values())
-        cut = {y.key for c in chains.values() for y in c if y.kind in ("div", "section", "ul", "ol", "dl", "table", "center") and own.get(y.key, 1.0) < LOW * best}
-        blocks = [(x, t) for x, t in blocks if not any(y.key in cut for y in chains[x.key])]
-    return "\n\n".join(t for _, t in blocks)
+        lifted.add(best)
+
+    # articles and main elements: more than the rest if they carry the page, less if they are teasers beside it
+    inside = {key for key, chain in chains.items() if score[key] and any(y.kind in ("article", "main") or y.sign.endswith("[main]") for y in chain)}
+    outside = {key for key in chains if score[key]} - inside
+    weigh = lambda keys: sum(words[k] * score[k] for k in keys)
+    if inside and outside:
+        for key in outside if 3 * weigh(inside) >= weigh(outside) else inside:
+            score[key] *= BESIDE
+    level = LOW * sum(words[k] * s * s for k, s in score.items()) / (sum(words[k] * s for k, s in score.items()) or 1.0)
+    return "\n\n".join(t for x, t in blocks if score[x.key] > 0 and score[x.key] >= level)
+
+
+def _within(x: Node | None, key: int) -> bool:
+    while x is not None:
+        if x.key == key:
+            return True
+        x = x.parent
+    return False
 
 
 def style_tree(spark: SparkSession, pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, node, content, style: the nodes that come back on a host of PAGES pages or more and aren't fully important."""
+    """host, node, pages, content, style: the nodes of two pages or more that aren't fully important, with how many
+    different pages of the host have them."""
     small_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            host, node, kind, value = [], [], [], []
+            host, page, node, kind, value = [], [], [], [], []
             for u, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = xxhash.xxh64_intdigest(host_of(u)) - (1 << 63)
-                for x, k, v in features(h or ""):
-                    host.append(own)
+                digest, found = features(h or "")
+                host += [_key(host_of(u))] * len(found)
+                page += [digest] * len(found)
+                for x, k, v in found:
                     node.append(x)
                     kind.append(k)
                     value.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(host, pa.int64()), pa.array(node, pa.int64()), pa.array(kind, pa.int32()), pa.array(value, pa.int64())], ["host", "node", "kind", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array(host, pa.int64()), pa.array(page, pa.int64()), pa.array(node, pa.int64()), pa.array(kind, pa.int32()), pa.array(value, pa.int64())], ["host", "page", "node", "kind", "value"])
 
-    seen = pages.select(F.col(f"`{url_col}`"), F.col(f"`{html_col}`")).mapInArrow(run, "host long, node long, kind int, value long")
-    spread = seen.groupBy("host", "node", "kind", "value").agg(F.count("*").alias("c"))
+    seen = pages.select(F.col(f"`{url_col}`"), F.col(f"`{html_col}`")).mapInArrow(run, "host long, page long, node long, kind int, value long")
+    # every aggregate combines before its shuffle, so that a host may hold a third of all pages
+    spread = seen.groupBy("host", "node", "kind", "value", "page").agg(F.lit(1).alias("one")).groupBy("host", "node", "kind", "value").agg(F.count("*").alias("c"))
     sums = spread.groupBy("host", "node").agg(
         *[F.sum(F.when(F.col("kind") == k, F.col("c"))).alias(f"n{k}") for k in (0, 1)],
         *[F.sum(F.when(F.col("kind") == k, F.col("c") * F.ln("c"))).alias(f"s{k}") for k in (0, 1)],
     )
     # n1 is the number of pages that have the node
-    part = lambda k: (1 - F.col(f"s{k}") / (F.col(f"n{k}") * F.ln("n1"))).alias(("content", "style")[k])
-    return sums.where(F.col("n1") >= PAGES).select("host", "node", part(0), part(1)).where("content < 0.95 or style < 0.95")
+    plain = lambda k: 1 - F.col(f"s{k}") / (F.col(f"n{k}") * F.ln("n1"))
+    part = lambda k: ((F.col("n1") * plain(k) + EVIDENCE) / (F.col("n1") + EVIDENCE)).alias(("content", "style")[k])
+    return sums.where("n1 >= 2").select("host", "node", F.col("n1").alias("pages"), part(0), part(1)).where("content < 0.95 or style < 0.95")
 
 
-def main_text(spark: SparkSession, pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def main_text(spark: SparkSession, pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """page_id, url, text, n_chars of every page.
 
     Null html is empty and gives an empty text. A null or odd url is a host of its own kind (the empty one). Rows are
-    kept one for one; an empty table gives an empty result; other columns aren't read.
+    kept one for one, repeated ones too; an empty table gives an empty result; other columns aren't read.
+
+    The nodes with most pages, `broadcast_rows` at most, are broadcast. What else a page needs is joined to it by its
+    content: no key of that join has more pages than those nodes have.
     """
-    tree = style_tree(spark, pages, url_col, html_col).persist()
     small_batches(spark)
+    tree = checkpoint(spark, style_tree(spark, pages, url_col, html_col))
     kept = pages.select(pages[id_col].alias("page_id"), pages[url_col].alias("url"), pages[html_col].alias("html"))
     schema = f"page_id {kept.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long"
-
-    def out(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
+    by_host: dict[int, dict] = {}
+    for r in tree.orderBy(F.desc("pages"), "host", "node").limit(broadcast_rows).collect():  # five numbers a row
+        by_host.setdefault(r["host"], {})[r["node"]] = (r["content"], r["style"])
+    shared = spark.sparkContext.broadcast(by_host)
+    complete = tree.count() <= broadcast_rows
+
+    def out(batch: pa.RecordBatch, own: list[dict]) -> pa.RecordBatch:
+        texts = [extract(h or "", {**shared.value.get(_key(host_of(u)), {}), **more} if more else shared.value.get(_key(host_of(u)), {})) for u, h, more in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), own, strict=True)]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    if tree.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        by_host: dict[int, dict] = {}
-        for r in tree.collect():  # at most BROADCAST_ROWS rows of four numbers
-            by_host.setdefault(r["host"], {})[r["node"]] = (r["content"], r["style"])
-        shared = spark.sparkContext.broadcast(by_host)
+    if complete:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                urls, pages_ = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-                yield out(batch, [extract(h or "", shared.value.get(xxhash.xxh64_intdigest(host_of(u)) - (1 << 63), {})) for u, h in zip(urls, pages_, strict=True)])
+                yield out(batch, [{}] * batch.num_rows)
 
         return kept.mapInArrow(run, schema)
 
-    def hosts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def needs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([xxhash.xxh64_intdigest(host_of(u)) - (1 << 63) for u in batch.column(1).to_pylist()], pa.int64())], ["page_id", "url", "html", "host"])
-
-    trees = tree.groupBy("host").agg(F.collect_list(F.struct("node", "content", "style")).alias("tree"))
-    keyed = kept.mapInArrow(hosts, schema.replace("text string, n_chars long", "html string, host long"))
+            rows = []
+            for u, h, a, b in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                host = _key(host_of(u))
+                known = shared.value.get(host, {})
+                rows += [{"a": a, "b": b, "host": host, "node": x.key} for x in parse(h or "")[0] if x.key not in known]
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("a", pa.int64()), ("b", pa.int64()), ("host", pa.int64()), ("node", pa.int64())]))
+
+    content = [F.xxhash64("url", "html").alias("a"), F.xxhash64(F.lit(1), F.col("html"), F.col("url")).alias("b")]
+    wanted = kept.select("url", "html", *content).mapInArrow(needs, "a long, b long, host long, node long").distinct()
+    more = wanted.join(tree.drop("pages"), ["host", "node"]).groupBy("a", "b").agg(F.collect_list(F.struct("node", "content", "style")).alias("tree"))  # nodes of one page
+    joined = kept.select("*", *content).join(more, ["a", "b"], "left").select("page_id", "url", "html", "tree")
 
     def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            trees_ = batch.column(3).to_pylist()
-            yield out(batch, [extract(h or "", {x["node"]: (x["content"], x["style"]) for x in t or []}) for h, t in zip(batch.column(2).to_pylist(), trees_, strict=True)])
+            yield out(batch, [{x["node"]: (x["content"], x["style"]) for x in t or []} for t in batch.column(3).to_pylist()])
 
-    return keyed.join(trees, "host", "left").select("page_id", "url", "html", "tree").mapInArrow(run_joined, schema)
+    return joined.mapInArrow(run_joined, schema)

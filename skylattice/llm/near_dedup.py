@@ -330,7 +330,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percen
     classes = checkpoint(spark, classes)
 
     lists = checkpoint(spark, _lists(classes.select("rep", "n", F.explode("sketch").alias("v"))))
-    long_lists = checkpoint(spark, lists.where(F.col("c") > SHORT).select("v", "rep"))
+    long_lists = checkpoint(spark, lists.where(F.col("c") > SHORT).select("v", "rep").repartition("v", "rep"))  # no task reads a whole list
     in_long = long_lists.groupBy("rep").agg(F.count("*").alias("k"))
     nth = Window.partitionBy("rep").orderBy("v")
     some = long_lists.withColumn("nth", F.row_number().over(nth)).where(F.col("nth") <= LONG).join(in_long, "rep").select("v", "rep", "k")

@@ -6,6 +6,9 @@ probabilities along the null space of the balancing constraints (number of docum
 few are 0 or 1, so both totals of a source stay what the probabilities promise. Blocks of documents fly separately;
 what they leave undecided (two documents each) flies again, level by level, until a source is one block, and only that
 one's last two documents are landed.
+
+Draws and blocks come from a document's id, text and source. Rows that are alike in them are numbered, so that they are dealt
+over blocks as others are; which of them has which number doesn't matter.
 """
 
 from __future__ import annotations
@@ -13,34 +16,61 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skylattice.llm.common import BLANKS, checkpoint
 
 #: A word with the white space before it; replaced by one letter, so that counting makes no list of words.
 WORD = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
-#: Documents in a block, blocks whose leftovers fly together, and sources up to which the plan is broadcast.
-BLOCK, FAN, BROADCAST_SOURCES = 1000, 250, 50_000
+#: Documents in a block, blocks whose leftovers fly together, and rows up to which a table of sources or of repeated
+#: documents is broadcast.
+BLOCK, FAN, BROADCAST_ROWS = 1000, 250, 50_000
 EPS = 1e-9
 
 
-def targets(sizes: dict[str | None, int], most: float = 3.0) -> dict[str | None, float]:
-    """Words to take of each source: sources by code point, null last, weigh 1, 2, 3 and so on again, and share all
-    words by weight; none gets more than `most` times its own, and what is over goes to the others by weight."""
-    order = sorted((s for s in sizes if s is not None)) + [s for s in sizes if s is None]
-    weight = {s: 1 + i % 3 for i, s in enumerate(order)}
-    total, full = sum(sizes.values()), set()
+def targets(spark: SparkSession, totals: DataFrame, most: float = 3.0) -> DataFrame:
+    """source, n, source_size, target: the words to take of each source.
+
+    Sources by code point, null last, weigh 1, 2, 3 and so on again, and share all words by weight; none gets more than
+    `most` times its own, and what is over goes to the others by weight, until none is above. totals: source, size, n.
+    Sources may be of any number: they are ranked by ranges, and each round is one aggregate.
+    """
+    ranges = max(1, math.ceil(totals.count() / BROADCAST_ROWS))
+    order = totals.withColumn("none", F.col("source").isNull()).repartitionByRange(ranges, "none", "source").sortWithinPartitions("none", "source")
+    order = checkpoint(spark, order.withColumn("at", F.monotonically_increasing_id()))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    first = order.groupBy(F.shiftright("at", 33).alias("range")).agg(F.count("*").alias("k")).select("range", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("first"))
+    rank = F.col("first") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    ranked = order.withColumn("range", F.shiftright("at", 33)).join(F.broadcast(first), "range").select("source", "n", F.col("size").alias("source_size"), (1 + rank % 3).alias("weight"))
+    ranked = checkpoint(spark, ranked)
+    share, count = -1.0, -1
     while True:
-        rest = total - most * sum(sizes[s] for s in order if s in full)
-        shares = sum(weight[s] for s in order if s not in full)
-        if not shares:
-            break
-        over = {s for s in order if s not in full and rest * weight[s] / shares > most * sizes[s]}
-        if not over:
+        full = F.lit(share) * F.col("weight") > F.lit(most) * F.col("source_size")
+        r = ranked.agg(F.sum("source_size").alias("all"), F.sum(F.when(full, F.col("source_size")).otherwise(0)).alias("full"), F.sum(F.when(~full, F.col("weight"))).alias("weight"), F.count_if(full).alias("count")).first()
+        if r["count"] == count or not r["weight"]:
             break
-        full |= over
-    return {s: most * sizes[s] if s in full else rest * weight[s] / shares for s in order}
+        share, count = (r["all"] - most * r["full"]) / r["weight"], r["count"]
+    full = F.lit(share) * F.col("weight") > F.lit(most) * F.col("source_size")
+    return ranked.select("source", "n", "source_size", F.when(full, most * F.col("source_size")).otherwise(share * F.col("weight")).cast("double").alias("target"))
+
+
+def _copies_numbered(spark: SparkSession, sizes: DataFrame) -> DataFrame:
+    """nth: 0 for documents that no other is like, else a number of its own for each of those alike (`key`)."""
+    often = checkpoint(spark, sizes.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"))
+    many = often.count()
+    if not many:
+        return sizes.withColumn("nth", F.lit(0).cast("long"))
+    often = (F.broadcast(often) if many <= BROADCAST_ROWS else often).withColumn("again", F.lit(True))
+    marked = sizes.join(often, "key", "left")
+    alike = marked.where("again").withColumn("part", F.shiftright("row", 33))
+    within = F.row_number().over(Window.partitionBy("key", "part").orderBy("row"))
+    # a number within each task that wrote the rows, behind those of the tasks before
+    counts = alike.groupBy("key", "part").agg(F.count("*").alias("k"))
+    before = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select("key", "part", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("first"))
+    alike = alike.withColumn("within", within).join(first, ["key", "part"]).withColumn("nth", F.col("first") + F.col("within") - 1)
+    return marked.where("again is null").withColumn("nth", F.lit(0).cast("long")).select(*sizes.columns, "nth").unionByName(alike.select(*sizes.columns, F.col("nth").cast("long").alias("nth")))
 
 
 def _step(p: list[float], units: list[int], u: tuple[float, ...], draw: float) -> None:
@@ -97,17 +127,18 @@ def fly(p: list[float], x: list[float], draws: list[float], land: bool) -> list[
 
 def _fly_group(land: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "draw", "row_id"], ascending=[False, True, True], kind="stable")
+        pdf = pdf.sort_values(["size", "draw"], ascending=[False, True], kind="stable")
         return pdf.assign(p=fly(pdf["p"].tolist(), pdf["size"].astype(float).tolist(), pdf["draw"].tolist(), land))
 
     return run
 
 
-def mix(spark: SparkSession, docs: DataFrame, most: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken of every document.
+def mix(spark: SparkSession, docs: DataFrame, most: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: str | None = None) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken of every document, and a column that is carried along.
 
-    Null text has size 0; null sources are one source. Repeated rows are documents of their own; the draws come from
-    hashes of the id, so reruns agree. An empty table gives an empty result; sources without words have target 0.
+    Null text has size 0; null sources are one source. Rows without an id and repeated rows are documents of their own;
+    the draws come from hashes of id and text, so reruns agree. An empty table gives an empty result; sources without
+    words have target 0. Columns of docs other than those named aren't read.
     """
     sizes = checkpoint(
         spark,
@@ -115,32 +146,33 @@ def mix(spark: SparkSession, docs: DataFrame, most: float = 3.0, id_col: str = "
             docs[id_col].alias("doc_id"),
             docs[source_col].cast("string").alias("source"),
             F.char_length(F.regexp_replace(F.rtrim(F.coalesce(docs[text_col], F.lit("")), F.lit(BLANKS)), WORD, "x")).cast("long").alias("size"),
+            F.xxhash64(docs[id_col], docs[text_col], docs[source_col].cast("string")).alias("key"),
+            F.monotonically_increasing_id().alias("row"),
+            *([docs[carry].alias("carried")] if carry else []),
         ),
     )
-    # one row for each source, not for each document
-    totals = {r["source"]: (r["size"], r["n"]) for r in sizes.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()}
-    want = targets({s: x for s, (x, _) in totals.items()}, most)
-    rows = []
-    for s, (x, n) in totals.items():
-        f = want[s] / x if x else 0.0
-        rows.append((s, x, float(want[s]), int(min(f, most) + EPS), max(0, math.ceil(n / BLOCK)), max(0.0, f - int(min(f, most) + EPS))))
-    plan = spark.createDataFrame(rows, "source string, source_size long, target double, whole int, blocks long, p double")
-    if len(rows) <= BROADCAST_SOURCES:
+    totals = checkpoint(spark, sizes.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")))  # a row for each source
+    share = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(most))).otherwise(0.0)
+    whole = F.floor(share + EPS).cast("int")
+    plan = targets(spark, totals, most).withColumns({"whole": whole, "p": F.greatest(F.lit(0.0), share - whole), "blocks": F.ceil(F.col("n") / BLOCK)})
+    plan = checkpoint(spark, plan.select(F.col("source").alias("s"), "source_size", "target", "whole", "blocks", "p"))
+    summed = plan.agg(F.count("*").alias("n"), F.coalesce(F.max("blocks"), F.lit(0)).alias("blocks")).first()
+    if summed["n"] <= BROADCAST_ROWS:
         plan = F.broadcast(plan)
-    hashed = F.xxhash64(F.lit(17), F.col("doc_id"))
-    units = sizes.join(plan.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select(
+    hashed = F.xxhash64(F.lit(17), "key", "nth")
+    units = _copies_numbered(spark, sizes).join(plan, F.col("source").eqNullSafe(F.col("s"))).select(
         "doc_id",
         "source",
         "size",
         "source_size",
         "target",
         "whole",
-        F.pmod(F.xxhash64(F.lit(3), F.col("doc_id")), F.col("blocks")).alias("block"),
-        ((F.shiftrightunsigned(hashed, 11)).cast("double") / float(1 << 53)).alias("draw"),
-        F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("row_id"),
+        F.pmod(F.xxhash64(F.lit(3), "key", "nth"), F.col("blocks")).alias("block"),
+        (F.shiftrightunsigned(hashed, 11).cast("double") / float(1 << 53)).alias("draw"),
         "p",
+        *(["carried"] if carry else []),
     )
-    blocks = max([r[4] for r in rows], default=0)
+    blocks = summed["blocks"]
     schema, decided = units.schema, []
     while True:
         land = blocks <= 1
@@ -156,4 +188,4 @@ def mix(spark: SparkSession, docs: DataFrame, most: float = 3.0, id_col: str = "
     for d in decided[1:]:
         out = out.unionByName(d)
     copies = F.col("whole") + F.when(F.col("p") > 0.5, 1).otherwise(0)
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), *([F.col("carried").alias(carry)] if carry else []))

@@ -101,7 +101,9 @@ def score_texts(f: Features, dense: np.ndarray, bias: float, texts: list[str]) -
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, float]:
     """Feature numbers, weights and bias, learned from at most `sample` labelled rows (by hash of the id), whole texts.
 
-    One task reads the bounded sample in hash order and returns only the weights that L1 leaves, each pass in its order.
+    Features are made where the texts are, of one row for each id (the smallest text, if rows of one id differ). One
+    task then learns from the bounded sample in hash order and returns only the weights that L1 leaves; it takes as long
+    whatever the number of documents is.
     """
     small_batches(spark)
     chosen = (
@@ -112,12 +114,20 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str =
         .limit(sample)
     )
     rows = docs.select(docs[id_col].alias("__id"), F.coalesce(docs[text_col], F.lit("")).alias("text")).join(F.broadcast(chosen), "__id")  # `sample` rows of two numbers
+    rows = rows.groupBy("__id", "label").agg(F.min("text").alias("text"))
+
+    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = Features()
+        for batch in batches:
+            found = [np.unique(f.of([t])[0]).astype(np.int32) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["h", "label", "features"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f, model, kept = Features(), Ftrl(), []
+        model, kept = Ftrl(), []
         for batch in batches:
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                kept.append((np.unique(f.of([text])[0]).astype(np.int32), y))
+            flat, at = batch.column(1).values.to_numpy(), np.asarray(batch.column(1).offsets)
+            for i, y in enumerate(batch.column(0).to_pylist()):
+                kept.append((flat[at[i] : at[i + 1]].copy(), y))
                 model.learn(*kept[-1])
         for _ in range(PASSES - 1):
             for x, y in kept:
@@ -126,7 +136,8 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str =
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array([*at.tolist(), -1], pa.int64()), pa.array([*w[at].tolist(), model.bias()], pa.float64())], ["feature", "weight"])
 
-    ordered = rows.select("text", "label", F.xxhash64("__id").alias("h"), "__id").repartition(1).sortWithinPartitions("h", "__id").select("text", "label")
+    made = rows.select(F.xxhash64("__id").alias("h"), "label", "text").mapInArrow(featured, "h long, label int, features array<int>")
+    ordered = made.repartition(1).sortWithinPartitions("h", "features").select("label", "features")
     got = ordered.mapInArrow(run, "feature long, weight double").collect()
     at = np.array([r["feature"] for r in got], np.int64)
     w = np.array([r["weight"] for r in got], np.float64)
@@ -136,12 +147,13 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str =
 def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
     """All columns of docs, then __toxic_score (0 to 1) and __toxic (1 if the score is 0.5 or more).
 
-    Null and empty texts get the score of the bias alone. Without labelled rows every score is 0.5 of the zero model,
-    and __toxic is then 0. Labels, language, source and id are no inputs of a score. Rows are kept one for one.
+    Null and empty texts get the score of the bias alone. Without labelled rows there is nothing to learn from: every
+    score is 1 / (1 + e) = 0.27, and no document is toxic. Labels, language, source and id are no inputs of a score.
+    Rows are kept one for one, repeated ones too; an empty table gives an empty result.
     """
     at, w, bias = train(spark, docs, labels, id_col, text_col, sample)
     if not len(at) and bias == 0:
-        bias = -1.0
+        bias = -1.0  # nothing is known of toxic texts
     model = spark.sparkContext.broadcast((at, w, bias))  # what L1 leaves; bounded by the sample
     held: dict = {}
 

@@ -3,8 +3,8 @@
 Each block is quantised to int8 with one scale; the length of what a vector loses is kept. The product of two int8 tiles
 gives every distance of the quantised vectors, and the true distance differs from it by no more than the two losses
 together. Pairs whose lower bound is within the k-th smallest upper bound survive, are recomputed from the original
-vectors in double precision, and go through a heap for each query. The bounds hold for any vectors, so nothing of the
-true answer is lost within a block.
+vectors in double precision, some at a time, and go through a heap for each query. The bounds hold for any vectors, so
+nothing of the true answer is lost within a block.
 """
 
 from __future__ import annotations
@@ -15,7 +15,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skylattice.llm.vector_blocks import block_top_k, valid_vectors
+from skylattice.llm.vector_blocks import QUERIES, ROWS, asked_columns, best_of_blocks, grid, numbered, pack, queries_of, ranked, small_vector_batches, valid_vectors, with_index
+
+#: Surviving pairs that are recomputed at once.
+SLICE = 65_536
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
@@ -53,13 +56,14 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarra
     upper = np.where(own, np.inf, d + loss + slack)
     most = np.partition(upper, k - 1, axis=1)[:, k - 1] if len(ids) >= k else np.full(len(q), np.inf)
     at, j = np.nonzero((d - loss - slack <= most[:, None]) & ~own)
-    exact = true_distances(q[at], x[j])
     heaps: list[list[tuple[float, int]]] = [[] for _ in range(len(q))]
-    for i, s, v in zip(at.tolist(), exact.tolist(), ids[j].tolist(), strict=True):
-        if len(heaps[i]) < k:
-            heapq.heappush(heaps[i], (-s, -v))
-        else:
-            heapq.heappushpop(heaps[i], (-s, -v))
+    for lo in range(0, len(at), SLICE):
+        some, other = at[lo : lo + SLICE], j[lo : lo + SLICE]
+        for i, s, v in zip(some.tolist(), true_distances(q[some], x[other]).tolist(), ids[other].tolist(), strict=True):
+            if len(heaps[i]) < k:
+                heapq.heappush(heaps[i], (-s, -v))
+            else:
+                heapq.heappushpop(heaps[i], (-s, -v))
     rows = [(i, -v, -s) for i, h in enumerate(heaps) for s, v in h]
     return [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]
 
@@ -69,18 +73,24 @@ def nearest(spark: SparkSession, df: DataFrame, k: int = 10, every: int = 100, i
     Euclidean distance, ties to the smaller id.
 
     Vectors that are null, empty, zero, or hold null or non-finite components take no part; vectors meet only those of
-    their own length. With fewer than k candidates all are returned; an empty table gives an empty result.
+    their own length. Of rows repeated with one id the smallest vector asks, and each is a candidate of other ids' rows.
+    With fewer than k candidates all are returned; an empty table gives an empty result; other columns aren't read.
     """
+    small_vector_batches(spark)
     base = valid_vectors(df, id_col, vec_col).where(F.exists("vec", lambda x: x != 0))
-    queries = base.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
-
-    def prepare(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return ids, x, np.zeros(0)
-
-    def kernel(q_ids, q, _, ids, x, __, k):
+    plain = lambda x: (np.zeros(len(x), np.int32), np.zeros(len(x)))
+    data = pack(spark, with_index(base, plain), ROWS, base.count())
+    queries = queries_of(base, every)
+    asked = numbered(spark, pack(spark, with_index(queries, plain), QUERIES, queries.count()))
+    # every query block meets every block of its length: a unit is a range of vectors of one length
+    data = data.withColumn("unit", F.struct(F.shiftright("block", 32).alias("range"), "dim"))
+    units = data.groupBy("unit").agg(F.count("*").alias("blocks"))  # RANGES rows and as many as there are lengths
+    pairs = asked.select(F.col("block").alias("q"), "dim").join(F.broadcast(units), F.col("dim") == F.col("unit.dim")).select("unit", "q", F.lit(0).alias("first"), "blocks")
+
+    def kernel(q_ids, q, _, __, ids, x, ___, k):
         return search_block(q_ids, q, ids, x, k)
 
-    return block_top_k(spark, base, queries, k, "double", F.asc, prepare, prepare, kernel)
+    return ranked(best_of_blocks(grid(pairs, data, asked_columns(asked)), k, "double", kernel), k, F.asc)
 
 
 SQL = """

@@ -1,24 +1,29 @@
-"""What the two vector searches share: valid vectors, packing into blocks, and the block join of queries with all rows.
+"""What the two vector searches share: valid vectors, packing into blocks, and the grid join of blocks.
 
-Rows are dealt by a hash of their id into groups of about ROWS, queries into groups of about QUERIES. Each group is
-packed into one row (ids, vectors, further numbers), and every query group meets every data group exactly once, under
-the key (data group, query group). A task holds one packed pair at a time, however many vectors there are.
+Vectors are sorted into ranges and packed, some ROWS of them to a row (ids, vectors, further numbers), queries likewise.
+Wanted pairs of blocks meet in a grid: SIDE blocks of vectors and SIDE blocks of queries come together under one key, so
+a block is sent once for every SIDE blocks of the other kind, not for each. A task holds a few blocks at a time,
+however many vectors there are.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skylattice.llm.common import small_batches
+from skylattice.llm.common import checkpoint, small_batches
 
-ROWS, QUERIES = 2048, 512
-PACKED = "g int, dim int, ids binary, kind string, data binary, extra binary"
+#: Vectors and queries of a block, blocks of a grid key on each side, and ranges that vectors are sorted into at most.
+ROWS, QUERIES, SIDE, RANGES = 2048, 512, 16, 4096
+PACKED = "block long, place long, dim int, part int, n long, most double, ids binary, kind string, data binary, far binary, low double, high double"
+PACKED_SCHEMA = pa.schema(
+    [("block", pa.int64()), ("place", pa.int64()), ("dim", pa.int32()), ("part", pa.int32()), ("n", pa.int64()), ("most", pa.float64()), ("ids", pa.binary()), ("kind", pa.string()), ("data", pa.binary()), ("far", pa.binary()), ("low", pa.float64()), ("high", pa.float64())]
+)
 
 
 def valid_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -29,10 +34,15 @@ def valid_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return df.select(df[id_col].cast("long").alias("vec_id"), vec.alias("vec")).where(df[id_col].isNotNull() & vec.isNotNull() & (F.size(vec) > 0) & good)
 
 
-def matrix(column: pa.Array, rows: list[int], dim: int) -> np.ndarray:
+def queries_of(base: DataFrame, every: int) -> DataFrame:
+    """Rows whose id is divisible; of rows repeated with one id, the smallest vector asks."""
+    return base.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("vec").alias("vec"))
+
+
+def matrix(column: pa.Array, lo: int, hi: int, dim: int) -> np.ndarray:
     """The vectors of some rows of a list column, all of one length."""
-    flat, at = column.values.to_numpy(zero_copy_only=False), np.asarray(column.offsets)
-    return np.stack([flat[at[i] : at[i] + dim] for i in rows]).astype(np.float64) if rows else np.zeros((0, dim))
+    at = np.asarray(column.offsets)
+    return column.values.to_numpy(zero_copy_only=False)[at[lo] : at[hi]].astype(np.float64).reshape(hi - lo, dim)
 
 
 def dump(x: np.ndarray) -> tuple[str, bytes]:
@@ -46,69 +56,120 @@ def load(kind: str, data: bytes, dim: int) -> np.ndarray:
     return np.frombuffer(data, kind).astype(np.float64).reshape(-1, dim)
 
 
-def pack(df: DataFrame, groups: int, transform: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:
-    """One row for each group and vector length. transform(ids, vectors) gives ids, vectors and extra numbers in order."""
-    keyed = df.select(F.pmod(F.xxhash64(F.lit(31), "vec_id"), F.lit(groups)).cast("int").alias("g"), F.size("vec").alias("dim"), "vec_id", "vec")
-    dealt = keyed.repartition("g", "dim").sortWithinPartitions("g", "dim", "vec_id")
+def with_index(df: DataFrame, keys: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """vec_id, vec, dim, and part and far (a whole number and a number that vectors are sorted by) from keys(vectors)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = np.diff(np.asarray(batch.column(1).offsets))
+            part, far = np.zeros(len(size), np.int32), np.zeros(len(size))
+            for dim in np.unique(size).tolist():
+                rows = np.flatnonzero(size == dim)
+                own = batch.column(1).take(pa.array(rows))
+                part[rows], far[rows] = keys(matrix(own, 0, len(rows), dim))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(size.astype(np.int32)), pa.array(part), pa.array(far)], ["vec_id", "vec", "dim", "part", "far"])
+
+    return df.mapInArrow(run, "vec_id long, vec array<double>, dim int, part int, far double")
+
 
-    def out(key, ids, vectors):
-        ids, x, extra = transform(np.concatenate(ids), np.concatenate(vectors))
-        kind, data = dump(x)
-        return pa.RecordBatch.from_pylist([{"g": key[0], "dim": key[1], "ids": ids.astype("<i8").tobytes(), "kind": kind, "data": data, "extra": extra.astype("<f8").tobytes()}], schema)
+def pack(spark: SparkSession, indexed: DataFrame, rows: int, n: int) -> DataFrame:
+    """Blocks of at most `rows` vectors of one length and part, in order of (dim, part, far, id): ids, vectors, what they
+    are sorted by (far, from low to high), their number n and the largest squared norm. `block` numbers them, `place`
+    counts those of one range, length and part. Written, so that the numbers don't change.
 
-    schema = pa.schema([("g", pa.int32()), ("dim", pa.int32()), ("ids", pa.binary()), ("kind", pa.string()), ("data", pa.binary()), ("extra", pa.binary())])
+    Vectors that are all alike are told apart by their ids, repeated rows by a drawn number, so no range holds them all.
+    """
+    ranges = max(1, min(RANGES, -(-n // (4 * rows))))
+    dealt = checkpoint(spark, indexed.withColumn("deal", F.rand(7))).repartitionByRange(ranges, "dim", "part", "far", "vec_id", "deal").sortWithinPartitions("dim", "part", "far", "vec_id").drop("deal")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, vectors = None, [], []
+        first = TaskContext.get().partitionId() << 32
+        made, place, key = 0, 0, None
+        ids: list[np.ndarray] = []
+        vectors: list[np.ndarray] = []
+        far: list[np.ndarray] = []
+        held = 0
+
+        def out() -> pa.RecordBatch:
+            x, f = np.concatenate(vectors), np.concatenate(far).astype("<f8")
+            kind, data = dump(x)
+            with np.errstate(over="ignore"):
+                most = float((x * x).sum(1).max())
+            row = {"block": first + made, "place": place, "dim": key[0], "part": key[1], "n": len(x), "most": most, "ids": np.concatenate(ids).astype("<i8").tobytes()}
+            row |= {"kind": kind, "data": data, "far": f.tobytes(), "low": float(f[0]), "high": float(f[-1])}
+            return pa.RecordBatch.from_pylist([row], PACKED_SCHEMA)
+
         for batch in batches:
-            g, dim, vec_id = (batch.column(i).to_numpy() for i in range(3))
-            edges = np.flatnonzero((np.diff(g) != 0) | (np.diff(dim) != 0)) + 1
-            for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(g)], strict=True):
-                if lo == hi:
-                    continue
-                now = (int(g[lo]), int(dim[lo]))
-                if key is not None and now != key:
-                    yield out(key, ids, vectors)
-                    ids, vectors = [], []
-                key = now
-                ids.append(vec_id[lo:hi])
-                vectors.append(matrix(batch.column(3), list(range(lo, hi)), now[1]))
-        if key is not None:
-            yield out(key, ids, vectors)
-
-    return dealt.mapInArrow(run, PACKED)
-
-
-def block_top_k(
-    spark: SparkSession,
-    base: DataFrame,
-    queries: DataFrame,
-    k: int,
-    score_type: str,
-    order: Callable[[Column], Column],
-    prepare: Callable,
-    prepare_queries: Callable,
-    kernel: Callable,
-) -> DataFrame:
-    """query_id, rank, vec_id, score. kernel(query ids, queries, extra, ids, vectors, extra, k) gives (query number, id,
-    score) of the best of one pair of blocks; the best of each pair are ranked per query, ties to the smaller id."""
-    small_batches(spark, 1024)
-    n, q = base.count(), queries.count()
-    groups, query_groups = max(1, math.ceil(n / ROWS)), max(1, math.ceil(q / QUERIES))
-    data = pack(base, groups, prepare).withColumn("qg", F.explode(F.sequence(F.lit(0), F.lit(query_groups - 1))))
-    asked = pack(queries, query_groups, prepare_queries)
-    asked = asked.select(F.col("g").alias("qg"), "dim", F.col("ids").alias("q_ids"), F.col("kind").alias("q_kind"), F.col("data").alias("q_data"), F.col("extra").alias("q_extra"))
-    asked = asked.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    pairs = data.join(asked, ["g", "qg", "dim"])
+            dim, part = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            edges = [0, *(np.flatnonzero((np.diff(dim) != 0) | (np.diff(part) != 0)) + 1).tolist(), len(dim)]
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                while lo < hi:
+                    now = (int(dim[lo]), int(part[lo]))
+                    if key is not None and (now != key or held == rows):
+                        yield out()
+                        made, place = made + 1, place + 1 if now == key else 0
+                        ids, vectors, far, held = [], [], [], 0
+                    key = now
+                    to = min(hi, lo + rows - held)
+                    ids.append(batch.column(0).to_numpy()[lo:to])
+                    vectors.append(matrix(batch.column(1), lo, to, now[0]))
+                    far.append(batch.column(4).to_numpy()[lo:to])
+                    held, lo = held + to - lo, to
+        if held:
+            yield out()
+
+    return checkpoint(spark, dealt.mapInArrow(run, PACKED))
+
+
+def grid(pairs: DataFrame, data: DataFrame, asked: DataFrame) -> DataFrame:
+    """The blocks of each wanted pair side by side. pairs: (unit, q, first, blocks): query block q with all blocks of
+    a unit, which are those with place first to first + blocks - 1; data has `unit`, asked has `q`."""
+    ask = pairs.withColumn("gb", F.explode(F.sequence(F.floor(F.col("first") / SIDE), F.floor((F.col("first") + F.col("blocks") - 1) / SIDE))))
+    ask = ask.withColumn("gq", F.floor(F.col("q") / SIDE))
+    # which groups of query blocks a group of data blocks has to meet: small rows, the blocks themselves come after
+    met = ask.select("unit", "gb", "gq").distinct()
+    left = data.withColumn("gb", F.floor(F.col("place") / SIDE)).join(met, ["unit", "gb"])
+    return left.join(ask.join(asked, "q"), ["unit", "gb", "gq"]).where((F.col("place") >= F.col("first")) & (F.col("place") < F.col("first") + F.col("blocks")))
+
+
+def asked_columns(packed: DataFrame) -> DataFrame:
+    return packed.select(F.col("block").alias("q"), F.col("ids").alias("q_ids"), F.col("kind").alias("q_kind"), F.col("data").alias("q_data"))
+
+
+def numbered(spark: SparkSession, packed: DataFrame) -> DataFrame:
+    """Query blocks with numbers from 0 on without gaps, so that SIDE of them are a group; one small row is ranked for
+    each range, not for each block."""
+    ranges = packed.groupBy(F.shiftright("block", 32).alias("range")).agg(F.count("*").alias("n"))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows at most
+    offsets = ranges.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    at = packed.withColumn("range", F.shiftright("block", 32)).join(F.broadcast(offsets), "range")
+    return checkpoint(spark, at.withColumn("block", F.col("before") + F.col("block").bitwiseAND(F.lit((1 << 32) - 1))).select(*packed.columns))
+
+
+def best_of_blocks(blocks: DataFrame, k: int, score_type: str, kernel: Callable) -> DataFrame:
+    """query_id, vec_id, score: the best of each pair of blocks. kernel(query ids, queries, more, part, ids, vectors, far,
+    k) gives (query number, id, score); `more` is what the query block carries beside, or empty."""
+    kind = pa.int64() if score_type == "long" else pa.float64()
+    if "more" not in blocks.columns:
+        blocks = blocks.withColumn("more", F.lit(b""))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                q_ids, ids = np.frombuffer(r["q_ids"], "<i8"), np.frombuffer(r["ids"], "<i8")
-                got = kernel(q_ids, load(r["q_kind"], r["q_data"], r["dim"]), np.frombuffer(r["q_extra"]), ids, load(r["kind"], r["data"], r["dim"]), np.frombuffer(r["extra"]), k)
-                kind = pa.int64() if score_type == "long" else pa.float64()
+            for i in range(batch.num_rows):
+                r = {n: batch.column(j)[i].as_py() for j, n in enumerate(batch.schema.names)}
+                q_ids = np.frombuffer(r["q_ids"], "<i8")
+                got = kernel(q_ids, load(r["q_kind"], r["q_data"], r["dim"]), np.frombuffer(r["more"], "<f8"), r["part"], np.frombuffer(r["ids"], "<i8"), load(r["kind"], r["data"], r["dim"]), np.frombuffer(r["far"], "<f8"), k)
                 yield pa.RecordBatch.from_arrays([pa.array(q_ids[got[0]], pa.int64()), pa.array(got[1], pa.int64()), pa.array(got[2], kind)], ["query_id", "vec_id", "score"])
 
-    best = pairs.select("dim", "ids", "kind", "data", "extra", "q_ids", "q_kind", "q_data", "q_extra").mapInArrow(run, f"query_id long, vec_id long, score {score_type}")
-    ranked = Window.partitionBy("query_id").orderBy(order(F.col("score")), "vec_id")
-    return best.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    wanted = blocks.select("dim", "part", "ids", "kind", "data", "far", "q_ids", "q_kind", "q_data", "more")
+    return wanted.mapInArrow(run, f"query_id long, vec_id long, score {score_type}")
+
+
+def ranked(found: DataFrame, k: int, order: Callable[[Column], Column]) -> DataFrame:
+    """query_id, rank, vec_id, score: the k best of each query, ties to the smaller id."""
+    by = Window.partitionBy("query_id").orderBy(order(F.col("score")), "vec_id")
+    return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def small_vector_batches(spark: SparkSession) -> None:
+    small_batches(spark, 1024)

@@ -217,10 +217,46 @@ def test_mixing_meets_its_targets(spark):
     assert all(abs(taken[s] - target[s]) <= 0.02 * target[s] for s in target)
 
 
-def test_targets_stop_at_three_times():
-    assert mixing.targets({"a": 10, "b": 90, None: 0}) == {"a": 30.0, "b": 70.0, None: 0.0}
-    got = mixing.targets({"a": 100, "b": 1, "c": 1000})
-    assert got["b"] == 3 and got["a"] == pytest.approx(1098 / 4) and got["c"] == pytest.approx(1098 * 3 / 4)
+def naive_targets(sizes, most=3.0):
+    """Fill by weight; sources above `most` times their size stop there, and the rest is shared again."""
+    order = sorted(s for s in sizes if s is not None) + [s for s in sizes if s is None]
+    weight = {s: 1 + i % 3 for i, s in enumerate(order)}
+    full = set()
+    while True:
+        rest, shares = sum(sizes.values()) - most * sum(sizes[s] for s in full), sum(weight[s] for s in order if s not in full)
+        over = {s for s in order if s not in full and rest * weight[s] / shares > most * sizes[s]}
+        if not over:
+            return {s: most * sizes[s] if s in full else rest * weight[s] / shares for s in order}
+        full |= over
+
+
+def test_targets_against_filling_by_hand(spark, monkeypatch):
+    r = random.Random(3)
+    cases = [{"a": 10, "b": 90, None: 0}, {"a": 100, "b": 1, "c": 1000}, {f"s{i}é" if i % 3 else chr(0xFFFF - i) + "x": int(10 ** r.uniform(0, 4)) for i in range(120)} | {None: 17, "": 3}, {}]
+    for k, sizes in enumerate(cases):
+        monkeypatch.setattr(mixing, "BROADCAST_ROWS", 50_000 if k % 2 else 20)
+        df = spark.createDataFrame([(s, n, 1) for s, n in sizes.items()], "source string, size long, n long")
+        got = {x["source"]: x["target"] for x in mixing.targets(spark, df).collect()}
+        assert got == {s: pytest.approx(v) for s, v in naive_targets(sizes).items()}
+
+
+def test_mixing_against_one_flight_of_each_source(spark, monkeypatch):
+    """Blocks and levels keep the totals that one flight over a whole source keeps, for rows that are alike too."""
+    monkeypatch.setattr(mixing, "BLOCK", 40)
+    monkeypatch.setattr(mixing, "FAN", 3)
+    r = random.Random(4)
+    rows = [(None if i % 3 == 0 else i, "x " * r.randint(1, 60), r.choice("abc")) for i in range(900)] + [(None, "the same row " * 9, "b")] * 500 + [(5, "y y", "c")] * 300
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    a, b = (sorted((x["doc_id"] or -1, x["source"], x["size"], x["copies"], x["taken"]) for x in mixing.mix(spark, d).collect()) for d in (df, df.repartition(7)))
+    assert a == b and len(a) == len(rows)
+    sizes = {s: [len(t.split()) for _, t, k in rows if k == s] for s in "abc"}
+    for s, target in naive_targets({s: sum(v) for s, v in sizes.items()}).items():
+        own = [x for x in a if x[1] == s]
+        whole = int(target / sum(sizes[s]) + 1e-9)
+        assert {x[3] - whole for x in own} <= {0, 1} and all(x[4] == x[2] * x[3] for x in own)
+        flight = mixing.fly([target / sum(sizes[s]) - whole] * len(own), [float(v) for v in sizes[s]], [r.random() for _ in own], True)
+        naive = whole * sum(sizes[s]) + sum(v for v, p in zip(sizes[s], flight) if p > 0.5)
+        assert abs(sum(x[4] for x in own) - target) <= 60 and abs(naive - target) <= 60
 
 
 def test_cube_keeps_totals():
@@ -346,6 +382,58 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(x["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i, x in got.items())
 
 
+def naive_ftrl(rows, alpha, beta, l1, l2, passes):
+    """The published update, one feature at a time."""
+    from math import exp, sqrt
+
+    z, n, bz, bn = {}, {}, 0.0, 0.0
+
+    def weight(i):
+        return 0.0 if abs(z.get(i, 0.0)) <= l1 else -(z[i] - (l1 if z[i] > 0 else -l1)) / ((beta + sqrt(n[i])) / alpha + l2)
+
+    def bias():
+        return -bz / ((beta + sqrt(bn)) / alpha)
+
+    for _ in range(passes):
+        for x, y in rows:
+            w, b = {i: weight(i) for i in x}, bias()
+            g = 1 / (1 + exp(-(sum(w.values()) + b))) - y
+            for i in x:
+                z[i] = z.get(i, 0.0) + g - (sqrt(n.get(i, 0.0) + g * g) - sqrt(n.get(i, 0.0))) / alpha * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+            bz += g - (sqrt(bn + g * g) - sqrt(bn)) / alpha * b
+            bn += g * g
+    return {i: weight(i) for i in z if weight(i)}, bias()
+
+
+def naive_features(text, bits=toxicity.BITS):
+    f = toxicity.Features(bits)
+    words = [w for w in re.split(r"[\W_]+", text.lower()) if w]
+    out = {int(f.of([w])[0][0]) for w in words}
+    for gap in (1, 2, 3):
+        for a, b in zip(words, words[gap:]):
+            pair = f.words(f"{a} {b}")
+            out.add(int(f._mix(pair[:1] * np.uint64(0xD6E8FEB86659FD93) + pair[1:] + np.uint64(gap))[0]))
+    return out
+
+
+def test_toxicity_against_the_published_update(spark):
+    r = random.Random(7)
+    rows = [(i, " ".join(r.choice(["vile", "scum", "kind", "day", "sun", "tree"]) for _ in range(r.randint(0, 12)))) for i in range(150)]
+    labels = [(i, int("vile scum" in t)) for i, t in rows]
+    docs, lab = spark.createDataFrame(rows + rows[:40], "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    at, w, bias = toxicity.train(spark, docs, lab)
+    order = [x["id"] for x in spark.range(150).select("id", F.xxhash64("id").alias("h")).orderBy("h").collect()]
+    learned = [(naive_features(rows[i][1]), labels[i][1]) for i in order if zlib.crc32(str(i).encode()) % 5]
+    want, want_bias = naive_ftrl(learned, toxicity.ALPHA, toxicity.BETA, toxicity.L1, toxicity.L2, toxicity.PASSES)
+    assert dict(zip(at.tolist(), w.tolist())) == {k: pytest.approx(v) for k, v in want.items()} and bias == pytest.approx(want_bias)
+    got = {x["doc_id"]: x["score"] for x in toxicity.toxicity_scores(spark, docs, lab).collect()}
+    for i, t in rows:
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-sum(want.get(k, 0.0) for k in naive_features(t)) - want_bias)))
+    nothing = toxicity.toxicity_scores(spark, docs, lab.limit(0)).collect()
+    assert {(round(x["score"], 4), x["predicted"]) for x in nothing} == {(0.2689, 0)}
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style></head><body><nav><ul><li><a>Home</a></li></ul></nav><div class="ad">Buy {n}</div>
 <article><header><h1>Title &amp; {n}</h1></header><p>One<b> two</b> &nbsp; {n}<br>three<p>Next &lt;{n}&gt;<ul><li>a{n}<li>b{n}</ul><div class="share">Share</div><div class="comments"><p>No</p></div><script>var a="</p>";</script></article>
 <div class="x7">Again and again</div><footer>&copy; x</footer></body>"""

@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pytest
 
 from skylattice.llm import block_search, pivot_search
 
@@ -50,6 +51,62 @@ def test_nearest_is_exact(spark):
         assert [own[k + 1] for k in range(10)] == [(j, s) for s, j in best]
 
 
+def brute_top(x, ids, every, k):
+    out = {}
+    for a, i in enumerate(ids):
+        if i % every == 0:
+            best = sorted((-int(x[a] @ x[b]), j) for b, j in enumerate(ids) if j != i)[:k]
+            out |= {(i, n + 1): (j, -s) for n, (s, j) in enumerate(best)}
+    return out
+
+
+def test_many_blocks_and_ranges(spark, monkeypatch):
+    """Small blocks, so that the grid, the two passes, and pruning are used; clusters, and a third of all vectors alike."""
+    for name, n in (("ROWS", 32), ("QUERIES", 8)):
+        for module in (pivot_search, block_search):
+            monkeypatch.setattr(module, name, n)
+    rng = np.random.default_rng(3)
+    x = np.repeat(rng.normal(size=(12, 8)) * 4, 100, axis=0) + rng.normal(size=(1200, 8)) * 0.2
+    x[800:] = x[800]
+    x = x.astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(5)
+    v, ids = np.floor(256 * x), list(range(1200))
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in pivot_search.exact_top_k(spark, df, 5, 50).collect()}
+    assert got == brute_top(v, ids, 50, 5)
+    near = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in block_search.nearest(spark, df, 10, 100).collect()}
+    for q in range(0, 1200, 100):
+        exact = block_search.true_distances(np.broadcast_to(x[q], x.shape), x)
+        best = sorted((s, j) for j, s in enumerate(exact.tolist()) if j != q)[:10]
+        assert [near[(q, n + 1)] for n in range(10)] == [(j, s) for s, j in best]
+
+
+def test_bounds_hold():
+    rng = np.random.default_rng(5)
+    q, x = rng.normal(size=(20, 6)) * 100, rng.normal(size=(300, 6)) * 100
+    p = pivot_search.choose_pivots(x, 4)
+    d = pivot_search.distances(x, p)
+    part = d.argmin(1)
+    for i in range(4):
+        own, dist = x[part == i], d[part == i, i]
+        b = pivot_search.bounds(q, pivot_search.distances(q, p[i : i + 1]), dist.min(keepdims=True), dist.max(keepdims=True), (own * own).sum(1).max(keepdims=True))
+        assert (b[:, 0] >= (q @ own.T).max(1)).all()
+
+
+def test_odd_vectors(spark):
+    """Repeated ids and rows, columns with clashing names, and scores beyond a long."""
+    rows = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (0, [0.5, 9.0]), (1, [3.0, 1.0]), (1, [3.0, 1.0]), (2, [1.0, 1.0])]
+    df = spark.createDataFrame([(*r, 1, 2, "x") for r in rows], "vec_id long, embedding array<double>, dim int, part int, unit string")
+    top = sorted((r["rank"], r["vec_id"], r["score"]) for r in pivot_search.exact_top_k(spark, df).collect())
+    q = np.floor(256 * np.array([0.5, 9.0]))  # of id 0, the smallest vector asks
+    a, b = int(q @ [768, 256]), int(q @ [256, 256])
+    assert top == [(1, 1, a), (2, 1, a), (3, 2, b)]
+    near = sorted((r["rank"], r["vec_id"]) for r in block_search.nearest(spark, df).collect())
+    assert near == [(1, 1), (2, 1), (3, 2)] or near == [(1, 2), (2, 1), (3, 1)]
+    huge = spark.createDataFrame([(0, [1e30]), (1, [1e30])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="long"):
+        pivot_search.exact_top_k(spark, huge).collect()
+
+
 def test_empty_and_small_tables(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (3, [1.0, 2.0]), (1, [1.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in block_search.nearest(spark, df).collect()] == [(0, 1, 3, 0.0)]

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skylattice.llm import bpe_codec, line_dedup, mixing, near_dedup, toxicity
-from skylattice.llm.common import table
+from skylattice.llm.common import checkpoint, shared_folder, table
 from skylattice.llm.queries import VOCABULARY
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -44,11 +44,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it (none to three times). Rows of one id are taken alike, as often as the
-    one that is taken most; documents without an id are rows of one id here."""
-    docs = docs.select(*COLUMNS)
-    copies = mixing.mix(spark, docs).where("copies > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies"))
-    repeated = docs.join(copies, docs["doc_id"].eqNullSafe(copies["__id"])).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    """Each document as often as the mix takes it (none to three times). Rows of one id and rows without an id are
+    documents of their own; a number of its own for each row, written beside it, brings its copies back to it."""
+    rows = checkpoint(spark, docs.select(*COLUMNS).withColumn("__row", F.monotonically_increasing_id()))
+    copies = mixing.mix(spark, rows, carry="__row").where("copies > 0").select("__row", "copies")
+    repeated = rows.join(copies, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return repeated.select(*COLUMNS)
 
 
@@ -72,7 +72,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`, each written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{(spark.sparkContext.getCheckpointDir() or spark.conf.get('spark.checkpoint.dir', None) or '/tmp/skylattice-checkpoints').rstrip('/')}/pipeline-{uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES):
         out = f"{folder}/{i}"
         stage(spark, docs, sf_dir).write.parquet(out)

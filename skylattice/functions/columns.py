@@ -36,6 +36,12 @@ def network_rank(scores: Column) -> Column:
     return F.coalesce(F.try_element_at(ordered, F.lit(2)), F.try_element_at(ordered, F.lit(1)))
 
 
+def network_margin(chirp: Column, other: Column) -> tuple[Column, Column]:
+    """The highest of the other class's detector scores, and how far the network rank is above it."""
+    most = F.array_max(F.array_compact(other))
+    return most, network_rank(chirp) - most
+
+
 def valid_scores(scores: Column, ifos: Column) -> Column:
     """Scores of a map for the listed detectors, in their order."""
     return F.transform(ifos, lambda i: F.try_element_at(scores, i))
@@ -181,8 +187,50 @@ def dilated_bins(bins: Column, radius: int, size: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.exists(bins, lambda b: F.abs(b - i) <= radius).cast("int"))
 
 
-def relative_mask(power: Column, fraction: float = 0.08) -> Column:
-    return F.transform(power, lambda x: (x >= fraction * F.array_max(power)).cast("int"))
+def relative_mask(power: Column, fraction: float = 0.08, least: float = 1e-12) -> Column:
+    """1 where a plane reaches a share of its peak, and `least`: an empty plane has no mask."""
+    return F.transform(power, lambda x: (x >= F.greatest(fraction * F.array_max(power), F.lit(least))).cast("int"))
+
+
+def weak_mask(duration: Column, frequency: Column, quality: Column, frequency_bins: int, time_bins: int, fmin: float, fmax: float, span: float) -> Column:
+    """0/1 plane (an array of frequencies of arrays of times) of the rectangle about a trigger: half its duration, one
+    time bin at least, to both sides of the middle; frequency / quality, one bin at least, to both sides of its peak."""
+    half_time = F.least(F.greatest(duration / 2, F.lit(span / time_bins)), F.lit(span / 2))
+    half_frequency = F.greatest(F.lit((fmax - fmin) / max(frequency_bins - 1, 1)), frequency / quality)
+    time = lambda i: (i * F.lit(span / time_bins) - span / 2)
+    at = lambda i: i * F.lit((fmax - fmin) / max(frequency_bins - 1, 1)) + fmin
+    columns = F.transform(F.sequence(F.lit(0), F.lit(time_bins - 1)), lambda i: (F.abs(time(i)) <= half_time).cast("int"))
+    return F.transform(F.sequence(F.lit(0), F.lit(frequency_bins - 1)), lambda i: F.when(F.abs(at(i) - frequency) <= half_frequency, columns).otherwise(F.array_repeat(F.lit(0), time_bins)))
+
+
+def detector_availability(usable: Column, order: Sequence[str], event: Column) -> tuple[Column, Column]:
+    """0/1 for each detector in order from a map of flags, and why a set of them can't be used (null if it can)."""
+    flags = F.transform(F.array(*[F.lit(x) for x in order]), lambda x: F.coalesce(F.try_element_at(usable, x), F.lit(False)).cast("int"))
+    own = F.coalesce(F.try_element_at(usable, event), F.lit(False)) & event.isin(*order)
+    total = F.aggregate(flags, F.lit(0), lambda a, x: a + x)
+    return flags, F.when(~own, "event_ifo_unusable").when(total < 2, "fewer_than_two_usable_detectors")
+
+
+def peak_time(profiles: Column, start: Column, duration: Column) -> tuple[Column, Column, Column]:
+    """Of an array of time profiles (one for each resolution and frequency): the largest value, the first time bin that
+    has it, and the time of that bin's middle."""
+    score = F.array_max(F.transform(profiles, lambda p: F.array_max(p)))
+    at = F.array_min(F.transform(F.filter(profiles, lambda p: F.array_max(p) == score), lambda p: F.array_position(p, score))) - 1
+    return score, at.cast("int"), start + (at + 0.5) / F.size(F.element_at(profiles, 1)) * duration
+
+
+def known_label(label: Column, confidence: Column, excluded: Sequence[str], least: float) -> Column:
+    """Labels that aren't excluded, with enough confidence; nulls fail."""
+    return F.coalesce(~label.isin(*excluded) & (confidence >= least), F.lit(False))
+
+
+def all_gates(**gates: Column) -> tuple[Column, Column]:
+    """Gates by name, nulls as failed, and whether all pass."""
+    closed = {k: F.coalesce(c, F.lit(False)) for k, c in gates.items()}
+    every = F.lit(True)
+    for c in closed.values():
+        every &= c
+    return F.create_map(*[x for k, c in closed.items() for x in (F.lit(k), c)]), every
 
 
 def mask_iou(a: Column, b: Column) -> Column:
@@ -209,9 +257,29 @@ def mean_squared_error(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x) / F.size(a)
 
 
-def pair_features(s1: Column, e1: Column, p1: Column, s2: Column, e2: Column, p2: Column, score1: Column, score2: Column, limit: float, width_scale: float) -> dict[str, Column]:
-    """Gap, excess of the centre distance, widths and summed log-odds of a pair of intervals."""
+def interval_pair(s1: Column, e1: Column, s2: Column, e2: Column, score1: Column, score2: Column, limit: float, width_scale: float) -> dict[str, Column]:
+    """Features of two intervals of different detectors that need no truth: the gap between them and whether it is
+    within the limit, by how much their middles are further apart than it, their widths and their log-odds."""
     clip = lambda x: F.least(F.lit(1 - 1e-7), F.greatest(F.lit(1e-7), x))
-    logit = lambda x: F.ln(clip(x) / (1 - clip(x)))
-    gap = F.greatest(F.lit(0.0), F.greatest(s1, s2) - F.least(e1, e2))
-    return {"gap": gap, "gap_excess": F.greatest(F.lit(0.0), gap - limit), "centre_excess": F.greatest(F.lit(0.0), F.abs(p1 - p2) - limit), "width_sum": ((e1 - s1) + (e2 - s2)) / width_scale, "logit_sum": logit(score1) + logit(score2)}
+    log_odds = lambda x: F.ln(clip(x) / (1 - clip(x)))
+    width = (e1 - s1) + (e2 - s2)
+    gap = F.greatest(F.lit(0.0), s1 - e2, s2 - e1)
+    excess = F.greatest(F.lit(0.0), F.abs((s1 + e1) / 2 - (s2 + e2) / 2) - limit)
+    return {
+        "compatible": gap <= limit,
+        "interval_gap_seconds": gap,
+        "center_excess_normalized": excess / F.greatest(width / 2, F.lit(float(width_scale))),
+        "width_sum_normalized": width / width_scale,
+        "proposal_logit_sum": log_odds(score1) + log_odds(score2),
+    }
+
+
+def interval_pair_vector(s1: Column, e1: Column, p1: Column, s2: Column, e2: Column, p2: Column, score1: Column, score2: Column, limit: float, width_scale: float) -> Column:
+    """The sixteen numbers that a pair is ranked by: scores (5), widths (5), gap, excess of the middles, distance of the
+    peaks (32 widths at most), overlap, and where in its interval each peak lies. p1, p2 are the peaks."""
+    base = interval_pair(s1, e1, s2, e2, score1, score2, limit, width_scale)
+    w1, w2 = e1 - s1, e2 - s2
+    five = lambda a, b: [a, b, F.least(a, b), F.greatest(a, b), F.abs(a - b)]
+    shared = F.greatest(F.lit(0.0), F.least(e1, e2) - F.greatest(s1, s2))
+    rest = [base["interval_gap_seconds"] / limit, base["center_excess_normalized"], F.least(F.abs(p1 - p2) / width_scale, F.lit(32.0)), shared / width_scale, (p1 - s1) / w1, (p2 - s2) / w2]
+    return F.array(*[x.cast("float") for x in five(score1, score2) + [x / width_scale for x in five(w1, w2)] + rest])

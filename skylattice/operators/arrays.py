@@ -55,19 +55,49 @@ def resample_fft(values: Column, source_rate: int, target_rate: int) -> Column:
     return run(values)
 
 
-def whiten(values: Column, reference: Column, smoothing: int = 8) -> Column:
-    """Division of the spectrum by the smoothed amplitude of a reference's spectrum."""
+def decimate(values: Column, source_rate: int, target_rate: int) -> Column:
+    """Every k-th sample, after all frequencies from 0.45 of the target rate on are removed. The source rate must be a
+    multiple of the target rate; equal rates leave the samples as they are."""
+    if source_rate % target_rate:
+        raise ValueError("the source rate isn't a multiple of the target rate")
+    step = source_rate // target_rate
+
+    @F.pandas_udf("array<double>")
+    def run(series: pd.Series) -> pd.Series:
+        def one(v):
+            if step == 1:
+                return v
+            z = np.fft.rfft(v)
+            z[np.fft.rfftfreq(len(v), 1 / source_rate) >= 0.45 * target_rate] = 0
+            return np.fft.irfft(z, len(v))[::step]
+
+        return _map(series, one)
+
+    return run(values)
+
+
+def whitened(v: np.ndarray, reference: np.ndarray, smoothing: int = 129, component: bool = False) -> np.ndarray:
+    """v divided by the smoothed spectral density of a reference, so that the reference would have unit deviation."""
+    if v.shape != reference.shape or not (np.isfinite(v).all() and np.isfinite(reference).all()):
+        raise ValueError("values and reference must be finite and of one length")
+    middle = np.median(reference)
+    z = np.fft.rfft(reference - middle)
+    width = min(smoothing, max(3, len(z) // 16 * 2 + 1))
+    density = np.convolve(np.abs(z) ** 2, np.full(width, 1 / width), "same")
+    level = np.sqrt(np.maximum(density, max(1e-6 * np.median(density), np.finfo(float).tiny)))
+    scale = np.fft.irfft(z / level, len(v)).std()
+    if not scale > 1e-12:
+        raise ValueError("the whitened reference has no variance")
+    return np.fft.irfft(np.fft.rfft(v if component else v - middle) / level, len(v)) / scale
+
+
+def whiten(values: Column, reference: Column, smoothing: int = 129, component: bool = False) -> Column:
+    """Values over the density of their reference, in units of the whitened reference's deviation. A component (part of
+    a sum, as a signal in noise) keeps its level; other values lose the reference's median."""
 
     @F.pandas_udf("array<double>")
     def run(series: pd.Series, refs: pd.Series) -> pd.Series:
-        out = []
-        for v, r in zip(series, refs, strict=True):
-            v, amplitude = np.asarray(v, float), np.abs(np.fft.rfft(np.asarray(r, float)))
-            kernel = np.ones(smoothing) / smoothing
-            level = np.maximum(np.convolve(np.pad(amplitude, smoothing, mode="edge"), kernel, "same")[smoothing:-smoothing], 1e-30)
-            w = np.fft.irfft(np.fft.rfft(v) / level, len(v))
-            out.append((w / max(w.std(), 1e-30)).tolist())
-        return pd.Series(out, dtype=object)
+        return pd.Series([None if v is None or r is None else whitened(np.asarray(v, float), np.asarray(r, float), smoothing, component).tolist() for v, r in zip(series, refs, strict=True)], dtype=object)
 
     return run(values, reference)
 
@@ -86,22 +116,26 @@ def power_spectrogram(values: Column, size: int, hop: int) -> Column:
     return run(values)
 
 
-def multiresolution_power(values: Column, sizes: list[int], frequency_bins: int, time_bins: int) -> Column:
-    """Spectrograms of several window lengths on one grid, normalised, flat in the order (window, frequency, time)."""
+def resolution_plane(v: np.ndarray, rate: int, q: float, frequency_bins: int, time_bins: int, fmin: float, fmax: float) -> np.ndarray:
+    """Power over (frequency, time) with windows of q / 32 seconds, 1/16 at least and 1 at most, on a grid from fmin to
+    fmax (or half the rate) and from the first frame to the last."""
+    size = min(max(16, round(min(max(q / 32, 0.0625), 1.0) * rate)), len(v))
+    hop = max(1, (len(v) - size) // max(time_bins - 1, 1))
+    frames = np.lib.stride_tricks.sliding_window_view(v, size)[::hop] * np.hanning(size)
+    n = 1 << (size - 1).bit_length()
+    power = np.abs(np.fft.rfft(frames, n, axis=1)) ** 2
+    have, want = np.fft.rfftfreq(n, 1 / rate), np.linspace(fmin, min(fmax, rate / 2), frequency_bins)
+    rows = np.stack([np.interp(want, have, p) for p in power])
+    t = np.linspace(0, 1, len(rows))
+    return np.stack([np.interp(np.linspace(0, 1, time_bins), t, c) for c in rows.T])
+
+
+def multiresolution_power(values: Column, rate: int, q_values: list[float], frequency_bins: int, time_bins: int, fmin: float, fmax: float) -> Column:
+    """Power at several resolutions on one grid, flat in the order (q, frequency, time)."""
 
     @F.pandas_udf("array<double>")
     def run(series: pd.Series) -> pd.Series:
-        def one(v):
-            planes = []
-            for size in sizes:
-                p = np.abs(np.fft.rfft(_frames(v, size, max(1, size // 4)) * np.hanning(size), axis=1)).T ** 2
-                f = np.linspace(0, p.shape[0] - 1, frequency_bins)
-                p = np.stack([np.interp(f, np.arange(p.shape[0]), p[:, j]) for j in range(p.shape[1])], axis=1)
-                t = np.linspace(0, p.shape[1] - 1, time_bins)
-                planes.append(np.stack([np.interp(t, np.arange(p.shape[1]), row) for row in p]))
-            return np.stack(planes).ravel()
-
-        return _map(series, one)
+        return _map(series, lambda v: np.stack([resolution_plane(v, rate, q, frequency_bins, time_bins, fmin, fmax) for q in q_values]).ravel())
 
     return run(values)
 
@@ -128,23 +162,39 @@ def mask_filter(values: Column, mask: Column, size: int, hop: int, strength: flo
     return run(values, mask)
 
 
-def pack_half(values: Column) -> Column:
-    """struct(scale, packed, relative_error): values as half-precision numbers of a unit peak, with the error of it."""
+def pack_half(values: Column, most_error: float = 1e-3, least_overlap: float = 0.999999) -> Column:
+    """struct(scale, packed, relative_error, overlap): values as half-precision numbers of a unit peak. Values that
+    can't be had back within the error, or with too little overlap, are an error."""
 
-    @F.pandas_udf("scale double, packed array<float>, relative_error double")
+    @F.pandas_udf("scale double, packed array<float>, relative_error double, overlap double")
     def run(series: pd.Series) -> pd.DataFrame:
         rows = []
         for v in series:
             x = np.asarray(v, float)
-            scale = float(np.abs(x).max(initial=0)) or 1.0
-            half = (x / scale).astype(np.float16)
-            norm = np.linalg.norm(x)
-            rows.append((scale, half.astype(np.float32).tolist(), float(np.linalg.norm(half.astype(float) * scale - x) / norm) if norm else 0.0))
-        return pd.DataFrame(rows, columns=["scale", "packed", "relative_error"])
+            scale = float(np.abs(x).max(initial=0))
+            half = (x / scale if scale else x).astype(np.float16)
+            back = half.astype(float) * scale
+            norm = float(np.linalg.norm(x))
+            error = float(np.linalg.norm(back - x)) / max(norm, 1e-300)
+            both = float(np.linalg.norm(back)) * norm
+            overlap = float(back @ x) / both if both > 0 else 1.0
+            if not np.isfinite(x).all() or error > most_error or overlap < least_overlap:
+                raise ValueError(f"half precision loses too much: error {error}, overlap {overlap}")
+            rows.append((scale, half.astype(np.float32).tolist(), error, overlap))
+        return pd.DataFrame(rows, columns=["scale", "packed", "relative_error", "overlap"])
 
     return run(values)
 
 
+def unpack_half(packed: Column) -> Column:
+    return F.transform(packed["packed"], lambda x: x.cast("double") * packed["scale"])
+
+
+def mixture(background: Column, packed: Column) -> Column:
+    """A background with a packed signal added sample by sample (both of one length)."""
+    return F.zip_with(background, unpack_half(packed), lambda a, b: a + b)
+
+
 def lag_coherence(a: Column, b: Column, most: int) -> Column:
     """struct(lag, coherence): the largest |normalised correlation| over lags -most..most; the smallest lag wins ties.
     A positive lag means that b comes later."""

@@ -8,30 +8,47 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skylattice.contracts import ContractError, duplicates, require
-from skylattice.plans.joins import nearest_within
-
-
-def timing_errors(candidates: DataFrame, arrivals: DataFrame, association: float) -> DataFrame:
-    """Signed error of the candidate nearest to each arrival (method, injection, detector), within the association."""
-    a = arrivals.withColumn("__id", F.concat_ws(":", "timing_method", "injection_id", "ifo"))
-    near = nearest_within(a, candidates, ["timing_method", "injection_id", "ifo"], "__id", "arrival", "gps_peak", "candidate_id", association)
-    return near.withColumn("error", F.col("gps_peak") - F.col("arrival")).drop("__id")
-
-
-def timing_calibration(errors: DataFrame, quantile: float = 0.9, least: int = 10) -> DataFrame:
-    """Bias (median) and uncertainty (quantile of the absolute error about it) of each method with enough matches."""
-    centre = errors.groupBy("timing_method").agg(F.percentile("error", 0.5).alias("bias"), F.count("*").alias("matches"))
-    about = errors.join(F.broadcast(centre), "timing_method").withColumn("__a", F.abs(F.col("error") - F.col("bias")))
-    return about.groupBy("timing_method", "bias", "matches").agg(F.percentile("__a", quantile).alias("uncertainty")).where(F.col("matches") >= least)
-
-
-def apply_calibration(candidates: DataFrame, calibration: DataFrame) -> DataFrame:
-    """Peaks less the bias of their method; methods without a calibration are an error."""
-    unknown = candidates.select("timing_method").distinct().join(calibration.select("timing_method"), "timing_method", "left_anti")
-    require(unknown, "candidates of a method that isn't calibrated")
-    joined = candidates.join(F.broadcast(calibration.select("timing_method", "bias", "uncertainty")), "timing_method")
-    return joined.withColumn("gps_peak", F.col("gps_peak") - F.col("bias")).drop("bias")
+from skylattice.contracts import ContractError, duplicates, failing, finite, require
+from skylattice.functions.columns import all_gates, wilson
+
+
+def timing_matches(candidates: DataFrame, arrivals: DataFrame, association: float) -> DataFrame:
+    """The best candidate of each method for each arrival (injection_id, ifo, arrival) within the association: absolute
+    error and resolution; among equals the smallest candidate_id. Combines before its shuffle."""
+    near = candidates.join(arrivals, ["injection_id", "ifo"]).withColumn("error", F.abs(F.col("gps_peak") - F.col("arrival"))).where(F.col("error") <= association)
+    best = near.groupBy("timing_method", "injection_id", "ifo").agg(F.min(F.struct("error", "candidate_id", "timing_resolution_seconds")).alias("b"))
+    return best.select("timing_method", "injection_id", "ifo", "b.candidate_id", "b.error", F.col("b.timing_resolution_seconds").alias("resolution"))
+
+
+def timing_calibration(candidates: DataFrame, arrivals: DataFrame, association: float, quantile: float = 0.99, least: int = 30, most_uncertainty: float = 0.01, most_resolution: float = 0.01) -> DataFrame:
+    """For each timing method: matched arrivals out of all (with the Wilson interval), quantiles of the absolute error,
+    the largest resolution, and whether matches, resolution and uncertainty (the quantile) are good enough."""
+    if association <= 0 or not 0.5 <= quantile < 1 or least <= 0 or most_uncertainty <= 0:
+        raise ValueError("association, quantile and limits of a timing calibration are out of range")
+    require(failing(candidates, finite=finite("gps_peak", "timing_resolution_seconds")).select("candidate_id", "failed"), "a candidate's timing isn't finite")
+    by = timing_matches(candidates, arrivals, association).groupBy("timing_method").agg(
+        F.count("*").alias("matches"),
+        F.max("resolution").alias("maximum_resolution_seconds"),
+        F.percentile("error", F.array(*[F.lit(q) for q in (0.0, 0.5, 0.9, quantile, 1.0)])).alias("q"),
+    )
+    out = by.withColumn("eligible", arrivals.agg(F.count("*")).scalar())
+    low, high = wilson(F.col("matches"), F.col("eligible"))
+    gates, passed = all_gates(matches=F.col("matches") >= least, resolution=F.col("maximum_resolution_seconds") <= most_resolution, uncertainty=F.col("q")[3] <= most_uncertainty)
+    return out.select(
+        "timing_method", "matches", "eligible", (F.col("matches") / F.col("eligible")).alias("match_fraction"), low.alias("match_low"), high.alias("match_high"), "maximum_resolution_seconds",
+        *[F.col("q")[i].alias(n) for i, n in enumerate(("error_least", "error_median", "error_p90", "empirical_timing_uncertainty_seconds", "error_largest"))],
+        F.lit(quantile).alias("timing_uncertainty_quantile"), gates.alias("gates"), passed.alias("calibration_gate_passed"),
+    )
+
+
+def apply_calibration(candidates: DataFrame, calibration: DataFrame, same_provenance: bool = True) -> DataFrame:
+    """Candidates with timing_empirically_calibrated, and uncertainty and quantile of their method if it passed its gates
+    and both sides come from the same scoring. Peaks stay as they are, other candidates too. A resolution beyond what
+    was calibrated is an error."""
+    good = calibration.where(F.col("calibration_gate_passed") & F.lit(same_provenance))
+    joined = candidates.join(good.select("timing_method", "maximum_resolution_seconds", "empirical_timing_uncertainty_seconds", "timing_uncertainty_quantile"), "timing_method", "left")
+    require(joined.where("timing_resolution_seconds > maximum_resolution_seconds").select("candidate_id"), "a resolution is outside of what was calibrated")
+    return joined.withColumn("timing_empirically_calibrated", F.col("maximum_resolution_seconds").isNotNull()).drop("maximum_resolution_seconds")
 
 
 def annotation_consensus(annotations: DataFrame, task: str, annotator: str, mask: str, required: int) -> DataFrame:
@@ -50,10 +67,12 @@ def annotation_consensus(annotations: DataFrame, task: str, annotator: str, mask
     return complete.join(majority, task).join(agreement, task, "left")
 
 
-def rule_grid(pairs: DataFrame, rules: DataFrame, parent: str, features: Sequence[str], label: str, ordinal: str) -> DataFrame:
-    """For each rule (rule, a weight for each feature): share of parents whose best pair is right. `rules` is a small
-    table and is broadcast."""
-    scored = pairs.join(F.broadcast(rules)).withColumn("__s", sum(F.col(f) * F.col(f"w_{f}") for f in features))
+def rule_grid(pairs: DataFrame, rules: Sequence[tuple], parent: str, features: Sequence[str], label: str, ordinal: str) -> DataFrame:
+    """For each rule (name, a weight for each feature): share of parents whose best pair is right. Rules are parameters
+    and go along as an array; scores are rounded to nine digits, so that sums in another order tie alike."""
+    grid = F.array(*[F.struct(F.lit(r[0]).alias("rule"), F.array(*[F.lit(float(w)) for w in r[1:]]).alias("w")) for r in rules])
+    scored = pairs.withColumn("__r", F.explode(grid)).withColumn("rule", F.col("__r.rule"))
+    scored = scored.withColumn("__s", F.round(sum(F.col(f) * F.col("__r.w")[i] for i, f in enumerate(features)), 9))
     best = Window.partitionBy("rule", parent).orderBy(F.desc("__s"), ordinal)
     top = scored.withColumn("__nth", F.row_number().over(best)).where("__nth = 1")
     return top.groupBy("rule").agg(F.count("*").alias("parents"), F.avg(F.col(label).cast("int")).alias("top_1"))

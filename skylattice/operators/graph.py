@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+import tempfile
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _checkpoint(spark: SparkSession, df: DataFrame) -> DataFrame:
+def checkpoint(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """Cut the lineage through the folder that spark.checkpoint.dir names. Only a local session may do without."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/skylattice-checkpoints")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir isn't set; it must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
 
 
@@ -20,15 +28,15 @@ def connected_components(spark: SparkSession, edges: DataFrame, left: str, right
     left value of them all. Rows are linked with the smallest row of each resource; large-star and small-star steps, with
     combining minima, then halve distances until the links stay the same. The lineage is cut in every step; links that
     haven't settled after `most` steps are an error."""
-    edges = _checkpoint(spark, edges.select(F.col(left).alias("l"), F.col(right).alias("r")).where("l is not null and r is not null").distinct())
+    edges = checkpoint(spark, edges.select(F.col(left).alias("l"), F.col(right).alias("r")).where("l is not null and r is not null").distinct())
     hubs = edges.groupBy("r").agg(F.min("l").alias("v"))
-    links = _checkpoint(spark, edges.join(hubs, "r").select(F.col("l").alias("u"), "v").where("u <> v").distinct())
+    links = checkpoint(spark, edges.join(hubs, "r").select(F.col("l").alias("u"), "v").where("u <> v").distinct())
     low = lambda df: df.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     for _ in range(most):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.join(low(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = large.join(low(large), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low(large).select("u", F.col("m").alias("v")))
-        new = _checkpoint(spark, small.where("u <> v").distinct())
+        new = checkpoint(spark, small.where("u <> v").distinct())
         # of two equal sets neither has a link that the other lacks
         changed = new.join(links, ["u", "v"], "left_anti").limit(1).count() or links.join(new, ["u", "v"], "left_anti").limit(1).count()
         links = new
@@ -40,23 +48,67 @@ def connected_components(spark: SparkSession, edges: DataFrame, left: str, right
     return edges.select("l").distinct().join(found, "l", "left").select(F.col("l").alias(left), F.coalesce("c", "l").alias("component"))
 
 
-def greedy_cover(rows: Sequence[tuple[str, str]], want: dict[str, int], most: int | None = None) -> list[tuple[str, int]]:
-    """Files chosen one by one by how much they lower the deficit of labels; ties to the smaller name. `rows` are
-    (file, label) counts already aggregated in Spark, small beside the data."""
-    left, files = dict(want), {}
-    for f, lab in rows:
-        files.setdefault(f, {})
-        files[f][lab] = files[f].get(lab, 0) + 1
-    chosen = []
-    while files and (most is None or len(chosen) < most):
-        gain = {f: sum(min(n, left.get(lab, 0)) for lab, n in own.items()) for f, own in files.items()}
-        best = min(gain, key=lambda f: (-gain[f], f))
-        if gain[best] <= 0:
+def greedy_cover(spark: SparkSession, counts: DataFrame, want: int, most: int, order: Sequence[str] = ()) -> DataFrame:
+    """step, name, gain: names (files, or components of files) chosen one by one to fill labels up to `want` rows each.
+
+    counts: name, label, n, and cost (files that a name adds; 1 if the column isn't there) and columns of `order`. The
+    best gain for its cost comes first, then gain, number of labels that still lack rows, the columns of `order` (larger
+    first), and the name (smaller first). `most` bounds the sum of the costs, and so the number of rounds; a round is one
+    aggregate over the counts, and only what is chosen reaches the driver.
+    """
+    counts = checkpoint(spark, counts if "cost" in counts.columns else counts.withColumn("cost", F.lit(1)))
+    taken: list[str] = []
+    spent, out = 0, []
+    lack = counts.select("label").distinct().withColumn("lack", F.lit(want).cast("bigint"))
+    while spent < most:
+        left = counts.where((F.col("cost") + spent <= most) & (F.col("cost") > 0)).join(lack.where("lack > 0"), "label")
+        if taken:
+            left = left.where(~F.col("name").isin(taken))
+        gain = left.groupBy("name").agg(F.sum(F.least("n", "lack")).alias("gain"), F.count_if(F.col("n") > 0).alias("labels"), *[F.first(c).alias(c) for c in ("cost", *order)])
+        best = gain.orderBy(F.desc(F.round(F.col("gain") / F.col("cost"), 9)), F.desc("gain"), F.desc("labels"), *[F.desc(c) for c in order], "name").first()
+        if best is None or best["gain"] <= 0:
             break
-        chosen.append((best, gain[best]))
-        for lab, n in files.pop(best).items():
-            left[lab] = max(0, left.get(lab, 0) - n)
-    return chosen
+        taken.append(best["name"])
+        spent += best["cost"]
+        out.append((len(out), str(best["name"]), best["gain"]))
+        used = counts.where(F.col("name").isin(taken)).groupBy("label").agg(F.sum("n").alias("used"))
+        lack = counts.select("label").distinct().join(used, "label", "left").select("label", F.greatest(F.lit(0), want - F.coalesce("used", F.lit(0))).alias("lack"))
+    return spark.createDataFrame(out, "step int, name string, gain long")
+
+
+def restart_split(spark: SparkSession, groups: DataFrame, fractions: dict[str, float], trials: int, seed: int, most: int = 200_000) -> DataFrame:
+    """group_id, split: the best of many greedy splits of groups (group_id and counts). In a trial the groups, largest
+    first and equal ones in an order of its own, go where the squared relative deviation of all counts is then least.
+    Trials run side by side; the groups' counts (at most `most` rows) go along with them, and a trial returns its score.
+    """
+    names = sorted(c for c in groups.columns if c != "group_id")
+    rows = groups.select("group_id", *names).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} groups")
+    ids, x = np.array([str(r["group_id"]) for r in rows]), np.array([[float(r[c]) for c in names] for r in rows]).reshape(len(rows), len(names))
+    shared, splits = spark.sparkContext.broadcast((ids, x)), sorted(fractions)
+
+    def one(trial: int) -> tuple[float, list[int]]:
+        ids, x = shared.value
+        goal = np.outer([fractions[s] for s in splits], x.sum(0))
+        weight = 1 / np.maximum(1.0, goal)
+        tie = np.array([int(hashlib.sha256(f"{seed + trial}:{i}".encode()).hexdigest()[:13], 16) for i in ids])
+        have, to = np.zeros_like(goal), np.zeros(len(ids), int)
+        for g in np.lexsort((tie, -x.sum(1))).tolist():
+            change = (((have + x[g] - goal) * weight) ** 2 - ((have - goal) * weight) ** 2).sum(1)
+            to[g] = int(np.lexsort((np.arange(len(splits)), np.round(change, 12)))[0])
+            have[to[g]] += x[g]
+        return float((((have - goal) * weight) ** 2).sum()), to.tolist()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame([(t, one(t)[0]) for t in pdf["id"].tolist()], columns=["trial", "score"])
+
+    if not rows:
+        return spark.createDataFrame([], "group_id string, split string")
+    scores = spark.range(0, trials, 1, min(trials, spark.sparkContext.defaultParallelism)).mapInPandas(run, "trial long, score double")
+    best = scores.orderBy(F.round("score", 9), "trial").first()["trial"]
+    return spark.createDataFrame([(i, splits[k]) for i, k in zip(ids.tolist(), one(best)[1], strict=True)], "group_id string, split string")
 
 
 def next_fit(sizes: Sequence[tuple[str, int]], capacity: int) -> list[tuple[str, int]]:

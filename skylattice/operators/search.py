@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skylattice.contracts import failing, missing_references, require
 from skylattice.functions.columns import interval_distance, network_rank, time_key
 from skylattice.plans.intervals import chain_clusters
+from skylattice.plans.ranking import ranked, with_each
 from skylattice.plans.selection import prefix_to_target
 
 
@@ -27,7 +28,7 @@ def window_slides(triggers: DataFrame, slides: DataFrame, reference: str, shifte
     peak = lambda ifo: F.try_element_at(F.try_element_at(F.col("peak_times"), F.lit("chirp")), F.lit(ifo))["gps"]
     a = keyed.select("__key", F.col("window_id").alias("reference_window"), "gps_start", "gps_end", F.try_element_at("chirp_scores", F.lit(reference)).alias("score_a"), peak(reference).alias("peak_a"))
     b = keyed.select(F.col("__key").alias("__to"), F.col("window_id").alias("shifted_window"), F.try_element_at("chirp_scores", F.lit(shifted)).alias("score_b"), peak(shifted).alias("peak_b"))
-    moved = a.join(F.broadcast(slides)).withColumn("__to", F.col("__key") + time_key(F.col("offset").cast("double")))
+    moved = with_each(a, slides).withColumn("__to", F.col("__key") + time_key(F.col("offset").cast("double")))
     pairs = moved.join(b, "__to").drop("__key", "__to")
     inside = F.lit(True) if band is None else F.coalesce(F.abs(F.col("peak_a") - (F.col("peak_b") - F.col("offset"))) <= band, F.lit(False))
     return pairs.withColumn("ranking_score", network_rank(F.array("score_a", "score_b"))).withColumn("in_band", inside)
@@ -38,7 +39,7 @@ def window_pairs(windows: DataFrame, slides: DataFrame, reference: str, shifted:
     keyed = windows.withColumn("__key", time_key(F.col("gps_start").cast("double")))
     a = keyed.where(F.array_contains("ifos", reference)).select("__key", F.col("window_id").alias("a_window"), "gps_start", "gps_end")
     b = keyed.where(F.array_contains("ifos", shifted)).select(F.col("__key").alias("__to"), F.col("window_id").alias("b_window"))
-    moved = a.join(F.broadcast(slides)).withColumn("__to", F.col("__key") + time_key(F.col("offset").cast("double")))
+    moved = with_each(a, slides).withColumn("__to", F.col("__key") + time_key(F.col("offset").cast("double")))
     return moved.join(b, "__to").drop("__key", "__to")
 
 
@@ -65,13 +66,12 @@ def slide_coincidences(pairs: DataFrame, candidates: DataFrame, reference: str,
 def block_permutation_pairs(windows: DataFrame, shifts: DataFrame, reference: str, shifted: str, block_start: Column) -> DataFrame:
     """Block i with block (i + shift) mod n at the same place within the block (shift is the table's column)."""
     at = windows.withColumn("__block", block_start).withColumn("slot", F.col("gps_start") - F.col("__block"))
-    blocks = at.select("__block").distinct()
-    ranked = blocks.withColumn("index", F.row_number().over(Window.orderBy("__block")) - 1)  # a row for each block
-    n = ranked.count()
-    at = at.join(F.broadcast(ranked), "__block")
+    numbered = ranked(windows.sparkSession, at.select("__block").distinct(), ["__block"], "index")
+    n = numbered.count()
+    at = at.join(numbered, "__block")
     a = at.where(F.array_contains("ifos", reference)).select("index", "slot", F.col("window_id").alias("a_window"), (F.col("gps_end") - F.col("gps_start")).alias("duration"))
     b = at.where(F.array_contains("ifos", shifted)).select(F.col("index").alias("__to"), "slot", F.col("window_id").alias("b_window"))
-    return a.join(F.broadcast(shifts)).withColumn("__to", F.pmod(F.col("index") + F.col("shift"), F.lit(max(n, 1)))).join(b, ["__to", "slot"]).drop("__to")
+    return with_each(a, shifts).withColumn("__to", F.pmod(F.col("index") + F.col("shift"), F.lit(max(n, 1)))).join(b, ["__to", "slot"]).drop("__to")
 
 
 def exposure_schedule(exposure: DataFrame, key: str, target: float) -> DataFrame:
@@ -117,8 +117,11 @@ def injection_rankings(injections: DataFrame, candidates: DataFrame, first: str,
 
 
 def retained_at_thresholds(rows: DataFrame, thresholds: list[float], parent: str, score: str, error: str, tolerance: float) -> DataFrame:
-    """For each threshold: parents with a retained candidate, and how many of their best are within the tolerance."""
+    """For each threshold: parents with a retained candidate, how many of their best are within the tolerance, and the
+    share of those among them and among all parents."""
     grid = rows.withColumn("threshold", F.explode(F.filter(F.array(*[F.lit(t) for t in thresholds]), lambda t: F.col(score) >= t)))
     best = Window.partitionBy(parent, "threshold").orderBy(F.desc(score), error)
     top = grid.withColumn("__nth", F.row_number().over(best)).where("__nth = 1")
-    return top.groupBy("threshold").agg(F.count("*").alias("parents"), F.count_if(F.col(error) <= tolerance).alias("within"))
+    return top.groupBy("threshold").agg(F.count("*").alias("parents"), F.count_if(F.col(error) <= tolerance).alias("within")).withColumns(
+        {"conditional_rate": F.col("within") / F.col("parents"), "unconditional_rate": F.col("within") / rows.agg(F.count_distinct(parent)).scalar()}
+    )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Sequence
 
 import numpy as np
@@ -11,17 +12,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skylattice.functions.columns import wilson, zero_count_limit
+from skylattice.plans.ranking import renamed, running_sums, same_keys, with_each
 
-#: Student's t at 97.5 % by degrees of freedom, fixed values.
-T95 = (12.706205, 4.302653, 3.182446, 2.776445, 2.570582, 2.446912, 2.364624, 2.306004, 2.262157, 2.228139)
+#: Student's t at 97.5 % by degrees of freedom, fixed values. Between them the next larger degree counts, beyond 30 that
+#: of 30.
+T95 = {1: 12.706, 2: 4.303, 3: 3.182, 4: 2.776, 5: 2.571, 6: 2.447, 7: 2.365, 8: 2.306, 9: 2.262, 10: 2.228, 15: 2.131, 20: 2.086, 30: 2.042}
+#: The threshold that nothing reaches, where there is no background to take it from.
+NO_BACKGROUND = sys.float_info.max
 
 
 def survivors(df: DataFrame, keys: Sequence[str], score: str) -> DataFrame:
     """Distinct scores of each key with how many rows survive `score >= threshold`. Rows are reduced to distinct scores
-    before the window, so ties are one and the window runs over the small table."""
+    first, so ties are one; the running count of a key is spread over parts of its scores."""
     distinct = df.where(F.col(score).isNotNull()).groupBy(*keys, F.col(score).alias("threshold")).agg(F.count("*").alias("__n"))
-    by = Window.partitionBy(*keys).orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    return distinct.withColumn("survivors", F.sum("__n").over(by)).drop("__n")
+    return running_sums(distinct, keys, "threshold", {"survivors": "__n"}, descending=True).drop("__n")
 
 
 def _smallest(df: DataFrame, keys: Sequence[str], admissible: Column) -> DataFrame:
@@ -35,11 +39,15 @@ def _smallest(df: DataFrame, keys: Sequence[str], admissible: Column) -> DataFra
     return out.withColumn("threshold", F.coalesce("threshold", F.col("__top") + ulp)).withColumn("survivors", F.coalesce("survivors", F.lit(0))).drop("__top")
 
 
-def threshold_at_rate(df: DataFrame, keys: Sequence[str], score: str, live_time: Column, target: float) -> DataFrame:
+def threshold_at_rate(df: DataFrame, keys: Sequence[str], score: str, live_time: Column, target: float, all_keys: DataFrame | None = None) -> DataFrame:
     """Most permissive threshold with survivors / live time <= target. live_time may use the keys. far 0 gives a null
-    ifar and the 90 % limit of a zero count."""
+    ifar and the 90 % limit of a zero count. Keys of `all_keys` that have no score get the largest number there is."""
     ok = F.col("survivors") / live_time <= target
-    out = _smallest(survivors(df, keys, score), keys, ok).withColumn("far", F.col("survivors") / live_time)
+    out = _smallest(survivors(df, keys, score), keys, ok)
+    if all_keys is not None:
+        wanted, found = all_keys.select(*keys).distinct(), renamed(out, keys)
+        out = wanted.join(found, same_keys(wanted, found, keys), "left").select(*keys, F.coalesce("threshold", F.lit(NO_BACKGROUND)).alias("threshold"), F.coalesce("survivors", F.lit(0)).alias("survivors"))
+    out = out.withColumn("far", F.col("survivors") / live_time)
     return out.withColumn("ifar", F.when(F.col("far") > 0, 1 / F.col("far"))).withColumn("far_limit", F.when(F.col("far") == 0, zero_count_limit(live_time)))
 
 
@@ -78,27 +86,34 @@ def grouped_summary(df: DataFrame, sets: Sequence[Sequence[str]], aggregates: Se
 
 def binned_rates(df: DataFrame, bins: DataFrame, value: str, hit: Column) -> DataFrame:
     """bins (bin, lo, hi), half-open; null values go, empty bins stay with a null rate. Rows are counted per bin before
-    the join, with the bins as a broadcast table of fixed size."""
-    counted = df.where(F.col(value).isNotNull()).join(F.broadcast(bins), (F.col(value) >= F.col("lo")) & (F.col(value) < F.col("hi"))).groupBy("bin").agg(F.count("*").alias("n"), F.count_if(hit).alias("hits"))
+    the join."""
+    counted = with_each(df.where(F.col(value).isNotNull()), bins).where((F.col(value) >= F.col("lo")) & (F.col(value) < F.col("hi"))).groupBy("bin").agg(F.count("*").alias("n"), F.count_if(hit).alias("hits"))
     out = bins.join(counted, "bin", "left").withColumns({"n": F.coalesce("n", F.lit(0)), "hits": F.coalesce("hits", F.lit(0))})
     low, high = wilson(F.col("hits"), F.col("n"))
     return out.withColumn("rate", F.when(F.col("n") > 0, F.col("hits") / F.col("n"))).withColumn("low", low).withColumn("high", high)
 
 
 def auroc(df: DataFrame, keys: Sequence[str], score: str, label: str) -> DataFrame:
-    """P(score of a positive > score of a negative), ties one half: exact, from average ranks of distinct scores."""
-    distinct = df.groupBy(*keys, score).agg(F.sum(F.col(label).cast("bigint")).alias("__p"), F.sum(1 - F.col(label).cast("bigint")).alias("__q"))
-    below = F.coalesce(F.sum("__q").over(Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    wins = distinct.withColumn("__w", F.col("__p") * (below + F.col("__q") / 2))
+    """P(score of a positive > score of a negative), ties one half: exact, from average ranks of distinct scores.
+    Rows without a score don't count."""
+    distinct = df.where(F.col(score).isNotNull()).groupBy(*keys, score).agg(F.sum(F.col(label).cast("bigint")).alias("__p"), F.sum(1 - F.col(label).cast("bigint")).alias("__q"))
+    upto = running_sums(distinct, keys, score, {"__upto": "__q"})
+    wins = upto.withColumn("__w", F.col("__p") * (F.col("__upto") - F.col("__q") / 2))
     out = wins.groupBy(*keys).agg(F.sum("__w").alias("__w"), F.sum("__p").alias("positives"), F.sum("__q").alias("negatives"))
     return out.withColumn("auroc", F.when((F.col("positives") > 0) & (F.col("negatives") > 0), F.col("__w") / (F.col("positives") * F.col("negatives")))).drop("__w")
 
 
 def average_precision(df: DataFrame, keys: Sequence[str], score: str, label: str, ordinal: str) -> DataFrame:
-    """Mean precision at the hits, by falling score; ties keep their order."""
-    by = Window.partitionBy(*keys).orderBy(F.desc(score), ordinal).rowsBetween(Window.unboundedPreceding, 0)
-    at = df.withColumn("__hits", F.sum(F.col(label).cast("bigint")).over(by)).withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(score), ordinal)))
-    return at.groupBy(*keys).agg(F.avg(F.when(F.col(label).cast("bigint") == 1, F.col("__hits") / F.col("__n"))).alias("average_precision"), F.sum(F.col(label).cast("bigint")).alias("positives"))
+    """Mean precision at the hits, by falling score; ties keep their order. What lies above a score comes from running
+    sums over distinct scores, so only rows of one score are ordered together."""
+    hit = F.col(label).cast("bigint")
+    rows = df.where(F.col(score).isNotNull())
+    distinct = running_sums(rows.groupBy(*keys, score).agg(F.count("*").alias("__n"), F.sum(hit).alias("__p")), keys, score, {"__un": "__n", "__up": "__p"}, descending=True)
+    above = renamed(distinct.select(*keys, F.col(score).alias("__score"), (F.col("__un") - F.col("__n")).alias("__above"), (F.col("__up") - F.col("__p")).alias("__hits")), keys)
+    joined = rows.join(above, same_keys(rows, above, keys) & (F.col(score) == F.col("__score")))
+    ties = Window.partitionBy(*keys, score).orderBy(ordinal).rowsBetween(Window.unboundedPreceding, 0)
+    at = (F.col("__hits") + F.sum(hit).over(ties)) / (F.col("__above") + F.count("*").over(ties))
+    return joined.withColumn("__at", at).groupBy(*keys).agg(F.avg(F.when(hit == 1, F.col("__at"))).alias("average_precision"), F.sum(hit).alias("positives"))
 
 
 def top_1(df: DataFrame, parent: str, score: str, ordinal: str) -> DataFrame:
@@ -107,33 +122,34 @@ def top_1(df: DataFrame, parent: str, score: str, ordinal: str) -> DataFrame:
 
 
 def seed_summary(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """mean, sample deviation, Student's interval, least and largest over seeds (up to eleven)."""
+    """mean, sample deviation, Student's interval, least and largest over seeds."""
     out = df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("deviation"), F.min(value).alias("least"), F.max(value).alias("largest"))
-    t = F.lit(None).cast("double")
-    for i, x in enumerate(T95):
-        t = F.when(F.col("n") == i + 2, x).otherwise(t)
+    t = F.lit(T95[30])
+    for degrees, x in sorted(T95.items(), reverse=True):
+        t = F.when(F.col("n") - 1 <= degrees, x).otherwise(t)
+    t = F.when(F.col("n") > 1, t)
     half = t * F.col("deviation") / F.sqrt("n")
     return out.withColumn("low", F.col("mean") - half).withColumn("high", F.col("mean") + half)
 
 
 def posterior_metrics(df: DataFrame, keys: Sequence[str], value: str, truth: str, level: float = 0.9) -> DataFrame:
-    """mean, median, population deviation, equal-tail interval (interpolated quantiles), coverage, mean distance."""
+    """mean, median, population deviation, equal-tail interval (interpolated quantiles), coverage, mean distance. The
+    three quantiles are one aggregate over one set of counted values."""
     tail = (1 - level) / 2
     out = df.groupBy(*keys).agg(
         F.avg(value).alias("mean"),
-        F.percentile(value, 0.5).alias("median"),
+        F.percentile(value, F.array(F.lit(0.5), F.lit(tail), F.lit(1 - tail))).alias("__q"),
         F.stddev_pop(value).alias("deviation"),
-        F.percentile(value, tail).alias("low"),
-        F.percentile(value, 1 - tail).alias("high"),
         F.first(truth).alias("truth"),
         F.avg(F.abs(F.col(value) - F.col(truth))).alias("distance"),
     )
+    out = out.withColumns({n: F.col("__q")[i] for i, n in enumerate(("median", "low", "high"))}).drop("__q")
     return out.withColumn("covered", (F.col("truth") >= F.col("low")) & (F.col("truth") <= F.col("high"))).withColumn("bias", F.col("mean") - F.col("truth"))
 
 
 def power_law_fit(df: DataFrame, keys: Sequence[str], x: str, y: str, exponents: DataFrame) -> DataFrame:
     """y = c - a * x ** -alpha by least squares over a grid of alpha; a > 0 is asked for, the smallest error wins."""
-    grid = df.join(F.broadcast(exponents)).withColumn("__t", F.pow(F.col(x).cast("double"), -F.col("alpha")))
+    grid = with_each(df, exponents).withColumn("__t", F.pow(F.col(x).cast("double"), -F.col("alpha")))
     fits = grid.groupBy(*keys, "alpha").agg(
         F.count("*").alias("n"), F.sum("__t").alias("st"), F.sum(y).alias("sy"), F.sum(F.col("__t") * F.col("__t")).alias("stt"), F.sum(F.col("__t") * F.col(y)).alias("sty"), F.sum(F.col(y) * F.col(y)).alias("syy")
     )

@@ -69,8 +69,9 @@ def chain_clusters(df: DataFrame, keys: Sequence[str], time: str, score: str, ga
 
 def aligned_windows(df: DataFrame, start: str, end: str, duration: int, stride: int, block: int | None = None) -> DataFrame:
     """Windows [w, w + duration) with w a multiple of the stride, inside each row's [start, end); with a block size,
-    windows that cross a block boundary are left out."""
+    windows that cross a boundary of the row's blocks, which begin at its start, are left out."""
     first, last = F.ceil(F.col(start) / stride) * stride, F.col(end) - duration
     grid = df.where(first <= last).withColumn("window_start", F.explode(F.sequence(first.cast("bigint"), F.floor(last).cast("bigint"), F.lit(stride).cast("bigint"))))
     grid = grid.withColumn("window_end", F.col("window_start") + duration)
-    return grid if block is None else grid.where(F.floor(F.col("window_start") / block) == F.floor((F.col("window_end") - 1) / block))
+    at = lambda c: F.floor((c - F.col(start)) / block)
+    return grid if block is None else grid.where(at(F.col("window_start")) == at(F.col("window_end") - 1))

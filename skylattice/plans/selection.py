@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skylattice.plans.ranking import ranked
+
 
 def hash_split(u: Column, first: tuple[str, float], second: tuple[str, float], rest: str = "train") -> Column:
     """A split from a uniform hash: [0, f) first, [f, f + s) second, else the rest. It depends on the row alone, so late
@@ -78,7 +80,7 @@ def inverse_frequency_weights(df: DataFrame, label: str, exponent: float = 1.0,
     if most_ratio is not None:
         labels = labels.withColumn("__w", F.least("__w", F.min("__w").over(Window.partitionBy(F.lit(0))) * most_ratio))
     mean = F.sum(F.col("__w") * F.col("__n")).over(Window.partitionBy(F.lit(0))) / F.sum("__n").over(Window.partitionBy(F.lit(0)))
-    return df.join(F.broadcast(labels.withColumn("sample_weight", F.col("__w") / mean).drop("__n", "__w")), label)
+    return df.join(labels.withColumn("sample_weight", F.col("__w") / mean).drop("__n", "__w"), label)
 
 
 def split_overlaps(df: DataFrame, split: str, axes: Sequence[str]) -> DataFrame:
@@ -103,11 +105,47 @@ def positional_slice(df: DataFrame, order: Sequence, index: int, size: int, keys
     return df.withColumn("position", nth).where((F.col("position") >= index * size) & (F.col("position") < (index + 1) * size))
 
 
-def shard_ids(df: DataFrame, key: Column, per_shard: int) -> DataFrame:
-    """Shard numbers by hash order of a key; rows of one key stay together. Keys are ranked as a table of their own."""
-    keys = df.select(key.alias("__k")).distinct()
-    ranked = keys.withColumn("shard", F.floor((F.row_number().over(Window.orderBy("__k")) - 1) / per_shard))
-    return df.withColumn("__k", key).join(ranked, "__k").drop("__k")
+def shard_ids(spark: SparkSession, df: DataFrame, key: Column, per_shard: int) -> DataFrame:
+    """Shard numbers by the order of a key; rows of one key stay together. Keys are ranked as a table of their own."""
+    at = ranked(spark, df.select(key.alias("__k")).distinct(), ["__k"], "__rank").withColumn("shard", F.floor(F.col("__rank") / per_shard)).drop("__rank")
+    return df.withColumn("__k", key).join(at, "__k").drop("__k")
+
+
+def quota_bins(spark: SparkSession, df: DataFrame, identity: str, bins: Sequence[tuple[float, float, float]], seed: int) -> DataFrame:
+    """Each row with a bin (lower, upper, share) of an exact quota and a log-uniform target in it: `bin`, `target`.
+
+    Counts are the whole parts of the shares, the rest by largest remainder (the first bin among equals). Rows take the
+    bins one after the other in the order of a hash of their identity, which ranges give without a window over all rows.
+    """
+    if any(lo <= 0 or hi <= lo or share <= 0 for lo, hi, share in bins) or any(b[0] < a[1] for a, b in zip(bins, bins[1:], strict=False)):
+        raise ValueError("bins must be positive, in order, and apart")
+    n, total = df.count(), sum(b[2] for b in bins)
+    exact = [n * b[2] / total for b in bins]
+    counts = [int(x) for x in exact]
+    for i in sorted(range(len(bins)), key=lambda i: (counts[i] - exact[i], i))[: n - sum(counts)]:
+        counts[i] += 1
+    text = lambda purpose: F.concat(F.lit(f'"{seed}:'), F.col(identity).cast("string"), F.lit(f':{purpose}"'))
+    rows = ranked(spark, df.withColumn("__h", F.sha2(text("snr-quota-assignment"), 256)), ["__h", identity], "__rank").drop("__h")
+    u = F.conv(F.substring(F.sha2(text("snr-quota-target"), 256), 1, 13), 16, 10).cast("double") / float(1 << 52)
+    out, target, first = F.lit(None).cast("string"), F.lit(None).cast("double"), 0
+    for (lo, hi, _), k in zip(bins, counts, strict=True):
+        here = (F.col("__rank") >= first) & (F.col("__rank") < first + k)
+        out, target, first = F.when(here, f"{lo:g}-{hi:g}").otherwise(out), F.when(here, lo * F.pow(F.lit(hi / lo), u)).otherwise(target), first + k
+    return rows.withColumn("bin", out).withColumn("target", target).drop("__rank")
+
+
+def positives_and_some(df: DataFrame, keys: Sequence[str], positive: Column, order: Sequence, k: int | None) -> DataFrame:
+    """All positive rows, and of the others the first k of each key."""
+    marked = df.withColumn("__p", F.coalesce(positive, F.lit(False)))
+    if k is None:
+        return marked.drop("__p")
+    nth = F.row_number().over(Window.partitionBy(*keys, "__p").orderBy(*order))
+    return marked.withColumn("__nth", nth).where(F.col("__p") | (F.col("__nth") <= k)).drop("__p", "__nth")
+
+
+def best_qualified(df: DataFrame, qualified: Column, order: Sequence) -> DataFrame:
+    """The first row that qualifies in an order of several columns; none if none does."""
+    return df.where(qualified).orderBy(*order).limit(1)
 
 
 def first_passing(df: DataFrame, order: Sequence, gate: Column, score: str) -> DataFrame:

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skylattice.functions import columns as C
-from skylattice.operators import arrays, calibration, graph, search, stats
-from skylattice.plans import intervals, joins, selection
+from skylattice.operators import arrays, audits, calibration, evaluation, graph, search, stats
+from skylattice.plans import intervals, joins, ranking, selection
 
 HOUR, DAY, MICRO = 3600, 86400, 1_000_000
 
@@ -82,8 +82,8 @@ FROM c, x WHERE survivors / (exposure / 86400.0) <= 0.5""")
 def time_slide_threshold(spark, sf):
     """Flagship: windows, shifted self-join, rank by the second-highest score, exposure, threshold at a target rate."""
     pairs = _slides(spark, sf)
-    total = pairs.agg((F.count("*") * HOUR).alias("exposure"))
-    counted = stats.survivors(pairs.withColumn("k", F.lit(0)), ["k"], "rank").join(F.broadcast(total))
+    total = pairs.agg(F.count("*") * HOUR).scalar()
+    counted = stats.survivors(pairs.withColumn("k", F.lit(0)), ["k"], "rank").withColumn("exposure", total)
     ok = counted.where(F.col("survivors") / (F.col("exposure") / float(DAY)) <= 0.5)
     return ok.agg(F.round(F.min("threshold"), 6).alias("threshold"), F.max("survivors").alias("survivors"), F.first("exposure").alias("exposure"), F.round(F.max("survivors") / F.first("exposure") * DAY, 6).alias("far_per_day"))
 
@@ -101,7 +101,7 @@ def _slide_events(spark, sf):
     e = _events(spark, sf).withColumn("w", F.floor(F.col("us") / (HOUR * MICRO)) * HOUR)
     win = e.select("w").distinct()
     slides = search.slide_table(spark, 1, 6, HOUR)
-    pairs = win.join(F.broadcast(slides)).select("slide", "offset", F.col("w").alias("a_window"), (F.col("w") + F.col("offset")).alias("b_window"))
+    pairs = ranking.with_each(win, slides).select("slide", "offset", F.col("w").alias("a_window"), (F.col("w") + F.col("offset")).alias("b_window"))
     pairs = pairs.join(win.withColumnRenamed("w", "b_window"), "b_window").withColumn("offset", F.col("offset") * MICRO)
     cand = e.where(F.col("event_type").isin("purchase", "view")).select(F.col("w").alias("window_id"), F.col("event_id").alias("candidate_id"), F.col("us").alias("gps_peak"), F.col("value").alias("score"), F.col("event_type").alias("ifo"))
     return pairs, search.slide_coincidences(pairs, cand, "purchase", "view", 120 * MICRO, 300 * MICRO)
@@ -217,8 +217,8 @@ def veto_anti_join(spark, sf):
     """Events of a minute that overlap no padded error of their user."""
     e = _events(spark, sf)
     v = e.where("event_type = 'error'").select("user_id", (F.col("us") - HOUR * MICRO).alias("vs"), (F.col("us") + HOUR * MICRO).alias("ve"))
-    rows = e.where("event_type <> 'error'").withColumn("end", F.col("us") + 60 * MICRO).withColumn("__row", F.col("event_id"))
-    free = joins.without_overlap(rows, "us", "end", v, "vs", "ve", 3 * HOUR * MICRO, ["user_id"])
+    rows = e.where("event_type <> 'error'").withColumn("end", F.col("us") + 60 * MICRO)
+    free = joins.without_overlap(rows, "us", "end", v, "vs", "ve", 3 * HOUR * MICRO, "event_id", ["user_id"])
     return free.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
 
 
@@ -411,7 +411,7 @@ SELECT g::BIGINT AS g, round(avg(v), 4) AS mean, round(quantile_cont(v, 0.5), 4)
   any_value(truth) BETWEEN quantile_cont(v, 0.05) AND quantile_cont(v, 0.95) AS covered FROM g GROUP BY 1""")
 def posterior_metrics(spark, sf):
     li = _t(spark, sf, "lineitem").select((F.col("l_suppkey") % 20).alias("g"), F.col("l_extendedprice").alias("v"))
-    li = li.join(F.broadcast(li.agg(F.avg("v").alias("truth"))))
+    li = li.withColumn("truth", li.agg(F.avg("v")).scalar())
     out = stats.posterior_metrics(li, ["g"], "v", "truth", 0.9)
     return out.select("g", *[F.round(c, 4).alias(c) for c in ("mean", "median", "deviation", "low", "high")], "covered")
 
@@ -430,7 +430,7 @@ def power_law_fit(spark, sf):
 
 
 @query("""WITH y AS (SELECT year(l_shipdate) AS g, l_linenumber AS seed, avg(l_quantity) AS v FROM lineitem GROUP BY 1, 2), s AS (SELECT g, count(*) AS n, avg(v) AS m, stddev_samp(v) AS d, min(v) AS a, max(v) AS b FROM y GROUP BY 1),
-t(n, t) AS (VALUES (2, 12.706205), (3, 4.302653), (4, 3.182446), (5, 2.776445), (6, 2.570582), (7, 2.446912))
+t(n, t) AS (VALUES (2, 12.706), (3, 4.303), (4, 3.182), (5, 2.776), (6, 2.571), (7, 2.447))
 SELECT g::INTEGER AS g, s.n, round(m, 6) AS mean, round(d, 6) AS deviation, round(m - t * d / sqrt(s.n), 6) AS low, round(m + t * d / sqrt(s.n), 6) AS high, round(a, 6) AS least, round(b, 6) AS largest FROM s LEFT JOIN t ON s.n = t.n""")
 def seed_summary(spark, sf):
     y = _t(spark, sf, "lineitem").groupBy(F.year("l_shipdate").alias("g"), "l_linenumber").agg(F.avg("l_quantity").alias("v"))
@@ -444,15 +444,13 @@ def regex_group_id(spark, sf):
     return _t(spark, sf, "pages").select("page_id", F.lower(F.regexp_extract("url", "//([^/?#]+)", 1)).alias("host"), F.coalesce(F.when(number != "", number.cast("bigint")), F.lit(-1)).alias("article"))
 
 
-@query("""WITH w AS (SELECT l_partkey, avg(l_quantity) AS v, count(*) AS n, bit_and(l_suppkey::BIGINT) AS common_bits, bit_or(l_linenumber::BIGINT) AS any_bits, sum(l_quantity * l_quantity) AS sq, min(l_quantity) AS a, max(l_quantity) AS b, count(*) FILTER (WHERE l_suppkey & 4 > 0) AS third_bit FROM lineitem GROUP BY 1)
-SELECT l_partkey % 50 AS g, count(*) AS parts, sum(n)::BIGINT AS lines, bit_and(common_bits) AS common_bits, bit_or(any_bits) AS any_bits, round(sum(sq), 2) AS squares, min(a) AS least, max(b) AS largest, sum(third_bit)::BIGINT AS third_bit FROM w GROUP BY 1""")
+@query("""SELECT l_partkey % 50 AS g, count(l_quantity) AS n, round(sum(l_quantity), 2) AS total, round(sum(l_quantity * l_quantity), 2) AS squares, min(l_quantity)::DOUBLE AS least, max(l_quantity)::DOUBLE AS largest, 0.0::DOUBLE AS nan_share,
+  bit_and(l_suppkey::BIGINT) AS all_bits, bit_or(l_suppkey::BIGINT) AS any_bits, [count(*) FILTER (WHERE l_suppkey & 1 > 0), count(*) FILTER (WHERE l_suppkey & 2 > 0), count(*) FILTER (WHERE l_suppkey & 4 > 0)] AS bit_counts FROM lineitem GROUP BY 1""")
 def moments_and_bits(spark, sf):
-    """Streaming moments and bit masks: partial sums, bitwise and/or, bit counts."""
-    li = _t(spark, sf, "lineitem").select("l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
-    return li.groupBy((F.col("l_partkey") % 50).alias("g")).agg(
-        F.count_distinct("l_partkey").alias("parts"), F.count("*").alias("lines"), F.bit_and(F.col("l_suppkey").cast("bigint")).alias("common_bits"), F.bit_or(F.col("l_linenumber").cast("bigint")).alias("any_bits"),
-        F.round(F.sum(F.col("l_quantity") * F.col("l_quantity")), 2).alias("squares"), F.min("l_quantity").alias("least"), F.max("l_quantity").alias("largest"), F.sum(F.shiftright(F.col("l_suppkey"), 2).bitwiseAND(F.lit(1))).cast("bigint").alias("third_bit"),
-    )
+    """Streamed moments, share of NaN, and bit masks: partial sums, bitwise and/or, how many rows have each bit."""
+    li = _t(spark, sf, "lineitem").select((F.col("l_partkey") % 50).alias("g"), "l_suppkey", "l_quantity")
+    out = audits.moments(li, ["g"], "l_quantity", "l_suppkey", 3)
+    return out.withColumns({c: F.round(c, 2) for c in ("total", "squares")})
 
 
 @query("""WITH s AS (SELECT *, CASE WHEN doc_id % 10 < 7 THEN 'train' ELSE 'val' END AS split FROM documents), l AS (SELECT split, unnest([{'axis': 'source', 'value': source}, {'axis': 'lang', 'value': lang}, {'axis': 'digest', 'value': sha256(text)}]) AS x FROM s)
@@ -497,15 +495,15 @@ def jaccard_neighbours(spark, sf):
     return t.join(b, ["doc_id", "lang"]).select(F.col("doc_id").alias("a"), (F.col("doc_id") + 1).alias("b"), F.round(C.set_jaccard(F.col("w"), F.col("v")), 9).alias("jaccard"))
 
 
-@query("""WITH x AS (SELECT l_orderkey, unnest(list_filter([10, 20, 30, 40], lambda t: l_quantity >= t)) AS threshold, l_extendedprice AS s, l_discount AS e FROM lineitem),
+@query("""WITH x AS (SELECT l_orderkey, unnest(list_filter([10, 20, 30, 40], lambda t: l_quantity >= t)) AS threshold, l_quantity AS s, l_discount AS e FROM lineitem),
 r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, threshold ORDER BY s DESC, e) AS i FROM x)
-SELECT threshold::DOUBLE AS threshold, count(*) AS parents, count(*) FILTER (WHERE e <= 0.05) AS within FROM r WHERE i = 1 GROUP BY 1""")
+SELECT threshold::DOUBLE AS threshold, count(*) AS parents, count(*) FILTER (WHERE e <= 0.05) AS within, round(count(*) FILTER (WHERE e <= 0.05) / count(*), 9) AS conditional_rate,
+  round(count(*) FILTER (WHERE e <= 0.05) / (SELECT count(DISTINCT l_orderkey) FROM lineitem), 9) AS unconditional_rate FROM r WHERE i = 1 GROUP BY 1""")
 def retained_at_thresholds(spark, sf):
     """A row is in every group whose threshold it reaches; the best of each order and threshold counts."""
-    li = _t(spark, sf, "lineitem").select("l_orderkey", "l_quantity", "l_extendedprice", "l_discount")
-    x = li.withColumn("threshold", F.explode(F.filter(F.array(*[F.lit(float(t)) for t in (10, 20, 30, 40)]), lambda t: F.col("l_quantity") >= t)))
-    top = selection.top_k(x, ["l_orderkey", "threshold"], [F.desc("l_extendedprice"), "l_discount"], 1)
-    return top.groupBy("threshold").agg(F.count("*").alias("parents"), F.count_if(F.col("l_discount") <= 0.05).alias("within"))
+    li = _t(spark, sf, "lineitem").select("l_orderkey", "l_quantity", "l_discount")
+    out = search.retained_at_thresholds(li, [10.0, 20.0, 30.0, 40.0], "l_orderkey", "l_quantity", "l_discount", 0.05)
+    return out.withColumns({c: F.round(c, 9) for c in ("conditional_rate", "unconditional_rate")})
 
 
 @query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS i, count(*) OVER (PARTITION BY n_regionkey) AS n FROM nation),
@@ -529,15 +527,16 @@ SELECT s_suppkey, n_nationkey, (i // n)::BIGINT AS turn FROM s JOIN b ON i % n =
 def round_robin_assignment(spark, sf):
     s = _t(spark, sf, "supplier").select("s_suppkey")
     b = _t(spark, sf, "nation").select("n_nationkey")
-    return joins.round_robin(s, b, [C.seeded_hash(2, F.col("s_suppkey").cast("string"))], ["n_nationkey"]).select("s_suppkey", "n_nationkey", "turn")
+    return joins.round_robin(spark, s, b, [C.seeded_hash(2, F.col("s_suppkey").cast("string"))], ["n_nationkey"]).select("s_suppkey", "n_nationkey", "turn")
 
 
-@query("""WITH l AS (SELECT o_custkey, o_orderpriority AS d, max(o_totalprice) AS p FROM orders GROUP BY 1, 2)
-SELECT o_custkey, round(max(p) FILTER (WHERE d = '1-URGENT'), 2) AS first, round(max(p) FILTER (WHERE d = '2-HIGH'), 2) AS second FROM l GROUP BY 1 HAVING count(*) FILTER (WHERE d IN ('1-URGENT', '2-HIGH')) = 2""")
+@query("""WITH l AS (SELECT o_custkey, o_orderpriority AS d, round(max(o_totalprice), 2) AS p, min(o_orderkey) AS k FROM orders GROUP BY 1, 2)
+SELECT o_custkey, max(p) FILTER (WHERE d = '1-URGENT') AS "1-URGENT_p", max(k) FILTER (WHERE d = '1-URGENT') AS "1-URGENT_k", max(p) FILTER (WHERE d = '2-HIGH') AS "2-HIGH_p", max(k) FILTER (WHERE d = '2-HIGH') AS "2-HIGH_k"
+FROM l GROUP BY 1 HAVING count(*) FILTER (WHERE d IN ('1-URGENT', '2-HIGH')) = 2""")
 def aligned_pivot(spark, sf):
     """Keys that have all wanted detectors, side by side."""
-    p = _t(spark, sf, "orders").where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).groupBy("o_custkey").pivot("o_orderpriority", ["1-URGENT", "2-HIGH"]).agg(F.round(F.max("o_totalprice"), 2))
-    return p.select("o_custkey", F.col("`1-URGENT`").alias("first"), F.col("`2-HIGH`").alias("second")).where("first is not null and second is not null")
+    rows = _t(spark, sf, "orders").groupBy("o_custkey", F.col("o_orderpriority").alias("d")).agg(F.round(F.max("o_totalprice"), 2).alias("p"), F.min("o_orderkey").alias("k"))
+    return joins.aligned(rows, "o_custkey", "d", ["1-URGENT", "2-HIGH"], ["p", "k"])
 
 
 @query("""SELECT doc_id, sha256('"' || source || '"') AS quoted, substr(sha256('{"lang":"' || lang || '","source":"' || source || '"}'), 1, 16) AS canonical,
@@ -576,39 +575,53 @@ def bootstrap_ci(spark, sf):
 
 @query()
 def greedy_cover(spark, sf):
-    """Suppliers chosen one by one until each part size has ten; the counts are aggregated before the driver sees them."""
-    j = _t(spark, sf, "lineitem").select("l_suppkey", "l_partkey").join(_t(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
-    rows = [(str(r[0]), r[1]) for r in j.select("l_suppkey", "p_brand").distinct().orderBy("l_suppkey", "p_brand").collect()]
-    chosen = graph.greedy_cover(rows, dict.fromkeys({b for _, b in rows}, 3))
-    return spark.createDataFrame([(i, f, g) for i, (f, g) in enumerate(chosen)], "step int, supplier string, gain int")
+    """Suppliers chosen one by one until each brand has three parts, for no more than forty; each round is an aggregate."""
+    j = _t(spark, sf, "lineitem").select("l_suppkey", "l_partkey").distinct().join(_t(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
+    return graph.greedy_cover(spark, j.groupBy(F.col("l_suppkey").alias("name"), F.col("p_brand").alias("label")).agg(F.count("*").alias("n")), 3, 40)
 
 
-@query(f"""WITH {EV}, n AS (SELECT c.event_id, (e.us - c.us) / 1e6 AS error, c.user_id % 2 AS method, row_number() OVER (PARTITION BY c.event_id ORDER BY abs(c.us - e.us), e.event_id) AS nth
-  FROM ev c JOIN ev e ON c.user_id = e.user_id AND c.event_type = 'click' AND e.event_type = 'view' AND abs(c.us - e.us) <= 14400000000),
-b AS (SELECT method, quantile_cont(error, 0.5) AS bias, count(*) AS matches FROM n WHERE nth = 1 GROUP BY 1)
-SELECT b.method::BIGINT AS timing_method, matches, round(bias, 6) AS bias, round(quantile_cont(abs(error - bias), 0.9), 6) AS uncertainty FROM n JOIN b ON n.method = b.method WHERE nth = 1 GROUP BY 1, 2, 3""")
+ARRIVALS = f"""a AS (SELECT user_id AS injection_id, event_type AS ifo, min(us) / 1e6 AS arrival FROM ev WHERE event_type IN ('click', 'view') GROUP BY 1, 2),
+c AS (SELECT event_id AS candidate_id, user_id AS injection_id, event_type AS ifo, CASE WHEN event_id % 3 = 0 THEN 'slow' ELSE 'fast' END AS timing_method, us / 1e6 AS gps_peak, (event_id % 7 + 1) / 1000.0 AS resolution FROM ev WHERE event_type IN ('click', 'view')),
+b AS (SELECT *, row_number() OVER (PARTITION BY timing_method, injection_id, ifo ORDER BY abs(gps_peak - arrival), candidate_id) AS nth, abs(gps_peak - arrival) AS error FROM c JOIN a USING (injection_id, ifo) WHERE abs(gps_peak - arrival) <= 86400),
+m AS (SELECT timing_method, count(*) AS matches, (SELECT count(*) FROM a) AS eligible, max(resolution) AS r, quantile_cont(error, 0.5) AS q5, quantile_cont(error, 0.9) AS q9, quantile_cont(error, 0.99) AS q99, max(error) AS most FROM b WHERE nth = 1 GROUP BY 1)"""
+
+
+def _timing(spark, sf):
+    e = _events(spark, sf).where(F.col("event_type").isin("click", "view")).select("event_id", F.col("user_id").alias("injection_id"), F.col("event_type").alias("ifo"), (F.col("us") / 1e6).alias("gps_peak"))
+    arrivals = e.groupBy("injection_id", "ifo").agg(F.min("gps_peak").alias("arrival"))
+    candidates = e.withColumns({"candidate_id": F.col("event_id"), "timing_method": F.when(F.col("event_id") % 3 == 0, "slow").otherwise("fast"), "timing_resolution_seconds": (F.col("event_id") % 7 + 1) / 1000.0}).drop("event_id")
+    return candidates, calibration.timing_calibration(candidates, arrivals, float(DAY), most_uncertainty=50_000.0)
+
+
+@query(f"""WITH {EV}, {ARRIVALS}
+SELECT timing_method, matches, eligible, round(matches / eligible, 9) AS match_fraction, round({_w('matches', 'eligible', '-')}, 9) AS match_low, r::DOUBLE AS maximum_resolution_seconds, round(q5, 6) AS error_median, round(q9, 6) AS error_p90,
+  round(q99, 6) AS empirical_timing_uncertainty_seconds, round(most, 6) AS error_largest, matches >= 30 AND r <= 0.01 AND q99 <= 50000 AS calibration_gate_passed FROM m""")
 def timing_calibration(spark, sf):
-    """Errors of the nearest views of clicks, their median and the 90 % quantile about it, for two methods."""
-    e = _events(spark, sf).withColumn("timing_method", F.col("user_id") % 2).withColumn("ifo", F.lit("H1")).withColumn("t", F.col("us") / 1e6)
-    arrivals = e.where("event_type = 'click'").select("timing_method", F.col("user_id").alias("injection_id"), "ifo", "event_id", F.col("us").alias("arrival"))
-    views = e.where("event_type = 'view'").select("timing_method", F.col("user_id").alias("injection_id"), "ifo", F.col("event_id").alias("candidate_id"), F.col("us").alias("gps_peak"))
-    near = joins.nearest_within(arrivals, views, ["timing_method", "injection_id", "ifo"], "event_id", "arrival", "gps_peak", "candidate_id", 4 * HOUR * MICRO)
-    errors = near.withColumn("error", (F.col("gps_peak") - F.col("arrival")) / 1e6)
-    out = calibration.timing_calibration(errors, 0.9, 1)
-    return out.select("timing_method", "matches", F.round("bias", 6).alias("bias"), F.round("uncertainty", 6).alias("uncertainty"))
+    """Absolute errors of the best candidate of each method for each arrival, their quantiles, and the gates."""
+    out = _timing(spark, sf)[1]
+    names = ("match_fraction", "match_low"), ("error_median", "error_p90", "empirical_timing_uncertainty_seconds", "error_largest")
+    return out.select("timing_method", "matches", "eligible", *[F.round(c, 9).alias(c) for c in names[0]], "maximum_resolution_seconds", *[F.round(c, 6).alias(c) for c in names[1]], "calibration_gate_passed")
+
+
+@query(f"""WITH {EV}, {ARRIVALS}, g AS (SELECT * FROM m WHERE matches >= 30 AND r <= 0.01 AND q99 <= 50000)
+SELECT timing_method, g.q99 IS NOT NULL AS calibrated, count(*) AS n, round(max(gps_peak), 3) AS latest, round(min(gps_peak), 3) AS earliest, round(max(q99), 6) AS uncertainty FROM c LEFT JOIN g USING (timing_method) GROUP BY 1, 2""")
+def calibrated_candidates(spark, sf):
+    """Candidates of methods that passed are annotated; peaks don't move."""
+    candidates, cal = _timing(spark, sf)
+    out = calibration.apply_calibration(candidates, cal)
+    return out.groupBy("timing_method", F.col("timing_empirically_calibrated").alias("calibrated")).agg(F.count("*").alias("n"), F.round(F.max("gps_peak"), 3).alias("latest"), F.round(F.min("gps_peak"), 3).alias("earliest"), F.round(F.max("empirical_timing_uncertainty_seconds"), 6).alias("uncertainty"))
 
 
 @query("""WITH r(rule, a, b) AS (VALUES (0, 1.0, 0.0), (1, 0.0, 1.0), (2, 1.0, 50.0)),
-s AS (SELECT rule, l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_returnflag = 'R' AS y, l_quantity * a + l_discount * b AS s FROM lineitem CROSS JOIN r),
-t AS (SELECT *, row_number() OVER (PARTITION BY rule, l_orderkey ORDER BY round(s, 6) DESC, l_linenumber, l_partkey, l_extendedprice) AS i FROM s)
+s AS (SELECT rule, l_orderkey, l_linenumber * 10000000000 + l_partkey * 10000 + l_suppkey AS k, l_returnflag = 'R' AS y, l_quantity * a + l_discount * b AS s FROM lineitem CROSS JOIN r),
+t AS (SELECT *, row_number() OVER (PARTITION BY rule, l_orderkey ORDER BY round(s, 9) DESC, k) AS i FROM s)
 SELECT rule::INTEGER AS rule, count(*) AS parents, round(avg(y::INT), 9) AS top_1 FROM t WHERE i = 1 GROUP BY 1""")
 def rule_grid_top_1(spark, sf):
     """The best line of each order under each rule of a grid, and how often it is right."""
-    rules = spark.createDataFrame([(0, 1.0, 0.0), (1, 0.0, 1.0), (2, 1.0, 50.0)], "rule int, a double, b double")
-    li = _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_discount", "l_returnflag")
-    s = li.join(F.broadcast(rules)).withColumn("s", F.round(F.col("l_quantity") * F.col("a") + F.col("l_discount") * F.col("b"), 6))
-    top = selection.top_k(s, ["rule", "l_orderkey"], [F.desc("s"), "l_linenumber", "l_partkey", "l_extendedprice"], 1)
-    return top.groupBy("rule").agg(F.count("*").alias("parents"), F.round(F.avg((F.col("l_returnflag") == "R").cast("int")), 9).alias("top_1"))
+    k = F.col("l_linenumber").cast("bigint") * 10_000_000_000 + F.col("l_partkey") * 10_000 + F.col("l_suppkey")
+    li = _t(spark, sf, "lineitem").select("l_orderkey", k.alias("k"), "l_quantity", "l_discount", (F.col("l_returnflag") == "R").alias("y"))
+    out = calibration.rule_grid(li, [(0, 1.0, 0.0), (1, 0.0, 1.0), (2, 1.0, 50.0)], "l_orderkey", ["l_quantity", "l_discount"], "y", "k")
+    return out.withColumn("top_1", F.round("top_1", 9))
 
 
 @query("""SELECT p_partkey, round(pow(p_size * p_retailprice, 0.6) / pow(p_size + p_retailprice, 0.2), 6) AS chirp_mass, round(least(p_size, p_retailprice) / greatest(p_size, p_retailprice), 9) AS mass_ratio,
@@ -620,13 +633,14 @@ def scalar_functions(spark, sf):
     return p.select("p_partkey", F.round(C.chirp_mass(size, price), 6).alias("chirp_mass"), F.round(C.mass_ratio(size, price), 9).alias("mass_ratio"), C.composition((size > 25).cast("int"), (price > 1400).cast("int")).alias("composition"), F.round(C.interval_distance(size, F.lit(10.0), F.lit(20.0)), 6).alias("distance"), C.arrival_gate(size - 30, F.lit(5.0), F.lit(1.0)).alias("gate"))
 
 
-@query("""WITH a AS (SELECT o_custkey, avg(o_totalprice) AS v FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1), b AS (SELECT o_custkey, avg(o_totalprice) AS v FROM orders WHERE o_orderpriority = '5-LOW' GROUP BY 1)
-SELECT c_mktsegment AS stratum, count(*) AS pairs, round(sum(a.v - b.v), 2) AS total, count(*) FILTER (WHERE a.v >= 200000) AS found_a, count(*) FILTER (WHERE b.v >= 200000) AS found_b
-FROM a JOIN b USING (o_custkey) JOIN customer ON c_custkey = o_custkey GROUP BY 1""")
+@query("""WITH a AS (SELECT o_custkey, avg(o_totalprice) AS v FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1), b AS (SELECT o_custkey, avg(o_totalprice) AS v FROM orders WHERE o_orderpriority = '5-LOW' GROUP BY 1),
+j AS (SELECT c_mktsegment, c_acctbal + 1000 AS w, a.v >= 200000 AS x, b.v >= 200000 AS y FROM a JOIN b USING (o_custkey) JOIN customer ON c_custkey = o_custkey)
+SELECT CASE WHEN grouping(c_mktsegment) = 1 THEN 'all' ELSE c_mktsegment END AS stratum, count(*) AS injections, round(sum(w), 2) AS weight, round(sum(CASE WHEN y THEN w ELSE 0 END) - sum(CASE WHEN x THEN w ELSE 0 END), 2) AS delta,
+  round(sum(CASE WHEN x THEN w ELSE 0 END) / sum(w), 9) AS efficiency_a, round(sum(CASE WHEN y THEN w ELSE 0 END) / sum(w), 9) AS efficiency_b FROM j GROUP BY GROUPING SETS ((), (c_mktsegment))""")
 def paired_efficiency_by_stratum(spark, sf):
-    """Two arms paired on a key; sums of differences and counts found by each, by stratum."""
+    """Two arms paired on a key: weights found by each and their difference, overall and by stratum."""
     o = _t(spark, sf, "orders")
     arm = lambda p, n: o.where(F.col("o_orderpriority") == p).groupBy("o_custkey").agg(F.avg("o_totalprice").alias(n))
-    c = _t(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("stratum"))
-    j = arm("1-URGENT", "a").join(arm("5-LOW", "b"), "o_custkey").join(c, "o_custkey")
-    return j.groupBy("stratum").agg(F.count("*").alias("pairs"), F.round(F.sum(F.col("a") - F.col("b")), 2).alias("total"), F.count_if(F.col("a") >= 200000).alias("found_a"), F.count_if(F.col("b") >= 200000).alias("found_b"))
+    c = _t(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("stratum"), (F.col("c_acctbal") + 1000).alias("w"))
+    out = evaluation.paired_arms(arm("1-URGENT", "a").join(arm("5-LOW", "b"), "o_custkey").join(c, "o_custkey"), F.col("a") >= 200000, F.col("b") >= 200000, F.col("w"), "stratum")
+    return out.select(F.when(F.col("overall"), "all").otherwise(F.col("stratum")).alias("stratum"), "injections", F.round("weight", 2).alias("weight"), F.round("delta", 2).alias("delta"), *[F.round(f"efficiency_{x}", 9).alias(f"efficiency_{x}") for x in "ab"])

@@ -2,17 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StructType
+
+from skylattice.contracts import ContractError, duplicates, failing, require
+
+
+def read_manifest(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines with a fixed schema; blank lines are skipped, a malformed line is an error. Rows have no order of their
+    own: operators that need positions take a column of the manifest."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
+def read_checked(spark: SparkSession, path: str, schema: str, **checks: Column) -> DataFrame:
+    """JSON lines whose rows pass all checks; an error names the first rows and what they fail."""
+    rows = read_manifest(spark, path, schema)
+    require(failing(rows, **checks), "a row breaks a rule")
+    return rows
 
-from skylattice.contracts import ContractError, duplicates, require
 
+def read_arrays(spark: SparkSession, path: str, column: str) -> DataFrame:
+    """One row for each name of a map name -> samples in Parquet: the columns beside it, name, samples. Samples must be
+    there and finite."""
+    df = spark.read.parquet(path)
+    out = df.select(*[c for c in df.columns if c != column], F.explode(column).alias("name", "samples"))
+    good = (F.size("samples") > 0) & F.forall("samples", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    require(failing(out, samples=good).select("name", "failed"), "an array is empty or not finite")
+    return out
+
+
+def binary_mask(df: DataFrame, column: str) -> DataFrame:
+    """A mask of numbers from 0 to 1 as 0/1, from 0.5 on 1; other numbers are an error."""
+    require(failing(df, mask=F.forall(column, lambda x: x.between(0, 1))).select("failed"), "a mask has values beyond 0 and 1")
+    return df.withColumn(column, F.transform(column, lambda x: (x >= 0.5).cast("int")))
 
-def read_manifest(spark: SparkSession, path: str, schema: str, ordinal: bool = False) -> DataFrame:
-    """JSON lines with a fixed schema; blank lines are skipped, a malformed line is an error. `_ord` numbers rows in
-    file order where an operator needs positions."""
-    df = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-    return df.withColumn("_ord", F.monotonically_increasing_id()) if ordinal else df
+
+def concatenate_shards(spark: SparkSession, paths: list[str], schema: str, path: str, key: str) -> None:
+    """JSON lines of several shards as one output, read and written in one pass; a key in two shards is an error."""
+    rows = spark.read.schema(schema).option("mode", "FAILFAST").json(paths)
+    require(duplicates(rows, key), "a row is in two shards")
+    rows.write.mode("errorifexists").json(path)
 
 
 def read_manifest_errors(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -43,11 +75,16 @@ def select_split(df: DataFrame, split: str, ids: tuple[str, ...] = ("window_id",
 
 
 def read_labelled_images(spark: SparkSession, images: str, labels: str) -> DataFrame:
-    """Image files with their label files, joined by file stem: sizes, digests, polygons and errors."""
+    """Image files with their label files, joined by file stem: sizes, digests, polygons and errors. An image without a
+    label, a label without an image, and a stem that is there twice are errors."""
     stem = lambda: F.regexp_extract(F.col("path"), r"([^/]+)\.[^./]+$", 1)
     a = spark.read.format("binaryFile").load(images).select(stem().alias("sample_id"), F.col("path").alias("image"), F.sha2("content", 256).alias("image_sha256"), F.col("length").alias("image_bytes"))
     b = spark.read.format("binaryFile").load(labels).select(stem().alias("sample_id"), F.col("path").alias("label"), F.sha2("content", 256).alias("label_sha256"), F.decode("content", "UTF-8").alias("__text"))
-    return parse_polygons(a.join(b, "sample_id"), "__text").drop("__text")
+    for side in (a, b):
+        require(duplicates(side, "sample_id"), "a stem is there twice")
+    joined = a.join(b, "sample_id", "full_outer")
+    require(joined.where("image is null or label is null").select("sample_id", "image", "label"), "an image or a label is alone")
+    return parse_polygons(joined, "__text").drop("__text")
 
 
 def parse_polygons(df: DataFrame, text: str) -> DataFrame:
@@ -82,12 +119,24 @@ def write_manifest(df: DataFrame, path: str, once: bool = False) -> None:
     df.write.mode("errorifexists" if once else "overwrite").json(path)
 
 
+def _finite(field: Column, kind: DataType) -> Column:
+    """Whether all numbers of a field are finite, nested ones too; nulls are."""
+    if isinstance(kind, (DoubleType, FloatType)):
+        return F.coalesce(~F.isnan(field) & (F.abs(field) < float("inf")), F.lit(True))
+    if isinstance(kind, StructType):
+        parts = [_finite(field[f.name], f.dataType) for f in kind.fields]
+        return reduce(lambda a, b: a & b, parts, F.lit(True))
+    if isinstance(kind, ArrayType):
+        return F.coalesce(F.forall(field, lambda x: _finite(x, kind.elementType)), F.lit(True))
+    if isinstance(kind, MapType):
+        return F.coalesce(F.forall(F.map_values(field), lambda x: _finite(x, kind.valueType)), F.lit(True))
+    return F.lit(True)
+
+
 def write_report(df: DataFrame, path: str) -> None:
-    """A one-row report; NaN and infinities are refused."""
-    numbers = [c for c, k in df.dtypes if k in ("double", "float")]
-    bad = df.where(" or ".join(f"isnan(`{c}`) or abs(`{c}`) = double('infinity')" for c in numbers)) if numbers else df.limit(0)
-    require(bad, "a report holds a number that isn't finite")
-    df.write.mode("overwrite").json(path)
+    """A one-row report with its fields in order of their names; NaN and infinities are refused wherever they stand."""
+    require(failing(df, **{f.name: _finite(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields}).select("failed"), "a report holds a number that isn't finite")
+    df.select(*[F.col(f"`{c}`") for c in sorted(df.columns)]).write.mode("overwrite").json(path)
 
 
 def write_csv(df: DataFrame, path: str, order: str) -> None:

@@ -27,14 +27,15 @@ def without_vetoes(stream: DataFrame, time: str, vetoes: DataFrame) -> DataFrame
     return rows.join(v, (rows["__day"] == v["__day"]) & (F.col(time) >= v["__s"]) & (F.col(time) < v["__e"]), "left_anti").drop("__day")
 
 
-def ingest_shards(stream: DataFrame, path: str, checkpoint: str, key: str, split: Column, late: str | None = None, time: str | None = None, process: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
+def ingest_shards(stream: DataFrame, path: str, checkpoint: str, key: str, split: Column, late: str, time: str, process: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
     """Append new rows once, in folders of their split, in as many batches as there are waiting, then stop.
 
-    The split depends on the row alone, so late shards never change earlier ones. The batch number names the folder that
+    A key that comes again within the watermark is left out; older keys are forgotten, so the state is bounded. The
+    split depends on the row alone, so late shards never change earlier ones. The batch number names the folder that
     a batch writes, so a batch that is repeated after a failure replaces its own output.
     """
     rows = stream.withColumn("split", split)
-    rows = rows.withWatermark(time, late).dropDuplicatesWithinWatermark([key]) if late and time else rows.dropDuplicates([key])
+    rows = rows.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
 
     def write(batch: DataFrame, number: int) -> None:
         out = process(batch) if process else batch

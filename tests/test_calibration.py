@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -8,16 +9,29 @@ from skylattice import contracts
 from skylattice.operators import calibration, generators
 
 
-def test_calibration_takes_the_nearest_and_applies_the_bias(spark):
-    arrivals = spark.createDataFrame([("m", f"i{n}", "H1", 100.0 * n) for n in range(11)], "timing_method string, injection_id string, ifo string, arrival double")
-    cand = spark.createDataFrame([("m", f"i{n}", "H1", f"c{n}", 100.0 * n + 0.01) for n in range(11)] + [("m", "i0", "H1", "far", 0.3)], "timing_method string, injection_id string, ifo string, candidate_id string, gps_peak double")
-    cal = calibration.timing_calibration(calibration.timing_errors(cand, arrivals, 0.5), least=10)
-    r = cal.first()
-    assert (r["matches"], round(r["bias"], 6), round(r["uncertainty"], 6)) == (11, 0.01, 0.0)
-    moved = {x["candidate_id"]: x["gps_peak"] for x in calibration.apply_calibration(cand, cal).collect()}
-    assert moved["c3"] == pytest.approx(300.0)
+CANDIDATE = "timing_method string, injection_id string, ifo string, candidate_id string, gps_peak double, timing_resolution_seconds double"
+
+
+def test_calibration_takes_absolute_errors_of_the_best_candidates(spark):
+    arrivals = spark.createDataFrame([(f"i{n}", "H1", 100.0 * n) for n in range(12)], "injection_id string, ifo string, arrival double")
+    errors = [0.001 * (n + 1) * (-1) ** n for n in range(11)]
+    rows = [("m", f"i{n}", "H1", f"c{n}", 100.0 * n + e, 0.004) for n, e in enumerate(errors)]
+    rows += [("m", "i0", "H1", "far", 0.3, 0.9), ("m", "i11", "H1", "beyond", 1100.6, 0.001), ("few", "i1", "H1", "f", 100.0, 0.02), ("m", "i3", "L1", "x", 300.0, 0.5)]
+    cand = spark.createDataFrame(rows, CANDIDATE)
+    cal = calibration.timing_calibration(cand, arrivals, 0.5, quantile=0.9, least=10, most_uncertainty=0.0101)
+    by = {r["timing_method"]: r for r in cal.collect()}
+    want = np.quantile(np.abs(errors), [0, 0.5, 0.9, 1])
+    m = by["m"]
+    assert (m["matches"], m["eligible"], m["maximum_resolution_seconds"], m["calibration_gate_passed"]) == (11, 12, 0.004, True)
+    assert [m[k] for k in ("error_least", "error_median", "empirical_timing_uncertainty_seconds", "error_largest")] == pytest.approx(want.tolist(), abs=1e-9)
+    assert by["few"]["gates"] == {"matches": False, "resolution": False, "uncertainty": True} and not by["few"]["calibration_gate_passed"]
+    some = cand.where("timing_resolution_seconds <= 0.004 or timing_method = 'few'")
+    got = {x["candidate_id"]: x for x in calibration.apply_calibration(some, cal).collect()}
+    assert got["c3"]["timing_empirically_calibrated"] and got["c3"]["gps_peak"] == rows[3][4] and got["c3"]["empirical_timing_uncertainty_seconds"] == pytest.approx(want[2])
+    assert not got["f"]["timing_empirically_calibrated"] and got["f"]["empirical_timing_uncertainty_seconds"] is None
+    assert not any(x["timing_empirically_calibrated"] for x in calibration.apply_calibration(some, cal, same_provenance=False).collect())
     with pytest.raises(contracts.ContractError):
-        calibration.apply_calibration(cand.withColumn("timing_method", F.lit("other")), cal)
+        calibration.apply_calibration(cand, cal)
 
 
 def test_consensus_of_an_odd_panel(spark):

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from skylattice import contracts
 from skylattice.functions import columns as C
 from skylattice.operators import arrays
 from skylattice.sources import manifests
@@ -93,22 +94,72 @@ def test_lag_coherence(spark):
 
 def test_kernels_against_numpy(spark):
     rng = np.random.default_rng(0)
-    x = np.cumsum(rng.normal(size=256))
-    df = spark.createDataFrame([(x.tolist(), rng.normal(size=256).tolist())], "x array<double>, r array<double>")
+    x, ref = np.cumsum(rng.normal(size=512)), rng.normal(size=512) * 3 + 7
+    df = spark.createDataFrame([(x.tolist(), ref.tolist())], "x array<double>, r array<double>")
     r = df.select(
-        arrays.linear_resample(F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: i.cast("double")), F.col("x"), F.array(F.lit(0.5), F.lit(300.0))).alias("lin"),
-        arrays.resample_fft(F.col("x"), 256, 128).alias("down"),
+        arrays.linear_resample(F.transform(F.sequence(F.lit(0), F.lit(511)), lambda i: i.cast("double")), F.col("x"), F.array(F.lit(0.5), F.lit(600.0))).alias("lin"),
+        arrays.resample_fft(F.col("x"), 512, 256).alias("down"),
+        arrays.decimate(F.col("x"), 512, 128).alias("fourth"),
+        arrays.decimate(F.col("x"), 512, 512).alias("equal"),
         arrays.pack_half(F.col("x")).alias("half"),
-        arrays.whiten(F.col("x"), F.col("r")).alias("white"),
+        arrays.whiten(F.col("r"), F.col("r")).alias("own"),
+        arrays.whiten(F.col("x"), F.col("r"), component=True).alias("part"),
+        arrays.whiten(F.transform("x", lambda v: 2 * v), F.col("r"), component=True).alias("twice"),
         arrays.robust_normalise(F.transform("x", lambda v: v * v)).alias("norm"),
-        arrays.mask_filter(F.col("x"), F.array_repeat(F.lit(0.0), 33 * 17), 64, 16).alias("same"),
-        F.size(arrays.multiresolution_power(F.col("x"), [32, 64], 8, 10)).alias("n"),
+        arrays.mask_filter(F.col("x"), F.array_repeat(F.lit(0.0), 33 * 33), 64, 16).alias("same"),
+        arrays.multiresolution_power(F.col("x"), 256, [4.0, 16.0, 64.0], 8, 10, 16.0, 100.0).alias("planes"),
         arrays.comoving_distance(F.lit(0.1)).alias("d"),
     ).first()
-    assert r["lin"] == pytest.approx([(x[0] + x[1]) / 2, x[255]])
-    assert len(r["down"]) == 128 and r["half"]["relative_error"] < 1e-3 and len(r["white"]) == 256
-    assert np.median(r["norm"]) == pytest.approx(0, abs=1e-9) and r["n"] == 160
-    assert np.allclose(r["same"][8:-8], x[8:-8]) and r["d"] == pytest.approx(433, abs=5)
+    assert r["lin"] == pytest.approx([(x[0] + x[1]) / 2, x[511]]) and len(r["down"]) == 256 and r["equal"] == x.tolist()
+    z = np.fft.rfft(x)
+    z[np.fft.rfftfreq(512, 1 / 512) >= 57.6] = 0
+    assert r["fourth"] == pytest.approx(np.fft.irfft(z)[::4].tolist())
+    assert r["half"]["relative_error"] < 1e-3 and np.std(r["own"]) == pytest.approx(1) and r["twice"] == pytest.approx([2 * v for v in r["part"]])
+    assert np.median(r["norm"]) == pytest.approx(0, abs=1e-9) and np.allclose(r["same"][8:-8], x[8:-8]) and r["d"] == pytest.approx(433, abs=5)
+    planes = np.array(r["planes"]).reshape(3, 8, 10)
+    for q, plane in zip((4.0, 16.0, 64.0), planes):
+        size = max(16, round(min(max(q / 32, 1 / 16), 1) * 256))
+        n = 1 << int(np.ceil(np.log2(size)))
+        starts = range(0, 512 - size + 1, max(1, (512 - size) // 9))
+        power = np.array([np.abs(np.fft.rfft(x[s : s + size] * np.hanning(size), n)) ** 2 for s in starts])
+        at = [np.interp(np.linspace(16, 100, 8), np.fft.rfftfreq(n, 1 / 256), p) for p in power]
+        want = np.array([np.interp(np.linspace(0, 1, 10), np.linspace(0, 1, len(at)), col) for col in np.array(at).T])
+        assert np.allclose(plane, want)
+
+
+def test_half_precision_has_a_gate(spark):
+    df = spark.createDataFrame([([1.0, 1 / 3, 1e-3],)], "x array<double>")
+    with pytest.raises(Exception, match="half precision"):
+        df.select(arrays.pack_half(F.col("x"), most_error=1e-6)).collect()
+    with pytest.raises(Exception, match="half precision"):
+        df.select(arrays.pack_half(F.array(F.lit(1.0), F.lit(float("nan"))))).collect()
+    zero = spark.createDataFrame([([0.0, 0.0],)], "x array<double>").select(arrays.pack_half(F.col("x")).alias("h")).first()["h"]
+    assert (zero["scale"], zero["packed"], zero["overlap"]) == (0.0, [0.0, 0.0], 1.0)
+    df = spark.createDataFrame([([1.0, -2.0, 0.5],)], "x array<double>").withColumn("h", arrays.pack_half(F.col("x"))).select(arrays.mixture(F.array(*[F.lit(10.0)] * 3), F.col("h")).alias("m"))
+    assert df.first()["m"] == [11.0, 8.0, 10.5]
+
+
+def test_interval_pairs(spark):
+    c = [F.lit(float(v)) for v in (10, 14, 11, 16, 18, 17.5, 0.2, 1.0)]
+    s1, e1, p1, s2, e2, p2, x, y = c
+    f = spark.range(1).select(*[v.alias(k) for k, v in C.interval_pair(s1, e1, s2, e2, x, y, 1.0, 2.0).items()], C.interval_pair_vector(s1, e1, p1, s2, e2, p2, x, y, 1.0, 2.0).alias("v")).first()
+    assert (f["compatible"], f["interval_gap_seconds"], f["center_excess_normalized"], f["width_sum_normalized"]) == (False, 2.0, pytest.approx(4 / 3), 3.0)
+    assert f["proposal_logit_sum"] == pytest.approx(np.log(0.25) + np.log((1 - 1e-7) / 1e-7))
+    assert f["v"] == pytest.approx([0.2, 1, 0.2, 1, 0.8, 2, 1, 1, 2, 1, 2, 4 / 3, 3.25, 0, 0.25, 0.75])
+
+
+def test_masks_and_availability(spark):
+    assert one(spark, C.relative_mask(F.array(F.lit(0.0), F.lit(0.0)))) == [0, 0] and one(spark, C.relative_mask(F.array(F.lit(1.0), F.lit(0.08), F.lit(0.07)))) == [1, 1, 0]
+    m = np.array(one(spark, C.weak_mask(F.lit(2.0), F.lit(50.0), F.lit(5.0), 11, 8, 0.0, 100.0, 8.0)))
+    t, f = np.linspace(-4, 4, 8, endpoint=False), np.linspace(0, 100, 11)
+    assert (m == (np.abs(f - 50) <= 10)[:, None] & (np.abs(t) <= 1)[None, :]).all()
+    usable = F.create_map(F.lit("H1"), F.lit(True), F.lit("L1"), F.lit(True), F.lit("V1"), F.lit(False))
+    for event, want in (("H1", None), ("V1", "event_ifo_unusable"), ("K1", "event_ifo_unusable")):
+        flags, reason = C.detector_availability(usable, ["H1", "L1", "V1"], F.lit(event))
+        assert (one(spark, flags), one(spark, reason)) == ([1, 1, 0], want)
+    profiles = F.array(F.array(*[F.lit(v) for v in (0.1, 0.9, 0.2)]), F.array(*[F.lit(v) for v in (0.9, 0.3, 0.2)]))
+    score, at, peak = C.peak_time(profiles, F.lit(100.0), F.lit(6.0))
+    assert (one(spark, score), one(spark, at), one(spark, peak)) == (0.9, 0, 101.0)
 
 
 def test_polygons_and_manifests(spark, tmp_path):
@@ -124,6 +175,27 @@ def test_polygons_and_manifests(spark, tmp_path):
         manifests.write_manifest(rows, path, once=True)
 
 
+def test_reports_arrays_and_masks(spark, tmp_path):
+    good = spark.createDataFrame([(1, {"a": [1.0, 2.0]}, (3.0,))], "z int, m map<string,array<double>>, s struct<v:double>")
+    manifests.write_report(good, str(tmp_path / "r"))
+    assert "".join(p.read_text() for p in (tmp_path / "r").glob("part*")).strip() == '{"m":{"a":[1.0,2.0]},"s":{"v":3.0},"z":1}'
+    for bad in ([1, {"a": [1.0, float("nan")]}, (3.0,)], [1, {}, (float("inf"),)]):
+        with pytest.raises(contracts.ContractError):
+            manifests.write_report(spark.createDataFrame([tuple(bad)], good.schema), str(tmp_path / "x"))
+    good.write.parquet(str(tmp_path / "p"))
+    assert [tuple(r) for r in manifests.read_arrays(spark, str(tmp_path / "p"), "m").select("z", "name", "samples").collect()] == [(1, "a", [1.0, 2.0])]
+    mask = spark.createDataFrame([([0.2, 0.5, 1.0],)], "m array<double>")
+    assert manifests.binary_mask(mask, "m").first()["m"] == [0, 1, 1]
+    with pytest.raises(contracts.ContractError):
+        manifests.binary_mask(mask.select(F.array(F.lit(1.5)).alias("m")), "m")
+    for i in (1, 2):
+        (tmp_path / f"s{i}.jsonl").write_text('{"id": "w%d"}\n\n' % i)
+    manifests.concatenate_shards(spark, [str(tmp_path / "s1.jsonl"), str(tmp_path / "s2.jsonl")], "id string", str(tmp_path / "all"), "id")
+    assert sorted(r["id"] for r in spark.read.json(str(tmp_path / "all")).collect()) == ["w1", "w2"]
+    with pytest.raises(contracts.ContractError):
+        manifests.concatenate_shards(spark, [str(tmp_path / "s1.jsonl")] * 2, "id string", str(tmp_path / "again"), "id")
+
+
 def test_quality_defaults_to_all_bits(spark):
     df = spark.createDataFrame([("H1", 100, [1, 3], None)], "ifo string, gps_start long, dqmask array<bigint>, injmask array<bigint>")
     assert [tuple(r) for r in manifests.quality_seconds(df).orderBy("gps").collect()] == [("H1", 100, 1, -1), ("H1", 101, 3, -1)]
@@ -135,10 +207,11 @@ def test_stream_ingest_is_exactly_once(spark, tmp_path):
     src, out, ck = (str(tmp_path / x) for x in ("src", "out", "ck"))
     spark.createDataFrame([(1, "a"), (2, "b"), (2, "b")], "id long, k string").write.parquet(src)
     split = F.when(F.col("id") % 2 == 0, "val").otherwise("train")
+    run = lambda: ingest.ingest_shards(spark.readStream.schema("id long, k string").parquet(src).withColumn("t", F.timestamp_seconds(F.lit(1_700_000_000))), out, ck, "id", split, "1 day", "t").awaitTermination(120)
     for _ in range(2):
-        ingest.ingest_shards(spark.readStream.schema("id long, k string").parquet(src), out, ck, "id", split).awaitTermination(120)
+        run()
         spark.createDataFrame([(2, "b"), (3, "c")], "id long, k string").write.mode("append").parquet(src)
-    ingest.ingest_shards(spark.readStream.schema("id long, k string").parquet(src), out, ck, "id", split).awaitTermination(120)
+    run()
     assert sorted((r["id"], r["split"]) for r in spark.read.parquet(out).collect()) == [(1, "train"), (2, "val"), (3, "train")]
 
 

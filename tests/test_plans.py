@@ -56,6 +56,8 @@ def test_windows_are_nested_in_blocks(spark):
     df = spark.createDataFrame([(0, 16)], "s long, e long")
     assert rows(intervals.aligned_windows(df, "s", "e", 8, 4).select("window_start")) == [(0,), (4,), (8,)]
     assert rows(intervals.aligned_windows(df, "s", "e", 8, 4, block=8).select("window_start")) == [(0,), (8,)]
+    later = spark.createDataFrame([(3, 22)], "s long, e long")  # blocks start with the row
+    assert rows(intervals.aligned_windows(later, "s", "e", 4, 2, block=8).select("window_start")) == [(4,), (6,), (12,), (14,)]
 
 
 def test_contiguous_runs_report_overlap(spark):
@@ -86,7 +88,9 @@ def test_asof_takes_the_last_before_and_keeps_misses(spark):
 def test_veto_is_strict(spark):
     df = spark.createDataFrame([(0, 0, 10), (1, 10, 20), (2, 25, 90), (3, 91, 95)], "id int, s long, e long")
     v = spark.createDataFrame([(10, 12), (80, 91)], "vs long, ve long")
-    assert rows(joins.without_overlap(df, "s", "e", v, "vs", "ve", 16).select("id")) == [(0,), (3,)]
+    assert rows(joins.without_overlap(df, "s", "e", v, "vs", "ve", 16, "id").select("id")) == [(0,), (3,)]
+    odd = spark.createDataFrame([(9, None, 5), (10, 3, None), (11, 4, 4)], df.schema)  # nothing to overlap with
+    assert rows(joins.without_overlap(df.unionByName(odd), "s", "e", v, "vs", "ve", 16, "id").select("id")) == [(0,), (3,), (9,), (10,), (11,)]
 
 
 def test_thresholds(spark):
@@ -190,7 +194,6 @@ def test_components_of_a_long_chain(spark):
 
 
 def test_greedy_helpers():
-    assert graph.greedy_cover([("a", "x"), ("a", "y"), ("b", "x"), ("c", "z")], {"x": 1, "y": 1, "z": 1}) == [("a", 2), ("c", 1)]
     assert graph.next_fit([("a", 2), ("b", 2), ("c", 1)], 3) == [("a", 0), ("b", 1), ("c", 1)]
     assert graph.one_use_match([("g1", frozenset({"H1"})), ("g2", frozenset({"H1"}))], [("i1", frozenset({"L1"})), ("i2", frozenset({"H1", "L1"}))]) == [("g1", "i2")]
     split = graph.balanced_split([(f"g{i}", {"x": 1}) for i in range(10)], {"train": 0.6, "val": 0.2, "test": 0.2})

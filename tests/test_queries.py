@@ -37,14 +37,14 @@ def compare(spark, name, query, sql):
 
 
 def test_core_queries_equal_their_sql(spark):
-    from skylattice import queries
+    from skylattice import queries, search_queries  # noqa: F401
 
     for name, sql in queries.ORACLES.items():
         compare(spark, name, queries.QUERIES[name], sql)
 
 
 def test_queries_without_sql_run(spark):
-    from skylattice import queries
+    from skylattice import queries, search_queries  # noqa: F401
 
     for name in queries.QUERIES.keys() - queries.ORACLES.keys():
         assert queries.QUERIES[name](spark, SF).count() > 0, name

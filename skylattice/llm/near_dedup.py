@@ -350,8 +350,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percen
     if hot.count() <= BROADCAST_IDS:
         hot = F.broadcast(hot)
     bounded = _bounded(spark, cand.where("long"), classes.join(in_long, "rep", "left_semi"), percent, hot, frequent)
-    best = Window.partitionBy("b").orderBy(F.desc("shared"), "a")
-    cand = checkpoint(spark, cand.where("not long").select("a", "b", "shared").unionByName(bounded).withColumn("nth", F.row_number().over(best)))
+    # the most promising partners of each class; of a pivot, of each of its slices
+    best = Window.partitionBy("b", "slice").orderBy(F.desc("shared"), "a")
+    cand = cand.where("not long").select("a", "b", "shared").unionByName(bounded).join(hot.withColumnRenamed("end", "b"), "b", "left")
+    cand = cand.withColumn("slice", F.pmod(F.xxhash64(F.lit(47), F.col("a")), F.coalesce("slices", F.lit(1)))).withColumn("nth", F.row_number().over(best))
+    cand = checkpoint(spark, cand.select("a", "b", "shared", "nth"))
     sets = sets_of(cand.select(F.col("a").alias("rep")).unionByName(cand.select(F.col("b").alias("rep"))).distinct())
 
     links = checkpoint(spark, _confirmed(cand.where(F.col("nth") <= PARTNERS), sets, percent, hot))

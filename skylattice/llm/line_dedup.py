@@ -59,8 +59,11 @@ def keep_bitmaps(spark: SparkSession, docs: DataFrame, min_chars: int = 20, min_
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs with the kept lines joined by \\n in the text column, and __n_lines and __n_dropped beside.
 
-    The bitmaps are the small side of the join: they are hashed, and the texts are dealt out but not sorted.
+    The bitmaps are the small side of the join: they are hashed, and the texts are dealt out but not sorted. Null and
+    empty texts are one empty line and come back as the empty text; rows without an id keep all lines. Columns of the
+    input that are named like those that are made here are replaced.
     """
+    docs = docs.drop(*{ID, TEXT, DIGEST, WORDS, "__ld_bits", "__n_lines", "__n_dropped"})
     maps = keep_bitmaps(spark, docs, min_chars, min_docs, id_col, text_col)
     left = docs.withColumn(DIGEST, F.xxhash64(docs[text_col]))
     joined = left.join(maps.hint("shuffle_hash"), (left[id_col] == maps[ID]) & (left[DIGEST] == maps[DIGEST]), "left").drop(maps[DIGEST])

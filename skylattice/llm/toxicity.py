@@ -149,7 +149,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: st
 
     Null and empty texts get the score of the bias alone. Without labelled rows there is nothing to learn from: every
     score is 1 / (1 + e) = 0.27, and no document is toxic. Labels, language, source and id are no inputs of a score.
-    Rows are kept one for one, repeated ones too; an empty table gives an empty result.
+    Rows are kept one for one, repeated ones too; an empty table gives an empty result. Columns of the input named
+    __toxic_score or __toxic are replaced.
     """
     at, w, bias = train(spark, docs, labels, id_col, text_col, sample)
     if not len(at) and bias == 0:

@@ -562,6 +562,25 @@ def test_style_tree_finds_what_comes_back(spark):
     assert {x["page_id"]: x["text"] for x in got} == {n: f"Text {n} of its own\n\nMore {n} here" for n in range(40)}
 
 
+def test_values_of_odd_rows(spark, odd):
+    """What the docstrings say of nulls, blanks, repeated rows, and columns named like those that are made."""
+    clash = odd.withColumns({c: F.lit("mine") for c in ("__toxic_score", "__toxic", "__n_lines", "__n_dropped", "__ld_id", "__ld_text", "__ld_digest", "__ld_words", "__ld_bits", "carried", "s", "label", "features")})
+    key = lambda x: (x["doc_id"] is None, x["doc_id"] or 0)
+    lang = sorted(language_id.language_id(spark, clash).collect(), key=key)
+    assert [x["lang_pred"] == "und" for x in lang] == [True, True, True, False, False, False, False, True, False, False]
+    assert [x["score"] == 0 for x in lang] == [x["lang_pred"] == "und" for x in lang] and all(0 <= x["score"] <= 1 for x in lang)
+    mix = sorted(mixing.mix(spark, clash).collect(), key=key)
+    assert [x["size"] for x in mix] == [0, 0, 0, 3, 3, 60_000, 60_000, 2, 3, 8] and all(0 <= x["taken"] <= 3 * x["size"] and x["taken"] == x["copies"] * x["size"] for x in mix)
+    assert {x["source"]: x["source_size"] for x in mix} == {None: 0, "a": 9, "b": 120_008, "c": 2}
+    labels = spark.createDataFrame([(4, 0), (4, 1), (7, None), (None, 1)], "doc_id long, toxic int")
+    tox = sorted(toxicity.toxicity(spark, clash, labels).collect(), key=key)
+    assert all(0 <= x["__toxic_score"] <= 1 and x["__toxic"] == int(x["__toxic_score"] >= 0.5) and x["key"] == "k" for x in tox)
+    assert tox[0]["__toxic_score"] == tox[1]["__toxic_score"] == tox[2]["__toxic_score"]
+    lines = sorted(line_dedup.drop_repeated_lines(spark, clash, min_chars=5, min_docs=2).collect(), key=key)
+    assert [x["__n_lines"] for x in lines] == [1, 1, 2, 1, 1, 1, 1, 1, 1, 2] and [x["__n_dropped"] for x in lines] == [0, 0, 0, 0, 0, 1, 0, 0, 0, 0]
+    assert [x["text"] for x in lines[:2]] == ["", ""] and lines[5]["text"] == "" and len(lines[6]["text"]) > 200_000 and lines[9]["text"].startswith("a line") and all(x["key"] == "k" for x in lines)
+
+
 def test_odd_rows_and_empty_tables(spark, odd):
     labels = spark.createDataFrame([(4, 1, 0), (None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int")
     runs = {

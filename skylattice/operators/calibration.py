@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skylattice.contracts import ContractError, duplicates, failing, finite, require
+from skylattice.contracts import ContractError, broken_dependency, duplicates, failing, finite, missing_references, require, uncontrolled
 from skylattice.functions.columns import all_gates, wilson
 
 
@@ -78,13 +79,19 @@ def rule_grid(pairs: DataFrame, rules: Sequence[tuple], parent: str, features: S
     return top.groupBy("rule").agg(F.count("*").alias("parents"), F.avg(F.col(label).cast("int")).alias("top_1"))
 
 
-def override_crop(rows: DataFrame, overrides: DataFrame, key: str, values: str, first: str) -> DataFrame:
-    """Values with the crop that starts at `first` (from 0) replaced where there is an override; the rest stays."""
-    o = overrides.select(key, F.col(values).alias("__crop"))
+def override_crop(rows: DataFrame, overrides: DataFrame, key: str, values: str, first: str, digest: str | None = None) -> DataFrame:
+    """Values with the crop that starts at `first` (from 0) replaced where there is an override; the rest stays. With
+    `digest` an override must name the digest of the row that it was made for. Two overrides of a row are an error, and
+    so are those of no row."""
+    require(duplicates(overrides, key), "a row has two overrides")
+    require(missing_references(overrides, rows, key), "an override belongs to no row")
+    o = overrides.select(key, F.col(values).alias("__crop"), *([F.col(digest).alias("__digest")] if digest else []))
     joined = rows.join(o, key, "left")
+    if digest:
+        require(joined.where(F.col("__crop").isNotNull() & ~F.col(digest).eqNullSafe(F.col("__digest"))).select(key), "an override was made for other values")
     size = F.size("__crop")
     new = F.concat(F.slice(values, F.lit(1), F.col(first)), F.col("__crop"), F.slice(values, F.col(first) + size + 1, F.greatest(F.lit(0), F.size(values) - F.col(first) - size)))
-    return joined.withColumn(values, F.when(F.col("__crop").isNotNull(), new).otherwise(F.col(values))).drop("__crop")
+    return joined.withColumn(values, F.when(F.col("__crop").isNotNull(), new).otherwise(F.col(values))).drop("__crop", "__digest")
 
 
 def conditions_side_by_side(df: DataFrame, keys: Sequence[str], condition: str, wanted: Sequence[str], value: str) -> DataFrame:
@@ -107,12 +114,13 @@ def score_rows(df: DataFrame, load: Callable[[], Callable[[pd.DataFrame], pd.Dat
     return df.mapInPandas(run, schema)
 
 
-def merge_shards(shards: Sequence[DataFrame], identity: Sequence[str], key: str, block: str, split: str) -> DataFrame:
-    """Shards of one identity as one table: common identity columns, unique keys, no block in two splits."""
-    from functools import reduce
-
-    from skylattice.contracts import broken_dependency, uncontrolled
-
+def merge_shards(shards: Sequence[DataFrame], identity: Sequence[str], key: str, block: str, split: str, ranges: Sequence[tuple[int, int]] | None = None) -> DataFrame:
+    """Shards of one identity as one table: common identity columns, unique keys, no block in two splits, and (where the
+    half-open ranges of the shards are given) no range that is empty or overlaps another."""
+    if ranges is not None:
+        order = sorted(ranges)
+        if any(a >= b for a, b in order) or any(b[0] < a[1] for a, b in zip(order, order[1:], strict=False)):
+            raise ContractError("ranges of shards overlap or are empty")
     out = reduce(DataFrame.unionByName, shards)
     require(uncontrolled(out, *identity), "shards differ in their identity")
     require(duplicates(out, key), "a row is in two shards")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skylattice.plans.ranking import earlier_parts
+
 
 def interval_union(df: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:
     """Length of the union of intervals per key, their number and the number of islands; touching intervals merge."""
@@ -57,12 +59,27 @@ def threshold_runs(df: DataFrame, keys: Sequence[str], position: str, value: str
     return runs.groupBy(*keys, "__run").agg(F.min(position).alias("first"), F.max(position).alias("last"), F.count("*").alias("length"), best.alias("peak"), F.max(value).alias("peak_value")).where(F.col("length") >= least).drop("__run")
 
 
-def chain_clusters(df: DataFrame, keys: Sequence[str], time: str, score: str, gap: Column | float, tie: str) -> DataFrame:
+def chain_clusters(df: DataFrame, keys: Sequence[str], time: str, score: str, gap: Column | float, tie: str, part: float | None = None) -> DataFrame:
     """Single linkage in time: a row joins the cluster of the row before it if it is at most `gap` later. The rows keep
-    their columns; `cluster` numbers clusters, `best` marks the first of the highest scores."""
-    by = Window.partitionBy(*keys).orderBy(time, tie)
-    marked = df.withColumn("__new", F.coalesce((F.col(time) - F.lag(time).over(by) > gap).cast("long"), F.lit(1)))
-    numbered = marked.withColumn("cluster", F.sum("__new").over(by.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
+    their columns; `cluster` numbers clusters, `best` marks the first of the highest scores.
+
+    With `part` a key is cut into parts of that length of time, which are chained on their own and learn from the parts
+    before when those end and how many clusters they begin; that is for keys with very many rows.
+    """
+    own = list(keys) if part is None else [*keys, "__part"]
+    by = Window.partitionBy(*own).orderBy(time, tie)
+    before = F.lag(time).over(by)
+    rows = df
+    if part is not None:
+        rows = earlier_parts(df.withColumn("__part", F.floor(F.col(time) / part)), keys, "__part", "__ended", F.max(time), lambda c: F.max(c))
+        before = F.coalesce(before, F.col("__ended"))
+    marked = rows.withColumn("__new", F.coalesce((F.col(time) - before > gap).cast("long"), F.lit(1)))
+    number = F.sum("__new").over(by.rowsBetween(Window.unboundedPreceding, 0))
+    if part is None:
+        numbered = marked.withColumn("cluster", number).drop("__new")
+    else:
+        marked = earlier_parts(marked, keys, "__part", "__begun", F.sum("__new"), lambda c: F.sum(c))
+        numbered = marked.withColumn("cluster", number + F.coalesce("__begun", F.lit(0))).drop("__new", "__part", "__ended", "__begun")
     nth = F.row_number().over(Window.partitionBy(*keys, "cluster").orderBy(F.desc(score), time, tie))
     return numbered.withColumn("best", nth == 1)
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skylattice.contracts import duplicates, missing_references, require
-from skylattice.plans.ranking import ranked, with_each
+from skylattice.plans.ranking import earlier_parts, ranked, with_each
 
 
 def band_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_value: str, right_value: str, band: float, how: str = "inner") -> DataFrame:
@@ -43,19 +43,27 @@ def without_overlap(df: DataFrame, start: str, end: str, vetoes: DataFrame, veto
     return df.join(hit, df[row] == hit["__row"], "left_anti")
 
 
-def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, payload: Sequence[str], tie: str) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, payload: Sequence[str], tie: str, part: float | None = None) -> DataFrame:
     """Each left row with the latest right row at or before it (the last by `tie` among equals), else nulls.
 
     One shuffle on the keys: the union of both sides is sorted by time, right rows first among equals, and the last
-    right row seen is carried forward.
+    right row seen is carried forward. With `part` a key is cut into parts of that length of time, which are sorted on
+    their own and get the last right row of the parts before; that is for keys with very many rows.
     """
     columns = left.columns
     a = left.select(*keys, F.col(left_time).alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast("bigint").alias("__tie"), F.struct(*columns).alias("__left"))
     right_row = F.struct(F.col(right_time).alias("matched_time"), *payload)
     b = right.select(*keys, F.col(right_time).alias("__t"), F.lit(0).alias("__side"), F.col(tie).cast("bigint").alias("__tie"), right_row.alias("__right"))
     both = a.unionByName(b, allowMissingColumns=True)
-    upto = Window.partitionBy(*keys).orderBy("__t", "__side", "__tie").rowsBetween(Window.unboundedPreceding, 0)
-    carried = both.withColumn("__last", F.last("__right", ignorenulls=True).over(upto)).where("__side = 1")
+    by, seen = list(keys), F.lit(None)
+    if part is not None:
+        both = both.withColumn("__part", F.coalesce(F.floor(F.col("__t") / part), F.lit(-(1 << 62))))
+        latest = F.max_by("__right", F.when(F.col("__side") == 0, F.struct("__t", "__tie")))
+        both = earlier_parts(both, keys, "__part", "__seen", latest, lambda c: F.last(c, ignorenulls=True))
+        by, seen = [*keys, "__part"], F.col("__seen")
+    upto = Window.partitionBy(*by).orderBy("__t", "__side", "__tie").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last("__right", ignorenulls=True).over(upto)
+    carried = both.withColumn("__last", last if part is None else F.coalesce(last, seen)).where("__side = 1")
     return carried.select("__left.*", F.col("__last.matched_time").alias("matched_time"), *[F.col(f"__last.{p}").alias(p) for p in payload])
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -67,3 +67,13 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: str, sums: Mapping[s
     inner = placed.withColumns({n: F.sum(c).over(within) for n, c in sums.items()})
     out = inner.join(totals, same_keys(inner, totals, keys) & (F.col("__part") == F.col("__part_of")))
     return out.select(*df.columns, *[(F.col(n) + F.col(f"__s_{n}")).alias(n) for n in sums])
+
+
+def earlier_parts(df: DataFrame, keys: Sequence[str], part: str, name: str, value: Column, pick: Callable[[str], Column]) -> DataFrame:
+    """Rows with what the parts of their key before theirs hold: `value` is an aggregate over a part, `pick` the window
+    function that makes one value of those of the parts before (null if there are none). Only a row for each part is
+    ordered by key, so a key may be of any size."""
+    each = df.groupBy(*keys, part).agg(value.alias("__v"))
+    before = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    each = renamed(each.select(*keys, F.col(part).alias("__part_of"), pick("__v").over(before).alias(name)), keys)
+    return df.join(each, same_keys(df, each, keys) & (F.col(part) == F.col("__part_of"))).select(*df.columns, name)

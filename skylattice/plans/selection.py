@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skylattice.contracts import duplicates, require
 from skylattice.plans.ranking import ranked
 
 
@@ -95,6 +96,39 @@ def without_held_blocks(df: DataFrame, block: str, held: Column) -> DataFrame:
     return df.join(df.where(held).select(block).distinct(), block, "left_anti")
 
 
+def best_checkpoint(metrics: DataFrame, index: DataFrame, value: str, largest: bool = False, skip: str = "last.ckpt") -> DataFrame:
+    """The checkpoint of the best validation row: epoch, step, value, path, rule.
+
+    metrics (epoch, step, value) may not repeat an epoch and step; index (epoch, step, path). Ties go to the earlier row.
+    The checkpoint of the same epoch and step is taken, else the only one of that epoch; files named `skip` don't count.
+    """
+    rows = metrics.where(F.col(value).isNotNull() & ~F.isnan(value))
+    require(duplicates(rows, "epoch", "step"), "an epoch and step is there twice")
+    order = F.desc(value) if largest else F.asc(value)
+    best = rows.orderBy(order, "epoch", "step").limit(1).select("epoch", F.col("step").alias("best_step"), F.col(value).alias("value"))
+    files = index.where(~F.col("path").endswith(f"/{skip}") & (F.col("path") != skip))
+    near = files.join(best, "epoch").withColumn("exact", F.col("step") == F.col("best_step"))
+    by = near.groupBy("epoch", "best_step", "value").agg(F.max(F.when(F.col("exact"), F.col("path"))).alias("same"), F.count_if("exact").alias("n_same"), F.count("*").alias("n"), F.max("path").alias("only"))
+    found = by.where("n_same = 1 or (n_same = 0 and n = 1)")
+    require(best.join(found.select("epoch"), "epoch", "left_anti"), "no checkpoint belongs to the best row alone")
+    rule = F.when(F.col("n_same") == 1, "exact_epoch_and_global_step").otherwise("unique_checkpoint_for_validation_epoch")
+    return found.select("epoch", F.col("best_step").alias("step"), "value", F.coalesce("same", "only").alias("path"), rule.alias("rule"))
+
+
+def composition_gaps(groups: DataFrame, target: int, shares: Mapping[str, float]) -> DataFrame:
+    """composition, target, current, gap: groups that a target of `target` groups with these shares still lacks. Counts
+    are whole, the rest goes to the largest remainders, the first in order among equals."""
+    exact = {k: target * v / sum(shares.values()) for k, v in shares.items()}
+    counts = {k: int(x) for k, x in exact.items()}
+    for k in sorted(exact, key=lambda k: counts[k] - exact[k])[: target - sum(counts.values())]:
+        counts[k] += 1
+    wanted = F.explode(F.map_from_arrays(F.array(*[F.lit(k) for k in counts]), F.array(*[F.lit(n) for n in counts.values()])))
+    goal = groups.sparkSession.range(1).select(wanted.alias("composition", "target"))
+    have = groups.groupBy("composition").agg(F.count("*").alias("current"))
+    out = goal.join(have, "composition", "left").withColumn("current", F.coalesce("current", F.lit(0)))
+    return out.withColumn("gap", F.greatest(F.lit(0), F.col("target") - F.col("current")))
+
+
 def union_shards(shards: Sequence[DataFrame]) -> DataFrame:
     """UNION ALL of shards; the caller checks `contracts.duplicates` on the keys."""
     return reduce(DataFrame.unionByName, shards)

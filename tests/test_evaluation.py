@@ -9,8 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from skylattice import contracts
-from skylattice.operators import audits, evaluation, graph, search, stats
-from skylattice.plans import joins, ranking, selection, windows
+from skylattice.operators import audits, calibration, evaluation, generators, graph, search, stats
+from skylattice.plans import intervals, joins, ranking, selection, windows
 
 
 def naive_windows(coverage, quality, exclusions, duration, stride, block, context, dq_bits, injection_bits):
@@ -250,3 +250,60 @@ def test_coverage_of_shifted_slides(spark):
     w = spark.createDataFrame([(str(g), g, g + 8, ["H", "L"]) for g in (0, 8, 24)], "window_id string, gps_start long, gps_end long, ifos array<string>")
     pairs = search.window_pairs(w, search.slide_table(spark, 1, 3, 8), "H", "L")
     assert sorted((x["slide"], x["paired_windows"], x["exposure"]) for x in search.slide_exposure(pairs).collect()) == [(1, 1, 8), (2, 1, 8), (3, 1, 8)]
+
+
+def test_best_checkpoints(spark):
+    m = spark.createDataFrame([(0, 10, 0.5), (1, 20, 0.3), (2, 30, 0.3), (3, 40, None)], "epoch int, step int, v double")
+    index = lambda *rows: spark.createDataFrame(rows, "epoch int, step int, path string")
+    exact = selection.best_checkpoint(m, index((1, 20, "a.ckpt"), (1, 25, "b.ckpt"), (1, 20, "x/last.ckpt")), "v").first()
+    assert (exact["path"], exact["rule"], exact["step"]) == ("a.ckpt", "exact_epoch_and_global_step", 20)
+    assert selection.best_checkpoint(m, index((1, 21, "c.ckpt"), (1, 21, "last.ckpt")), "v").first()["rule"] == "unique_checkpoint_for_validation_epoch"
+    assert selection.best_checkpoint(m, index((0, 10, "d.ckpt")), "v", largest=True).first()["path"] == "d.ckpt"
+    for rows in (((1, 21, "c"), (1, 22, "d")), ((2, 30, "e"),)):
+        with pytest.raises(contracts.ContractError):
+            selection.best_checkpoint(m, index(*rows), "v")
+
+
+def test_gaps_to_a_target(spark):
+    g = spark.createDataFrame([("a",)] * 3 + [("b",)], "composition string")
+    got = {x["composition"]: (x["target"], x["gap"]) for x in selection.composition_gaps(g, 11, {"a": 0.5, "b": 0.25, "c": 0.25}).collect()}
+    assert got == {"a": (5, 2), "b": (3, 2), "c": (3, 3)}
+
+
+def test_banks_and_overlaps(spark):
+    w = spark.createDataFrame([("w1", 8, 12, ["H", "L"], "b1"), ("w2", 12, 16, ["H"], "b1"), ("w3", 100, 104, ["H"], "b2")], "window_id string, gps_start long, gps_end long, ifos array<string>, block string")
+    s = spark.createDataFrame([("H", 0, [float(i) for i in range(40)]), ("L", 4, [float(-i) for i in range(40)]), ("H", 96, [9.0] * 40)], "ifo string, gps_start long, values array<double>")
+    bank = generators.background_bank(w, s, "block", 1, ["gps_start"], 2)
+    got = {(x["window_id"], x["ifo"]): x["values"] for x in bank.collect()}
+    assert got == {("w1", "H"): [float(i) for i in range(16, 24)], ("w1", "L"): [float(-i) for i in range(8, 16)], ("w3", "H"): [9.0] * 8}
+    with pytest.raises(contracts.ContractError):
+        generators.background_bank(w, s.where("gps_start < 90"), "block", 1, ["gps_start"], 2)
+    sig = spark.createDataFrame([("i1", "H", [1.0] * 8)], "injection_id string, ifo string, values array<double>")
+    gl = spark.createDataFrame([("g1", "L", [5.0] * 8)], "glitch_id string, ifo string, values array<double>")
+    pairs = spark.createDataFrame([("s", "w1", "i1", "g1")], "scene_id string, window_id string, injection_id string, glitch_id string")
+    m = {x["ifo"]: (x["mixture"], x["clean"]) for x in generators.overlap_scenes(bank, sig, gl, pairs).collect()}
+    assert m["H"] == ([float(i + 1) for i in range(16, 24)],) * 2 and m["L"] == ([5.0 - i for i in range(8, 16)], [float(-i) for i in range(8, 16)])
+
+
+def test_overrides_and_ranges(spark):
+    rows = spark.createDataFrame([("a", [1.0, 2.0, 3.0], 1, "d1")], "id string, v array<double>, first int, sha string")
+    good = spark.createDataFrame([("a", [9.0], "d1")], "id string, v array<double>, sha string")
+    assert calibration.override_crop(rows, good, "id", "v", "first", "sha").first()["v"] == [1.0, 9.0, 3.0]
+    for bad in (good.withColumn("sha", F.lit("d2")), good.withColumn("id", F.lit("b")), good.unionByName(good)):
+        with pytest.raises(contracts.ContractError):
+            calibration.override_crop(rows, bad, "id", "v", "first", "sha")
+    shard = spark.createDataFrame([("run", "w1", "b1", "val")], "identity string, window_id string, block string, split string")
+    with pytest.raises(contracts.ContractError):
+        calibration.merge_shards([shard], ["identity"], "window_id", "block", "split", [(0, 5), (4, 6)])
+
+
+@pytest.mark.parametrize("part", [7.0, 50.0, 1000.0])
+def test_keys_in_parts_give_the_same(spark, part):
+    r = random.Random(int(part))
+    left = spark.createDataFrame([(r.choice("ab"), i, r.uniform(0, 400)) for i in range(150)] + [("c", 900, 5.0), ("a", 901, None)], "k string, id long, t double")
+    right = spark.createDataFrame([(r.choice("ab"), i, float(r.randint(20, 380))) for i in range(60)], "k string, v long, s double")
+    whole, parts = (sorted(map(tuple, joins.asof_join(left, right, ["k"], "t", "s", ["v"], "v", p).collect()), key=repr) for p in (None, part))
+    assert whole == parts
+    events = left.where("t is not null").withColumn("score", F.round(F.col("t") % 10))
+    chains = [{x["id"]: (x["k"], x["cluster"], x["best"]) for x in intervals.chain_clusters(events, ["k"], "t", "score", 2.5, "id", p).collect()} for p in (None, part)]
+    assert chains[0] == chains[1] and len({c[:2] for c in chains[0].values()}) > 10

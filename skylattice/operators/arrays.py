@@ -140,26 +140,43 @@ def multiresolution_power(values: Column, rate: int, q_values: list[float], freq
     return run(values)
 
 
-def mask_filter(values: Column, mask: Column, size: int, hop: int, strength: float = 1.0) -> Column:
-    """STFT frames multiplied by 1 - strength * mask (flat, frequency by frequency) and overlap-added back."""
-
-    @F.pandas_udf("array<double>")
-    def run(series: pd.Series, masks: pd.Series) -> pd.Series:
-        out = []
-        window = np.hanning(size)
-        for v, m in zip(series, masks, strict=True):
-            v = np.asarray(v, float)
-            z = np.fft.rfft(_frames(v, size, hop) * window, axis=1)
-            gain = 1 - strength * np.clip(np.asarray(m, float).reshape(z.shape[1], z.shape[0]).T, 0, 1)
-            frames = np.fft.irfft(z * gain, size, axis=1) * window
-            total, norm = np.zeros(len(v) + 2 * (size // 2) + size), np.zeros(len(v) + 2 * (size // 2) + size)
-            for i, frame in enumerate(frames):
-                total[i * hop : i * hop + size] += frame
-                norm[i * hop : i * hop + size] += window * window
-            out.append((total / np.maximum(norm, 1e-12))[size // 2 : size // 2 + len(v)].tolist())
-        return pd.Series(out, dtype=object)
-
-    return run(values, mask)
+def _stretched(plane: np.ndarray, rows: int, columns: int) -> np.ndarray:
+    """A plane on another grid over the same square, linear along one axis after the other."""
+    for n in (rows, columns):
+        at, to = np.linspace(0, 1, plane.shape[0]), np.linspace(0, 1, n)
+        plane = np.stack([np.interp(to, at, c) for c in plane.T])  # turns the plane, so that the other axis comes next
+    return plane
+
+
+def suppressed(v: np.ndarray, glitch: np.ndarray, chirp: np.ndarray, strength: float, size: int, hop: int) -> tuple[np.ndarray, float, float]:
+    """A signal without what a glitch mask marks and a chirp mask doesn't protect; the share of energy that went, and the
+    mean gain. Masks are (resolution, frequency, time); the largest over resolutions counts."""
+    frames = max(1, -(-max(len(v) - size, 0) // hop) + 1)
+    padded = np.pad(v, (0, (frames - 1) * hop + size - len(v)))
+    window = np.hamming(size)
+    z = np.fft.rfft(np.lib.stride_tricks.sliding_window_view(padded, size)[::hop] * window, axis=1)
+    unit = lambda m: np.clip(m.max(0), 0, 1)
+    gain = np.clip(1 - strength * _stretched(unit(glitch) * (1 - unit(chirp)), z.shape[1], z.shape[0]).T, 0, 1)
+    before, after = (np.abs(z) ** 2).sum(), (np.abs(z * gain) ** 2).sum()
+    total, norm = np.zeros(len(padded)), np.zeros(len(padded))
+    for i, frame in enumerate(np.fft.irfft(z * gain, size, axis=1) * window):
+        total[i * hop : i * hop + size] += frame
+        norm[i * hop : i * hop + size] += window * window
+    return np.divide(total, norm, out=total, where=norm > 1e-10)[: len(v)], float(np.clip((before - after) / before, 0, 1)) if before > 0 else 0.0, float(gain.mean())
+
+
+def mask_filter(values: Column, glitch: Column, chirp: Column, planes: tuple[int, int, int], strength: float = 0.9, size: int = 256, hop: int = 64) -> Column:
+    """struct(cleaned, removed, mean_gain) of `suppressed`; masks are flat arrays of (resolution, frequency, time)."""
+    if not 0 <= strength <= 1 or size <= 1 or not 0 < hop <= size:
+        raise ValueError("strength, window and hop of a mask filter are out of range")
+
+    @F.pandas_udf("cleaned array<double>, removed double, mean_gain double")
+    def run(series: pd.Series, bad: pd.Series, good: pd.Series) -> pd.DataFrame:
+        cube = lambda m: np.asarray(m, float).reshape(planes)
+        rows = [suppressed(np.asarray(v, float), cube(b), cube(g), strength, size, hop) for v, b, g in zip(series, bad, good, strict=True)]
+        return pd.DataFrame([(c.tolist(), r, m) for c, r, m in rows], columns=["cleaned", "removed", "mean_gain"])
+
+    return run(values, glitch, chirp)
 
 
 def pack_half(values: Column, most_error: float = 1e-3, least_overlap: float = 0.999999) -> Column:

@@ -94,12 +94,16 @@ def override_crop(rows: DataFrame, overrides: DataFrame, key: str, values: str,
     return joined.withColumn(values, F.when(F.col("__crop").isNotNull(), new).otherwise(F.col(values))).drop("__crop", "__digest")
 
 
-def conditions_side_by_side(df: DataFrame, keys: Sequence[str], condition: str, wanted: Sequence[str], value: str) -> DataFrame:
-    """One row for each key with a column for each condition; keys that lack one are an error."""
+def conditions_side_by_side(df: DataFrame, keys: Sequence[str], condition: str, wanted: Sequence[str], value: str, across: str | None = None) -> DataFrame:
+    """One row for each key with a column for each condition. A key that lacks a condition or has one twice is an error;
+    with `across` (one of the keys, as a backend) so is a rest of a key that not all of its values have."""
+    require(duplicates(df, *keys, condition), "a key has a condition twice")
     out = df.groupBy(*keys).pivot(condition, list(wanted)).agg(F.first(value))
-    lacking = out.where(" or ".join(f"`{c}` is null" for c in wanted))
-    if lacking.take(1):
-        raise ContractError(f"a key lacks a condition: {lacking.first().asDict()}")
+    require(out.where(" or ".join(f"`{c}` is null" for c in wanted)), "a key lacks a condition")
+    if across:
+        rest = [k for k in keys if k != across]
+        n = out.select(across).distinct().count()
+        require(out.groupBy(*rest).agg(F.count("*").alias("n")).where(F.col("n") != n), f"a key isn't there for every {across}")
     return out
 
 

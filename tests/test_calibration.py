@@ -54,6 +54,15 @@ def test_conditions_must_be_complete(spark):
         calibration.conditions_side_by_side(df, ["id"], "c", ["raw", "other"], "v")
 
 
+def test_conditions_across_backends(spark):
+    rows = [(b, i, c, 1.0) for b in ("x", "y") for i in (1, 2) for c in ("clean", "raw")]
+    df = spark.createDataFrame(rows, "backend string, id int, c string, v double")
+    assert calibration.conditions_side_by_side(df, ["backend", "id"], "c", ["clean", "raw"], "v", "backend").count() == 4
+    for bad in (df.where("not (backend = 'y' and id = 2)"), df.unionByName(df.limit(1))):
+        with pytest.raises(contracts.ContractError):
+            calibration.conditions_side_by_side(bad, ["backend", "id"], "c", ["clean", "raw"], "v", "backend")
+
+
 def test_models_load_once_a_task_and_may_return_many_rows(spark):
     def load():
         return lambda pdf: pd.DataFrame({"id": [x for x in pdf["id"] for _ in range(x)]})

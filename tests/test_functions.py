@@ -106,7 +106,9 @@ def test_kernels_against_numpy(spark):
         arrays.whiten(F.col("x"), F.col("r"), component=True).alias("part"),
         arrays.whiten(F.transform("x", lambda v: 2 * v), F.col("r"), component=True).alias("twice"),
         arrays.robust_normalise(F.transform("x", lambda v: v * v)).alias("norm"),
-        arrays.mask_filter(F.col("x"), F.array_repeat(F.lit(0.0), 33 * 33), 64, 16).alias("same"),
+        arrays.mask_filter(F.col("x"), F.array_repeat(F.lit(0.0), 2 * 4 * 5), F.array_repeat(F.lit(0.0), 2 * 4 * 5), (2, 4, 5), 1.0, 64, 16).alias("same"),
+        arrays.mask_filter(F.col("x"), F.array_repeat(F.lit(0.7), 2 * 4 * 5), F.array_repeat(F.lit(0.5), 2 * 4 * 5), (2, 4, 5), 0.8, 64, 16).alias("less"),
+        arrays.mask_filter(F.col("x"), F.array_repeat(F.lit(1.0), 2 * 4 * 5), F.array_repeat(F.lit(1.0), 2 * 4 * 5), (2, 4, 5), 1.0, 64, 16).alias("kept"),
         arrays.multiresolution_power(F.col("x"), 256, [4.0, 16.0, 64.0], 8, 10, 16.0, 100.0).alias("planes"),
         arrays.comoving_distance(F.lit(0.1)).alias("d"),
     ).first()
@@ -115,7 +117,11 @@ def test_kernels_against_numpy(spark):
     z[np.fft.rfftfreq(512, 1 / 512) >= 57.6] = 0
     assert r["fourth"] == pytest.approx(np.fft.irfft(z)[::4].tolist())
     assert r["half"]["relative_error"] < 1e-3 and np.std(r["own"]) == pytest.approx(1) and r["twice"] == pytest.approx([2 * v for v in r["part"]])
-    assert np.median(r["norm"]) == pytest.approx(0, abs=1e-9) and np.allclose(r["same"][8:-8], x[8:-8]) and r["d"] == pytest.approx(433, abs=5)
+    assert np.median(r["norm"]) == pytest.approx(0, abs=1e-9) and np.allclose(r["same"]["cleaned"], x) and r["same"]["removed"] == 0 and np.allclose(r["kept"]["cleaned"], x) and r["d"] == pytest.approx(433, abs=5)
+    assert np.allclose(r["less"]["cleaned"], (1 - 0.8 * 0.35) * x) and r["less"]["mean_gain"] == pytest.approx(0.72) and r["less"]["removed"] == pytest.approx(1 - 0.72**2)
+    m = np.zeros((1, 3, 4))
+    m[0, 1, 2] = 1
+    assert arrays._stretched(m[0], 5, 7)[2, 4] == pytest.approx(1) and arrays._stretched(m[0], 5, 7)[1, 4] == pytest.approx(0.5) and arrays._stretched(m[0], 5, 7)[2, 3] == pytest.approx(0.5)
     planes = np.array(r["planes"]).reshape(3, 8, 10)
     for q, plane in zip((4.0, 16.0, 64.0), planes):
         size = max(16, round(min(max(q / 32, 1 / 16), 1) * 256))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterable, Iterator
 
@@ -46,6 +47,13 @@ def checkpoint(spark: SparkSession, df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of steps that are written and out of reach. It acts when the driver
+    collects garbage, which a driver with little to do doesn't for minutes, while files of many small steps add up."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def doc_crc(doc_id: Column) -> Column:
     """crc32 of the decimal text of an id; null ids count as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skylattice.llm.common import checkpoint
+from skylattice.llm.common import checkpoint, release
 
 
 def _minimum(edges: DataFrame) -> DataFrame:
@@ -33,6 +33,8 @@ def components(spark: SparkSession, links: DataFrame, most: int = 40) -> DataFra
         small = large.join(_minimum(large), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(_minimum(large).select("u", F.col("m").alias("v")))
         edges = checkpoint(spark, small.where("u <> v").distinct())
         now = _signature(edges)
+        del both, large, small
+        release(spark)
         if now == known:
             break
         known = now

@@ -27,7 +27,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skylattice.llm.common import checkpoint, small_batches
+from skylattice.llm.common import checkpoint, release, small_batches
 from skylattice.llm.components import components
 
 #: Classes in a list that is expanded.
@@ -317,6 +317,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percen
     Rows are kept one for one (repeated rows of one id are alike); an empty table gives an empty result. If rows of one
     id have different texts, the one with the smallest digest of its set decides which component all of them are in.
     """
+    release(spark)
     frequent = spark.sparkContext.broadcast(frequent_values(spark, docs, words, id_col, text_col))  # FREQUENT at most
     made = checkpoint(spark, sketches(spark, docs, words, percent, id_col, text_col, frequent))
     several = made.where("n > 0 and id is not null").groupBy("id").agg(F.min("digest").alias("one"), F.max("digest").alias("other")).where("one <> other")
@@ -331,6 +332,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percen
 
     lists = checkpoint(spark, _lists(classes.select("rep", "n", F.explode("sketch").alias("v"))))
     long_lists = checkpoint(spark, lists.where(F.col("c") > SHORT).select("v", "rep").repartition("v", "rep"))  # no task reads a whole list
+    release(spark)
     in_long = long_lists.groupBy("rep").agg(F.count("*").alias("k"))
     nth = Window.partitionBy("rep").orderBy("v")
     some = long_lists.withColumn("nth", F.row_number().over(nth)).where(F.col("nth") <= LONG).join(in_long, "rep").select("v", "rep", "k")
@@ -347,6 +349,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percen
     cand = _pairs_of(lists, in_long, percent).unionByName(star).groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("long").alias("long"))
     cand = checkpoint(spark, cand)
     hot = checkpoint(spark, _hot(cand))
+    release(spark)
     if hot.count() <= BROADCAST_IDS:
         hot = F.broadcast(hot)
     bounded = _bounded(spark, cand.where("long"), classes.join(in_long, "rep", "left_semi"), percent, hot, frequent)
@@ -357,11 +360,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percen
     cand = checkpoint(spark, cand.select("a", "b", "shared", "nth"))
     sets = sets_of(cand.select(F.col("a").alias("rep")).unionByName(cand.select(F.col("b").alias("rep"))).distinct())
 
+    release(spark)
     links = checkpoint(spark, _confirmed(cand.where(F.col("nth") <= PARTNERS), sets, percent, hot))
+    release(spark)
     comp = components(spark, links)
     crossing = _label(_label(cand.where(F.col("nth") > PARTNERS), comp, "a", "ca"), comp, "b", "cb").where("ca <> cb")
     links = checkpoint(spark, links.unionByName(_confirmed(crossing, sets, percent, hot)))
     comp = components(spark, links)
+    release(spark)
     comp = components(spark, links.unionByName(_across_long_lists(spark, long_lists, comp, sets_of, percent)))
 
     labelled = _label(classes.select("digest", "rep"), comp, "rep", "component").select("digest", "component")

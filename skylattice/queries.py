@@ -479,10 +479,10 @@ def set_equality_audit(spark, sf):
     return one(a.subtract(b), "left").unionByName(one(b.subtract(a), "right")).unionByName(one(a.intersect(b), "both"))
 
 
-@query()
+@query("""WITH RECURSIVE p AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem), e AS (SELECT DISTINCT a.l_suppkey AS s, b.l_suppkey AS t FROM p a JOIN p b ON a.l_partkey = b.l_partkey),
+r(s, t) AS (SELECT s, t FROM e UNION SELECT r.s, e.t FROM r JOIN e ON r.t = e.s) SELECT s AS l_suppkey, min(t) AS component FROM r GROUP BY 1""")
 def connected_components(spark, sf):
-    """Suppliers that share a part, directly or through others, over all lines. Recursive SQL takes too long on whole
-    tables; tests hold it against union-find."""
+    """Suppliers that share a part, directly or through others, over all lines."""
     return graph.connected_components(spark, _t(spark, sf, "lineitem").select("l_suppkey", "l_partkey"), "l_suppkey", "l_partkey")
 
 
@@ -555,7 +555,11 @@ def mahalanobis_min(spark, sf):
     return stats.mahalanobis_scores(e.where("embedding is not null"), "embedding", fit).select("vec_id", "label", F.round("score", 6).alias("score"))
 
 
-@query()
+@query(f"""WITH {EV}, c AS (SELECT us // 86400000000 AS day, us // 3600000000 % 24 AS h, count(*) FILTER (WHERE event_type = 'purchase')::DOUBLE AS x, count(*) FILTER (WHERE event_type = 'view')::DOUBLE AS y FROM ev GROUP BY 1, 2),
+d AS (SELECT day FROM c GROUP BY 1 HAVING sum(x) > 0 AND sum(y) > 0), g AS (SELECT day, k.h, coalesce(x, 0) AS x, coalesce(y, 0) AS y FROM d CROSS JOIN (SELECT unnest(range(0, 24)) AS h) k LEFT JOIN c USING (day, h)),
+s AS (SELECT a.day, b.h - a.h AS lag, sum(a.x * b.y) AS p, sum(a.x * a.x) * sum(b.y * b.y) AS n FROM g a JOIN g b ON a.day = b.day AND abs(b.h - a.h) <= 6 GROUP BY 1, 2),
+o AS (SELECT day, lag, CASE WHEN n > 0 THEN p / sqrt(n) ELSE 0 END AS c FROM s)
+SELECT day, lag::INTEGER AS lag, round(c, 9) AS coherence FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY round(c, 12) DESC, lag) AS i FROM o) WHERE i = 1""")
 def lag_correlation(spark, sf):
     """Lag of the largest correlation of daily profiles of purchases and views."""
     e = _events(spark, sf).where(F.col("event_type").isin("purchase", "view")).withColumn("day", F.floor(F.col("us") / (DAY * MICRO))).withColumn("hour", (F.floor(F.col("us") / (HOUR * MICRO)) % 24).cast("int"))

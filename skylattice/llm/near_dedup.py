@@ -42,7 +42,7 @@ MIDDLE, PARTNERS = 3, 3
 #: Pairs of one class that are joined with its set in one task.
 SLICE = 128
 #: Distinct words whose hashes a worker keeps.
-WORDS_KEPT = 1_000_000
+WORDS_KEPT = 200_000
 
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 

@@ -19,7 +19,7 @@ BITS, SAMPLE, PASSES = 22, 24_000, 6
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 2.5, 0.1
 WORD = re.compile(r"[^\W_]+")
 #: Distinct words whose hashes a worker keeps.
-KEPT = 1_000_000
+KEPT = 200_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -105,7 +105,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str =
     task then learns from the bounded sample in hash order and returns only the weights that L1 leaves; it takes as long
     whatever the number of documents is.
     """
-    small_batches(spark)
+    small_batches(spark, 64)
     chosen = (
         labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
         .groupBy(F.col(id_col).alias("__id"))
@@ -167,7 +167,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: st
             yield pa.array(score_texts(f, dense, bias, [x or "" for x in t.to_pylist()]), pa.float64())
 
     score = F.arrow_udf(predict, "double", F.ArrowUDFType.SCALAR_ITER)
-    small_batches(spark)
+    small_batches(spark, 64)
     return docs.withColumn("__toxic_score", score(docs[text_col])).withColumn("__toxic", (F.col("__toxic_score") >= 0.5).cast("int"))
 
 

@@ -16,7 +16,7 @@ from skylattice.llm.pretokenize import pieces, pieces_of_long
 from skylattice.llm.vocabulary import Vocabulary, vocabulary
 
 #: Characters that go through the splitter at once, and distinct pieces whose ids a worker keeps.
-BATCH, KEPT = 1 << 20, 1_000_000
+BATCH, KEPT = 1 << 20, 300_000
 
 
 def merge_piece(data: bytes, v: Vocabulary) -> list[int]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skylattice.llm import block_search, bpe_codec, html_extract, language_id, line_dedup, mixing, near_dedup, pivot_search, token_counts, toxicity
+from skylattice.llm import block_search, bpe_codec, html_extract, language_id, line_dedup, merkle, mixing, near_dedup, pivot_search, token_counts, toxicity
 from skylattice.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -53,6 +53,10 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_text(spark, table(spark, sf_dir, "pages"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified_manifest(spark, table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_mix_sources": op2_mix_sources,
@@ -64,6 +68,7 @@ QUERIES = {
     "op8_exact_top_k": op8_exact_top_k,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_main_text": op10_main_text,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
-ORACLES: dict[str, str] = {"op5_line_dedup": line_dedup.SQL, "op8_exact_top_k": pivot_search.SQL, "op9_nearest_neighbours": block_search.SQL}
+ORACLES: dict[str, str] = {"op5_line_dedup": line_dedup.SQL, "op8_exact_top_k": pivot_search.SQL, "op9_nearest_neighbours": block_search.SQL, "op13_merkle_manifest": merkle.SQL}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skylattice.llm import block_search, bpe_codec, html_extract, language_id, line_dedup, merkle, mixing, near_dedup, pivot_search, token_counts, toxicity, whitening
+from skylattice.llm import block_search, bpe_codec, html_extract, language_id, line_dedup, merkle, mixing, near_dedup, ngram_join, pivot_search, token_counts, toxicity, whitening
 from skylattice.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -53,6 +53,10 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_text(spark, table(spark, sf_dir, "pages"))
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(spark, table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(spark, table(spark, sf_dir, "embeddings"), components=16, scale=64)
 
@@ -72,6 +76,7 @@ QUERIES = {
     "op8_exact_top_k": op8_exact_top_k,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_main_text": op10_main_text,
+    "op11_ngram_join": op11_ngram_join,
     "op12_whitening": op12_whitening,
     "op13_merkle_manifest": op13_merkle_manifest,
 }

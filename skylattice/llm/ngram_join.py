@@ -4,7 +4,8 @@
 2. All texts are counted into a table of fixed size, and n-grams are ordered by it, the rare ones first. The order is the same for
    all sets; how good it is decides only how much work is left, never which links are found.
 3. The prefix of a set is its n - ceil(t n) + 1 first n-grams: two sets that are similar enough share one of their
-   prefixes for certain. n-grams that are in one prefix only go; the others join the sets that hold them.
+   prefixes for certain. n-grams that are in one prefix only go; the others join the sets that hold them, and a set that
+   the length filter and the positional filter leave no partner there goes too.
 4. n-grams that travel together (their holders' rarest shared n-gram is mostly the same one) are one bucket, so that a set
    meets its partners in few places and not once for each shared n-gram. A bucket too large for a task is cut into
    blocks, and each two blocks meet in a task; small buckets share a task.
@@ -27,10 +28,12 @@ from pyspark.sql import functions as F
 
 from skylattice.llm.common import checkpoint, release, small_batches
 from skylattice.llm.components import components
-from skylattice.llm.near_dedup import Shingler, _full_sets, digest
+from skylattice.llm.near_dedup import Shingler, digest
 
 #: Counters of n-grams (a power of two), the slices in which they travel, and parts of a slice added in one task.
 COUNTERS, SLICES, FAN = 1 << 22, 64, 32
+#: Sets of a list that are looked at two by two before their sets are made, and rows up to which a table is broadcast.
+SHORT, BROADCAST_ROWS = 32, 500_000
 #: Sets and n-grams of a block, and classes of n-grams that the suffix filter counts.
 ROWS, GRAMS, CLASSES = 1024, 1 << 21, 64
 
@@ -194,33 +197,59 @@ class Cell:
             apart = apart[self.label[apart] != self.label[x]]
 
 
+def _met(lists: DataFrame, percent: int) -> DataFrame:
+    """(v, rep, n, c) of the sets that can have a partner in a list: for lists of up to SHORT sets the length filter and
+    the positional filter (what two sets share of an n-gram's list and behind it) look at each two sets. Longer lists stay whole."""
+    fits = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and {100 + percent} * least(x.n - x.pos, y.n - y.pos) >= {percent} * (x.n + y.n)"
+    short = lists.where(F.col("c") <= SHORT).groupBy("v").agg(F.max("c").alias("c"), F.collect_list(F.struct("rep", "n", "pos")).alias("l"))
+    short = short.select("v", "c", F.expr(f"inline(filter(l, x -> exists(l, y -> y.rep <> x.rep and {fits})))"))
+    return short.select("v", "rep", "n", "c").unionByName(lists.where(F.col("c") > SHORT).select("v", "rep", "n", "c"))
+
+
 def _buckets(spark: SparkSession, lists: DataFrame) -> DataFrame:
-    """(bucket, rep): n-grams are in the bucket of the n-gram that is the rarest one for most of their holders."""
+    """(bucket, rep, n): n-grams are in the bucket of the n-gram that is the rarest one for most of their holders."""
     rarest = lists.groupBy("rep").agg(F.min(F.struct("c", F.xxhash64("v").alias("h"), "v")).alias("x")).select("rep", F.col("x.v").alias("lead"))
     votes = lists.join(rarest, "rep").groupBy("v", "lead").agg(F.count("*").alias("votes"))
     bucket = checkpoint(spark, votes.groupBy("v").agg(F.max_by("lead", F.struct("votes", "lead")).alias("bucket")))
-    return checkpoint(spark, lists.join(bucket, "v").select("bucket", "rep").distinct())
+    return checkpoint(spark, lists.join(bucket, "v").select("bucket", "rep", "n").distinct())
 
 
-def _linked(spark: SparkSession, rows: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, counts: Broadcast) -> DataFrame:
-    """rep, links (documents of other classes that it's linked with, to add up), other (a class that it's linked with, or null)."""
-    placed = rows.join(classes.select("rep", "n", "weight"), "rep")
-    sizes = placed.groupBy("bucket").agg(F.count("*").alias("c"), F.sum("n").alias("grams"))
+def _cells(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """rep, buckets, and the cells in which a set meets others: small buckets share one, a block of a large bucket meets each block of it."""
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("c"), F.sum("n").alias("grams")).where("c > 1")
     sizes = checkpoint(spark, sizes.select("bucket", "grams", F.ceil(F.greatest(F.col("c") / ROWS, F.col("grams") / GRAMS)).alias("blocks")))
     tasks = int((sizes.where("blocks = 1").agg(F.sum("grams")).first()[0] or 0) / GRAMS) + 1
-    own = rows.groupBy("rep").agg(F.collect_set("bucket").alias("buckets"))
-    members = own.join(placed.select("rep", "weight").distinct(), "rep").join(sets.withColumnRenamed("id", "rep"), "rep")
-    block = F.pmod(F.xxhash64(F.lit(53), "rep"), F.col("blocks"))
-    cells = rows.join(sizes, "bucket").withColumn("block", block)
-    # small buckets share a task; a block of a large one meets each block of it
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    cells = cells.withColumn("other", other).select(
-        "rep", "bucket", "block", F.when(F.col("blocks") > 1, F.col("bucket")).otherwise(F.pmod(F.xxhash64(F.lit(59), "bucket"), F.lit(tasks))).alias("cell"),
-        (F.col("blocks") > 1).alias("large"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-    )
-    kind = rows.schema["rep"].dataType.simpleString()
+    placed = rows.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64(F.lit(53), "rep"), F.col("blocks")))
+    large = F.col("blocks") > 1
+    cell = F.when(large, F.col("bucket")).otherwise(F.pmod(F.xxhash64(F.lit(59), "bucket"), F.lit(tasks)))
+    each = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct("bucket", "block", large.alias("large"), cell.alias("cell"), F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
+    return placed.groupBy("rep").agg(F.collect_set("bucket").alias("buckets"), F.flatten(F.collect_list(each)).alias("cells"))
+
+
+def _with_sets(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """wanted (rep, digest, more columns) with the full set of each class; texts are read again but only these are kept."""
+    few = wanted.agg(F.count("*"), F.coalesce(F.sum(F.size("cells")), F.lit(0))).first()
+    keys = F.broadcast(wanted) if few[0] + few[1] <= BROADCAST_ROWS else wanted
+    more = [c for c in wanted.columns if c not in ("rep", "digest")]
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(keys.withColumnRenamed("rep", "id"), "id").select("id", "text", "digest", *more)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = Shingler(words)
+        for batch in batches:
+            sets = [s.set_of(t) for t in batch.column(1).to_pylist()]
+            own = pa.array([digest(x) == d for x, d in zip(sets, batch.column(2).to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in sets], pa.binary()), *batch.columns[3:]], ["rep", "set", *more]).filter(own)
+
+    kinds = ", ".join(f"{c} {wanted.schema[c].dataType.simpleString()}" for c in more)
+    return rows.mapInArrow(run, f"rep {wanted.schema['rep'].dataType.simpleString()}, set binary, {kinds}")
+
+
+def _linked(members: DataFrame, percent: int, counts: Broadcast) -> DataFrame:
+    """rep, links (documents of other classes that it's linked with, to add up), other (a class that it's linked with, or null)."""
+    kind = members.schema["rep"].dataType.simpleString()
 
     def compare(x: pd.DataFrame) -> pd.DataFrame:
+        x = x.drop_duplicates(["bucket", "rep"])  # rows repeated with one id
         reps, which = np.unique(x["rep"].to_numpy(), return_index=True)
         one = x.iloc[which]
         cell = Cell([np.frombuffer(s, np.uint64) for s in one["set"]], one["weight"].to_numpy(), list(one["buckets"]), percent, counts.value)
@@ -238,7 +267,7 @@ def _linked(spark: SparkSession, rows: DataFrame, classes: DataFrame, sets: Data
         a, b = (np.array([e[k] for e in cell.edges], np.int64) for k in (0, 1))
         return pd.DataFrame({"rep": np.concatenate([reps[hit], reps[a]]), "links": np.concatenate([cell.links[hit], np.zeros(len(a), np.int64)]), "other": [*[None] * len(hit), *reps[b]]})
 
-    return cells.join(members, "rep").groupBy("large", "cell", "i", "j").applyInPandas(compare, f"rep {kind}, links long, other {kind}")
+    return members.select("rep", "set", "weight", "buckets", F.inline("cells")).groupBy("large", "cell", "i", "j").applyInPandas(compare, f"rep {kind}, links long, other {kind}")
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -266,15 +295,14 @@ def ngram_join(spark: SparkSession, docs: DataFrame, words: int = 5, percent: in
     classes = usable.groupBy("digest").agg(first, F.count("*").alias("weight")).select("digest", "x.*", "weight").withColumnRenamed("id", "rep")
     classes = checkpoint(spark, classes)
 
-    values = classes.select("rep", F.explode("prefix").alias("v"))
+    values = classes.select("rep", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "v"))
     sizes = values.groupBy("v").agg(F.count("*").alias("c")).where("c >= 2")
     lists = checkpoint(spark, values.join(sizes, "v"))
     release(spark)
-    rows = _buckets(spark, lists)
-    wanted = checkpoint(spark, classes.join(rows.select("rep").distinct(), "rep", "left_semi").select("rep", "digest"))
-    sets = checkpoint(spark, _full_sets(spark, docs, wanted, words, id_col, text_col))
+    cells = _cells(spark, _buckets(spark, checkpoint(spark, _met(lists, percent))))
+    wanted = checkpoint(spark, classes.select("rep", "digest", "weight").join(cells, "rep"))
     release(spark)
-    found = checkpoint(spark, _linked(spark, rows, classes, sets, percent, counts))
+    found = checkpoint(spark, _linked(_with_sets(docs, wanted, words, id_col, text_col), percent, counts))
     release(spark)
     comp = components(spark, found.where("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b")))
     degree = found.groupBy("rep").agg(F.sum("links").alias("links"))

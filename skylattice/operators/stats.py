@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skylattice.functions.columns import wilson, zero_count_limit
+from skylattice.plans.order_statistics import quantiles, smallest_passed_by
 from skylattice.plans.ranking import renamed, running_sums, same_keys, with_each
 
 #: Student's t at 97.5 % by degrees of freedom, fixed values. Between them the next larger degree counts, beyond 30 that
@@ -21,29 +22,13 @@ T95 = {1: 12.706, 2: 4.303, 3: 3.182, 4: 2.776, 5: 2.571, 6: 2.447, 7: 2.365, 8:
 NO_BACKGROUND = sys.float_info.max
 
 
-def survivors(df: DataFrame, keys: Sequence[str], score: str) -> DataFrame:
-    """Distinct scores of each key with how many rows survive `score >= threshold`. Rows are reduced to distinct scores
-    first, so ties are one; the running count of a key is spread over parts of its scores."""
-    distinct = df.where(F.col(score).isNotNull()).groupBy(*keys, F.col(score).alias("threshold")).agg(F.count("*").alias("__n"))
-    return running_sums(distinct, keys, "threshold", {"survivors": "__n"}, descending=True).drop("__n")
-
-
-def _smallest(df: DataFrame, keys: Sequence[str], admissible: Column) -> DataFrame:
-    """The smallest admissible threshold of each key; just above the largest score if none is."""
-    out = df.groupBy(*keys).agg(
-        F.min(F.when(admissible, F.col("threshold"))).alias("threshold"),
-        F.max(F.when(admissible, F.col("survivors"))).alias("survivors"),
-        F.max("threshold").alias("__top"),
-    )
-    ulp = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(F.abs(F.col("__top")), F.lit(2.0**-1022)))) - 52)
-    return out.withColumn("threshold", F.coalesce("threshold", F.col("__top") + ulp)).withColumn("survivors", F.coalesce("survivors", F.lit(0))).drop("__top")
-
-
 def threshold_at_rate(df: DataFrame, keys: Sequence[str], score: str, live_time: Column, target: float, all_keys: DataFrame | None = None) -> DataFrame:
     """Most permissive threshold with survivors / live time <= target. live_time may use the keys. far 0 gives a null
-    ifar and the 90 % limit of a zero count. Keys of `all_keys` that have no score get the largest number there is."""
-    ok = F.col("survivors") / live_time <= target
-    out = _smallest(survivors(df, keys, score), keys, ok)
+    ifar and the 90 % limit of a zero count. Keys of `all_keys` that have no score get the largest number there is.
+    Scores that aren't finite are an error; rows without a score don't count."""
+    about = F.floor(live_time * target)
+    most = F.when((about + 1) / live_time <= target, about + 1).when(about / live_time <= target, about).otherwise(about - 1)
+    out = smallest_passed_by(df, keys, score, most)
     if all_keys is not None:
         wanted, found = all_keys.select(*keys).distinct(), renamed(out, keys)
         out = wanted.join(found, same_keys(wanted, found, keys), "left").select(*keys, F.coalesce("threshold", F.lit(NO_BACKGROUND)).alias("threshold"), F.coalesce("survivors", F.lit(0)).alias("survivors"))
@@ -53,13 +38,12 @@ def threshold_at_rate(df: DataFrame, keys: Sequence[str], score: str, live_time:
 
 def threshold_at_count(df: DataFrame, keys: Sequence[str], score: str, most: int) -> DataFrame:
     """Most permissive threshold with at most `most` survivors."""
-    return _smallest(survivors(df, keys, score), keys, F.col("survivors") <= most)
+    return smallest_passed_by(df, keys, score, F.lit(most).cast("bigint"))
 
 
 def threshold_at_fraction(df: DataFrame, keys: Sequence[str], score: str, fraction: float) -> DataFrame:
     """Most permissive threshold that floor(fraction * n) rows of a key survive at most."""
-    counted = survivors(df, keys, score).withColumn("__all", F.max("survivors").over(Window.partitionBy(*keys)))
-    return _smallest(counted, keys, F.col("survivors") <= F.floor(F.col("__all") * fraction))
+    return smallest_passed_by(df, keys, score, F.floor(F.col("n") * fraction))
 
 
 def weighted_efficiency(df: DataFrame, keys: Sequence[str], score: str, weight: Column, threshold: Column | float) -> DataFrame:
@@ -133,17 +117,12 @@ def seed_summary(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 
 def posterior_metrics(df: DataFrame, keys: Sequence[str], value: str, truth: str, level: float = 0.9) -> DataFrame:
-    """mean, median, population deviation, equal-tail interval (interpolated quantiles), coverage, mean distance. The
-    three quantiles are one aggregate over one set of counted values."""
+    """mean, median, population deviation, equal-tail interval (interpolated quantiles), coverage, mean distance. Values
+    that aren't finite are an error."""
     tail = (1 - level) / 2
-    out = df.groupBy(*keys).agg(
-        F.avg(value).alias("mean"),
-        F.percentile(value, F.array(F.lit(0.5), F.lit(tail), F.lit(1 - tail))).alias("__q"),
-        F.stddev_pop(value).alias("deviation"),
-        F.first(truth).alias("truth"),
-        F.avg(F.abs(F.col(value) - F.col(truth))).alias("distance"),
-    )
-    out = out.withColumns({n: F.col("__q")[i] for i, n in enumerate(("median", "low", "high"))}).drop("__q")
+    q = renamed(quantiles(df, keys, value, [0.5, tail, 1 - tail]), keys)
+    out = df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("deviation"), F.first(truth).alias("truth"), F.avg(F.abs(F.col(value) - F.col(truth))).alias("distance"))
+    out = out.join(q, same_keys(out, q, keys), "left").select(*out.columns, F.col("q0").alias("median"), F.col("q1").alias("low"), F.col("q2").alias("high"))
     return out.withColumn("covered", (F.col("truth") >= F.col("low")) & (F.col("truth") <= F.col("high"))).withColumn("bias", F.col("mean") - F.col("truth"))
 
 

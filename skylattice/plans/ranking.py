@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from skylattice.operators.graph import checkpoint
 
-#: Parts that the rows of a key are cut into.
-PARTS = 64
+#: Rows of a key that one task may hold.
+WHOLE = 1_000_000
 
 
 def same_keys(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> Column:
@@ -49,23 +49,29 @@ def ranked(spark: SparkSession, df: DataFrame, order: Sequence, name: str = "ran
     return dealt.withColumn("__p", part).join(first, "__p").withColumn(name, rank).drop("__p", "__at", "__first", *sort)
 
 
-def running_sums(df: DataFrame, keys: Sequence[str], order: str, sums: Mapping[str, str], descending: bool = False, parts: int = PARTS) -> DataFrame:
+def running_sums(df: DataFrame, keys: Sequence[str], order: str, sums: Mapping[str, str], descending: bool = False, whole: int = WHOLE) -> DataFrame:
     """Rows with the sums of columns over all rows of their key up to them in the order: new name -> column. The order
-    is a number that is unique within a key.
+    is unique within a key.
 
-    Quantiles of the order cut each key into parts of similar size; a window within a part and the sums of the parts
-    before it make the running sum, so a key of any size is spread over `parts` tasks.
+    The rows are written once. Where no key has more than `whole` of them, a window on the key does; else the rows are
+    sorted into ranges over all keys and written so, a window within a range and the sums of the ranges before it make
+    the running sum, and a key of any size is spread over tasks.
     """
-    cuts = renamed(df.groupBy(*keys).agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 1000).alias("__cuts")), keys)
-    part = F.size(F.filter("__cuts", lambda c: c < F.col(order)))
-    placed = df.join(cuts, same_keys(df, cuts, keys)).withColumn("__part", part).select(*df.columns, "__part")
-    totals = placed.groupBy(*keys, "__part").agg(*[F.sum(c).alias(f"__s_{n}") for n, c in sums.items()])
+    spark = df.sparkSession
     sort = F.desc if descending else F.asc
-    earlier = Window.partitionBy(*keys).orderBy(sort("__part")).rowsBetween(Window.unboundedPreceding, -1)
+    df = checkpoint(spark, df)
+    most = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if most <= whole:
+        upto = Window.partitionBy(*keys).orderBy(sort(order)).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumns({n: F.sum(c).over(upto) for n, c in sums.items()})
+    by = [*[F.col(k) for k in keys], sort(order)]
+    dealt = checkpoint(spark, df.repartitionByRange(*by).withColumn("__part", F.spark_partition_id()))
+    inner = Window.partitionBy(*keys, "__part").orderBy(sort(order)).rowsBetween(Window.unboundedPreceding, 0)
+    within = dealt.withColumns({n: F.sum(c).over(inner) for n, c in sums.items()})
+    earlier = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy(*keys, "__part").agg(*[F.sum(c).alias(f"__s_{n}") for n, c in sums.items()])
     totals = renamed(totals.select(*keys, F.col("__part").alias("__part_of"), *[F.coalesce(F.sum(f"__s_{n}").over(earlier), F.lit(0)).alias(f"__s_{n}") for n in sums]), keys)
-    within = Window.partitionBy(*keys, "__part").orderBy(sort(order)).rowsBetween(Window.unboundedPreceding, 0)
-    inner = placed.withColumns({n: F.sum(c).over(within) for n, c in sums.items()})
-    out = inner.join(totals, same_keys(inner, totals, keys) & (F.col("__part") == F.col("__part_of")))
+    out = within.join(totals, same_keys(within, totals, keys) & (F.col("__part") == F.col("__part_of")))
     return out.select(*df.columns, *[(F.col(n) + F.col(f"__s_{n}")).alias(n) for n in sums])
 
 

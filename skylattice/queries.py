@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from skylattice.functions import columns as C
 from skylattice.operators import arrays, audits, calibration, evaluation, graph, search, stats
+from skylattice.operators.graph import checkpoint
 from skylattice.plans import intervals, joins, ranking, selection
 
 HOUR, DAY, MICRO = 3600, 86400, 1_000_000
@@ -81,11 +82,10 @@ SELECT round(min(threshold), 6) AS threshold, max(survivors)::BIGINT AS survivor
 FROM c, x WHERE survivors / (exposure / 86400.0) <= 0.5""")
 def time_slide_threshold(spark, sf):
     """Flagship: windows, shifted self-join, rank by the second-highest score, exposure, threshold at a target rate."""
-    pairs = _slides(spark, sf)
-    total = pairs.agg(F.count("*") * HOUR).scalar()
-    counted = stats.survivors(pairs.withColumn("k", F.lit(0)), ["k"], "rank").withColumn("exposure", total)
-    ok = counted.where(F.col("survivors") / (F.col("exposure") / float(DAY)) <= 0.5)
-    return ok.agg(F.round(F.min("threshold"), 6).alias("threshold"), F.max("survivors").alias("survivors"), F.first("exposure").alias("exposure"), F.round(F.max("survivors") / F.first("exposure") * DAY, 6).alias("far_per_day"))
+    ranks = checkpoint(spark, _slides(spark, sf).select(F.lit(0).alias("k"), "rank"))
+    exposure = ranks.count() * HOUR
+    out = stats.threshold_at_rate(ranks, ["k"], "rank", F.lit(exposure / DAY), 0.5)
+    return out.select(F.round("threshold", 6).alias("threshold"), "survivors", F.lit(exposure).cast("bigint").alias("exposure"), F.round("far", 6).alias("far_per_day"))
 
 
 @query(f"""WITH {EV}, {HOURS}, {PAIRS}

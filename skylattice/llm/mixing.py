@@ -3,9 +3,10 @@
 A source's target says how often its words are taken: the whole part of target / size is taken of every document, the
 fraction is the inclusion probability of one more copy. The cube method picks those copies: it moves the vector of
 probabilities along the null space of the balancing constraints (number of documents, number of words) until all but a
-few are 0 or 1, so both totals of a source stay what the probabilities promise. Blocks of documents fly separately;
-what they leave undecided (two documents each) flies again, level by level, until a source is one block, and only that
-one's last two documents are landed.
+few are 0 or 1, so both totals of a source stay what the probabilities promise. Large documents are decided first, all
+others answering for them, so that only small ones are left. Blocks of documents fly separately; what they leave undecided
+(two small documents each) flies again, level by level, until a source is one block, and only that one's last few
+documents are landed: all ways to take them are compared.
 
 Draws and blocks come from a document's id, text and source. Rows that are alike in them are numbered, so that they are dealt
 over blocks as others are; which of them has which number doesn't matter.
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,6 +29,10 @@ WORD = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
 #: documents is broadcast.
 BLOCK, FAN, BROADCAST_ROWS = 1000, 250, 50_000
 EPS = 1e-9
+#: Times the mean of the rest, from which on a document moves without the constraint on the number of documents.
+MUCH = 4
+#: Documents of a source that are landed.
+LAND = 10
 
 
 def targets(spark: SparkSession, totals: DataFrame, most: float = 3.0) -> DataFrame:
@@ -73,56 +79,63 @@ def _copies_numbered(spark: SparkSession, sizes: DataFrame) -> DataFrame:
     return marked.where("again is null").withColumn("nth", F.lit(0).cast("long")).select(*sizes.columns, "nth").unionByName(alike.select(*sizes.columns, F.col("nth").cast("long").alias("nth")))
 
 
-def _step(p: list[float], units: list[int], u: tuple[float, ...], draw: float) -> None:
-    """Move the probabilities of the units along u or against it, as far as 0 or 1 allows; the draw keeps expectations."""
-    up = down = math.inf
-    for k, d in zip(units, u, strict=True):
-        if d > 0:
-            up, down = min(up, (1 - p[k]) / d), min(down, p[k] / d)
-        elif d < 0:
-            up, down = min(up, -p[k] / d), min(down, (p[k] - 1) / d)
-    move = up if draw * (up + down) < down else -down
-    for k, d in zip(units, u, strict=True):
-        x = p[k] + move * d
-        p[k] = 0.0 if x < EPS else 1.0 if x > 1 - EPS else x
+def _direction(a: float, x: np.ndarray, p: np.ndarray) -> np.ndarray | None:
+    """How documents with words x and probabilities p answer when that of one with a words grows by one; None if they can't.
+
+    (alpha + beta * x) * p * (1 - p) keeps the number of documents and the number of words and spares those that are
+    nearly decided. A document MUCH larger than the rest can't be outweighed by as many documents as it is, nor can one
+    of another size than all of the rest; then beta is 0 and only the words are kept.
+    """
+    w = p * (1 - p)
+    n, s, squares = w.sum(), (w * x).sum(), (w * x * x).sum()
+    if s == 0:
+        return None if a else -w / n
+    spread = n * squares - s * s
+    if a * n <= MUCH * s and spread > EPS * n * squares:
+        beta = (s - a * n) / spread
+        return w * ((-1 - beta * s) / n + beta * x)
+    return -a / s * w  # where all are of one size, that keeps both
 
 
 def fly(p: list[float], x: list[float], draws: list[float], land: bool) -> list[float]:
-    """The flight over documents with probabilities p, words x and a uniform number each, largest first.
+    """The flight over documents with probabilities p, words x and a uniform number each.
 
-    Three undecided documents and two constraints leave one direction. A large document moves only as far as the others
-    outweigh it, so two of the three come from the large end and one from the small end, and large ones are decided
-    while many others are left. With `land` the last ones are decided too: first without the constraint on documents,
-    the very last by its own draw.
+    The largest undecided document moves, and all other undecided ones outweigh it, up or down as far as 0 and 1 allow;
+    the draw between the two keeps expectations. So the largest are decided first, while many are left to answer for
+    them, and the few that stay undecided are the smallest (and a document that has nothing to outweigh it). With `land`
+    they are decided too, LAND at once, so that the number of words comes as near as they allow, then that of documents.
     """
-    p = list(p)
-    left = [k for k in range(len(p)) if EPS < p[k] < 1 - EPS]
-    i, j = 0, len(left) - 1
-    large: list[int] = []
-    small: list[int] = []
-    while True:
-        while i <= j and len(large) + len(small) < 3:
-            if len(large) < 2:
-                large.append(left[i])
-                i += 1
-            else:
-                small.append(left[j])
-                j -= 1
-        held = large + small
-        if len(held) < 3:
-            break
-        a, b, c = (x[k] for k in held)
-        u = (b - c, c - a, a - b)
-        _step(p, held, u if any(u) else (1.0, -1.0, 0.0), draws[held[-1]])
-        large, small = ([k for k in g if EPS < p[k] < 1 - EPS] for g in (large, small))
-    if land and len(held) == 2:
-        a, b = (x[k] for k in held)
-        _step(p, held, (b, -a) if a or b else (1.0, -1.0), draws[held[0]])
-        held = [k for k in held if EPS < p[k] < 1 - EPS]
+    q, size = np.array(p, float), np.array(x, float)
+    left = np.argsort(-size, kind="stable")
+    left = left[(q[left] > EPS) & (q[left] < 1 - EPS)]
+    alone: list[int] = []
+    step = 0
+
+    def move(units: np.ndarray, u: np.ndarray) -> np.ndarray:
+        nonlocal step
+        with np.errstate(divide="ignore", invalid="ignore"):
+            high, low = (1 - q[units]) / u, -q[units] / u
+        up, down = np.where(u > 0, high, np.where(u < 0, low, np.inf)).min(), np.where(u > 0, -low, np.where(u < 0, -high, np.inf)).min()
+        moved = q[units] + (up if draws[step] * (up + down) < down else -down) * u
+        step += 1
+        q[units] = np.where(moved < EPS, 0.0, np.where(moved > 1 - EPS, 1.0, moved))
+        return units[(q[units] > 0) & (q[units] < 1)]
+
+    while len(left) > (LAND if land else 2):
+        u = _direction(size[left[0]], size[left[1:]], q[left[1:]])
+        if u is None:
+            alone.append(int(left[0]))
+            left = left[1:]
+        else:
+            left = move(left, np.concatenate([[1.0], u]))
     if land:
-        for k in held:
-            p[k] = float(draws[k] < p[k])
-    return p
+        last = np.array([*alone, *left.tolist()], int)[-LAND:]
+        ways = (np.arange(1 << len(last))[:, None] >> np.arange(len(last))) & 1
+        off = np.abs((ways - q[last]) @ np.stack([size[last], np.ones(len(last))], axis=1))
+        q[last] = ways[np.lexsort((off[:, 1].round(6), off[:, 0].round(6)))[0]]
+        for k in alone[: max(0, len(alone) + len(left) - LAND)]:
+            q[k] = float(draws[k] < q[k])
+    return q.tolist()
 
 
 def _fly_group(land: bool):

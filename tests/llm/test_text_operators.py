@@ -266,6 +266,22 @@ def test_cube_keeps_totals():
     assert set(p) <= {0.0, 1.0} and abs(sum(p) - 148) <= 2 and abs(sum(a * b for a, b in zip(p, x)) - 0.37 * sum(x)) <= 500
 
 
+def test_the_landing_is_small():
+    """A few long documents among many short ones: no draw misses by more than a median document."""
+    r = random.Random(5)
+    x = [3364.0, 1900.0, 1200.0] + [float(r.randint(15, 600)) for _ in range(47)]
+    off, taken = [], [0.0] * len(x)
+    for k in range(200):
+        d = random.Random(k)
+        p = mixing.fly([0.5] * len(x), x, [d.random() for _ in x], True)
+        assert set(p) <= {0.0, 1.0}
+        off.append(abs(sum(a * b for a, b in zip(p, x)) - 0.5 * sum(x)))
+        taken = [a + b / 200 for a, b in zip(taken, p)]
+    assert max(off) <= sorted(x)[25] and sum(off) / 200 <= 20
+    assert 0.38 < taken[0] < 0.62 and mixing.fly([], [], [], True) == []
+    assert mixing.fly([0.5] * 4, [0.0, 0.0, 7.0, 0.0], [0.1, 0.9, 0.4, 0.6], True)[2] in (0.0, 1.0)
+
+
 def test_gradients_of_the_network():
     net = language_id.Network(["a", "b", "c"], np.random.default_rng(0))
     for k in net.names:

@@ -1,21 +1,25 @@
 """Main text of web pages by a site style tree.
 
 The pages of a host are merged into one style tree: a node is a path of elements (tag, classes, id and role, digits
-dropped), wherever it occurs; copies of a page count once. Two entropies over the pages of a host make up a node's
-importance: of its presentation (the sequence of child elements) and of its content (how many pages each of its blocks
-is spread over). A menu whose blocks come back on page after page has little of both, an article much. With few pages
-the entropies say little, and the importance is drawn towards 1 by as much as EVIDENCE pages weigh.
+dropped), containers also by their place in the sequence of containers that they are in; copies of a page count once.
+Two entropies over the pages of a host make up a node's importance: of its presentation (the sequence of child
+elements) and of its content (how many pages each of its blocks is spread over). A block that comes back on page after
+page has little content; a menu, an advert or a footer has the same presentation on all pages even if its links and
+words differ, while articles differ in theirs. With few pages the entropies say little, and the importance is drawn
+towards 1 by as much as EVIDENCE pages weigh. A page loses every branch whose importance is small beside the mean of
+its text.
 
 What an element's tag, class or role says of it is a prior: menus, adverts, forms and the like weigh far less, and
-`article` and `main` more if they carry the page. A page then loses every branch whose importance is small beside the
-mean of its text. So a page without `article` depends on the tree, and a branch that is named like a form or a notice
-but outweighs all other text is kept.
+`article` and `main` more if they carry the page. A branch that is named like a form or a notice but outweighs all other
+text is kept, and so is running text inside an article whose name may as well be that of a part of a text.
 """
 
 from __future__ import annotations
 
+import gc
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 from html import unescape
 
 import numpy as np
@@ -47,18 +51,25 @@ SIDE_TAGS = frozenset("nav aside footer header form head dialog menu fieldset se
 NAMED_FREELY = frozenset("html body article main section p h1 h2 h3 h4 h5 h6".split())
 SIDE_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert toolbar".split())
 CONTAINERS = frozenset("div section ul ol dl table center aside form header footer nav details figure fieldset".split())
-SIDE_NAMES = re.compile(
-    r"(?:^|[-_\s])(?:ads?|advert\w*|adsense|adslot|banner|promo\w*|sponsor\w*|nav\w*|menu\w*|breadcrumbs?|sidebar|side|footer|header|masthead|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|"
-    r"newsletter|subscribe|subscription|signup|share|sharing|social|related|recommend\w*|widget\w*|toolbar|pagination|pager|login|search|skip\w*|copyright|legal|teasers?|cards?)(?:$|[-_\s])",
-    re.I,
-)
-READERS = re.compile(r"(?:^|[-_\s])(?:comments?|commentlist|disqus|replies|reply|respond)(?:$|[-_\s])", re.I)
+#: Words of classes and ids, alone or before or behind a word of structure. Those of the second kind also name parts of a
+#: text: inside `article` or `main` an element so named that holds running text is text.
+SIDE_WORDS = r"ads?|advert|adverts|advertisement|advertising|adsense|adslot|banner|promo|promos|promotion|sponsor|sponsored|sponsors|nav|navbar|navigation|menu|menus|breadcrumbs?|sidebar|masthead|cookies?|consent|gdpr|notice|notification|popup|modal|overlay|newsletter|subscribe|subscription|signup|toolbar|pagination|pager|login|skip|widget|widgets"
+TEXT_WORDS = r"side|header|footer|alert|share|sharing|social|related|recommended|recommendations|search|copyright|legal|teasers?|cards?"
+READER_WORDS = r"comments?|commentlist|disqus|replies|reply|respond"
+STRUCTURE = r"box|bar|block|section|area|wrap|wrapper|container|list|links?|buttons?|form|unit|slot|item|thread|inner|outer|main|top|bottom|left|right|main|site|page|global|primary|secondary|mobile|link"
+
+
+def _named(words: str) -> re.Pattern:
+    return re.compile(rf"(?:^|\s)(?:(?:{STRUCTURE})[-_]+)*(?:{words})(?:[-_]+(?:{STRUCTURE}|{words}))*[-_]*(?=\s|$)")
+
+
+SIDE_NAMES, TEXT_NAMES, READERS = _named(SIDE_WORDS), _named(TEXT_WORDS), _named(READER_WORDS)
 #: Priors: of elements that are named as no main text, of navigation and readers' comments (never main text), and of
 #: what lies outside of the articles if they carry the page, or of articles if they don't.
 NAMED, NEVER, BESIDE = 0.15, 0.01, 0.3
-#: Importance beside the page's mean below which a branch goes; weight of presentation; pages that the first guess of 1
-#: weighs as much as; what remains if all is alike.
-LOW, PRESENTATION, EVIDENCE, FLOOR = 0.5, 0.25, 2.0, 0.05
+#: Importance beside the page's mean below which a branch goes; pages that the first guess of 1 weighs as much as; what
+#: remains if all is alike.
+LOW, EVIDENCE, FLOOR = 0.5, 2.0, 0.05
 #: A block that is running text has this many words; a branch that outvotes its name has blocks and words of them.
 RUNNING, RUNNING_BLOCKS, RUNNING_WORDS = 10, 2, 40
 #: Rows of the tree that are broadcast: those of the nodes with most pages; the rest is joined to the pages that need it.
@@ -66,20 +77,43 @@ BROADCAST_ROWS = 100_000
 
 
 class Node:
-    __slots__ = ("children", "key", "kind", "parent", "prior", "sign")
+    """An element of a page. parts: its child elements, whose signs are its presentation. The rest is for `extract`."""
+
+    __slots__ = ("article", "best", "boxed", "content", "flows", "inside", "key", "kind", "least", "named", "own", "parent", "parts", "prior", "runs", "score", "sign", "style", "weak", "words")
+
+    def __init__(self, sign: str, parent: Node | None, prior: float, weak: bool, kind: str):
+        self.sign, self.parent, self.prior, self.weak, self.kind, self.key, self.parts = sign, parent, prior, weak, kind, 0, ()
 
-    def __init__(self, sign: str, key: int, parent: Node | None, prior: float, kind: str):
-        self.sign, self.key, self.parent, self.prior, self.kind, self.children = sign, key, parent, prior, kind, []
+    @property
+    def children(self) -> list[str]:
+        return [y.sign for y in self.parts]
 
 
-_signs: dict[tuple[str, str], tuple[str, float]] = {}
+def _undisturbed(f: Callable) -> Callable:
+    """Without the collector of cycles, which looks at all elements of a large page again and again while they are made."""
 
+    @wraps(f)
+    def run(*args):
+        on = gc.isenabled()
+        gc.disable()
+        try:
+            return f(*args)
+        finally:
+            if on:
+                gc.enable()
 
-def _sign(tag: str, attributes: str) -> tuple[str, float]:
-    """The element as the style tree names it, and the prior that its tag, name and role give it."""
+    return run
+
+
+_signs: dict[tuple[str, str], tuple[str, float, bool]] = {}
+
+
+def _sign(tag: str, attributes: str) -> tuple[str, float, bool]:
+    """The element as the style tree names it, the prior that its tag, name and role give it, and whether the name alone
+    does so and may as well name a part of a text."""
     by_tag = NEVER if tag in ("nav", "head", "menu") else NAMED if tag in SIDE_TAGS else 1.0
     if not attributes or attributes.isspace():
-        return tag, by_tag
+        return tag, by_tag, False
     if (known := _signs.get((tag, attributes))) is not None:
         return known
     found: dict[str, str] = {}
@@ -88,16 +122,19 @@ def _sign(tag: str, attributes: str) -> tuple[str, float]:
     name = DIGITS.sub("", " ".join(found[k] for k in ("class", "id") if k in found)).lower()
     role = found.get("role", "").lower()
     style = found.get("style", "").replace(" ", "").lower()
-    prior = by_tag
+    prior, weak = by_tag, False
+    free = tag in NAMED_FREELY
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style:
         prior = 0.0
-    elif READERS.search(name) and tag not in ("html", "body", "h1", "h2", "h3", "h4", "h5", "h6", "p"):
+    elif READERS.search(name) and (not free or tag in ("article", "main", "section")):
         prior = NEVER
     elif role in ("navigation", "menu", "menubar"):
         prior = NEVER
-    elif role in SIDE_ROLES or (SIDE_NAMES.search(name) and (tag not in NAMED_FREELY or tag == "article" and re.search(r"\b(?:related|teasers?|promo|ad|cards?)\b", name))):
+    elif role in SIDE_ROLES or (SIDE_NAMES.search(name) and not free) or (tag == "article" and re.search(r"\b(?:related|teasers?|promo|ad|cards?)\b", name)):
         prior = min(prior, NAMED)
-    out = (f"{tag}.{'.'.join(sorted(name.split()))}" + (f"[{role}]" if role else ""), prior)
+    elif TEXT_NAMES.search(name) and not free:
+        weak, prior = prior == 1.0, min(prior, NAMED)
+    out = (f"{tag}.{'.'.join(sorted(name.split()))}" + (f"[{role}]" if role else ""), prior, weak)
     if len(_signs) > 50_000:
         _signs.clear()
     if len(attributes) < 2000:
@@ -106,13 +143,13 @@ def _sign(tag: str, attributes: str) -> tuple[str, float]:
 
 
 def parse(html: str) -> tuple[list[Node], list[tuple[Node, str]]]:
-    """Nodes of the page's style tree (equal paths are one), and its blocks in page order with the node of each.
+    """The page's elements, parents first, each with the key of its node in the style tree, and its blocks in page order
+    with the element of each.
 
     As browsers do, a tag ends at the first `>` outside of a quoted value. A page with a quote that never closes is read
     on with tags that end at the next `>`. The time is linear in the page's length.
     """
-    root = Node("", 0, None, 1.0, "")
-    nodes: dict[tuple[int, str], Node] = {}
+    root = Node("", None, 1.0, False, "")
     order: list[Node] = []
     stack: list[tuple[str, Node]] = [("", root)]
     blocks: list[tuple[Node, str]] = []
@@ -225,20 +262,28 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str]]]:
             if cut is not None:
                 pop_to(cut)
         parent = stack[-1][1]
-        sign, prior = _sign(tag, attributes)
+        sign, prior, weak = _sign(tag, attributes)
         if tag == "header" and prior == NAMED and (open_tags.get("article") or open_tags.get("main")):
             prior = 1.0  # the head of the article itself
-        if len(stack) > 400:  # deeper elements are read as part of the one they are in
-            node = parent
+        node = Node(sign, parent, prior, weak, tag)
+        if parent.parts:
+            parent.parts.append(node)
         else:
-            parent.children.append(sign)
-            node = nodes.get((parent.key, sign))
-            if node is None:
-                node = nodes[(parent.key, sign)] = Node(sign, xxhash.xxh64_intdigest(f"{parent.key}>{sign}") - (1 << 63), parent, prior, tag)
-                order.append(node)
+            parent.parts = [node]
+        order.append(node)
         stack.append((tag, node))
         open_tags[tag] = open_tags.get(tag, 0) + 1
     flush()
+    for x in (root, *order):
+        if x.parts:
+            boxes, place = " ".join([y.sign for y in x.parts if y.kind in CONTAINERS]), 0
+            style = _key(boxes) if boxes else 0
+            for y in x.parts:  # containers by their place among the element's containers, others by what they are
+                if y.kind in CONTAINERS:
+                    y.key = _key(f"{x.key}>{style}>{place}>{y.sign}")
+                    place += 1
+                else:
+                    y.key = _key(f"{x.key}>{y.sign}")
     return order, blocks
 
 
@@ -251,6 +296,7 @@ def _key(text: str) -> int:
     return xxhash.xxh64_intdigest(text) - (1 << 63)
 
 
+@_undisturbed
 def features(html: str) -> tuple[int, set[tuple[int, int, int]]]:
     """Digest of what follows, and (node, kind, hash): 0 for a block of the node, 1 for its sequence of child elements."""
     order, blocks = parse(html)
@@ -258,72 +304,96 @@ def features(html: str) -> tuple[int, set[tuple[int, int, int]]]:
     return xxhash.xxh64_intdigest(np.array(sorted(out), np.int64).tobytes()) - (1 << 63), out
 
 
-def _least_own(chains: dict[int, list[Node]], words: dict[int, int], tree: dict[int, tuple[float | None, float | None]]) -> dict[int, float]:
-    """Least importance of the containers that each text node is in. A container's importance is made of the content of
-    all text in it, by words, and of its presentation."""
-    total: dict[int, list[float]] = {}
-    for key, chain in chains.items():
-        content = tree.get(key, (None, None))[0]
-        for y in chain:
-            s = total.setdefault(y.key, [0.0, 0.0])
-            s[0] += words[key] * (1.0 if content is None else content)
-            s[1] += words[key]
-    own = {}
-    for key, (s, k) in total.items():
-        style = tree.get(key, (None, None))[1]
-        own[key] = FLOOR + (1 - FLOOR) * ((1 - PRESENTATION) * s / k + PRESENTATION * (1.0 if style is None else style))
-    return {key: min([own[y.key] for y in chain if y.kind in CONTAINERS], default=1.0) for key, chain in chains.items()}
+#: What a node that isn't in the tree has.
+NOTHING = (None, None)
+
 
+def _importance(order: list[Node], tree: dict[int, tuple[float | None, float | None]]) -> None:
+    """Importance `own` of the text of each element.
 
+    Its content is that of the least important container that it is in, where all text of a container counts by words. Its
+    presentation is that of the most important one: what has the same form on all pages is text if it is in something
+    that hasn't. Presentations are taken relative to the mean of the page, so that where no form differs between pages
+    none loses by it.
+    """
+    for x in reversed(order):  # children before parents
+        c = tree.get(x.key, NOTHING)[0]
+        x.content += x.words * (1.0 if c is None else c)
+        x.inside += x.words
+        x.parent.content += x.content
+        x.parent.inside += x.inside
+        x.parent.flows |= x.flows
+    total = weight = 0.0
+    for x in order:  # parents before children
+        up = x.parent
+        box = x.kind in CONTAINERS
+        x.style, x.own, x.boxed = up.style, up.own, up.boxed or box
+        if box or x.kind in ("body", "article", "main"):
+            form = tree.get(x.key, NOTHING)[1]
+            x.style = max(x.style, FLOOR + (1 - FLOOR) * (1.0 if form is None else form))
+        if box and x.inside:
+            x.own = min(x.own, FLOOR + (1 - FLOOR) * x.content / x.inside)
+        x.article = up.article or x.kind in ("article", "main") or x.sign.endswith("[main]")
+        total += x.words * x.style
+        weight += x.words
+    mean = total / weight if weight else 1.0
+    for x in order:
+        if x.words and x.boxed:
+            x.own *= min(1.0, x.style / mean)
+
+
+@_undisturbed
 def extract(html: str, tree: dict[int, tuple[float | None, float | None]]) -> str:
     """Main text of a page. tree: node -> importance of content and of presentation; what isn't listed has 1."""
     order, blocks = parse(html)
-    chains: dict[int, list[Node]] = {}
-    words: dict[int, int] = {}
-    running: dict[int, tuple[int, int]] = {}
+    root = order[0].parent if order else blocks[0][0] if blocks else Node("", None, 1.0, False, "")
+    for x in (root, *order):
+        x.words = x.runs = x.inside = 0
+        x.content, x.flows, x.article, x.boxed, x.style, x.own, x.least, x.named = 0.0, False, False, False, FLOOR, 1.0, 1.0, None
+    holders: list[Node] = []
+    running: dict[int, int] = {}
     for x, t in blocks:
-        if x.key not in chains:
-            chain, at = [], x
-            while at is not None:
-                chain.append(at)
-                at = at.parent
-            chains[x.key] = chain[::-1]
+        if not x.words:
+            holders.append(x)
         k = t.count(" ") + 1
-        words[x.key] = words.get(x.key, 0) + k
+        x.words += k
         if k >= RUNNING:
-            a, b = running.get(x.key, (0, 0))
-            running[x.key] = (a + 1, b + k)
-    own = _least_own(chains, words, tree)
+            x.runs, x.flows = x.runs + 1, True
+            running[id(x)] = running.get(id(x), 0) + k
+    _importance(order, tree)
 
     # names are believed unless a branch outweighs all text outside of named branches, and no article is elsewhere
+    for x in order:  # a name that may be one of a text's parts isn't believed of running text in an article
+        x.best = x.prior < 1 and not (x.weak and x.parent.article and x.flows)
+        x.least = min(x.parent.least, x.prior if x.best else 1.0)
     lifted: set[int] = set()
     while True:
         named: dict[int, list[float]] = {}
-        score, free = {}, 0.0
-        for key, chain in chains.items():
-            first = next((y.key for y in chain if y.prior < 1 and y.key not in lifted), None)
-            score[key] = own[key] if first is None else 0.0
-            free += words[key] * score[key]
-            if first is not None and all(y.prior >= NAMED for y in chain):
-                a, b = running.get(key, (0, 0))
-                s = named.setdefault(first, [0.0, 0, 0])
-                s[0] += NAMED * words[key] * own[key]
-                s[1] += a
-                s[2] += b
+        free = 0.0
+        for x in order:
+            x.named = x.parent.named or (x if x.best and x.key not in lifted else None)
+        for x in holders:
+            x.score = x.own if x.named is None else 0.0
+            free += x.words * x.score
+            if x.named is not None and x.least >= NAMED:
+                s = named.setdefault(x.named.key, [0.0, 0, 0])
+                s[0] += NAMED * x.words * x.own
+                s[1] += x.runs
+                s[2] += running.get(id(x), 0)
         best = max((k for k, s in named.items() if s[0] > free and s[1] >= RUNNING_BLOCKS and s[2] >= RUNNING_WORDS), key=lambda k: (named[k][0], k), default=None)
         if best is None or any(x.kind in ("article", "main") and x.prior == 1 and not _within(x, best) for x in order):
             break
         lifted.add(best)
 
     # articles and main elements: more than the rest if they carry the page, less if they are teasers beside it
-    inside = {key for key, chain in chains.items() if score[key] and any(y.kind in ("article", "main") or y.sign.endswith("[main]") for y in chain)}
-    outside = {key for key in chains if score[key]} - inside
-    weigh = lambda keys: sum(words[k] * score[k] for k in keys)
+    inside = sum(x.words * x.score for x in holders if x.article)
+    outside = sum(x.words * x.score for x in holders if not x.article)
     if inside and outside:
-        for key in outside if 3 * weigh(inside) >= weigh(outside) else inside:
-            score[key] *= BESIDE
-    level = LOW * sum(words[k] * s * s for k, s in score.items()) / (sum(words[k] * s for k, s in score.items()) or 1.0)
-    return "\n\n".join(t for x, t in blocks if score[x.key] > 0 and score[x.key] >= level)
+        for x in holders:
+            if x.article != (3 * inside >= outside):
+                x.score *= BESIDE
+    level = LOW * sum(x.words * x.score * x.score for x in holders) / (sum(x.words * x.score for x in holders) or 1.0)
+    return "\n\n".join(t for x, t in blocks if x.score > 0 and x.score >= level)
 
 
 def _within(x: Node | None, key: int) -> bool:

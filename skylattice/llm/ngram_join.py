@@ -35,7 +35,7 @@ COUNTERS, SLICES, FAN = 1 << 22, 64, 32
 #: Sets of a list that are looked at two by two before their sets are made, and rows up to which a table is broadcast.
 SHORT, BROADCAST_ROWS = 32, 500_000
 #: Sets and n-grams of a block, and classes of n-grams that the suffix filter counts.
-ROWS, GRAMS, CLASSES = 1024, 1 << 21, 64
+ROWS, GRAMS, CLASSES = 512, 1 << 18, 64
 
 SHIFT = np.uint64(64 - (COUNTERS.bit_length() - 1))
 

@@ -2,60 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from itertools import combinations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skylattice.contracts import ContractError, duplicates, failing, missing_references, require, uncontrolled
 from skylattice.functions.columns import all_gates, ratio_or_nan, wilson, zero_count_limit
 from skylattice.operators import stats
+from skylattice.operators.resampling import resampled
 from skylattice.plans.intervals import interval_union
 from skylattice.plans.joins import matched, verified
 
 YEAR = 365.25 * 86400
-#: Cumulative probabilities of the Poisson distribution of mean 1.
-POISSON = np.cumsum(np.exp(-1) / np.array([1.0, 1, 2, 6, 24, 120, 720, 5040, 40320, 362880, 3628800, 39916800]))
-
-
-def poisson_draws(rows: np.ndarray, replicates: int, seed: int) -> np.ndarray:
-    """How often each row is in each resample, from the row's hash alone."""
-    with np.errstate(over="ignore"):
-        x = rows.astype(np.uint64)[:, None] + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15) + (np.arange(1, replicates + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))[None, :]
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        x ^= x >> np.uint64(31)
-    return np.searchsorted(POISSON, (x >> np.uint64(11)).astype(float) / (1 << 53)).astype(float)
-
-
-def resampled(df: DataFrame, keys: Sequence[str], row: str, numerator: Column, denominator: Column | None = None, replicates: int = 500, seed: int = 0, level: float = 0.95) -> DataFrame:
-    """keys, low, high: percentile interval of sum(numerator) / sum(denominator), or of the sum alone.
-
-    Every row is in each resample a Poisson number of times, which its hash decides. So partial sums of resamples are
-    made where rows are, whatever their number or order, and only those are shuffled.
-    """
-    columns = [f"k{i} {df.schema[k].dataType.simpleString()}" for i, k in enumerate(keys)]
-    names = [f"k{i}" for i in range(len(keys))]
-    chosen = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.xxhash64(row).alias("h"), numerator.cast("double").alias("a"), (F.lit(1.0) if denominator is None else denominator.cast("double")).alias("b"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for lo in range(0, len(pdf), 2048):
-                part = pdf.iloc[lo : lo + 2048]
-                w = poisson_draws(part["h"].to_numpy(), replicates, seed)
-                groups = part.groupby(names, dropna=False, sort=False).indices.items() if names else [((), np.arange(len(part)))]
-                rows = [(*(k if isinstance(k, tuple) else (k,)), (part["a"].to_numpy()[at] @ w[at]).tolist(), (part["b"].to_numpy()[at] @ w[at]).tolist()) for k, at in groups]
-                yield pd.DataFrame(rows, columns=[*names, "a", "b"])
-
-    parts = chosen.mapInPandas(run, ", ".join([*columns, "a array<double>", "b array<double>"]))
-    sums = parts.select(*names, F.posexplode(F.arrays_zip("a", "b")).alias("i", "x")).groupBy(*names, "i").agg(F.sum("x.a").alias("a"), F.sum("x.b").alias("b"))
-    value = F.col("a") if denominator is None else F.when(F.col("b") > 0, F.col("a") / F.col("b"))
-    tail = (1 - level) / 2
-    out = sums.groupBy(*names).agg(F.percentile(value, F.array(F.lit(tail), F.lit(1 - tail))).alias("q"))
-    return out.select(*[F.col(n).alias(k) for n, k in zip(names, keys, strict=True)], F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
 
 def evaluate_search(background: DataFrame, injections: DataFrame, score: str, weight: Column, threshold: float, live_time: float, row: str, replicates: int = 500, seed: int = 0) -> DataFrame:
@@ -72,13 +32,22 @@ def evaluate_search(background: DataFrame, injections: DataFrame, score: str, we
     return out.withColumns({"far": far, "ifar": F.when(far > 0, 1 / far), "far_limit": F.when(F.col("false_alarms") == 0, zero_count_limit(F.lit(live_time))), "efficiency": F.col("recovered") / F.col("injections"), "low": low, "high": high, "weighted_efficiency": F.col("recovered_weight") / F.col("weight")})
 
 
-def paired_arms(df: DataFrame, a: Column, b: Column, weight: Column, stratum: str) -> DataFrame:
+def paired_arms(df: DataFrame, a: Column, b: Column, weight: Column, stratum: str, row: str | None = None, replicates: int = 500, seed: int = 0) -> DataFrame:
     """Two arms on the same injections, overall (`stratum` null) and by stratum: weights found by each (a, b are whether
-    an arm found a row), the difference, and both weighted efficiencies."""
-    hit = lambda c: F.sum(F.when(F.coalesce(c, F.lit(False)), weight).otherwise(0.0))
+    an arm found a row), the difference, and both weighted efficiencies. With `row`, which identifies an injection, also
+    the interval of the difference over resamples of the pairs, of all and of each stratum (boot_low, boot_high)."""
+    found = lambda c: F.when(F.coalesce(c, F.lit(False)), weight).otherwise(0.0)
+    hit = lambda c: F.sum(found(c))
     out = df.groupingSets([[], [F.col(stratum)]], stratum).agg(F.grouping_id().alias("overall"), F.count("*").alias("injections"), F.sum(weight).alias("weight"), hit(a).alias("weight_a"), hit(b).alias("weight_b"))
     out = out.withColumns({"overall": F.col("overall") == 1, "delta": F.col("weight_b") - F.col("weight_a"), "relative_delta": F.when(F.col("weight_a") > 0, (F.col("weight_b") - F.col("weight_a")) / F.col("weight_a"))})
-    return out.withColumns({f"efficiency_{x}": F.when(F.col("weight") > 0, F.col(f"weight_{x}") / F.col("weight")) for x in "ab"})
+    out = out.withColumns({f"efficiency_{x}": F.when(F.col("weight") > 0, F.col(f"weight_{x}") / F.col("weight")) for x in "ab"})
+    if row is None:
+        return out
+    change = found(b) - found(a)
+    every = resampled(df, [], row, change, None, replicates, seed).select(F.lit(True).alias("__all"), F.lit(None).cast(df.schema[stratum].dataType).alias("__s"), "low", "high")
+    each = resampled(df, [stratum], row, change, None, replicates, seed).select(F.lit(False).alias("__all"), F.col(stratum).alias("__s"), "low", "high")
+    both = every.unionByName(each)
+    return out.join(both, (out["overall"] == both["__all"]) & out[stratum].eqNullSafe(both["__s"]), "left").select(*[out[c] for c in out.columns], F.col("low").alias("boot_low"), F.col("high").alias("boot_high"))
 
 
 def regressing_strata(arms: DataFrame, margin: float) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from skylattice import contracts
 from skylattice.functions import columns as C
-from skylattice.operators import audits, calibration, evaluation, graph, search, stats
+from skylattice.operators import audits, calibration, evaluation, exposure, graph, resampling, search, stats
 from skylattice.plans import intervals, joins, selection, windows
 from skylattice.queries import DAY, EV, HOUR, MICRO, _events, _t, _w, query
 
@@ -473,3 +473,40 @@ def merged_islands(spark, sf):
     """Islands of overlapping or touching intervals."""
     e = _events(spark, sf).select("user_id", (F.col("us") - 1800 * MICRO).alias("s"), (F.col("us") + 1800 * MICRO).alias("e"))
     return intervals.merged_intervals(e, ["user_id"], "s", "e").select("user_id", "s", "e", "members")
+
+
+MINUTES = f"""WITH {EV}, w AS (SELECT us // 60000000 * 60 AS s, bool_or(event_type = 'purchase') AS a, bool_or(event_type = 'view') AS b FROM ev GROUP BY 1),
+x AS (SELECT (b.s - a.s) // 120 AS lag, count(*) AS pairs FROM w a JOIN w b ON b.s > a.s AND (b.s - a.s) % 120 = 0 AND a.a AND b.b GROUP BY 1)"""
+
+
+def _minutes(spark, sf):
+    """Windows of a minute that hold an event, with the event types that are in them as detectors."""
+    at = F.floor(F.col("us") / (60 * MICRO)) * 60
+    return _events(spark, sf).groupBy(at.alias("gps_start")).agg(F.collect_set("event_type").alias("ifos")).withColumn("gps_end", F.col("gps_start") + 60)
+
+
+@query(f"{MINUTES} SELECT lag, pairs, pairs * 60 AS exposure FROM x")
+def lag_exposure_all(spark, sf):
+    """Pairs of windows and their live time for every lag of two minutes, from bitmaps: no lag costs a join."""
+    return exposure.lag_exposure(_minutes(spark, sf), 120, "purchase", "view")
+
+
+@query(f"""{MINUTES}, t AS (SELECT count(*) AS lags, sum(pairs)::BIGINT AS pairs, sum(pairs) * 60.0 AS live FROM x), n AS (SELECT count(*) AS n FROM w)
+SELECT lags, pairs, live::DOUBLE AS live_time, n AS windows, round(-ln(0.1) / (live / 31557600.0), 6) AS rate_limit, live >= -ln(0.1) / 100 * 31557600.0 AS reached,
+  ceil((1 + sqrt(1 + 8 * (-ln(0.1) / 100 * 31557600.0) / 60)) / 2)::INTEGER AS least_windows FROM t, n""")
+def exposure_plan(spark, sf):
+    """What all lags together say of a rate of 100 a year at 90 %."""
+    w = _minutes(spark, sf)
+    out = exposure.exposure_plan(exposure.lag_exposure(w, 120, "purchase", "view"), w.count(), 60.0, 100.0)
+    return out.select("lags", "pairs", "live_time", F.col("windows").cast("bigint").alias("windows"), F.round("rate_limit", 6).alias("rate_limit"), "reached", "least_windows")
+
+
+@query("""SELECT l_returnflag AS key, count(*) AS n, 40 AS replicates, count(*) AS least_draws, count(*) AS most_draws, true AS centred FROM lineitem GROUP BY 1""")
+def exact_resamples(spark, sf):
+    """Resamples of the lines of each flag: each draws as many as there are, and their sums lie around the true sum."""
+    li = _t(spark, sf, "lineitem").select("l_returnflag", F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("row"), "l_quantity")
+    own = li.groupBy(F.col("l_returnflag").alias("key")).agg(F.count("*").alias("n"), F.sum("l_quantity").alias("total"), F.stddev_pop("l_quantity").alias("spread"))
+    r = resampling.replicate_sums(li, ["l_returnflag"], "row", {"v": F.col("l_quantity")}, 40, 3).groupBy(F.col("l_returnflag").alias("key"))
+    r = r.agg(F.count("*").cast("int").alias("replicates"), F.min("draws").alias("least_draws"), F.max("draws").alias("most_draws"), F.avg("v").alias("mean"))
+    off = F.abs(F.col("mean") - F.col("total")) <= 5 * F.col("spread") * F.sqrt("n") / F.sqrt("replicates")
+    return own.join(r, "key").select("key", "n", "replicates", "least_draws", "most_draws", off.alias("centred"))

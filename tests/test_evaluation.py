@@ -107,8 +107,6 @@ def test_resampled_intervals(spark):
     i = r.integers(0, 400, (4000, 400))
     want = np.percentile((w * hit)[i].sum(1) / w[i].sum(1), [2.5, 97.5])
     assert [a["low"], a["high"]] == pytest.approx(want.tolist(), abs=0.01)
-    draws = evaluation.poisson_draws(np.arange(2000), 200, 3)
-    assert draws.mean() == pytest.approx(1, abs=0.01) and draws.var() == pytest.approx(1, abs=0.02)
     by = evaluation.resampled(df.withColumn("k", F.col("id") % 2), ["k"], "id", num, F.col("w"), 100, 5).collect()
     assert sorted(x["k"] for x in by) == [0, 1]
     out = evaluation.evaluate_search(df.withColumn("s", F.col("w")), df.withColumn("s", num), "s", F.col("w"), 0.4, 10.0, "id", 300, 2).first()

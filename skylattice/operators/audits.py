@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skylattice.contracts import require, set_difference
+from skylattice.contracts import ContractError, require, set_difference
 from skylattice.functions.columns import composition
 
 
@@ -96,3 +96,41 @@ def comparable_overlap(locked: DataFrame, other: DataFrame, fields: Sequence[str
     if not both:
         raise ValueError("the manifests have no field to compare")
     return nested_overlap(locked, other, both)
+
+
+def manifest_overlaps(manifests: dict[str, DataFrame], fields: Sequence[str]) -> DataFrame:
+    """field, left, right, shared: how many values of each field every two manifests share, and how many different values
+    one has (left = right). Nulls don't count, and a field that a manifest doesn't have is none of its.
+
+    A value gets one bit for each manifest that holds it, in one aggregate that combines before its shuffle, however
+    many manifests there are; all pairs are read off the few sets of bits that occur.
+    """
+    if len(manifests) > 63:
+        raise ValueError("more than 63 manifests")
+    parts = [df.select(F.lit(1 << i).cast("bigint").alias("bit"), F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for i, df in enumerate(manifests.values()) for f in fields if f in df.columns]
+    if not parts:
+        raise ValueError("no manifest has one of the fields")
+    sets = reduce(DataFrame.unionByName, parts).where("value is not null").groupBy("field", "value").agg(F.bit_or("bit").alias("bits")).groupBy("field", "bits").agg(F.count("*").alias("n"))
+    names = F.array(*[F.lit(n) for n in manifests])
+    held = F.filter(F.sequence(F.lit(0), F.lit(len(manifests) - 1)), lambda i: F.call_function("getbit", F.col("bits"), i) == 1)
+    pairs = sets.withColumn("i", F.explode(held)).withColumn("j", F.explode(F.filter(held, lambda j: j >= F.col("i"))))
+    return pairs.groupBy("field", "i", "j").agg(F.sum("n").alias("shared")).select("field", F.element_at(names, F.col("i") + 1).alias("left"), F.element_at(names, F.col("j") + 1).alias("right"), "shared")
+
+
+def require_disjoint(manifests: dict[str, DataFrame], locked: str, fields: Sequence[str]) -> DataFrame:
+    """The overlaps of a locked manifest with each of the others, all of them none. Sharing a value is an error, and so is
+    another manifest without any field that both have values of, since nothing would be compared."""
+    found = manifest_overlaps(manifests, fields).cache()
+    try:
+        shared = found.where((F.col("left") != F.col("right")) & ((F.col("left") == locked) | (F.col("right") == locked)))
+        require(shared.where("shared > 0"), "a locked manifest shares values with another one")
+        own = found.where(F.col("left") == F.col("right")).select("field", F.col("left").alias("name"))
+        mine = own.where(F.col("name") == locked).select("field")
+        compared = own.where(F.col("name") != locked).join(mine, "field")
+        there = {r["name"] for r in compared.select("name").distinct().collect()}  # a name for each manifest
+        missing = sorted(set(manifests) - {locked} - there)
+        if missing:
+            raise ContractError(f"nothing to compare in {missing}")
+        return compared.select("field", F.col("name").alias("other"), F.lit(0).cast("bigint").alias("shared"))
+    finally:
+        found.unpersist()

@@ -140,11 +140,12 @@ def pairs_within(candidates: DataFrame, parent: str, detector: str, first: str,
     return side(first, "a").join(side(second, "b"), parent).where(gap <= limit)
 
 
-def matched(left: DataFrame, right: DataFrame, key: str, right_key: str) -> DataFrame:
+def matched(left: DataFrame, right: DataFrame, key: str, right_key: str, ordinal: str | None = None) -> DataFrame:
     """All left rows with the columns of the right row of their key, and whether there is one (`matched`). Of right rows
-    with one key the last by their order of columns counts."""
-    values = [c for c in right.columns if c != right_key]
-    one = right.groupBy(F.col(right_key).alias("__key")).agg(F.max(F.struct(*values)).alias("__v"))
+    with one key the last by `ordinal` counts (its place in the catalog), without it the last by the order of columns."""
+    values = [c for c in right.columns if c not in (right_key, ordinal)]
+    last = F.max(F.struct(*values)) if ordinal is None else F.max_by(F.struct(*values), F.struct(ordinal, F.struct(*values)))
+    one = right.groupBy(F.col(right_key).alias("__key")).agg(last.alias("__v"))
     return left.join(one, left[key] == one["__key"], "left").select(*[left[c] for c in left.columns], F.col("__key").isNotNull().alias("matched"), "__v.*")
 
 

@@ -111,17 +111,6 @@ def restart_split(spark: SparkSession, groups: DataFrame, fractions: dict[str, f
     return spark.createDataFrame([(i, splits[k]) for i, k in zip(ids.tolist(), one(best)[1], strict=True)], "group_id string, split string")
 
 
-def next_fit(sizes: Sequence[tuple[str, int]], capacity: int) -> list[tuple[str, int]]:
-    """Components in order, each to the current shard or, if it doesn't fit, to the next: (component, shard)."""
-    out, shard, used = [], 0, 0
-    for name, n in sizes:
-        if used and used + n > capacity:
-            shard, used = shard + 1, 0
-        out.append((name, shard))
-        used += n
-    return out
-
-
 def balanced_split(groups: Sequence[tuple[str, dict[str, int]]], fractions: dict[str, float]) -> dict[str, str]:
     """Each group, largest first, to the split whose label counts then deviate least (squared, relative to the goal)."""
     total: dict[str, int] = {}

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from skylattice import contracts
 from skylattice.functions import columns as C
-from skylattice.operators import audits, calibration, evaluation, exposure, graph, resampling, search, stats
+from skylattice.operators import audits, calibration, evaluation, exposure, graph, packing, resampling, search, stats
 from skylattice.plans import intervals, joins, selection, windows
 from skylattice.queries import DAY, EV, HOUR, MICRO, _events, _t, _w, query
 
@@ -510,3 +510,23 @@ def exact_resamples(spark, sf):
     r = r.agg(F.count("*").cast("int").alias("replicates"), F.min("draws").alias("least_draws"), F.max("draws").alias("most_draws"), F.avg("v").alias("mean"))
     off = F.abs(F.col("mean") - F.col("total")) <= 5 * F.col("spread") * F.sqrt("n") / F.sqrt("replicates")
     return own.join(r, "key").select("key", "n", "replicates", "least_draws", "most_draws", off.alias("centred"))
+
+
+@query("""WITH RECURSIVE c AS (SELECT row_number() OVER (ORDER BY c_custkey) AS i, 1 + c_custkey % 7 AS n FROM customer),
+p(i, n, shard, used) AS (SELECT i, n, 0, n FROM c WHERE i = 1 UNION ALL
+  SELECT c.i, c.n, CASE WHEN used + c.n > 20 THEN shard + 1 ELSE shard END, CASE WHEN used + c.n > 20 THEN c.n ELSE used + c.n END FROM p JOIN c ON c.i = p.i + 1)
+SELECT shard::BIGINT AS shard, count(*) AS members, sum(n)::BIGINT AS total FROM p GROUP BY 1""")
+def next_fit_shards(spark, sf):
+    """Customers in order, packed into shards of 20; ranges are small here, so that their maps are joined in two levels."""
+    c = _t(spark, sf, "customer").select("c_custkey", (1 + F.col("c_custkey") % 7).alias("n"))
+    return packing.next_fit(spark, c, ["c_custkey"], "n", 20, each=16).groupBy("shard").agg(F.count("*").alias("members"), F.sum("n").alias("total"))
+
+
+@query("""WITH v AS (SELECT 'documents' AS m, 'doc_id' AS field, doc_id::VARCHAR AS value FROM documents UNION SELECT 'labels', 'doc_id', doc_id::VARCHAR FROM labels UNION SELECT 'toxic', 'doc_id', doc_id::VARCHAR FROM labels WHERE toxic = 1
+  UNION SELECT 'documents', 'lang', lang FROM documents WHERE lang IS NOT NULL),
+i AS (SELECT *, CASE m WHEN 'documents' THEN 0 WHEN 'labels' THEN 1 ELSE 2 END AS i FROM v)
+SELECT a.field, a.m AS "left", b.m AS "right", count(*) AS shared FROM i a JOIN i b ON a.field = b.field AND a.value = b.value AND a.i <= b.i GROUP BY 1, 2, 3""")
+def manifest_overlaps(spark, sf):
+    """What every two of three manifests share of two fields, from one bit mask for each value."""
+    labels = _t(spark, sf, "labels").select("doc_id", "toxic")
+    return audits.manifest_overlaps({"documents": _t(spark, sf, "documents").select("doc_id", "lang"), "labels": labels, "toxic": labels.where("toxic = 1")}, ["doc_id", "lang"])

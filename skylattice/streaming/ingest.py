@@ -27,6 +27,28 @@ def without_vetoes(stream: DataFrame, time: str, vetoes: DataFrame) -> DataFrame
     return rows.join(v, (rows["__day"] == v["__day"]) & (F.col(time) >= v["__s"]) & (F.col(time) < v["__e"]), "left_anti").drop("__day")
 
 
+def coincidences(first: DataFrame, second: DataFrame, time: str, score: str, row: str, band_seconds: float, gap: str, late: str, *keys: str) -> DataFrame:
+    """keys, start, end, pairs, best_score, best: clusters of pairs of two detectors' candidates, streams or tables.
+
+    Candidates of equal keys (a slide, whose offset the second time already has) pair if their times are within the band.
+    Both streams have watermarks and the join has bounds on time, so the state holds what can still be paired. Pairs are
+    chained by the first one's time, at most a gap apart; a cluster comes out when the watermark has passed it, with the
+    best pair (the lower score of the two counts; the larger ids among equals).
+    """
+    band = int(round(band_seconds * 1_000_000))
+    at = lambda df, n: df.withWatermark(time, late).select(*[F.col(k).alias(f"{n}_{k}") for k in keys], F.col(time).alias(f"{n}_time"), F.col(score).alias(f"{n}_score"), F.col(row).cast("string").alias(f"{n}_id"), F.floor(F.unix_micros(time) / max(1, band)).alias(f"{n}_stretch"))
+    a, b = at(first, "a"), at(second, "b")
+    b = b.withColumn("b_stretch", F.explode(F.array(*[F.col("b_stretch") + d for d in (-1, 0, 1)])))
+    width = F.expr(f"INTERVAL {band} MICROSECONDS")
+    near = (F.col("a_stretch") == F.col("b_stretch")) & (F.col("a_time") >= F.col("b_time") - width) & (F.col("a_time") <= F.col("b_time") + width)
+    for k in keys:
+        near &= F.col(f"a_{k}") == F.col(f"b_{k}")
+    pairs = a.join(b, near).withColumn("score", F.least("a_score", "b_score"))
+    best = F.max(F.struct("score", "a_id", "b_id")).alias("best")
+    out = pairs.groupBy(F.session_window("a_time", gap).alias("w"), *[F.col(f"a_{k}").alias(k) for k in keys]).agg(F.count("*").alias("pairs"), F.max("a_time").alias("end"), best)
+    return out.select(*keys, F.col("w.start").alias("start"), "end", "pairs", F.col("best.score").alias("best_score"), F.concat_ws(":", "best.a_id", "best.b_id").alias("best"))
+
+
 def ingest_shards(stream: DataFrame, path: str, checkpoint: str, key: str, split: Column, late: str, time: str, process: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
     """Append new rows once, in folders of their split, in as many batches as there are waiting, then stop.
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skylattice import contracts
-from skylattice.operators import graph, search, stats
+from skylattice.operators import graph, packing, search, stats
 from skylattice.plans import intervals, joins, selection
 
 
@@ -193,8 +193,9 @@ def test_components_of_a_long_chain(spark):
         graph.connected_components(spark, spark.createDataFrame(edges, "row long, url long"), "row", "url", most=1)
 
 
-def test_greedy_helpers():
-    assert graph.next_fit([("a", 2), ("b", 2), ("c", 1)], 3) == [("a", 0), ("b", 1), ("c", 1)]
+def test_greedy_helpers(spark):
+    packed = packing.next_fit(spark, spark.createDataFrame([("a", 2), ("b", 2), ("c", 1)], "name string, n int"), ["name"], "n", 3)
+    assert sorted((x["name"], x["shard"]) for x in packed.collect()) == [("a", 0), ("b", 1), ("c", 1)]
     assert graph.one_use_match([("g1", frozenset({"H1"})), ("g2", frozenset({"H1"}))], [("i1", frozenset({"L1"})), ("i2", frozenset({"H1", "L1"}))]) == [("g1", "i2")]
     split = graph.balanced_split([(f"g{i}", {"x": 1}) for i in range(10)], {"train": 0.6, "val": 0.2, "test": 0.2})
     assert sorted(split.values()).count("train") == 6

@@ -116,3 +116,49 @@ def test_a_locked_manifest_shares_nothing(spark):
 def test_the_last_row_of_a_catalog_counts(spark):
     left, right = spark.createDataFrame([("e1",), ("e2",)], "e string"), spark.createDataFrame([("e1", 9.0, 0), ("e1", 2.0, 1)], "k string, snr double, line int")
     assert sorted(tuple(r) for r in joins.matched(left, right, "e", "k", "line").collect()) == [("e1", True, 2.0), ("e2", False, None)]
+
+
+def test_coincidences_of_two_streams_equal_those_of_tables(rocks, tmp_path):
+    """Clusters that come out of the streams, batch by batch, are those of the whole tables."""
+    from skylattice.streaming import ingest
+
+    r = random.Random(6)
+    schema = "slide int, id string, t timestamp, score double"
+    rows = {d: [(r.randint(0, 1), f"{d}{k}", at(round(r.uniform(0, 900), 3)), round(r.random(), 6)) for k in range(120)] for d in "ab"}
+    whole = {d: rocks.createDataFrame(rows[d], schema) for d in "ab"}
+    want = sorted(tuple(x) for x in ingest.coincidences(whole["a"], whole["b"], "t", "score", "id", 2.0, "5 seconds", "30 seconds", "slide").collect())
+    pairs = [(a, b) for a in rows["a"] for b in rows["b"] if a[0] == b[0] and abs((a[2] - b[2]).total_seconds()) <= 2]
+    assert sum(x[3] for x in want) == len(pairs) > 20 and max(x[3] for x in want) > 1
+    queries = None
+    for d in "ab":
+        rows[d].sort(key=lambda x: x[2])
+    for step in range(4):
+        for d in "ab":
+            part = rows[d][step * 30 : step * 30 + 30] if step < 3 else rows[d][90:] + [(9, "end", at(5000), 0.0)]
+            r.shuffle(part)
+            rocks.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{d}")
+        streams = [rocks.readStream.schema(schema).parquet(f"{tmp_path}/{d}") for d in "ab"]
+        out = ingest.coincidences(*streams, "t", "score", "id", 2.0, "5 seconds", "30 seconds", "slide")
+        queries = out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+        queries.awaitTermination()
+    got = sorted(tuple(x) for x in rocks.read.parquet(f"{tmp_path}/out").collect())
+    assert [x for x in got if x[0] != 9] == want
+
+
+@pytest.mark.parametrize("each", [1 << 16, 3])
+def test_packing_equals_the_loop(spark, each):
+    from skylattice.operators import packing
+
+    r = random.Random(each)
+    for capacity, n in ((1, 20), (7, 250), (50, 40)):
+        sizes = [r.randint(1, capacity + (2 if capacity > 1 else 0)) for _ in range(n)]
+        df = spark.createDataFrame(list(enumerate(sizes)), "i int, n int").repartition(5)
+        got = {x["i"]: x["shard"] for x in packing.next_fit(spark, df, ["i"], "n", capacity, each).collect()}
+        shard, used, want = 0, 0, {}
+        for i, k in enumerate(sizes):
+            if used and used + k > capacity:
+                shard, used = shard + 1, 0
+            used += k
+            want[i] = shard
+        assert got == want
+    assert packing.next_fit(spark, df.limit(0), ["i"], "n", 5).count() == 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skylattice.llm import block_search, bpe_codec, html_extract, language_id, line_dedup, merkle, mixing, near_dedup, ngram_join, pivot_search, token_counts, toxicity, whitening
+from skylattice.llm import block_search, bpe_codec, html_extract, language_id, line_dedup, merkle, mixing, near_dedup, ngram_join, pair_sql, pivot_search, token_counts, toxicity, whitening
 from skylattice.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -81,4 +81,11 @@ QUERIES = {
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
-ORACLES: dict[str, str] = {"op5_line_dedup": line_dedup.SQL, "op8_exact_top_k": pivot_search.SQL, "op9_nearest_neighbours": block_search.SQL, "op13_merkle_manifest": merkle.SQL}
+ORACLES: dict[str, str] = {
+    "op4_near_dedup": pair_sql.linked_documents(4, 80, "least(d.doc_id, coalesce(c.component_id, d.doc_id)) = d.doc_id AS kept"),
+    "op5_line_dedup": line_dedup.SQL,
+    "op8_exact_top_k": pivot_search.SQL,
+    "op9_nearest_neighbours": block_search.SQL,
+    "op11_ngram_join": pair_sql.linked_documents(4, 85, "coalesce(k.n_links, 0) AS n_links"),
+    "op13_merkle_manifest": merkle.SQL,
+}

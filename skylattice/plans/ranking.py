@@ -49,23 +49,23 @@ def ranked(spark: SparkSession, df: DataFrame, order: Sequence, name: str = "ran
     return dealt.withColumn("__p", part).join(first, "__p").withColumn(name, rank).drop("__p", "__at", "__first", *sort)
 
 
-def running_sums(df: DataFrame, keys: Sequence[str], order: str, sums: Mapping[str, str], descending: bool = False, whole: int = WHOLE) -> DataFrame:
+def running_sums(df: DataFrame, keys: Sequence[str], order: str, sums: Mapping[str, str], descending: bool = False, parts: int | None = None, whole: int = WHOLE) -> DataFrame:
     """Rows with the sums of columns over all rows of their key up to them in the order: new name -> column. The order
     is unique within a key.
 
-    The rows are written once. Where no key has more than `whole` of them, a window on the key does; else the rows are
-    sorted into ranges over all keys and written so, a window within a range and the sums of the ranges before it make
+    The rows are written once. Where no key has more than `whole` of them, a window on the key does; else (or with
+    `parts`) the rows are sorted into ranges over all keys, `parts` of them if it is given, and written so, a window within a range and the sums of the ranges before it make
     the running sum, and a key of any size is spread over tasks.
     """
     spark = df.sparkSession
     sort = F.desc if descending else F.asc
     df = checkpoint(spark, df)
     most = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    if most <= whole:
+    if most <= whole and parts is None:
         upto = Window.partitionBy(*keys).orderBy(sort(order)).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({n: F.sum(c).over(upto) for n, c in sums.items()})
     by = [*[F.col(k) for k in keys], sort(order)]
-    dealt = checkpoint(spark, df.repartitionByRange(*by).withColumn("__part", F.spark_partition_id()))
+    dealt = checkpoint(spark, df.repartitionByRange(*([] if parts is None else [parts]), *by).withColumn("__part", F.spark_partition_id()))
     inner = Window.partitionBy(*keys, "__part").orderBy(sort(order)).rowsBetween(Window.unboundedPreceding, 0)
     within = dealt.withColumns({n: F.sum(c).over(inner) for n, c in sums.items()})
     earlier = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)

@@ -100,5 +100,5 @@ def test_a_key_without_scores_or_a_table_without_rows(spark):
 def test_running_sums(spark, whole, down):
     r = random.Random(8)
     rows = [(k, i, r.randint(0, 9)) for k in ("a", None, "b") for i in r.sample(range(1000), 200)]
-    got = {(x["k"], x["i"]): x["upto"] for x in ranking.running_sums(spark.createDataFrame(rows, "k string, i int, v int"), ["k"], "i", {"upto": "v"}, down, whole).collect()}
+    got = {(x["k"], x["i"]): x["upto"] for x in ranking.running_sums(spark.createDataFrame(rows, "k string, i int, v int"), ["k"], "i", {"upto": "v"}, down, whole=whole).collect()}
     assert got == {(k, i): sum(v for q, j, v in rows if q == k and (j >= i if down else j <= i)) for k, i, _ in rows}

@@ -85,7 +85,8 @@ def time_slide_threshold(spark, sf):
     ranks = checkpoint(spark, _slides(spark, sf).select(F.lit(0).alias("k"), "rank"))
     exposure = ranks.count() * HOUR
     out = stats.threshold_at_rate(ranks, ["k"], "rank", F.lit(exposure / DAY), 0.5)
-    return out.select(F.round("threshold", 6).alias("threshold"), "survivors", F.lit(exposure).cast("bigint").alias("exposure"), F.round("far", 6).alias("far_per_day"))
+    reached = out.where("survivors > 0")  # a row of nulls if no score will do
+    return reached.agg(F.round(F.max("threshold"), 6).alias("threshold"), F.max("survivors").alias("survivors"), F.max(F.lit(exposure).cast("bigint")).alias("exposure"), F.round(F.max("far"), 6).alias("far_per_day"))
 
 
 @query(f"""WITH {EV}, {HOURS}, {PAIRS}

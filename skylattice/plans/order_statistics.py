@@ -27,13 +27,14 @@ def values_of(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return df.select(*keys, F.col(value).cast("double").alias("v")).where("v is not null")
 
 
-def totals_of(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """keys, n, lo, hi: how many values, the least and the largest. NaN and infinities are an error."""
+def totals_of(rows: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, int]:
+    """keys, n, lo, hi: how many values, the least and the largest; and the largest n. NaN and infinities are an error."""
     out = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.count_if(F.isnan("v") | (F.abs("v") == float("inf"))).alias("bad"))
     out = checkpoint(rows.sparkSession, out)
-    if out.where("bad > 0").take(1):
+    found = out.agg(F.max("bad").alias("bad"), F.max("n").alias("n")).first()
+    if found["bad"]:
         raise ContractError("a value isn't finite")
-    return out.drop("bad")
+    return out.drop("bad"), found["n"] or 0
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -87,17 +88,23 @@ def smallest_passed_by(df: DataFrame, keys: Sequence[str], value: str, most: Col
     """keys, threshold, survivors: the smallest value that at most `most` rows of its key reach, or the next double above
     the largest value if there is none. `most` may use the keys and n, the number of values.
 
-    That value is the next one above the (most + 1)-th largest.
+    That value is the next one above the (most + 1)-th largest. Where no key has more than `whole` values, one window over
+    the distinct values of a key finds it.
     """
     rows = values_of(df, keys, value)
-    totals = totals_of(rows, keys)
+    totals, largest = totals_of(rows, keys)
     budget = totals.withColumn("most", most)
+    every = F.col("n") <= F.col("most")
+    if largest <= whole:
+        upto = Window.partitionBy(*keys).orderBy(F.desc("v")).rowsBetween(Window.unboundedPreceding, 0)
+        reach, limits = rows.groupBy(*keys, "v").agg(F.count("*").alias("c")).withColumn("reach", F.sum("c").over(upto)), renamed(budget, keys)
+        found = reach.join(limits, same_keys(reach, limits, keys)).groupBy(*keys).agg(F.min(F.when(F.col("reach") <= F.col("most"), F.col("v"))).alias("threshold"), F.max(F.when(F.col("reach") <= F.col("most"), F.col("reach"))).alias("survivors"), F.max("hi").alias("hi"))
+        return found.select(*keys, F.coalesce("threshold", next_double(F.col("hi"))).alias("threshold"), F.coalesce("survivors", F.lit(0)).cast("bigint").alias("survivors"))
     cut = order_statistics(rows, totals, keys, budget.where("n > most and most >= 0").withColumn("rank", F.col("n") - F.col("most")), whole)
     cut = checkpoint(rows.sparkSession, cut)
     cuts = _small(renamed(cut, keys))
     above = renamed(rows.join(cuts, same_keys(rows, cuts, keys)).where("v > value").groupBy(*keys).agg(F.min("v").alias("threshold"), F.count("*").alias("survivors")), keys)
     out = budget.join(above, same_keys(budget, above, keys), "left")
-    every = F.col("n") <= F.col("most")
     return out.select(
         *keys, F.when(every, F.col("lo")).otherwise(F.coalesce("threshold", next_double(F.col("hi")))).alias("threshold"), F.when(every, F.col("n")).otherwise(F.coalesce("survivors", F.lit(0))).cast("bigint").alias("survivors")
     )
@@ -106,7 +113,10 @@ def smallest_passed_by(df: DataFrame, keys: Sequence[str], value: str, most: Col
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float], whole: int = WHOLE) -> DataFrame:
     """keys and q0, q1, ...: quantiles at the shares, interpolated between neighbours."""
     rows = values_of(df, keys, value)
-    totals = totals_of(rows, keys)
+    totals, largest = totals_of(rows, keys)
+    if largest <= whole:  # a key's values are few enough for one buffer
+        out = rows.groupBy(*keys).agg(F.percentile("v", F.array(*[F.lit(float(s)) for s in shares])).alias("q"))
+        return out.select(*keys, *[F.col("q")[i].alias(f"q{i}") for i in range(len(shares))])
     place = totals.select(*keys, F.posexplode(F.array(*[F.lit(float(s)) for s in shares])).alias("i", "share"), "n").withColumn("h", F.col("share") * (F.col("n") - 1))
     place = checkpoint(rows.sparkSession, place.select(*keys, "i", (F.floor("h") + 1).alias("low"), (F.ceil("h") + 1).alias("high"), (F.col("h") - F.floor("h")).alias("part")))
     ranks = place.select(*keys, F.explode(F.array("low", "high")).alias("rank")).distinct()

@@ -48,32 +48,55 @@ def connected_components(spark: SparkSession, edges: DataFrame, left: str, right
     return edges.select("l").distinct().join(found, "l", "left").select(F.col("l").alias(left), F.coalesce("c", "l").alias("component"))
 
 
-def greedy_cover(spark: SparkSession, counts: DataFrame, want: int, most: int, order: Sequence[str] = ()) -> DataFrame:
+def greedy_cover(spark: SparkSession, counts: DataFrame, want: int, most: int, order: Sequence[str] = (), batch: int = 512) -> DataFrame:
     """step, name, gain: names (files, or components of files) chosen one by one to fill labels up to `want` rows each.
 
     counts: name, label, n, and cost (files that a name adds; 1 if the column isn't there) and columns of `order`. The
     best gain for its cost comes first, then gain, number of labels that still lack rows, the columns of `order` (larger
-    first), and the name (smaller first). `most` bounds the sum of the costs, and so the number of rounds; a round is one
-    aggregate over the counts, and only what is chosen reaches the driver.
+    first), and the name (smaller first). `most` bounds the sum of the costs.
+
+    Gains only fall as labels fill up, so a gain computed before is a bound on what it is now. A round takes the `batch`
+    best names by present gains with the rank of the next one, and chooses among them until their best is no better than
+    that one was: names beyond can't win before. The rounds, each an aggregate-free pass over one row for each name, are
+    far fewer than the names chosen; `batch` rows reach the driver in each.
     """
-    counts = checkpoint(spark, counts if "cost" in counts.columns else counts.withColumn("cost", F.lit(1)))
-    taken: list[str] = []
+    counts = counts if "cost" in counts.columns else counts.withColumn("cost", F.lit(1))
+    entry = F.struct("label", F.col("n").cast("bigint").alias("n"))
+    names = counts.where("n > 0 and label is not null").groupBy("name").agg(F.collect_list(entry).alias("rows"), *[F.first(c).alias(c) for c in ("cost", *order)])
+    names = checkpoint(spark, names.where("cost > 0 and name is not null"))
+    lack = {r["label"]: want for r in counts.where("label is not null").select("label").distinct().collect()}
     spent, out = 0, []
-    lack = counts.select("label").distinct().withColumn("lack", F.lit(want).cast("bigint"))
-    while spent < most:
-        left = counts.where((F.col("cost") + spent <= most) & (F.col("cost") > 0)).join(lack.where("lack > 0"), "label")
-        if taken:
-            left = left.where(~F.col("name").isin(taken))
-        gain = left.groupBy("name").agg(F.sum(F.least("n", "lack")).alias("gain"), F.count_if(F.col("n") > 0).alias("labels"), *[F.first(c).alias(c) for c in ("cost", *order)])
-        best = gain.orderBy(F.desc(F.round(F.col("gain") / F.col("cost"), 9)), F.desc("gain"), F.desc("labels"), *[F.desc(c) for c in order], "name").first()
-        if best is None or best["gain"] <= 0:
+
+    def place(r, left: dict) -> tuple:
+        """The smaller, the earlier the name comes."""
+        gain = sum(min(x["n"], left[x["label"]]) for x in r["rows"])
+        open_labels = sum(left[x["label"]] > 0 for x in r["rows"])
+        return (-round(gain / r["cost"], 9), -gain, -open_labels, *[(r[c] is None, -r[c] if r[c] is not None else 0) for c in order], r["name"])
+
+    while spent < most and any(lack.values()):
+        table = F.create_map(*[F.lit(x) for k, v in lack.items() if v > 0 for x in (k, v)])
+        fill = F.transform("rows", lambda x: F.least(x["n"], F.coalesce(table[x["label"]], F.lit(0))))
+        now = names.where(F.col("cost") + spent <= most).withColumn("fill", fill)
+        if out:
+            now = now.join(F.broadcast(spark.createDataFrame([(n,) for _, n, _ in out], names.select("name").schema)), "name", "left_anti")  # at most `most` names
+        now = now.withColumn("gain", F.aggregate("fill", F.lit(0).cast("bigint"), lambda x, y: x + y)).withColumn("labels", F.size(F.filter("fill", lambda x: x > 0)))
+        best = now.where("gain > 0").orderBy(F.desc(F.round(F.col("gain") / F.col("cost"), 9)), F.desc("gain"), F.desc("labels"), *[F.desc(c) for c in order], "name").limit(batch + 1)
+        rows = best.collect()
+        if not rows:
             break
-        taken.append(best["name"])
-        spent += best["cost"]
-        out.append((len(out), str(best["name"]), best["gain"]))
-        used = counts.where(F.col("name").isin(taken)).groupBy("label").agg(F.sum("n").alias("used"))
-        lack = counts.select("label").distinct().join(used, "label", "left").select("label", F.greatest(F.lit(0), want - F.coalesce("used", F.lit(0))).alias("lack"))
-    return spark.createDataFrame(out, "step int, name string, gain long")
+        bound = place(rows[batch], lack) if len(rows) > batch else None
+        here = rows[:batch]
+        while here and spent < most:
+            here = [r for r in here if r["cost"] + spent <= most]
+            first = min(here, key=lambda r: place(r, lack), default=None)
+            if first is None or place(first, lack)[1] == 0 or (bound is not None and place(first, lack) > bound):
+                break
+            out.append((len(out), first["name"], -place(first, lack)[1]))
+            spent += first["cost"]
+            here.remove(first)
+            for x in first["rows"]:
+                lack[x["label"]] = max(0, lack[x["label"]] - x["n"])
+    return spark.createDataFrame([(i, str(n), g) for i, n, g in out], "step int, name string, gain long")
 
 
 def restart_split(spark: SparkSession, groups: DataFrame, fractions: dict[str, float], trials: int, seed: int, most: int = 200_000) -> DataFrame:
@@ -109,35 +132,3 @@ def restart_split(spark: SparkSession, groups: DataFrame, fractions: dict[str, f
     scores = spark.range(0, trials, 1, min(trials, spark.sparkContext.defaultParallelism)).mapInPandas(run, "trial long, score double")
     best = scores.orderBy(F.round("score", 9), "trial").first()["trial"]
     return spark.createDataFrame([(i, splits[k]) for i, k in zip(ids.tolist(), one(best)[1], strict=True)], "group_id string, split string")
-
-
-def balanced_split(groups: Sequence[tuple[str, dict[str, int]]], fractions: dict[str, float]) -> dict[str, str]:
-    """Each group, largest first, to the split whose label counts then deviate least (squared, relative to the goal)."""
-    total: dict[str, int] = {}
-    for _, own in groups:
-        for lab, n in own.items():
-            total[lab] = total.get(lab, 0) + n
-    have = {s: dict.fromkeys(total, 0) for s in fractions}
-    out = {}
-    for name, own in sorted(groups, key=lambda g: (-sum(g[1].values()), g[0])):
-        def cost(s: str, own: dict = own) -> float:
-            before = sum(((have[s][k] - fractions[s] * total[k]) / max(1.0, fractions[s] * total[k])) ** 2 for k in total)
-            after = sum(((have[s][k] + own.get(k, 0) - fractions[s] * total[k]) / max(1.0, fractions[s] * total[k])) ** 2 for k in total)
-            return after - before
-
-        best = min(fractions, key=lambda s: (cost(s), s))
-        out[name] = best
-        for lab, n in own.items():
-            have[best][lab] += n
-    return out
-
-
-def one_use_match(left: Sequence[tuple[str, frozenset]], right: Sequence[tuple[str, frozenset]]) -> list[tuple[str, str]]:
-    """Pairs in order: each left item takes the first unused right item that supports all it needs."""
-    unused, out = dict(right), []
-    for name, need in left:
-        hit = next((r for r, has in unused.items() if need <= has), None)
-        if hit is not None:
-            out.append((name, hit))
-            del unused[hit]
-    return out

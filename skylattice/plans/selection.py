@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skylattice.contracts import duplicates, require
-from skylattice.plans.ranking import ranked
+from skylattice.operators.graph import checkpoint
+from skylattice.plans.ranking import ranked, renamed, same_keys
 
 
 def hash_split(u: Column, first: tuple[str, float], second: tuple[str, float], rest: str = "train") -> Column:
@@ -71,6 +72,59 @@ def nested_samples(df: DataFrame, keys: Sequence[str], hash_key: Column, scales:
     return rows.withColumn("scale", F.explode(F.array(*[F.lit(s) for s in scales]))).where(F.col("__rank") <= F.ceil(F.col("__n") * F.col("scale"))).drop("__rank", "__n")
 
 
+def allocated_strata(strata: DataFrame, keys: Sequence[str], scales: Sequence[int]) -> DataFrame:
+    """strata (keys, n rows each) with `counts`: how many rows each scale, from small to large, takes of each stratum.
+
+    A scale gives rows one by one to the stratum that lacks most of its share (scale * n / all rows, less what it has);
+    equal ones to the stratum that has fewest, then to the last by its keys. It begins with what the scale before has, so
+    scales are nested. The steps aren't gone through: a stratum's next rows lack one less each, so a scale takes all rows
+    that lack more than some whole number, which two or three aggregates find, and of the next row of each stratum the
+    best by a sort. Only counts pass through the driver.
+    """
+    spark, scales = strata.sparkSession, sorted(set(scales))
+    total = strata.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if not scales or scales[0] <= 0 or scales[-1] > total:
+        raise ValueError("scales must be positive and no larger than the table")
+    rows = checkpoint(spark, strata.select(*keys, F.col("n").cast("bigint").alias("n"), F.array().cast("array<bigint>").alias("counts"), F.lit(0).cast("bigint").alias("have")))
+    before = 0
+    for scale in scales:
+        quota = F.lit(scale) * F.col("n") / F.lit(total)
+        # rows that lack more than t are those up to ceil(quota) - t
+        upto = lambda t: F.greatest("have", F.least("n", F.ceil(quota) - t))  # noqa: E731, B023
+        t = 1
+        while rows.agg(F.sum(upto(t) - F.col("have"))).first()[0] > scale - before:
+            t += 1
+        while rows.agg(F.sum(upto(t - 1) - F.col("have"))).first()[0] <= scale - before and t > -1:
+            t -= 1
+        rows = checkpoint(spark, rows.withColumn("have", upto(t).cast("bigint")))
+        rest = scale - rows.agg(F.sum("have")).first()[0]
+        nearest = rows.where("have < n").orderBy(F.desc(quota - F.col("have")), "have", *[F.desc(k) for k in keys]).limit(rest)
+        more = nearest.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.lit(1).alias("__more"))
+        same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys])
+        rows = rows.join(more, same, "left").withColumn("have", F.col("have") + F.coalesce("__more", F.lit(0)))
+        rows = checkpoint(spark, rows.select(*keys, "n", F.concat("counts", F.array("have")).alias("counts"), "have"))
+        before = scale
+    return rows.drop("have")
+
+
+def nested_scales(df: DataFrame, keys: Sequence[str], identity: str, seed: object, scales: Sequence[int]) -> DataFrame:
+    """Rows of nested samples of exactly these sizes, with `scale`: `allocated_strata` says how many of each stratum, and
+    a stratum's rows come in the order of sha256("seed:identity"), then the identity. A row is there once for each scale
+    that holds it. Rows are ranked by ranges, so a stratum may hold any share of them.
+    """
+    spark, scales = df.sparkSession, sorted(set(scales))
+    key = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(identity).cast("string")), 256)
+    rows = ranked(spark, df.withColumn("__h", key), [*keys, "__h", identity], "__rank").drop("__h")
+    strata = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("__rank").alias("__first"))
+    counts = allocated_strata(strata.select(*keys, "n"), keys, scales)
+    known = renamed(counts.drop("n"), keys)
+    strata = strata.join(known, same_keys(strata, known, keys)).select(*keys, "__first", "counts")
+    strata = renamed(strata, keys)
+    at = F.col("__rank") - F.col("__first")
+    held = F.filter(F.array(*[F.lit(s).cast("bigint") for s in scales]), lambda _, i: F.col("counts")[i] > at)
+    return rows.join(strata, same_keys(rows, strata, keys)).withColumn("scale", F.explode(held)).select(*df.columns, "scale")
+
+
 def inverse_frequency_weights(df: DataFrame, label: str, exponent: float = 1.0, most_ratio: float | None = None) -> DataFrame:
     """Weight count ** -exponent of each row's label, at most `most_ratio` times the smallest, with mean 1 over rows.
 

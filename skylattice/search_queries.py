@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from skylattice import contracts
 from skylattice.functions import columns as C
-from skylattice.operators import audits, calibration, evaluation, exposure, graph, packing, resampling, search, stats
+from skylattice.operators import audits, calibration, evaluation, exposure, graph, matching, packing, profiles, resampling, search, stats
 from skylattice.plans import intervals, joins, selection, windows
 from skylattice.queries import DAY, EV, HOUR, MICRO, _events, _t, _w, query
 
@@ -530,3 +530,71 @@ def manifest_overlaps(spark, sf):
     """What every two of three manifests share of two fields, from one bit mask for each value."""
     labels = _t(spark, sf, "labels").select("doc_id", "toxic")
     return audits.manifest_overlaps({"documents": _t(spark, sf, "documents").select("doc_id", "lang"), "labels": labels, "toxic": labels.where("toxic = 1")}, ["doc_id", "lang"])
+
+
+def _allocation_sql(shares):
+    """Scales one after the other, each a sort of all rows that a stratum could still give."""
+    steps = ["s0 AS (SELECT lang, source, count(*) AS n, 0::BIGINT AS have FROM documents GROUP BY 1, 2), t AS (SELECT sum(n)::BIGINT AS total FROM s0)"]
+    for i, share in enumerate(shares):
+        steps.append(f"""q{i} AS (SELECT lang, source, n, j, floor(total * {share})::BIGINT AS scale, floor(total * {share}) * n / total - j AS lack FROM s{i} CROSS JOIN t CROSS JOIN LATERAL (SELECT unnest(range(have, n)) AS j)),
+o{i} AS (SELECT *, row_number() OVER (ORDER BY lack DESC, j, lang DESC NULLS LAST, source DESC NULLS LAST) AS nth FROM q{i}),
+s{i + 1} AS (SELECT s.lang, s.source, s.n, s.have + count(o.j) AS have FROM s{i} s LEFT JOIN o{i} o ON o.lang IS NOT DISTINCT FROM s.lang AND o.source IS NOT DISTINCT FROM s.source
+  AND o.nth <= o.scale - (SELECT sum(have) FROM s{i}) GROUP BY 1, 2, 3, s.have)""")
+    steps.append("r AS (SELECT lang, source, doc_id, row_number() OVER (PARTITION BY lang, source ORDER BY sha256('5:' || doc_id), doc_id) AS i FROM documents)")
+    parts = [f"SELECT floor(total * {x})::BIGINT AS scale, r.lang, r.source, doc_id FROM r JOIN s{k + 1} s ON r.lang IS NOT DISTINCT FROM s.lang AND r.source IS NOT DISTINCT FROM s.source AND i <= have CROSS JOIN t" for k, x in enumerate(shares)]
+    return f"WITH {', '.join(steps)}, u AS ({' UNION ALL '.join(parts)}) SELECT scale, lang, source, count(*) AS n, sum(doc_id)::BIGINT AS ids FROM u GROUP BY 1, 2, 3"
+
+
+SHARES = (0.1, 0.25, 0.5)
+
+
+@query(_allocation_sql(SHARES))
+def nested_scales(spark, sf):
+    """Nested samples of exact sizes from strata of language and source, and what each stratum gives."""
+    d = _t(spark, sf, "documents").select("doc_id", "lang", "source")
+    n = d.count()
+    out = selection.nested_scales(d, ["lang", "source"], "doc_id", 5, [int(n * x) for x in SHARES])
+    return out.groupBy("scale", "lang", "source").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
+
+
+@query("""WITH RECURSIVE c AS (SELECT c_custkey, list_filter([CASE WHEN c_custkey % 2 = 0 THEN 'H1' END, CASE WHEN c_nationkey % 3 = 0 THEN 'L1' END, CASE WHEN c_custkey % 5 = 0 THEN 'V1' END], lambda x: x IS NOT NULL) AS need, row_number() OVER (ORDER BY sha256('1:' || c_custkey)) AS i FROM customer),
+s AS (SELECT s_suppkey, list_filter([CASE WHEN s_suppkey % 3 > 0 THEN 'H1' END, CASE WHEN s_nationkey % 2 = 0 THEN 'L1' END, CASE WHEN s_suppkey % 4 = 0 THEN 'V1' END], lambda x: x IS NOT NULL) AS has, sha256('2:' || s_suppkey) AS o FROM supplier),
+m(i, c_custkey, s_suppkey, used) AS (SELECT 0::BIGINT, NULL::BIGINT, NULL::BIGINT, []::BIGINT[] UNION ALL
+  SELECT i, c_custkey, hit, CASE WHEN hit IS NULL THEN used ELSE list_append(used, hit) END FROM (
+    SELECT c.i, c.c_custkey::BIGINT AS c_custkey, m.used, (SELECT arg_min(s.s_suppkey::BIGINT, s.o) FROM s WHERE list_has_all(s.has, c.need) AND NOT list_contains(m.used, s.s_suppkey)) AS hit FROM m JOIN c ON c.i = m.i + 1))
+SELECT c_custkey, s_suppkey FROM m WHERE s_suppkey IS NOT NULL""")
+def one_use_pairs(spark, sf):
+    """Customers, in the order of a hash, take suppliers that have all they need; each supplier is taken once."""
+    some = lambda **bits: F.array_compact(F.array(*[F.when(c, k) for k, c in bits.items()]))
+    c, s = F.col("c_custkey"), F.col("s_suppkey")
+    left = _t(spark, sf, "customer").select(c.cast("bigint").alias("name"), some(H1=c % 2 == 0, L1=F.col("c_nationkey") % 3 == 0, V1=c % 5 == 0).alias("need"))
+    right = _t(spark, sf, "supplier").select(s.cast("bigint").alias("name"), some(H1=s % 3 > 0, L1=F.col("s_nationkey") % 2 == 0, V1=s % 4 == 0).alias("has"))
+    out = matching.one_use_match(spark, left, right, C.seeded_hash(1, F.col("name").cast("string")), C.seeded_hash(2, F.col("name").cast("string")))
+    return out.select(F.col("name").alias("c_custkey"), F.col("match").alias("s_suppkey"))
+
+
+@query(f"""WITH {EV}, c AS (SELECT event_type, us // 3600000000 AS h, count(*) AS n FROM ev GROUP BY 1, 2),
+a AS (SELECT *, h - row_number() OVER (PARTITION BY event_type ORDER BY h) AS g FROM c WHERE n >= 2)
+SELECT event_type, min(h) AS first, max(h) AS last, count(*) AS length, arg_max(h, (n, -h)) AS peak, max(n)::DOUBLE AS peak_value FROM a GROUP BY event_type, g HAVING count(*) >= 2""")
+def profile_runs(spark, sf):
+    """Hourly counts of each event type as one array a day, and the busy runs in them, which days don't cut."""
+    e = _events(spark, sf).groupBy("event_type", F.floor(F.col("us") / (HOUR * MICRO)).alias("h")).agg(F.count("*").alias("n"))
+    day = e.groupBy("event_type", F.floor(F.col("h") / 24).alias("day")).agg(F.map_from_entries(F.collect_list(F.struct("h", "n"))).alias("of"))
+    hours = F.transform(F.sequence(F.lit(0), F.lit(23)), lambda i: F.coalesce(F.col("of")[F.col("day") * 24 + i], F.lit(0)))
+    return profiles.profile_runs(day.select("event_type", (F.col("day") * 24).alias("start"), hours.alias("n")), ["event_type"], "start", "n", 2, 2)
+
+
+@query("""WITH RECURSIVE k AS (SELECT o_custkey % 500 AS name, o_orderpriority AS label, count(*) AS n FROM orders GROUP BY 1, 2),
+l AS (SELECT label, sum(n) AS total, row_number() OVER (ORDER BY label) AS pos FROM k GROUP BY 1),
+f AS (SELECT * FROM (VALUES ('test', 0.2::DOUBLE), ('train', 0.6::DOUBLE), ('val', 0.2::DOUBLE)) AS t(split, share)),
+g AS (SELECT split, list(share * total ORDER BY pos) AS goal FROM f CROSS JOIN l GROUP BY 1),
+v AS (SELECT name, list(coalesce(n, 0)::DOUBLE ORDER BY pos) AS x, row_number() OVER (ORDER BY sum(coalesce(n, 0)) DESC, name) AS i FROM (SELECT DISTINCT name FROM k) CROSS JOIN l LEFT JOIN k USING (name, label) GROUP BY 1),
+w(i, name, split, have) AS (SELECT 0::BIGINT, NULL::BIGINT, NULL::VARCHAR, map_from_entries(list((split, list_transform(goal, lambda y: 0::DOUBLE)))) FROM g UNION ALL
+  SELECT i, name, best, map_from_entries(list_transform(map_entries(have), lambda e: {'key': e.key, 'value': CASE WHEN e.key = best THEN list_transform(e.value, lambda y, j: y + x[j]) ELSE e.value END})) FROM (
+    SELECT v.i, v.name::BIGINT AS name, v.x, w.have, (SELECT arg_min(g.split, (round(list_sum(list_transform(g.goal, lambda y, j: pow((w.have[g.split][j] + v.x[j] - y) / greatest(1, y), 2) - pow((w.have[g.split][j] - y) / greatest(1, y), 2))), 12), g.split)) FROM g) AS best
+    FROM w JOIN v ON v.i = w.i + 1))
+SELECT name, split FROM w WHERE name IS NOT NULL""")
+def balanced_split(spark, sf):
+    """Groups of orders, largest first, into splits whose shares of each priority stay near their goals."""
+    k = _t(spark, sf, "orders").groupBy((F.col("o_custkey") % 500).cast("bigint").alias("name"), F.col("o_orderpriority").alias("label")).agg(F.count("*").alias("n"))
+    return matching.balanced_split(spark, k, {"train": 0.6, "val": 0.2, "test": 0.2})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -76,28 +78,46 @@ def decimate(values: Column, source_rate: int, target_rate: int) -> Column:
     return run(values)
 
 
-def whitened(v: np.ndarray, reference: np.ndarray, smoothing: int = 129, component: bool = False) -> np.ndarray:
-    """v divided by the smoothed spectral density of a reference, so that the reference would have unit deviation."""
-    if v.shape != reference.shape or not (np.isfinite(v).all() and np.isfinite(reference).all()):
+def _batches(*series: pd.Series) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+    """Positions of rows without a null and their values as matrices, all rows of one set of lengths at once."""
+    by: dict[tuple, list[int]] = {}
+    for i, row in enumerate(zip(*series, strict=True)):
+        if all(v is not None for v in row):
+            by.setdefault(tuple(len(v) for v in row), []).append(i)
+    for at in by.values():
+        yield at, [np.array([s.iat[i] for i in at], float) for s in series]
+
+
+def whitened(rows: np.ndarray, references: np.ndarray, smoothing: int = 129, component: bool = False) -> np.ndarray:
+    """Rows of a matrix, each divided by the smoothed spectral density of its reference, so that the reference would have
+    unit deviation. Densities are means over strided views of all rows at once."""
+    if rows.shape != references.shape or not (np.isfinite(rows).all() and np.isfinite(references).all()):
         raise ValueError("values and reference must be finite and of one length")
-    middle = np.median(reference)
-    z = np.fft.rfft(reference - middle)
-    width = min(smoothing, max(3, len(z) // 16 * 2 + 1))
-    density = np.convolve(np.abs(z) ** 2, np.full(width, 1 / width), "same")
-    level = np.sqrt(np.maximum(density, max(1e-6 * np.median(density), np.finfo(float).tiny)))
-    scale = np.fft.irfft(z / level, len(v)).std()
-    if not scale > 1e-12:
+    level_of = np.median(references, axis=1, keepdims=True)
+    both = np.fft.rfft(np.stack([references - level_of, rows if component else rows - level_of]))
+    bins = both.shape[2]
+    span = min(smoothing, max(3, 2 * (bins // 16) + 1))
+    around = np.pad(np.square(np.abs(both[0])), ((0, 0), (span // 2, (span - 1) // 2)))
+    density = np.lib.stride_tricks.sliding_window_view(around, span, axis=1).mean(2)
+    floor = np.maximum(1e-6 * np.median(density, axis=1, keepdims=True), np.finfo(float).tiny)
+    unit, out = np.fft.irfft(both / np.sqrt(np.maximum(density, floor)), rows.shape[1])
+    deviation = unit.std(1, keepdims=True)
+    if not (deviation > 1e-12).all():
         raise ValueError("the whitened reference has no variance")
-    return np.fft.irfft(np.fft.rfft(v if component else v - middle) / level, len(v)) / scale
+    return out / deviation
 
 
 def whiten(values: Column, reference: Column, smoothing: int = 129, component: bool = False) -> Column:
     """Values over the density of their reference, in units of the whitened reference's deviation. A component (part of
-    a sum, as a signal in noise) keeps its level; other values lose the reference's median."""
+    a sum, as a signal in noise) keeps its level; other values lose the reference's median. Null where either is."""
 
     @F.pandas_udf("array<double>")
     def run(series: pd.Series, refs: pd.Series) -> pd.Series:
-        return pd.Series([None if v is None or r is None else whitened(np.asarray(v, float), np.asarray(r, float), smoothing, component).tolist() for v, r in zip(series, refs, strict=True)], dtype=object)
+        out: list = [None] * len(series)
+        for at, (x, r) in _batches(series, refs):
+            for i, v in zip(at, whitened(x, r, smoothing, component), strict=True):
+                out[i] = v
+        return pd.Series(out, dtype=object)
 
     return run(values, reference)
 
@@ -140,41 +160,55 @@ def multiresolution_power(values: Column, rate: int, q_values: list[float], freq
     return run(values)
 
 
-def _stretched(plane: np.ndarray, rows: int, columns: int) -> np.ndarray:
-    """A plane on another grid over the same square, linear along one axis after the other."""
-    for n in (rows, columns):
-        at, to = np.linspace(0, 1, plane.shape[0]), np.linspace(0, 1, n)
-        plane = np.stack([np.interp(to, at, c) for c in plane.T])  # turns the plane, so that the other axis comes next
-    return plane
-
-
-def suppressed(v: np.ndarray, glitch: np.ndarray, chirp: np.ndarray, strength: float, size: int, hop: int) -> tuple[np.ndarray, float, float]:
-    """A signal without what a glitch mask marks and a chirp mask doesn't protect; the share of energy that went, and the
-    mean gain. Masks are (resolution, frequency, time); the largest over resolutions counts."""
-    frames = max(1, -(-max(len(v) - size, 0) // hop) + 1)
-    padded = np.pad(v, (0, (frames - 1) * hop + size - len(v)))
-    window = np.hamming(size)
-    z = np.fft.rfft(np.lib.stride_tricks.sliding_window_view(padded, size)[::hop] * window, axis=1)
-    unit = lambda m: np.clip(m.max(0), 0, 1)
-    gain = np.clip(1 - strength * _stretched(unit(glitch) * (1 - unit(chirp)), z.shape[1], z.shape[0]).T, 0, 1)
-    before, after = (np.abs(z) ** 2).sum(), (np.abs(z * gain) ** 2).sum()
-    total, norm = np.zeros(len(padded)), np.zeros(len(padded))
-    for i, frame in enumerate(np.fft.irfft(z * gain, size, axis=1) * window):
-        total[i * hop : i * hop + size] += frame
-        norm[i * hop : i * hop + size] += window * window
-    return np.divide(total, norm, out=total, where=norm > 1e-10)[: len(v)], float(np.clip((before - after) / before, 0, 1)) if before > 0 else 0.0, float(gain.mean())
+def _hats(have: int, want: int) -> np.ndarray:
+    """(want, have) matrix that reads `want` places of the unit interval off `have` knots, linearly between them."""
+    place = np.linspace(0, max(have - 1, 0), want)[:, None]
+    return np.clip(1 - np.abs(place - np.arange(have)), 0, None)
+
+
+def suppressed(rows: np.ndarray, glitch: np.ndarray, chirp: np.ndarray, strength: float, size: int, hop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signals (rows) without what their glitch masks mark and their chirp masks don't protect; for each, the share of
+    energy that went, and the mean gain. Masks are (row, resolution, frequency, time); the largest over resolutions counts.
+
+    Gains are two matrix products with the masks. Frames that don't overlap are added to the signals together, as one
+    strided view for each of the few places that a frame has between them.
+    """
+    count, n = rows.shape
+    frames = 1 + max(0, -(-(n - size) // hop))
+    taper = np.hamming(size)
+    apart = -(-size // hop)  # every so many frames don't overlap
+    room = (frames + apart) * hop + size
+    view = np.lib.stride_tricks.sliding_window_view(np.pad(rows, ((0, 0), (0, room - n))), size, axis=1)
+    spectra = np.fft.rfft(view[:, : frames * hop : hop] * taper)
+    marked = np.clip(glitch.max(1), 0, 1) * (1 - np.clip(chirp.max(1), 0, 1))
+    gain = np.clip(1 - strength * np.einsum("ta,rfa,gf->rtg", _hats(marked.shape[2], frames), marked, _hats(marked.shape[1], spectra.shape[2]), optimize=True), 0, 1)
+    energy = np.square(np.abs(spectra))
+    whole, kept = energy.sum((1, 2)), (energy * np.square(gain)).sum((1, 2))
+    pieces = np.fft.irfft(spectra * gain, size) * taper
+    signal, weight = np.zeros((count, room)), np.zeros((1, room))
+    for first in range(min(apart, frames)):
+        for into, what in ((signal, pieces[:, first::apart]), (weight, np.broadcast_to(taper * taper, (1, frames, size))[:, first::apart])):
+            places = np.lib.stride_tricks.sliding_window_view(into, size, axis=1, writeable=True)[:, first * hop :: apart * hop]
+            places[:, : what.shape[1]] += what
+    clean = np.divide(signal, weight, out=signal, where=weight > 1e-10)[:, :n]
+    removed = np.clip(np.divide(whole - kept, whole, out=np.zeros(count), where=whole > 0), 0, 1)
+    return clean, removed, gain.mean((1, 2))
 
 
 def mask_filter(values: Column, glitch: Column, chirp: Column, planes: tuple[int, int, int], strength: float = 0.9, size: int = 256, hop: int = 64) -> Column:
-    """struct(cleaned, removed, mean_gain) of `suppressed`; masks are flat arrays of (resolution, frequency, time)."""
+    """struct(cleaned, removed, mean_gain) of `suppressed`; masks are flat arrays of (resolution, frequency, time). Nulls
+    where one of the three is null."""
     if not 0 <= strength <= 1 or size <= 1 or not 0 < hop <= size:
         raise ValueError("strength, window and hop of a mask filter are out of range")
 
     @F.pandas_udf("cleaned array<double>, removed double, mean_gain double")
     def run(series: pd.Series, bad: pd.Series, good: pd.Series) -> pd.DataFrame:
-        cube = lambda m: np.asarray(m, float).reshape(planes)
-        rows = [suppressed(np.asarray(v, float), cube(b), cube(g), strength, size, hop) for v, b, g in zip(series, bad, good, strict=True)]
-        return pd.DataFrame([(c.tolist(), r, m) for c, r, m in rows], columns=["cleaned", "removed", "mean_gain"])
+        out: list[tuple] = [(None, None, None)] * len(series)
+        for at, (x, b, g) in _batches(series, bad, good):
+            cube = (len(at), *planes)
+            for i, *row in zip(at, *suppressed(x, b.reshape(cube), g.reshape(cube), strength, size, hop), strict=True):
+                out[i] = tuple(row)
+        return pd.DataFrame(out, columns=["cleaned", "removed", "mean_gain"]).astype({"removed": float, "mean_gain": float})
 
     return run(values, glitch, chirp)
 

@@ -119,9 +119,10 @@ def test_kernels_against_numpy(spark):
     assert r["half"]["relative_error"] < 1e-3 and np.std(r["own"]) == pytest.approx(1) and r["twice"] == pytest.approx([2 * v for v in r["part"]])
     assert np.median(r["norm"]) == pytest.approx(0, abs=1e-9) and np.allclose(r["same"]["cleaned"], x) and r["same"]["removed"] == 0 and np.allclose(r["kept"]["cleaned"], x) and r["d"] == pytest.approx(433, abs=5)
     assert np.allclose(r["less"]["cleaned"], (1 - 0.8 * 0.35) * x) and r["less"]["mean_gain"] == pytest.approx(0.72) and r["less"]["removed"] == pytest.approx(1 - 0.72**2)
-    m = np.zeros((1, 3, 4))
-    m[0, 1, 2] = 1
-    assert arrays._stretched(m[0], 5, 7)[2, 4] == pytest.approx(1) and arrays._stretched(m[0], 5, 7)[1, 4] == pytest.approx(0.5) and arrays._stretched(m[0], 5, 7)[2, 3] == pytest.approx(0.5)
+    m = np.zeros((3, 4))
+    m[1, 2] = 1
+    finer = arrays._hats(3, 5) @ m @ arrays._hats(4, 7).T
+    assert finer[2, 4] == pytest.approx(1) and finer[1, 4] == pytest.approx(0.5) and finer[2, 3] == pytest.approx(0.5)
     planes = np.array(r["planes"]).reshape(3, 8, 10)
     for q, plane in zip((4.0, 16.0, 64.0), planes):
         size = max(16, round(min(max(q / 32, 1 / 16), 1) * 256))
@@ -239,3 +240,17 @@ def test_stream_sessions_and_windows(spark, tmp_path):
         q.processAllAvailable()
         q.stop()
         assert sorted(r["n"] for r in spark.table(f"t_{name}").collect()) == want
+
+
+def test_kernels_take_rows_of_any_length_and_nulls(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, None if n is None else rng.normal(size=n).tolist()) for i, n in enumerate([300, None, 77, 300, 40])]
+    df = spark.createDataFrame(rows, "i int, x array<double>").coalesce(1)
+    none = F.array_repeat(F.lit(0.0), 6)
+    got = df.select("i", "x", arrays.whiten("x", "x").alias("w"), arrays.mask_filter(F.col("x"), none, none, (1, 2, 3), 1.0, 64, 20).alias("m")).collect()
+    for r in got:
+        if r["x"] is None:
+            assert r["w"] is None and r["m"]["cleaned"] is None and r["m"]["removed"] is None
+        else:
+            alone = arrays.whitened(np.array([r["x"]]), np.array([r["x"]]))[0]
+            assert np.allclose(r["w"], alone) and np.std(r["w"]) == pytest.approx(1) and np.allclose(r["m"]["cleaned"], r["x"])

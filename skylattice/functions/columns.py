@@ -203,6 +203,16 @@ def weak_mask(duration: Column, frequency: Column, quality: Column, frequency_bi
     return F.transform(F.sequence(F.lit(0), F.lit(frequency_bins - 1)), lambda i: F.when(F.abs(at(i) - frequency) <= half_frequency, columns).otherwise(F.array_repeat(F.lit(0), time_bins)))
 
 
+def weak_masks(duration: Column, frequency: Column, quality: Column, event: Column, order: Sequence[str], qualities: Sequence[float], frequency_bins: int, time_bins: int, fmin: float, fmax: float, span: float) -> Column:
+    """`weak_mask` for each detector in order and each resolution: array of detectors of arrays of planes. Only the
+    trigger's own detector is marked, in all resolutions alike, since a trigger says nothing about one of them; a null
+    detector marks none, and a null duration, frequency or quality gives null."""
+    plane = weak_mask(duration, frequency, quality, frequency_bins, time_bins, fmin, fmax, span)
+    none = F.array_repeat(F.array_repeat(F.lit(0), time_bins), frequency_bins)
+    masks = F.transform(F.array(*[F.lit(x) for x in order]), lambda x: F.array_repeat(F.when(F.coalesce(x == event, F.lit(False)), plane).otherwise(none), len(qualities)))
+    return F.when(duration.isNotNull() & frequency.isNotNull() & quality.isNotNull(), masks)
+
+
 def detector_availability(usable: Column, order: Sequence[str], event: Column) -> tuple[Column, Column]:
     """0/1 for each detector in order from a map of flags, and why a set of them can't be used (null if it can)."""
     flags = F.transform(F.array(*[F.lit(x) for x in order]), lambda x: F.coalesce(F.try_element_at(usable, x), F.lit(False)).cast("int"))

@@ -68,6 +68,25 @@ def evictable(required: DataFrame, scored: DataFrame, sources: DataFrame, cached
     return cached.join(sources.select(path).distinct(), path, "left_semi")
 
 
+def eviction_intent(required: DataFrame, scored: DataFrame, sources: DataFrame, cached: DataFrame, path: str, intent: str) -> DataFrame:
+    """The files of `evictable`, after they are written as JSON lines to `intent`, before anything may be deleted.
+
+    An intent that is already there must list the same files: a job that starts again after a crash goes on with what it
+    meant to delete, and one that means something else is an error. Deleting is the caller's work.
+    """
+    files = evictable(required, scored, sources, cached, path)
+    spark = files.sparkSession
+    if files.limit(1).count() == 0:
+        return files
+    name = spark._jvm.org.apache.hadoop.fs.Path(intent)
+    fs = name.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(intent, "_SUCCESS")):
+        require(set_difference(files.select(path), spark.read.schema(files.select(path).schema).json(intent)), "an intent of other files is there")
+    else:
+        files.write.mode("overwrite").json(intent)  # what a crash left half written isn't an intent
+    return files
+
+
 def recovery(expected: DataFrame, accepted: DataFrame, rejected: DataFrame, key: str) -> DataFrame:
     """The expected rows that were rejected; accepted and rejected rows together must be the expected ones, once each."""
     both = accepted.select(key).unionByName(rejected.select(key))

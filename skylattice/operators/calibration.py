@@ -118,9 +118,10 @@ def score_rows(df: DataFrame, load: Callable[[], Callable[[pd.DataFrame], pd.Dat
     return df.mapInPandas(run, schema)
 
 
-def merge_shards(shards: Sequence[DataFrame], identity: Sequence[str], key: str, block: str, split: str, ranges: Sequence[tuple[int, int]] | None = None) -> DataFrame:
+def merge_shards(shards: Sequence[DataFrame], identity: Sequence[str], key: str, block: str, split: str, ranges: Sequence[tuple[int, int]] | None = None, detectors: tuple[str, str] | None = None, least: int = 2) -> DataFrame:
     """Shards of one identity as one table: common identity columns, unique keys, no block in two splits, and (where the
-    half-open ranges of the shards are given) no range that is empty or overlaps another."""
+    half-open ranges of the shards are given) no range that is empty or overlaps another. With `detectors`, the columns of
+    a row's own detector and of its set, a set must name `least` detectors or more, each once, its row's among them."""
     if ranges is not None:
         order = sorted(ranges)
         if any(a >= b for a, b in order) or any(b[0] < a[1] for a, b in zip(order, order[1:], strict=False)):
@@ -129,4 +130,8 @@ def merge_shards(shards: Sequence[DataFrame], identity: Sequence[str], key: str,
     require(uncontrolled(out, *identity), "shards differ in their identity")
     require(duplicates(out, key), "a row is in two shards")
     require(broken_dependency(out, block, split), "a block is in two splits")
+    if detectors is not None:
+        own, names = F.col(detectors[0]), F.col(detectors[1])
+        checks = {"once": F.size(F.array_distinct(names)) == F.size(names), "enough": F.size(names) >= least, "named": ~F.array_contains(F.transform(names, lambda x: x.isNull()), True), "own": F.array_contains(names, own)}
+        require(failing(out, **checks).select(key, "failed"), "a row's set of detectors is wrong")
     return out

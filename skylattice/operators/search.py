@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skylattice.contracts import failing, missing_references, require
 from skylattice.functions.columns import interval_distance, network_rank, time_key
 from skylattice.plans.intervals import chain_clusters
-from skylattice.plans.ranking import ranked, with_each
+from skylattice.plans.ranking import ranked, running_sums, with_each
 from skylattice.plans.selection import prefix_to_target
 
 
@@ -80,9 +82,10 @@ def exposure_schedule(exposure: DataFrame, key: str, target: float) -> DataFrame
 
 
 def prefix_pair_count(windows: DataFrame, keys: list[str], order: str, first: str, second: str) -> DataFrame:
-    """How many pairs i < j have `first` at i and `second` at j: a running count, not a self-join."""
-    before = F.coalesce(F.sum(F.col(first).cast("bigint")).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return windows.withColumn("__b", before).groupBy(*keys).agg(F.sum(F.when(F.col(second), F.col("__b")).otherwise(0)).alias("pairs"))
+    """How many pairs i < j have `first` at i and `second` at j: a running count, not a self-join, of keys of any size."""
+    rows = windows.select(*keys, order, F.coalesce(F.col(first).cast("bigint"), F.lit(0)).alias("__first"), F.col(second).alias("__second"))
+    upto = running_sums(rows, keys, order, {"__upto": "__first"})
+    return upto.groupBy(*keys).agg(F.sum(F.when(F.col("__second"), F.col("__upto") - F.col("__first")).otherwise(0)).alias("pairs"))
 
 
 def proposal_coverage(arrivals: DataFrame, proposals: DataFrame, padding: float) -> DataFrame:
@@ -101,15 +104,16 @@ def proposal_coverage(arrivals: DataFrame, proposals: DataFrame, padding: float)
     )
 
 
-def injection_rankings(injections: DataFrame, candidates: DataFrame, first: str, second: str, delay: float, uncertainty: float, association: float) -> DataFrame:
-    """The best pair of each injection that has both arrivals: candidates near their own arrival and near each other.
+def injection_rankings(injections: DataFrame, candidates: DataFrame, first: str, second: str, delay: float, uncertainty: float, association: float, provenance: Sequence[str] = ()) -> DataFrame:
+    """The best pair of each injection that has both arrivals: candidates near their own arrival and near each other, and
+    with the same values (null is one) in the columns of `provenance`, such as the digests of the model and of the input.
     Injections without a pair keep the score 0; those without both arrivals are left out."""
     require(missing_references(candidates, injections, "injection_id"), "candidates of unknown injections")
     arrival = lambda i: F.try_element_at("detector_arrival_gps", F.lit(i))
     eligible = injections.where(arrival(first).isNotNull() & arrival(second).isNotNull()).withColumn("t1", arrival(first)).withColumn("t2", arrival(second))
-    one = lambda ifo, n: candidates.where(F.col("ifo") == ifo).select("injection_id", F.col("candidate_id").alias(f"c{n}"), F.col("gps_peak").alias(f"p{n}"), F.col("score").alias(f"s{n}"))
+    one = lambda ifo, n: candidates.where(F.col("ifo") == ifo).select("injection_id", F.col("candidate_id").alias(f"c{n}"), F.col("gps_peak").alias(f"p{n}"), F.col("score").alias(f"s{n}"), F.struct(F.lit(0), *provenance).alias(f"from{n}"))
     pairs = eligible.select("injection_id", "t1", "t2").join(one(first, 1), "injection_id").join(one(second, 2), "injection_id")
-    near = (F.abs(F.col("p1") - F.col("t1")) <= association) & (F.abs(F.col("p2") - F.col("t2")) <= association) & (F.abs(F.col("p1") - F.col("p2")) <= delay + 2 * uncertainty)
+    near = (F.abs(F.col("p1") - F.col("t1")) <= association) & (F.abs(F.col("p2") - F.col("t2")) <= association) & (F.abs(F.col("p1") - F.col("p2")) <= delay + 2 * uncertainty) & (F.col("from1") == F.col("from2"))
     score = F.least("s1", "s2")
     best = Window.partitionBy("injection_id").orderBy(F.desc("pair_score"), "c1", "c2")
     top = pairs.where(near).withColumn("pair_score", score).withColumn("__nth", F.row_number().over(best)).where("__nth = 1").select("injection_id", "c1", "c2", "pair_score")

@@ -49,6 +49,21 @@ def ranked(spark: SparkSession, df: DataFrame, order: Sequence, name: str = "ran
     return dealt.withColumn("__p", part).join(first, "__p").withColumn(name, rank).drop("__p", "__at", "__first", *sort)
 
 
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence, name: str, count: str, whole: int = WHOLE) -> DataFrame:
+    """Rows with their place in their key, from 0, and how many rows the key has. Null keys are a key.
+
+    Where no key has more than `whole` rows, a window on the key does; else all rows are ranked by ranges in the order of
+    keys, and the first rank of each key, one row for each, is taken off, so a key of any size is spread over tasks.
+    """
+    most = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if most <= whole:
+        by = Window.partitionBy(*keys)
+        return df.withColumn(name, F.row_number().over(by.orderBy(*order)) - 1).withColumn(count, F.count("*").over(by))
+    rows = ranked(df.sparkSession, df, [*keys, *order], name)
+    each = renamed(rows.groupBy(*keys).agg(F.min(name).alias("__first"), F.count("*").alias(count)), keys)
+    return rows.join(each, same_keys(rows, each, keys)).select(*df.columns, (F.col(name) - F.col("__first")).alias(name), count)
+
+
 def running_sums(df: DataFrame, keys: Sequence[str], order: str, sums: Mapping[str, str], descending: bool = False, parts: int | None = None, whole: int = WHOLE) -> DataFrame:
     """Rows with the sums of columns over all rows of their key up to them in the order: new name -> column. The order
     is unique within a key.

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from skylattice.contracts import duplicates, require
 from skylattice.operators.graph import checkpoint
-from skylattice.plans.ranking import ranked, renamed, same_keys
+from skylattice.plans.ranking import numbered, ranked, renamed, same_keys
 
 
 def hash_split(u: Column, first: tuple[str, float], second: tuple[str, float], rest: str = "train") -> Column:
@@ -22,9 +22,7 @@ def hash_split(u: Column, first: tuple[str, float], second: tuple[str, float], r
 def rank_split(df: DataFrame, key: Column, keys: Sequence[str], validation: float, test: float) -> DataFrame:
     """Splits of balanced size by hash rank within `keys`: the first round(n * v) rows are val, the next round(n * t)
     test; halves round to even."""
-    by = Window.partitionBy(*keys)
-    n = F.count("*").over(by)
-    ranked = df.withColumn("__rank", F.row_number().over(by.orderBy(key))).withColumn("__n", n)
+    ranked = numbered(df, keys, [key], "__rank", "__n").withColumn("__rank", F.col("__rank") + 1)
     v, t = F.bround(F.col("__n") * validation, 0), F.bround(F.col("__n") * test, 0)
     return ranked.withColumn("split", F.when(F.col("__rank") <= v, "val").when(F.col("__rank") <= v + t, "test").otherwise("train")).drop("__rank", "__n")
 
@@ -40,6 +38,16 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence, k: int | Column)
     return df.withColumn("nth", nth).where(F.col("nth") <= k)
 
 
+def label_deficits(df: DataFrame, label: str, want: int, labels: Sequence[str] = ()) -> DataFrame:
+    """label, have, deficit: what each label, and each of `labels` that no row has, lacks of `want` rows. Null labels don't
+    count."""
+    have = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("have"))
+    if labels:
+        named = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(x) for x in dict.fromkeys(labels)])).alias(label))
+        have = have.join(named, label, "full_outer").withColumn("have", F.coalesce("have", F.lit(0).cast("bigint")))
+    return have.withColumn("deficit", F.greatest(F.lit(0).cast("bigint"), F.lit(want) - F.col("have")))
+
+
 def keep_last(df: DataFrame, keys: Sequence[str], ordinal: str) -> DataFrame:
     """One row for each key, the last by the ingest ordinal."""
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(ordinal)))
@@ -58,8 +66,7 @@ def largest_remainder(df: DataFrame, total: int, weight: str, tie: Column, keys:
 
 def stratified_buckets(df: DataFrame, order: Sequence, buckets: int, hash_key: Column, keys: Sequence[str]) -> DataFrame:
     """Positions 0..n-1 are cut into buckets at floor(i * n / buckets); the row with the smallest hash of each stays."""
-    by = Window.partitionBy(*keys)
-    rows = df.withColumn("__i", F.row_number().over(by.orderBy(*order)) - 1).withColumn("__n", F.count("*").over(by))
+    rows = numbered(df, keys, order, "__i", "__n")
     # the bucket of position i is the largest b with floor(b * n / buckets) <= i
     rows = rows.withColumn("bucket", F.floor(((F.col("__i") + 1) * buckets - 1) / F.col("__n")).cast("bigint"))
     return rows.withColumn("__nth", F.row_number().over(Window.partitionBy(*keys, "bucket").orderBy(hash_key))).where("__nth = 1").drop("__i", "__n", "__nth")
@@ -67,9 +74,8 @@ def stratified_buckets(df: DataFrame, order: Sequence, buckets: int, hash_key: C
 
 def nested_samples(df: DataFrame, keys: Sequence[str], hash_key: Column, scales: Sequence[float]) -> DataFrame:
     """Samples of growing share within strata; each holds the ones before it (hash order doesn't change)."""
-    by = Window.partitionBy(*keys)
-    rows = df.withColumn("__rank", F.row_number().over(by.orderBy(hash_key))).withColumn("__n", F.count("*").over(by))
-    return rows.withColumn("scale", F.explode(F.array(*[F.lit(s) for s in scales]))).where(F.col("__rank") <= F.ceil(F.col("__n") * F.col("scale"))).drop("__rank", "__n")
+    rows = numbered(df, keys, [hash_key], "__rank", "__n")
+    return rows.withColumn("scale", F.explode(F.array(*[F.lit(s) for s in scales]))).where(F.col("__rank") < F.ceil(F.col("__n") * F.col("scale"))).drop("__rank", "__n")
 
 
 def allocated_strata(strata: DataFrame, keys: Sequence[str], scales: Sequence[int]) -> DataFrame:
@@ -110,18 +116,13 @@ def allocated_strata(strata: DataFrame, keys: Sequence[str], scales: Sequence[in
 def nested_scales(df: DataFrame, keys: Sequence[str], identity: str, seed: object, scales: Sequence[int]) -> DataFrame:
     """Rows of nested samples of exactly these sizes, with `scale`: `allocated_strata` says how many of each stratum, and
     a stratum's rows come in the order of sha256("seed:identity"), then the identity. A row is there once for each scale
-    that holds it. Rows are ranked by ranges, so a stratum may hold any share of them.
+    that holds it. A stratum may hold any share of the rows (see `numbered`).
     """
-    spark, scales = df.sparkSession, sorted(set(scales))
+    scales = sorted(set(scales))
     key = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(identity).cast("string")), 256)
-    rows = ranked(spark, df.withColumn("__h", key), [*keys, "__h", identity], "__rank").drop("__h")
-    strata = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("__rank").alias("__first"))
-    counts = allocated_strata(strata.select(*keys, "n"), keys, scales)
-    known = renamed(counts.drop("n"), keys)
-    strata = strata.join(known, same_keys(strata, known, keys)).select(*keys, "__first", "counts")
-    strata = renamed(strata, keys)
-    at = F.col("__rank") - F.col("__first")
-    held = F.filter(F.array(*[F.lit(s).cast("bigint") for s in scales]), lambda _, i: F.col("counts")[i] > at)
+    rows = numbered(df.withColumn("__h", key), keys, ["__h", identity], "__at", "__n").drop("__h", "__n")
+    strata = renamed(allocated_strata(df.groupBy(*keys).agg(F.count("*").alias("n")), keys, scales).drop("n"), keys)
+    held = F.filter(F.array(*[F.lit(s).cast("bigint") for s in scales]), lambda _, i: F.col("counts")[i] > F.col("__at"))
     return rows.join(strata, same_keys(rows, strata, keys)).withColumn("scale", F.explode(held)).select(*df.columns, "scale")
 
 

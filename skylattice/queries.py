@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skylattice import contracts
 from skylattice.functions import columns as C
 from skylattice.operators import arrays, audits, calibration, evaluation, graph, search, stats
 from skylattice.operators.graph import checkpoint
@@ -476,8 +477,9 @@ def set_equality_audit(spark, sf):
     li = _t(spark, sf, "lineitem")
     a = li.where("l_returnflag = 'R'").select(F.col("l_partkey").alias("k")).distinct()
     b = li.where("l_linestatus = 'F'").select(F.col("l_partkey").alias("k")).distinct()
-    one = lambda d, s: d.agg(F.lit(s).alias("side"), F.count("*").alias("n"), F.coalesce(F.sum("k"), F.lit(0)).alias("total"))
-    return one(a.subtract(b), "left").unionByName(one(b.subtract(a), "right")).unionByName(one(a.intersect(b), "both"))
+    sides = contracts.set_difference(a, b).unionByName(a.intersect(b).withColumn("side", F.lit("both")))
+    all_sides = spark.range(1).select(F.explode(F.array(*[F.lit(s) for s in ("left", "right", "both")])).alias("side"))
+    return all_sides.join(sides, "side", "left").groupBy("side").agg(F.count("k").alias("n"), F.coalesce(F.sum("k"), F.lit(0)).alias("total"))
 
 
 @query("""WITH RECURSIVE p AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem), e AS (SELECT DISTINCT a.l_suppkey AS s, b.l_suppkey AS t FROM p a JOIN p b ON a.l_partkey = b.l_partkey),

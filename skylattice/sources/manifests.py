@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StructType
 
@@ -48,9 +48,19 @@ def concatenate_shards(spark: SparkSession, paths: list[str], schema: str, path:
 
 
 def read_manifest_errors(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The lines that don't parse, instead of an error."""
-    df = spark.read.schema(f"{schema}, _corrupt STRING").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    return df.where("_corrupt is not null").select("_corrupt")
+    """file, line, text: the lines that don't parse, with their numbers (from 1, blank lines count), instead of an error.
+
+    A file is read in blocks by many tasks, none of which knows how many lines come before its own: lines are numbered
+    within their block, and the sizes of the blocks before it, one row for each block, give the rest.
+    """
+    block = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__start")]
+    lines = spark.read.text(path).select(*block, F.col("value").alias("text"), F.monotonically_increasing_id().alias("__at"))
+    blocks = lines.groupBy("file", "__start").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy("file").orderBy("__start").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = blocks.select("file", "__start", (F.coalesce(before, F.lit(0)) + 1 - F.col("__first")).alias("__shift"))
+    parsed = F.from_json("text", f"{schema}, __bad STRING", {"columnNameOfCorruptRecord": "__bad"})["__bad"]
+    bad = lines.where((F.trim("text") != "") & parsed.isNotNull())
+    return bad.join(blocks, ["file", "__start"]).select("file", (F.col("__at") + F.col("__shift")).alias("line"), "text")
 
 
 def read_csv(spark: SparkSession, path: str, schema: str, required: tuple[str, ...] = ()) -> DataFrame:
@@ -75,11 +85,13 @@ def select_split(df: DataFrame, split: str, ids: tuple[str, ...] = ("window_id",
 
 
 def read_labelled_images(spark: SparkSession, images: str, labels: str) -> DataFrame:
-    """Image files with their label files, joined by file stem: sizes, digests, polygons and errors. An image without a
-    label, a label without an image, and a stem that is there twice are errors."""
+    """Image files with their label files, joined by file stem: sizes, digests, polygons and errors. A label file may be
+    empty (no polygons). An image without a label, a label without an image, and a stem that is there twice are errors."""
     stem = lambda: F.regexp_extract(F.col("path"), r"([^/]+)\.[^./]+$", 1)
     a = spark.read.format("binaryFile").load(images).select(stem().alias("sample_id"), F.col("path").alias("image"), F.sha2("content", 256).alias("image_sha256"), F.col("length").alias("image_bytes"))
-    b = spark.read.format("binaryFile").load(labels).select(stem().alias("sample_id"), F.col("path").alias("label"), F.sha2("content", 256).alias("label_sha256"), F.decode("content", "UTF-8").alias("__text"))
+    # Spark's file sources leave empty files out, and an image without objects has one
+    files = spark.createDataFrame(spark.sparkContext.binaryFiles(labels).mapValues(bytearray), "path string, content binary")
+    b = files.select(stem().alias("sample_id"), F.col("path").alias("label"), F.sha2("content", 256).alias("label_sha256"), F.decode("content", "UTF-8").alias("__text"))
     for side in (a, b):
         require(duplicates(side, "sample_id"), "a stem is there twice")
     joined = a.join(b, "sample_id", "full_outer")

@@ -598,3 +598,41 @@ def balanced_split(spark, sf):
     """Groups of orders, largest first, into splits whose shares of each priority stay near their goals."""
     k = _t(spark, sf, "orders").groupBy((F.col("o_custkey") % 500).cast("bigint").alias("name"), F.col("o_orderpriority").alias("label")).agg(F.count("*").alias("n"))
     return matching.balanced_split(spark, k, {"train": 0.6, "val": 0.2, "test": 0.2})
+
+
+@query("""WITH h AS (SELECT lang, count(*) AS have FROM documents WHERE lang IS NOT NULL GROUP BY 1 UNION ALL SELECT 'xx', 0)
+SELECT lang, have, greatest(0, 60 - have) AS deficit FROM h""")
+def label_deficits(spark, sf):
+    """How many documents each language lacks of sixty, one that none has among them."""
+    return selection.label_deficits(_t(spark, sf, "documents"), "lang", 60, ["xx"])
+
+
+@query("""WITH d AS (SELECT p_partkey, p_size / 10.0 AS duration, 10 + p_retailprice % 40 AS frequency, 1.0 + p_size % 8 AS quality, CASE p_partkey % 3 WHEN 0 THEN 'H1' WHEN 1 THEN 'L1' ELSE 'V1' END AS ifo FROM part),
+g AS (SELECT p_partkey, ifo, greatest(1, count(*) FILTER (WHERE abs(i * 0.5 - 4) <= least(greatest(duration / 2, 0.5), 4.0))) AS wide FROM d CROSS JOIN (SELECT unnest(range(0, 16)) AS i) GROUP BY 1, 2),
+f AS (SELECT p_partkey, count(*) FILTER (WHERE abs(i * 5.0 + 10 - frequency) <= greatest(5.0, frequency / quality)) AS high FROM d CROSS JOIN (SELECT unnest(range(0, 9)) AS i) GROUP BY 1)
+SELECT p.ifo, x.plane AS detector, sum(CASE WHEN p.ifo = x.plane THEN 2 * wide * high ELSE 0 END)::BIGINT AS marked, count(*) AS triggers FROM g p JOIN f USING (p_partkey) CROSS JOIN (SELECT unnest(['H1', 'L1']) AS plane) x GROUP BY 1, 2""")
+def detector_masks(spark, sf):
+    """Marked cells of the planes of two detectors at two resolutions, by the detector of the trigger."""
+    k = F.col("p_partkey")
+    t = _t(spark, sf, "part").select((F.col("p_size") / 10.0).alias("duration"), (10 + F.col("p_retailprice") % 40).cast("double").alias("frequency"), (1.0 + F.col("p_size") % 8).alias("quality"), F.when(k % 3 == 0, "H1").when(k % 3 == 1, "L1").otherwise("V1").alias("ifo"))
+    masks = C.weak_masks(F.col("duration"), F.col("frequency"), F.col("quality"), F.col("ifo"), ["H1", "L1"], [8.0, 32.0], 9, 16, 10.0, 50.0, 8.0)
+    cells = t.select("ifo", F.posexplode(masks).alias("i", "planes"))
+    marked = F.size(F.filter(F.flatten(F.flatten("planes")), lambda x: x == 1))
+    return cells.groupBy("ifo", F.element_at(F.array(F.lit("H1"), F.lit("L1")), F.col("i") + 1).alias("detector")).agg(F.sum(marked).alias("marked"), F.count("*").alias("triggers"))
+
+
+@query(f"""WITH {EV}, x AS (SELECT event_type, us / 1e6 AS t, value, 'gps:' || us // 64000000 * 64 || ':64' AS block FROM ev)
+SELECT event_type, count(*) FILTER (WHERE t >= split_part(block, ':', 2)::BIGINT + 24 AND t < split_part(block, ':', 2)::BIGINT + 40) AS central, count(*) FILTER (WHERE event_type NOT IN ('view', 'click') AND value >= 20) AS known,
+  count(*) FILTER (WHERE value <= 30 AND t - floor(t / 64) * 64 <= 30) AS gated, round(sum(CASE WHEN value < 20 THEN 20 * pow(5, value / 20) ELSE value END), 3) AS rescaled, round(avg(split_part(block, ':', 3)::BIGINT), 6) AS length FROM x GROUP BY 1""")
+def event_contracts(spark, sf):
+    """Events in the middle of their block, with a known label, through the timing gate, and with small values drawn anew."""
+    e = _events(spark, sf).select("event_type", "value", (F.col("us") / 1e6).alias("t"), C.block_label(C.block_of((F.col("us") / 1e6), 64), 64).alias("block"))
+    start, length = C.parse_block(F.col("block"))
+    e = e.withColumn("start", start).withColumn("length", length)
+    return e.groupBy("event_type").agg(
+        F.count_if(C.contains_half_open(F.col("t"), F.col("start") + 32.0, 16.0)).alias("central"),
+        F.count_if(C.known_label(F.col("event_type"), F.col("value"), ["view", "click"], 20.0)).alias("known"),
+        F.count_if(C.timing_gate(F.col("value"), F.col("t") - F.col("start"), F.lit(0), 30.0)).alias("gated"),
+        F.round(F.sum(C.rescale_below(F.col("value"), F.col("value") / 20, 20.0, 100.0)), 3).alias("rescaled"),
+        F.round(F.avg("length"), 6).alias("length"),
+    )

@@ -64,7 +64,7 @@ def greedy_cover(spark: SparkSession, counts: DataFrame, want: int, most: int, o
     entry = F.struct("label", F.col("n").cast("bigint").alias("n"))
     names = counts.where("n > 0 and label is not null").groupBy("name").agg(F.collect_list(entry).alias("rows"), *[F.first(c).alias(c) for c in ("cost", *order)])
     names = checkpoint(spark, names.where("cost > 0 and name is not null"))
-    lack = {r["label"]: want for r in counts.where("label is not null").select("label").distinct().collect()}
+    lack = {r["label"]: want for r in names.select(F.explode("rows.label").alias("label")).distinct().collect()}
     spent, out = 0, []
 
     def place(r, left: dict) -> tuple:

@@ -13,18 +13,23 @@
    a few pivots of each longer list, then all pairs that still lie in different components.
 6. What longer lists then still hold in more than one component is compared block by block on full sets, every class
    outside a list's largest component with everything in the list; a block reports one link for each class and component.
+
+Lists, pairs and comparisons can be many times the input, more so the larger it is. Those steps run in rounds by hash: each
+round writes what it found, and its shuffle files go before the next one starts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
+from math import ceil, sqrt
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skylattice.llm.common import checkpoint, release, small_batches
@@ -33,7 +38,10 @@ from skylattice.llm.components import components
 #: Classes in a list that is expanded.
 SHORT = 32
 #: One text in SAMPLE is read for values that come back; at SEEN texts a value is frequent, FREQUENT of them are kept.
-SAMPLE, SEEN, FREQUENT = 8, 3, 200_000
+SAMPLE, SEEN, FREQUENT = 8, 3, 1_000_000
+#: Rows of a round: values that are put into lists, list rows that meet, pairs joined with their sketches and with their
+#: sets, sets in blocks of long lists; rounds that a step has at most, by one key.
+VALUES, MEETING, SKETCHED, CONFIRMED, BLOCKED, ROUNDS = 12_000_000, 4_000_000, 250_000, 100_000, 150_000, 8
 #: Long lists whose pivots a class is compared with, rows of the two sides of a block and values compared at once, ids up to which
 #: a filter is broadcast.
 LONG, ASKERS, ROWS, COLUMNS, BROADCAST_IDS = 6, 256, 512, 4096, 1_000_000
@@ -183,17 +191,48 @@ def sketches(spark: SparkSession, docs: DataFrame, words: int, percent: int, id_
     return kept.mapInArrow(run, f"id {kept.schema['id'].dataType.simpleString()}, n long, digest binary, sketch array<long>")
 
 
-def _lists(values: DataFrame) -> DataFrame:
+def _rounds(rows: int, most: int) -> int:
+    """How many rounds of about `most` rows there are, ROUNDS at most."""
+    return max(1, min(ROUNDS, ceil(rows / most)))
+
+
+def _in_round(columns: list[str], rounds: int, i: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(53), *columns), F.lit(rounds)) == i
+
+
+def _one_by_one(spark: SparkSession, parts: Iterable[DataFrame]) -> DataFrame:
+    """All parts together; each is written, and its shuffle files go, before the next one runs."""
+    written = []
+    for part in parts:
+        written.append(checkpoint(spark, part))
+        del part
+        release(spark)
+    return reduce(DataFrame.unionByName, written)
+
+
+def _cells(spark: SparkSession, pairs: DataFrame, most: int, join: Callable[[tuple[int, int, int]], DataFrame]) -> DataFrame:
+    """What `join` makes of the pairs, in rounds by the hashes of both ends, so that a round has its part of either side."""
+    sides = min(ROUNDS, ceil(sqrt(ceil(pairs.count() / most)))) or 1
+    return _one_by_one(spark, (join((sides, i, j)) for i in range(sides) for j in range(sides)))
+
+
+def _lists(spark: SparkSession, classes: DataFrame) -> DataFrame:
     """(rep, n, v) with the length c of each list, lists of one left out."""
-    sizes = values.groupBy("v").agg(F.count("*").alias("c")).where("c >= 2")
-    return values.join(sizes, "v")
+    values = classes.select("rep", "n", F.explode("sketch").alias("v"))
+    rounds = _rounds(classes.agg(F.sum(F.size("sketch"))).first()[0] or 0, VALUES)
+
+    def part(i: int) -> DataFrame:
+        some = values.where(_in_round(["v"], rounds, i))
+        return some.join(some.groupBy("v").agg(F.count("*").alias("c")).where("c >= 2"), "v")
+
+    return _one_by_one(spark, map(part, range(rounds)))
 
 
-def _pairs_of(lists: DataFrame, in_long: DataFrame, percent: int) -> DataFrame:
+def _pairs_of(short: DataFrame, percent: int, rounds: int, i: int) -> DataFrame:
     """Pairs of the classes in short lists that can reach the similarity, with the number of values they share there, and
-    whether both have values in long lists too."""
-    short = lists.where(F.col("c") <= SHORT).join(in_long, "rep", "left").select("v", "rep", "n", F.coalesce("k", F.lit(0)).alias("k"))
+    whether both have values in long lists too; those of one round, by the smaller id."""
     a, b = (short.select("v", *[F.col(c).alias(e if c == "rep" else f"{c}{e}") for c in ("rep", "n", "k")]) for e in ("a", "b"))
+    a = a.where(_in_round(["a"], rounds, i))
     met = a.join(b, "v").where((F.col("a") < F.col("b")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
     met = met.groupBy("a", "b").agg(F.count("*").alias("shared"), *[F.max(c).alias(c) for c in ("na", "nb", "ka", "kb")])
     # what both sets share of the sketch that ends first is in lists, and the rest of that set lies behind its sketch
@@ -208,20 +247,22 @@ def _hot(pairs: DataFrame) -> DataFrame:
     return ends.groupBy("end").agg(F.max("c").alias("c")).where(F.col("c") > SLICE).select("end", F.ceil(F.col("c") / SLICE).cast("int").alias("slices"))
 
 
-def _with(pairs: DataFrame, table: DataFrame, key: str, columns: list[str], hot: DataFrame) -> DataFrame:
-    """The pairs with columns of each end, as <column>_a and <column>_b. Classes in many pairs, as pivots are, come in
-    slices that their partners are dealt over."""
+def _with(pairs: DataFrame, table: DataFrame, key: str, columns: list[str], hot: DataFrame, cell: tuple[int, int, int]) -> DataFrame:
+    """The pairs of one cell with columns of each end, as <column>_a and <column>_b. Classes in many pairs, as pivots are,
+    come in slices that their partners are dealt over."""
+    sides, *at = cell
+    pairs = pairs.where(_in_round(["a"], sides, at[0]) & _in_round(["b"], sides, at[1]))
     sliced = table.withColumnRenamed(key, "end").join(hot, "end", "left").withColumn("slice", F.explode(F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1)))
-    for end, other in (("a", "b"), ("b", "a")):
+    for (end, other), i in zip((("a", "b"), ("b", "a")), at, strict=True):
         side = pairs.join(hot.withColumnRenamed("end", end), end, "left")
         side = side.withColumn("slice", F.pmod(F.xxhash64(F.lit(47), F.col(other)), F.coalesce("slices", F.lit(1))).cast("int")).drop("slices")
-        pairs = side.join(sliced.select(F.col("end").alias(end), "slice", *[F.col(c).alias(f"{c}_{end}") for c in columns]), [end, "slice"]).drop("slice")
+        pairs = side.join(sliced.where(_in_round(["end"], sides, i)).select(F.col("end").alias(end), "slice", *[F.col(c).alias(f"{c}_{end}") for c in columns]), [end, "slice"]).drop("slice")
     return pairs
 
 
-def _bounded(spark: SparkSession, pairs: DataFrame, classes: DataFrame, percent: int, hot: DataFrame, frequent: Broadcast) -> DataFrame:
-    """Pairs whose union sketch allows a similarity that is high enough."""
-    both = _with(pairs.select("a", "b"), classes, "rep", ["n", "sketch"], hot).select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
+def _bounded(spark: SparkSession, pairs: DataFrame, classes: DataFrame, percent: int, hot: DataFrame, frequent: Broadcast, cell: tuple[int, int, int]) -> DataFrame:
+    """Pairs of one cell whose union sketch allows a similarity that is high enough."""
+    both = _with(pairs.select("a", "b"), classes, "rep", ["n", "sketch"], hot, cell).select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -236,9 +277,9 @@ def _bounded(spark: SparkSession, pairs: DataFrame, classes: DataFrame, percent:
     return both.mapInArrow(run, f"a {kind}, b {kind}, shared long")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, hot: DataFrame) -> DataFrame:
-    """Pairs whose full sets are similar enough."""
-    both = _with(pairs.select("a", "b"), sets, "id", ["set"], hot).select("a", "b", "set_a", "set_b")
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, hot: DataFrame, cell: tuple[int, int, int]) -> DataFrame:
+    """Pairs of one cell whose full sets are similar enough."""
+    both = _with(pairs.select("a", "b"), sets, "id", ["set"], hot, cell).select("a", "b", "set_a", "set_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -249,10 +290,14 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, hot: DataFrame)
     return both.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def _full_sets(spark: SparkSession, docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """Full sets of the classes in `wanted` (rep, digest); texts are read again but only these are kept."""
-    n = wanted.count()
-    keys = F.broadcast(wanted) if n <= BROADCAST_IDS else wanted
+def _small(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def _full_sets(spark: SparkSession, docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text_col: str, repeated: bool) -> DataFrame:
+    """Full sets of the classes in `wanted` (rep, digest); texts are read again but only these are kept. Only where ids are
+    repeated must their rows meet."""
+    keys = _small(wanted)
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(keys.withColumnRenamed("rep", "id"), "id").select("id", "text", "digest")
     held: dict = {}
 
@@ -264,7 +309,8 @@ def _full_sets(spark: SparkSession, docs: DataFrame, wanted: DataFrame, words: i
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in sets], pa.binary())], ["id", "set"]).filter(own)
 
     kind = wanted.schema["rep"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, set binary").dropDuplicates(["id"])
+    sets = rows.mapInArrow(run, f"id {kind}, set binary")
+    return sets.dropDuplicates(["id"]) if repeated else sets
 
 
 def _label(rows: DataFrame, comp: DataFrame, key: str, name: str) -> DataFrame:
@@ -281,13 +327,9 @@ def _across_long_lists(spark: SparkSession, long_lists: DataFrame, comp: DataFra
     asks = F.col("comp") != F.col("bucket")
     counts = rows.groupBy("bucket").agg(F.count("*").alias("c"), F.sum(asks.cast("int")).alias("asking")).where("asking > 0")
     rows = checkpoint(spark, rows.join(counts, "bucket"))
-    rows = rows.join(sets_of(rows.select("rep").distinct()).withColumnRenamed("id", "rep"), "rep")
-    ab, db = F.ceil(F.col("asking") / ASKERS), F.ceil(F.col("c") / ROWS)
+    ab, db = F.ceil(F.col("asking") / ASKERS).cast("int"), F.ceil(F.col("c") / ROWS).cast("int")
     place = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), F.col("rep")), n).cast("int")
-    askers = rows.where(asks).withColumn("ab", place(41, ab)).withColumn("db", F.explode(F.sequence(F.lit(0), db.cast("int") - 1)))
-    others = rows.withColumn("db", place(43, db)).withColumn("ab", F.explode(F.sequence(F.lit(0), ab.cast("int") - 1)))
-    askers = askers.select(*[F.col(c).alias(f"q_{c}") for c in ("bucket", "ab", "db", "rep", "comp", "set")])
-    others = others.select("bucket", "ab", "db", "rep", "comp", "set")
+    rounds = _rounds(rows.agg(F.sum(ab + F.when(asks, db).otherwise(0))).first()[0] or 0, BLOCKED)
 
     def compare(asking: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
@@ -306,7 +348,18 @@ def _across_long_lists(spark: SparkSession, long_lists: DataFrame, comp: DataFra
         return pd.DataFrame(out, columns=["a", "b"])
 
     kind = long_lists.schema["rep"].dataType.simpleString()
-    return askers.groupBy("q_bucket", "q_ab", "q_db").cogroup(others.groupBy("bucket", "ab", "db")).applyInPandas(compare, f"a {kind}, b {kind}")
+
+    def part(i: int) -> DataFrame:
+        """Blocks of the bucket's askers by their number, so that a large bucket is in several rounds."""
+        here = rows.withColumn("abs", F.filter(F.sequence(F.lit(0), ab - 1), lambda x: F.pmod(F.xxhash64(F.lit(53), "bucket", x), F.lit(rounds)) == i)).where(F.size("abs") > 0)
+        here = here.join(sets_of(here.select("rep").distinct()).withColumnRenamed("id", "rep"), "rep")
+        askers = here.where(asks).withColumn("ab", place(41, ab)).where(F.array_contains("abs", F.col("ab"))).withColumn("db", F.explode(F.sequence(F.lit(0), db - 1)))
+        others = here.withColumn("db", place(43, db)).withColumn("ab", F.explode("abs"))
+        askers = askers.select(*[F.col(c).alias(f"q_{c}") for c in ("bucket", "ab", "db", "rep", "comp", "set")])
+        others = others.select("bucket", "ab", "db", "rep", "comp", "set")
+        return askers.groupBy("q_bucket", "q_ab", "q_db").cogroup(others.groupBy("bucket", "ab", "db")).applyInPandas(compare, f"a {kind}, b {kind}")
+
+    return _one_by_one(spark, map(part, range(rounds)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -319,9 +372,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percen
     """
     release(spark)
     frequent = spark.sparkContext.broadcast(frequent_values(spark, docs, words, id_col, text_col))  # FREQUENT at most
+    release(spark)
     made = checkpoint(spark, sketches(spark, docs, words, percent, id_col, text_col, frequent))
-    several = made.where("n > 0 and id is not null").groupBy("id").agg(F.min("digest").alias("one"), F.max("digest").alias("other")).where("one <> other")
-    several = checkpoint(spark, several.drop("other"))
+    several = made.where("n > 0 and id is not null").groupBy("id").agg(F.min("digest").alias("one"), F.max("digest").alias("other"), F.count("*").alias("c")).where("c > 1")
+    several = checkpoint(spark, several)
+    repeated = bool(several.take(1))
+    several = several.where("one <> other").select("id", "one")
     usable = made.where("n > 0 and id is not null")
     if several.take(1):
         made = made.join(several, "id", "left")
@@ -329,11 +385,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percen
         made = made.withColumn("digest", F.when(F.col("n") > 0, F.coalesce("one", "digest")).otherwise(F.col("digest"))).drop("one")
     classes = usable.groupBy("digest").agg(F.min(F.struct("id", "n", "sketch")).alias("x")).select("digest", F.col("x.id").alias("rep"), F.col("x.n").alias("n"), F.col("x.sketch").alias("sketch"))
     classes = checkpoint(spark, classes)
+    # sketches are held once: of the rows and, when pairs are found, of the classes only what names them stays
+    made = checkpoint(spark, made.select("id", "n", "digest"))
+    names = checkpoint(spark, classes.select("digest", "rep"))
+    del usable, several
+    release(spark)
 
-    lists = checkpoint(spark, _lists(classes.select("rep", "n", F.explode("sketch").alias("v"))))
+    lists = _lists(spark, classes)
     long_lists = checkpoint(spark, lists.where(F.col("c") > SHORT).select("v", "rep").repartition("v", "rep"))  # no task reads a whole list
-    release(spark)
     in_long = long_lists.groupBy("rep").agg(F.count("*").alias("k"))
+    short = checkpoint(spark, lists.where(F.col("c") <= SHORT).join(in_long, "rep", "left").select("v", "rep", "n", F.coalesce("k", F.lit(0)).alias("k")))
+    del lists
+    release(spark)
+    rounds = _rounds(short.count(), MEETING)
+    met = _one_by_one(spark, (_pairs_of(short, percent, rounds, i) for i in range(rounds)))
+    del short
     nth = Window.partitionBy("rep").orderBy("v")
     some = long_lists.withColumn("nth", F.row_number().over(nth)).where(F.col("nth") <= LONG).join(in_long, "rep").select("v", "rep", "k")
     # a text whose whole sketch is in long lists has no part of its own: the middle of a group of copies
@@ -344,33 +410,41 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percen
     star = some.join(pivots, "v").where("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"), F.lit(1).alias("shared"), F.lit(True).alias("long"))
 
     def sets_of(reps: DataFrame) -> DataFrame:
-        return checkpoint(spark, _full_sets(spark, docs, checkpoint(spark, classes.join(reps, "rep", "left_semi").select("rep", "digest")), words, id_col, text_col))
+        return checkpoint(spark, _full_sets(spark, docs, checkpoint(spark, names.join(reps, "rep", "left_semi").select("rep", "digest")), words, id_col, text_col, repeated))
 
-    cand = _pairs_of(lists, in_long, percent).unionByName(star).groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("long").alias("long"))
+    cand = met.unionByName(star).groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("long").alias("long"))
     cand = checkpoint(spark, cand)
+    del met, some, pivots, star
     hot = checkpoint(spark, _hot(cand))
     release(spark)
     if hot.count() <= BROADCAST_IDS:
         hot = F.broadcast(hot)
-    bounded = _bounded(spark, cand.where("long"), classes.join(in_long, "rep", "left_semi"), percent, hot, frequent)
+    pairs = cand.where("long").select("a", "b")
+    ends = checkpoint(spark, pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct())
+    known = classes.join(_small(ends), "rep", "left_semi")
+    bounded = _cells(spark, pairs, SKETCHED, lambda cell: _bounded(spark, pairs, known, percent, hot, frequent, cell))
+    del classes, known, ends
     # the most promising partners of each class; of a pivot, of each of its slices
     best = Window.partitionBy("b", "slice").orderBy(F.desc("shared"), "a")
     cand = cand.where("not long").select("a", "b", "shared").unionByName(bounded).join(hot.withColumnRenamed("end", "b"), "b", "left")
     cand = cand.withColumn("slice", F.pmod(F.xxhash64(F.lit(47), F.col("a")), F.coalesce("slices", F.lit(1)))).withColumn("nth", F.row_number().over(best))
     cand = checkpoint(spark, cand.select("a", "b", "shared", "nth"))
+    release(spark)
     sets = sets_of(cand.select(F.col("a").alias("rep")).unionByName(cand.select(F.col("b").alias("rep"))).distinct())
 
     release(spark)
-    links = checkpoint(spark, _confirmed(cand.where(F.col("nth") <= PARTNERS), sets, percent, hot))
-    release(spark)
+    first = cand.where(F.col("nth") <= PARTNERS)
+    links = _cells(spark, first, CONFIRMED, lambda cell: _confirmed(first, sets, percent, hot, cell))
     comp = components(spark, links)
     crossing = _label(_label(cand.where(F.col("nth") > PARTNERS), comp, "a", "ca"), comp, "b", "cb").where("ca <> cb")
-    links = checkpoint(spark, links.unionByName(_confirmed(crossing, sets, percent, hot)))
+    crossing = checkpoint(spark, crossing.select("a", "b"))
+    links = links.unionByName(_cells(spark, crossing, CONFIRMED, lambda cell: _confirmed(crossing, sets, percent, hot, cell)))
     comp = components(spark, links)
+    del sets, cand, first, crossing
     release(spark)
     comp = components(spark, links.unionByName(_across_long_lists(spark, long_lists, comp, sets_of, percent)))
 
-    labelled = _label(classes.select("digest", "rep"), comp, "rep", "component").select("digest", "component")
+    labelled = _label(names, comp, "rep", "component").select("digest", "component")
     out = made.join(labelled, "digest", "left")
     component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))

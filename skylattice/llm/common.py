@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,10 +48,16 @@ def checkpoint(spark: SparkSession, df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
+def release(spark: SparkSession, wait: bool = False) -> None:
     """Let Spark's cleaner remove the shuffle files of steps that are written and out of reach. It acts when the driver
-    collects garbage, which a driver with little to do doesn't for minutes, while files of many small steps add up."""
+    collects garbage, which a driver with little to do doesn't for minutes, while files of many small steps add up.
+
+    The JVM hears of frames that Python dropped from a thread that looks once a second. With `wait` they go now, without
+    it possibly at the next call only, which is soon enough where files are small.
+    """
     gc.collect()
+    if wait:
+        time.sleep(1.1)
     spark.sparkContext._jvm.System.gc()
 
 

@@ -200,32 +200,31 @@ def _in_round(columns: list[str], rounds: int, i: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(53), *columns), F.lit(rounds)) == i
 
 
-def _one_by_one(spark: SparkSession, parts: Iterable[DataFrame]) -> DataFrame:
-    """All parts together; each is written, and its shuffle files go, before the next one runs."""
+def _one_by_one(spark: SparkSession, parts: Iterable[DataFrame], several: bool) -> DataFrame:
+    """All parts together; each is written, and its shuffle files go, before the next one runs (if there are several)."""
     written = []
     for part in parts:
         written.append(checkpoint(spark, part))
         del part
-        release(spark)
+        release(spark, several)
     return reduce(DataFrame.unionByName, written)
 
 
 def _cells(spark: SparkSession, pairs: DataFrame, most: int, join: Callable[[tuple[int, int, int]], DataFrame]) -> DataFrame:
     """What `join` makes of the pairs, in rounds by the hashes of both ends, so that a round has its part of either side."""
     sides = min(ROUNDS, ceil(sqrt(ceil(pairs.count() / most)))) or 1
-    return _one_by_one(spark, (join((sides, i, j)) for i in range(sides) for j in range(sides)))
+    return _one_by_one(spark, (join((sides, i, j)) for i in range(sides) for j in range(sides)), sides > 1)
 
 
-def _lists(spark: SparkSession, classes: DataFrame) -> DataFrame:
+def _lists(spark: SparkSession, classes: DataFrame, rounds: int) -> DataFrame:
     """(rep, n, v) with the length c of each list, lists of one left out."""
     values = classes.select("rep", "n", F.explode("sketch").alias("v"))
-    rounds = _rounds(classes.agg(F.sum(F.size("sketch"))).first()[0] or 0, VALUES)
 
     def part(i: int) -> DataFrame:
         some = values.where(_in_round(["v"], rounds, i))
         return some.join(some.groupBy("v").agg(F.count("*").alias("c")).where("c >= 2"), "v")
 
-    return _one_by_one(spark, map(part, range(rounds)))
+    return _one_by_one(spark, map(part, range(rounds)), rounds > 1)
 
 
 def _pairs_of(short: DataFrame, percent: int, rounds: int, i: int) -> DataFrame:
@@ -359,7 +358,7 @@ def _across_long_lists(spark: SparkSession, long_lists: DataFrame, comp: DataFra
         others = others.select("bucket", "ab", "db", "rep", "comp", "set")
         return askers.groupBy("q_bucket", "q_ab", "q_db").cogroup(others.groupBy("bucket", "ab", "db")).applyInPandas(compare, f"a {kind}, b {kind}")
 
-    return _one_by_one(spark, map(part, range(rounds)))
+    return _one_by_one(spark, map(part, range(rounds)), rounds > 1)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -372,7 +371,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percen
     """
     release(spark)
     frequent = spark.sparkContext.broadcast(frequent_values(spark, docs, words, id_col, text_col))  # FREQUENT at most
-    release(spark)
+    release(spark, wait=True)
     made = checkpoint(spark, sketches(spark, docs, words, percent, id_col, text_col, frequent))
     several = made.where("n > 0 and id is not null").groupBy("id").agg(F.min("digest").alias("one"), F.max("digest").alias("other"), F.count("*").alias("c")).where("c > 1")
     several = checkpoint(spark, several)
@@ -388,17 +387,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percen
     # sketches are held once: of the rows and, when pairs are found, of the classes only what names them stays
     made = checkpoint(spark, made.select("id", "n", "digest"))
     names = checkpoint(spark, classes.select("digest", "rep"))
+    rounds = _rounds(classes.agg(F.sum(F.size("sketch"))).first()[0] or 0, VALUES)
+    large = rounds > 1
     del usable, several
-    release(spark)
+    release(spark, large)
 
-    lists = _lists(spark, classes)
+    lists = _lists(spark, classes, rounds)
     long_lists = checkpoint(spark, lists.where(F.col("c") > SHORT).select("v", "rep").repartition("v", "rep"))  # no task reads a whole list
     in_long = long_lists.groupBy("rep").agg(F.count("*").alias("k"))
     short = checkpoint(spark, lists.where(F.col("c") <= SHORT).join(in_long, "rep", "left").select("v", "rep", "n", F.coalesce("k", F.lit(0)).alias("k")))
     del lists
-    release(spark)
+    release(spark, large)
     rounds = _rounds(short.count(), MEETING)
-    met = _one_by_one(spark, (_pairs_of(short, percent, rounds, i) for i in range(rounds)))
+    met = _one_by_one(spark, (_pairs_of(short, percent, rounds, i) for i in range(rounds)), rounds > 1)
     del short
     nth = Window.partitionBy("rep").orderBy("v")
     some = long_lists.withColumn("nth", F.row_number().over(nth)).where(F.col("nth") <= LONG).join(in_long, "rep").select("v", "rep", "k")
@@ -416,7 +417,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percen
     cand = checkpoint(spark, cand)
     del met, some, pivots, star
     hot = checkpoint(spark, _hot(cand))
-    release(spark)
+    release(spark, large)
     if hot.count() <= BROADCAST_IDS:
         hot = F.broadcast(hot)
     pairs = cand.where("long").select("a", "b")
@@ -429,10 +430,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percen
     cand = cand.where("not long").select("a", "b", "shared").unionByName(bounded).join(hot.withColumnRenamed("end", "b"), "b", "left")
     cand = cand.withColumn("slice", F.pmod(F.xxhash64(F.lit(47), F.col("a")), F.coalesce("slices", F.lit(1)))).withColumn("nth", F.row_number().over(best))
     cand = checkpoint(spark, cand.select("a", "b", "shared", "nth"))
-    release(spark)
+    release(spark, large)
     sets = sets_of(cand.select(F.col("a").alias("rep")).unionByName(cand.select(F.col("b").alias("rep"))).distinct())
 
-    release(spark)
+    release(spark, large)
     first = cand.where(F.col("nth") <= PARTNERS)
     links = _cells(spark, first, CONFIRMED, lambda cell: _confirmed(first, sets, percent, hot, cell))
     comp = components(spark, links)
@@ -441,7 +442,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percen
     links = links.unionByName(_cells(spark, crossing, CONFIRMED, lambda cell: _confirmed(crossing, sets, percent, hot, cell)))
     comp = components(spark, links)
     del sets, cand, first, crossing
-    release(spark)
+    release(spark, large)
     comp = components(spark, links.unionByName(_across_long_lists(spark, long_lists, comp, sets_of, percent)))
 
     labelled = _label(names, comp, "rep", "component").select("digest", "component")

@@ -3,7 +3,8 @@ from __future__ import annotations
 import pytest
 
 import corpus_pipeline
-from skylattice.llm import queries
+from skylattice.llm import near_dedup, queries
+from skylattice.llm.common import release
 from tests.llm.test_text_operators import naive_groups, naive_lines
 
 SF = "/root/testdata/sf0.001"
@@ -68,3 +69,41 @@ def test_main_text_query_is_the_article(spark):
         inner = re.search(r"<article>(.*?)(?:</article>|$)", pages[r["page_id"]], re.S).group(1)
         blocks = [" ".join(unescape(re.sub(r"<[^>]+>", "", x)).split()) for x in re.split(r"</?(?:p|h1|br|div|ul|li)\b[^>]*>", inner)]
         assert r["text"] == "\n\n".join(b for b in blocks if b)
+
+
+def test_dropped_frames_go_at_once(spark):
+    """A step's files go when it is out of reach, not a step later."""
+    held = spark.sparkContext._jsc.sc().getPersistentRDDs
+    release(spark, wait=True)
+    before = held().size()
+    frame = spark.range(1000).localCheckpoint()
+    assert held().size() == before + 1
+    del frame
+    release(spark, wait=True)
+    assert held().size() == before
+
+
+def test_large_tables_wait_for_what_they_drop(spark, monkeypatch):
+    waits = []
+    monkeypatch.setattr(near_dedup, "VALUES", 2000)
+    monkeypatch.setattr(near_dedup, "release", lambda session, wait=False: waits.append(wait))
+    corpus_pipeline.drop_near_copies(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)
+    assert sum(waits) > 5
+
+
+def test_near_copies_go_without_a_shuffle_of_texts(spark):
+    known = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = corpus_pipeline.drop_near_copies(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", known)
+
+
+def test_only_the_last_stage_stays_on_disk(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline, "shared_folder", lambda session: str(tmp_path))
+    out = corpus_pipeline.run(spark, SF)
+    assert out.count() > 0
+    assert [p.name for f in tmp_path.iterdir() for p in f.iterdir() if not p.name.startswith(".")] == [str(len(corpus_pipeline.STAGES) - 1)]

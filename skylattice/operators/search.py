@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from skylattice.contracts import failing, missing_references, require
 from skylattice.functions.columns import interval_distance, network_rank, time_key
@@ -65,6 +66,44 @@ def slide_coincidences(pairs: DataFrame, candidates: DataFrame, reference: str,
     return chain_clusters(met, ["slide"], "a_peak", "ranking_score", gap, "event_id")
 
 
+def slide_totals(pairs: DataFrame, candidates: DataFrame, reference: str, shifted: str, band: int, gap: int) -> DataFrame:
+    """(slide, pairs, clusters, total) of what `slide_coincidences` lists: the number of pairs and of clusters and the sum
+    of the clusters' best scores, without a row for each pair. Slides without pairs are left out. Peaks, offsets, band and
+    gap are whole numbers.
+
+    Candidates of a window at one time are one row; the best of all pairs of two such rows follows from their own. A shifted
+    row is met from peak - band to peak + band. Time is cut into blocks of that length, so that begin and end are in
+    neighbouring blocks: what a reference row meets has begun in its block up to it, or is to end there, which are running
+    values in two orders. Reference rows that met any are combined by cells that the gap spans; only cells are chained.
+    """
+    if not all(isinstance(t, IntegralType) for t in (candidates.schema["gps_peak"].dataType, pairs.schema["offset"].dataType)) or not all(isinstance(x, int) and x >= 0 for x in (band, gap)):
+        raise ValueError("peaks, offsets, band and gap must be whole numbers")
+    cut = lambda t, width: t - F.pmod(t, F.lit(width))
+    best = [F.max("score").alias("best"), F.count("*").alias("n"), F.bool_or(F.col("score").isNull()).alias("lone")]
+    at = lambda ifo: candidates.where((F.col("ifo") == ifo) & F.col("gps_peak").isNotNull()).groupBy("window_id", F.col("gps_peak").cast("bigint").alias("t")).agg(*best)
+    a = at(reference).withColumnRenamed("window_id", "a_window").join(pairs, "a_window").select("best", "b_window", (F.col("t") + F.col("offset")).alias("u"), F.lit(0).alias("side"), "n", "lone", "slide", "offset")
+    edge = lambda u, side: F.struct(u.alias("u"), F.lit(side).alias("side"))
+    b = at(shifted).withColumn("edge", F.explode(F.array(edge(F.col("t") - band, 1), edge(F.col("t") + band, 2)))).select("best", F.col("window_id").alias("b_window"), "edge.*", "n", "lone")
+    # The block isn't shuffled, only what it is made of; an end counts in the block of the first time behind it.
+    block = cut(F.col("u") + F.shiftright("side", 1), 2 * band + 1)
+    rows = a.unionByName(b, allowMissingColumns=True).repartition("b_window", block).withColumn("block", block)
+    for side, order in ((1, F.asc("u")), (2, F.desc("u"))):
+        of = lambda c, side=side: F.when(F.col("side") == side, F.col(c))
+        upto = Window.partitionBy("b_window", "block").orderBy(order).rangeBetween(Window.unboundedPreceding, 0)
+        rows = rows.withColumns({f"n{side}": F.coalesce(F.sum(of("n")).over(upto), F.lit(0)), f"best{side}": F.max(of("best")).over(upto), f"lone{side}": F.coalesce(F.bool_or(of("lone")).over(upto), F.lit(False))})
+    other = F.greatest("best1", "best2")
+    # A pair with one null has the other's score.
+    own = F.when(F.col("best").isNotNull(), F.when(F.col("lone1") | F.col("lone2"), F.col("best")).otherwise(F.least("best", other)))
+    met = rows.where("side = 0 and n1 + n2 > 0").withColumn("t", F.col("u") - F.col("offset")).withColumn("score", F.greatest(own, F.when(F.col("lone"), other)))
+    cells = met.groupBy("b_window", "block", "slide", cut(F.col("t"), gap + 1)).agg(F.min("t").alias("first"), F.max("t").alias("last"), F.sum(F.col("n") * (F.col("n1") + F.col("n2"))).alias("pairs"), F.max("score").alias("score"))
+    by = Window.partitionBy("slide").orderBy("first", "last")
+    reach = F.max("last").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.coalesce((F.col("first") - reach > gap).cast("bigint"), F.lit(1))
+    chained = cells.withColumn("new", new).withColumn("cluster", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    clusters = chained.groupBy("slide", "cluster").agg(F.sum("pairs").alias("pairs"), F.max("score").alias("score"))
+    return clusters.groupBy("slide").agg(F.sum("pairs").alias("pairs"), F.count("*").alias("clusters"), F.sum("score").alias("total"))
+
+
 def block_permutation_pairs(windows: DataFrame, shifts: DataFrame, reference: str, shifted: str, block_start: Column) -> DataFrame:
     """Block i with block (i + shift) mod n at the same place within the block (shift is the table's column)."""
     at = windows.withColumn("__block", block_start).withColumn("slot", F.col("gps_start") - F.col("__block"))
